@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, mixing
+from tallyframe.llm import bpe, common, mixing, ordinal, quality, toxicity
 
 #: Path of a vocabulary file; TALLYFRAME_TOKENIZERS names another folder. The files are not part of this package.
 VOCABULARY = os.path.join(os.environ.get("TALLYFRAME_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -26,10 +26,31 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"], name="score")
+    return scored.select("doc_id", (~common.training_row(F.col("doc_id"), 3)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, quality.fit(docs, labels), keep=["doc_id"])
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return ordinal.grade_texts(docs, ordinal.fit(docs, labels, grade, 3), keep=["doc_id"])
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_mixing": op2_mixing,
+        "op4_toxicity": op4_toxicity,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_quality_classifier": op8_quality_classifier,
     }
 
 
