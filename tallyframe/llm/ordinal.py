@@ -15,7 +15,7 @@ from tallyframe.llm import textfeatures as tf
 #: Labelled rows that a fit takes at most, and features that it keeps at most.
 MOST_ROWS, MOST_FEATURES = 10_000, 2_048
 
-SPEC = tf.Spec(words=True, grams=(2, 3, 4), lowered=False, bits=18, shares=True)
+SPEC = tf.Spec(words=True, grams=(2, 3, 4), again=3, lowered=False, bits=18, shares=True)
 
 
 @dataclass

@@ -85,13 +85,14 @@ def blanks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 @dataclass(frozen=True)
 class Spec:
-    """Which features: whole words, beginnings of words (bytes), runs of words, runs of bytes; lower-cased or not;
-    the number of buckets; values by presence, or by the root of the share of all features of the kind."""
+    """Which features: whole words, beginnings of words (bytes), runs of words, runs of bytes, whether a run of so
+    many words came before in the text; lower-cased or not; the number of buckets; values by presence, or by the root of the share of all features of the kind."""
 
     words: bool = True
     prefixes: tuple[int, ...] = ()
     runs: tuple[int, ...] = ()
     grams: tuple[int, ...] = ()
+    again: int = 0
     lowered: bool = True
     bits: int = 18
     shares: bool = False
@@ -103,7 +104,7 @@ class Spec:
             data = lower()[data]
         blank = blanks(data, starts, ends)
         top = U(64 - self.bits)
-        if self.words or self.prefixes or self.runs:
+        if self.words or self.prefixes or self.runs or self.again:
             w = words_of(data, starts, ends, blank)
             h = w.hashes()
             if self.words:
@@ -119,6 +120,14 @@ class Spec:
                         run = stir(run * U(3) + h[k : len(h) - n + 1 + k])
                     same = w.doc[: len(last)] == last
                     yield last[same], (run[same] >> top).astype(np.int64)
+            if self.again and len(h) >= self.again:
+                run, last = stir(w.doc[: len(h) - self.again + 1].astype(U)), w.doc[self.again - 1 :]
+                for k in range(self.again):
+                    run = stir(run * U(3) + h[k : len(h) - self.again + 1 + k])
+                same = np.flatnonzero(w.doc[: len(last)] == last)
+                repeat = np.ones(len(same), dtype=np.int64)
+                repeat[np.unique(run[same], return_index=True)[1]] = 0
+                yield last[same], repeat  # buckets 0 and 1
         for n in self.grams:
             if len(data) < n:
                 continue
@@ -299,21 +308,24 @@ def gathered(sample: DataFrame, spec: Spec, buckets: np.ndarray, twins: Callable
     return Sample(np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64), table["label"].to_numpy().astype(np.int64), np.where(twin == 0, -1, first))
 
 
-def fit_logistic(x: Sample, width: int, l1: float = 0.0, l2: float = 1e-6, alike: float = 0.0, rounds: int = 300, part: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def fit_logistic(x: Sample, width: int, l1: float = 0.0, l2: float = 1e-6, alike: float = 0.0, rounds: int = 300, part: np.ndarray | None = None, yes: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and constant that minimise mean log loss, l1 * |w| + l2 * w^2, and `alike` times the mean square of
-    the differences in margin between rows and their twins (accelerated proximal gradient, a fixed number of rounds)."""
+    the differences in margin between rows and their twins (accelerated proximal gradient, a fixed number of rounds).
+    Rows of class 1 count `yes` times; only rows of `part` count, if given."""
     real = (x.twin < 0) if part is None else (x.twin < 0) & part
     n, twins = max(1, int(real.sum())), np.flatnonzero(x.twin >= 0)
-    step = 1 / (0.25 * (x.curvature(width) * len(x.label) / n + 1) + 2 * l2 + 4 * alike * bool(len(twins)) * x.curvature(width) * len(x.label) / max(1, len(twins)))
+    weight = np.where(real, np.where(x.label > 0, yes, 1.0), 0.0) / n
+    step = 1 / (0.25 * max(1.0, yes) * (x.curvature(width) * len(x.label) / n + 1) + 2 * l2 + 4 * alike * bool(len(twins)) * x.curvature(width) * len(x.label) / max(1, len(twins)))
     w, v, momentum = np.zeros(width + 1), np.zeros(width + 1), 1.0
     for _ in range(rounds):
         margin = x.times(v[:width]) + v[width]
-        r = np.where(real, sigmoid(margin) - x.label, 0.0) / n
+        r = weight * (sigmoid(margin) - x.label)
+        total = r.sum()
         if alike and len(twins):
             gap = 2 * alike * (margin[twins] - margin[x.twin[twins]]) / len(twins)
             np.add.at(r, twins, gap)
             np.add.at(r, x.twin[twins], -gap)
-        g = np.append(x.back(r, width), r[real].sum() if not alike else np.where(real, sigmoid(margin) - x.label, 0.0).sum() / n)
+        g = np.append(x.back(r, width), total)
         g[:width] += 2 * l2 * v[:width]
         new = v - step * g
         new[:width] = np.sign(new[:width]) * np.maximum(0, np.abs(new[:width]) - step * l1)

@@ -31,6 +31,9 @@ IDENTITY = (
 #: Labelled rows that a fit takes at most, features that it keeps at most, and wordings beside a text.
 MOST_ROWS, MOST_FEATURES, WORDINGS = 24_000, 2_048, 2
 
+#: How often a toxic row counts; they are few, and none should stay under the threshold for it.
+YES = 8.0
+
 SPEC = tf.Spec(words=True, prefixes=(4, 5, 6), bits=20)
 
 NAMED = re.compile(rb"(?i)(?<![A-Za-z])(" + "|".join(sorted({w for g in IDENTITY for w in g}, key=len, reverse=True)).encode() + rb")(?![A-Za-z])")
@@ -61,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = 3, alike: float
     yes, n = int(x.label[x.twin < 0].sum()), int((x.twin < 0).sum())
     if yes in (0, n):
         return tf.Linear(spec, np.zeros(0, np.int64), np.zeros(0), 40.0 if n and yes else -40.0)
-    w, constant = tf.fit_logistic(x, len(buckets), l1=2e-5, l2=1e-6, alike=alike)
+    w, constant = tf.fit_logistic(x, len(buckets), l1=3e-6, l2=1e-7, alike=alike, yes=YES, rounds=500)
     return tf.Linear(spec, buckets[w != 0], w[w != 0], constant)
 
 
