@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, mixing, ordinal, quality, toxicity
+from tallyframe.llm import bpe, common, mixing, ordinal, quality, simhash, toxicity
 
 #: Path of a vocabulary file; TALLYFRAME_TOKENIZERS names another folder. The files are not part of this package.
 VOCABULARY = os.path.join(os.environ.get("TALLYFRAME_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~common.training_row(F.col("doc_id"), 3)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge(docs, quality.fit(docs, labels), keep=["doc_id"])
@@ -49,6 +53,7 @@ def queries() -> dict:
         "op1_bpe": op1_bpe,
         "op2_mixing": op2_mixing,
         "op4_toxicity": op4_toxicity,
+        "op5_simhash": op5_simhash,
         "op7_quality_rules": op7_quality_rules,
         "op8_quality_classifier": op8_quality_classifier,
     }
