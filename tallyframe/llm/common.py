@@ -74,7 +74,9 @@ def pieces(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[tuple[int, i
 
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, null as the empty text."""
-    return [t or b"" for t in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
+    return [t or b"" for t in column.to_pylist()]
 
 
 def map_texts(
@@ -83,17 +85,18 @@ def map_texts(
     make: Callable[[], Callable[[list[bytes]], dict[str, object]]],
     fields: list[T.StructField],
     keep: list[str] | None = None,
+    binary: bool = False,
 ) -> DataFrame:
     """Add `fields` to each row, computed from its whole text; one row out for each row in.
 
     `make()` is called once a task and returns a function from some texts (null: empty) to one list or array a
-    field. `keep` names the columns that are returned besides (default: all, but for those called like a field).
+    field. `text_col` is cast to text, or taken as bytes if `binary`. `keep` names the columns that are returned besides (default: all, but for those called like a field).
     """
     bounded_batches(df.sparkSession)
     names = [f.name for f in fields]
     kept = without(df, names).columns if keep is None else keep
     schema = T.StructType([*[f for f in df.select(*[F.col(f"`{c}`") for c in kept]).schema], *fields])
-    sent = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    sent = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").cast("binary" if binary else "string").alias("text"))
     types = [f.dataType for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

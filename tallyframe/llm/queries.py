@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, mixing, ordinal, quality, simhash, toxicity
+from tallyframe.llm import bpe, common, jpeg, mixing, ordinal, quality, simhash, toxicity
 
 #: Path of a vocabulary file; TALLYFRAME_TOKENIZERS names another folder. The files are not part of this package.
 VOCABULARY = os.path.join(os.environ.get("TALLYFRAME_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -48,6 +48,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade_texts(docs, ordinal.fit(docs, labels, grade, 3), keep=["doc_id"])
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(jpeg.store(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id"])
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op5_simhash": op5_simhash,
         "op7_quality_rules": op7_quality_rules,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_media": op9_media,
     }
 
 
