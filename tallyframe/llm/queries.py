@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, jpeg, mixing, ordinal, quality, simhash, toxicity
+from tallyframe.llm import bpe, common, jpeg, mixing, ordinal, quality, simhash, toxicity, urls
 
 #: Path of a vocabulary file; TALLYFRAME_TOKENIZERS names another folder. The files are not part of this package.
 VOCABULARY = os.path.join(os.environ.get("TALLYFRAME_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -36,6 +36,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The rules of op6: a host and the beginning of a path, and the verdict.
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge(docs, quality.fit(docs, labels), keep=["doc_id"])
@@ -58,6 +66,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
+        "op6_url_filter": op6_url_filter,
         "op7_quality_rules": op7_quality_rules,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_media": op9_media,
@@ -98,5 +107,22 @@ FROM rated
 """
 
 
+OP6_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest),
+rules(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict
+FROM fits GROUP BY page_id, host, path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL}
