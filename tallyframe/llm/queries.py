@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, jpeg, mixing, ordinal, quality, simhash, toxicity, urls
+from tallyframe.llm import bpe, common, jpeg, licenses, mixing, ordinal, quality, simhash, toxicity, urls
 
 #: Path of a vocabulary file; TALLYFRAME_TOKENIZERS names another folder. The files are not part of this package.
 VOCABULARY = os.path.join(os.environ.get("TALLYFRAME_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -60,6 +60,18 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(jpeg.store(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id"])
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source / thousands / hundreds / id; one that begins with a statement of licence stands for
+    its thousand's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    thousand = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"))
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    states = F.coalesce(first.rlike(r"(?i)\blicen[cs]ed?\b"), F.lit(False))
+    hundred = F.floor(F.pmod("doc_id", F.lit(1000)) / 100).cast("string")
+    path = F.when(states, F.concat(thousand, F.lit("/LICENSE-"), F.col("doc_id"))).otherwise(F.concat_ws("/", thousand, hundred, F.col("doc_id").cast("string")))
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -70,30 +82,26 @@ def queries() -> dict:
         "op7_quality_rules": op7_quality_rules,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_media": op9_media,
+        "op10_licenses": op10_licenses,
     }
 
 
 OP2_SQL = r"""
-WITH RECURSIVE sized AS (
+WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM sized GROUP BY source),
-total AS (SELECT sum(source_size)::DOUBLE AS t, count(*) AS n FROM per),
-rounds AS (
-  SELECT 0 AS step, source, source_size, weight, false AS bounded,
-         sum(source_size) OVER ()::DOUBLE * weight / sum(weight) OVER () AS target
-  FROM per
-  UNION ALL
-  SELECT step + 1, source, source_size, weight, now_bounded,
-         CASE WHEN now_bounded THEN 3.0::DOUBLE * source_size
-              ELSE weight * (sum(source_size) OVER ()::DOUBLE - sum(CASE WHEN now_bounded THEN 3.0::DOUBLE * source_size ELSE 0 END) OVER ())
-                   / sum(CASE WHEN now_bounded THEN 0 ELSE weight END) OVER () END
-  FROM (SELECT *, bounded OR target > 3.0::DOUBLE * source_size AS now_bounded FROM rounds)
-  WHERE step < (SELECT n FROM total)),
-shares AS (SELECT source, source_size, target FROM rounds WHERE step = (SELECT n FROM total)),
+bounds AS (SELECT *, 3.0::DOUBLE * source_size AS bound, 3.0::DOUBLE * source_size / weight AS ratio FROM per),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE
+             - coalesce(sum(bound) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM bounds),
+chosen AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio >= level),
+shares AS (SELECT source, source_size, CASE WHEN c.level IS NULL THEN bound ELSE least(bound, weight * c.level) END AS target FROM levels, chosen c),
 drawn AS (
   SELECT doc_id, source, size,
          ('0x' || substr(md5('7/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
@@ -124,5 +132,42 @@ FROM fits GROUP BY page_id, host, path
 """
 
 
+def op10_sql() -> str:
+    w = licenses.Weights(licenses.TEMPLATES)
+    idf = ", ".join(f"('{word}', {value!r}::DOUBLE)" for word, value in w.idf.items())
+    terms = ", ".join(f"('{name}', '{word}', {w.norm[name]!r}::DOUBLE)" for name, ws in w.terms.items() for word in ws)
+    return rf"""
+WITH idf(word, weight) AS (VALUES {idf}),
+templates(license, word, norm) AS (VALUES {terms}),
+files AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         coalesce(source, 'none') || '/' || floor(doc_id / 1000)::BIGINT AS thousand,
+         regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '(?i)\blicen[cs]ed?\b') AS whole
+  FROM documents),
+placed AS (
+  SELECT *, CASE WHEN whole THEN thousand || '/LICENSE-' || doc_id ELSE thousand || '/' || floor((doc_id % 1000) / 100)::BIGINT || '/' || doc_id END AS path,
+         CASE WHEN whole THEN thousand ELSE thousand || '/' || floor((doc_id % 1000) / 100)::BIGINT END AS dir
+  FROM files),
+units AS (
+  SELECT r, u, unnest(list_distinct(regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'))) AS word
+  FROM (SELECT r, unnest(lines) AS unit, generate_subscripts(lines, 1) AS u
+        FROM (SELECT r, string_split(text, chr(10)) || CASE WHEN whole THEN [text] ELSE [] END AS lines FROM placed))),
+norms AS (SELECT r, u, sqrt(sum(coalesce(weight, {w.unknown!r}::DOUBLE) ** 2)) AS norm FROM units LEFT JOIN idf USING (word) GROUP BY r, u),
+scored AS (
+  SELECT r, u, t.license, round(sum(i.weight ** 2) / (any_value(n.norm) * any_value(t.norm)), 6) AS score
+  FROM units JOIN templates t USING (word) JOIN idf i USING (word) JOIN norms n USING (r, u) GROUP BY r, u, t.license),
+best AS (
+  SELECT r, license, score FROM scored WHERE score >= {licenses.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
+own AS (SELECT p.r, p.doc_id, p.path, p.dir, p.thousand, p.whole, b.license, b.score FROM placed p LEFT JOIN best b USING (r)),
+owners AS (
+  SELECT thousand, path AS owner, license AS given, score AS given_score FROM own WHERE whole AND license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY thousand ORDER BY score DESC, path) = 1)
+SELECT doc_id, path, coalesce(license, given) AS license, coalesce(score, given_score) AS score,
+       CASE WHEN license IS NOT NULL THEN path ELSE owner END AS found_in
+FROM own LEFT JOIN owners USING (thousand)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL}
+    return {"op10_licenses": op10_sql(), "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL}
