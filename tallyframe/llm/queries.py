@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, jpeg, licenses, mixing, ordinal, quality, simhash, toxicity, urls
+from tallyframe.llm import bpe, common, ctw, jpeg, licenses, mixing, ordinal, quality, simhash, toxicity, urls
 
 #: Path of a vocabulary file; TALLYFRAME_TOKENIZERS names another folder. The files are not part of this package.
 VOCABULARY = os.path.join(os.environ.get("TALLYFRAME_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(table(spark, sf_dir, "documents"), common.training_row(F.col("doc_id"), 5))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"], name="score")
@@ -76,6 +81,7 @@ def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_mixing": op2_mixing,
+        "op3_ctw": op3_ctw,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
         "op6_url_filter": op6_url_filter,
