@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import common
+from tallyframe.llm.textfeatures import stir
 
 #: Bytes that a cascade's filters may have in all, as they go to every task. Longer lists are joined instead.
 MOST_BYTES = 64 << 20
@@ -35,13 +36,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 @dataclass
 class Filter:
-    """A Bloom filter: the bits of keys by two hashes, taken `turns` times."""
+    """A Bloom filter: the bits of keys by two hashes, taken `turns` times; each level of a cascade has its own."""
 
     words: np.ndarray
     turns: int
+    level: int
 
     def places(self, a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
-        return (a + np.uint64(turn) * (b | np.uint64(1))) % np.uint64(64 * len(self.words))
+        own = stir(a ^ stir(np.full(1, self.level + 1, dtype=np.uint64)))
+        return (own + np.uint64(turn) * (b | np.uint64(1))) % np.uint64(64 * len(self.words))
 
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), dtype=bool)
@@ -51,13 +54,13 @@ class Filter:
         return out
 
 
-def build(keys: DataFrame, n: int, wrong: float) -> Filter:
+def build(keys: DataFrame, n: int, wrong: float, level: int) -> Filter:
     """The filter of `n` keys (a, b: hashes) that takes another for one of them with probability `wrong`.
 
     Tasks set bits in an array of the filter's size and give its words that aren't zero; their union is gathered.
     """
     size = max(1, int(np.ceil(n * -np.log(wrong) / np.log(2) ** 2 / 64)))
-    empty = Filter(np.zeros(size, dtype=np.uint64), max(1, round(-np.log2(wrong))))
+    empty = Filter(np.zeros(size, dtype=np.uint64), max(1, round(-np.log2(wrong))), level)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(size, dtype=np.uint64)
@@ -112,7 +115,7 @@ def cascade(universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None
         wrong = min(0.5, max(1e-9, count[True] / max(1, other))) if not levels else 0.5
         if sum(8 * len(x.words) for x in levels) + count[encode] * -np.log(wrong) / np.log(2) ** 2 / 8 > most_bytes:
             return None
-        levels.append(build(side[encode], count[encode], wrong))
+        levels.append(build(side[encode], count[encode], wrong, len(levels)))
         encode = not encode
         side[encode] = common.written(passing(side[encode], levels[-1]), "mistaken")
         count[encode] = side[encode].count()
