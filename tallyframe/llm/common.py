@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one step of a Python worker holds at a time (a longer text is a step of its own).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 #: Bytes in an Arrow batch between the JVM and Python.
 BATCH_BYTES = 16 << 20
@@ -41,11 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Once a table is written nothing reads the shuffles that made it; with this setting Spark deletes them then.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: a lost executor then costs no earlier work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,11 +95,13 @@ def map_texts(
     fields: list[T.StructField],
     keep: list[str] | None = None,
     binary: bool = False,
+    piece: int = PIECE_BYTES,
 ) -> DataFrame:
     """Add `fields` to each row, computed from its whole text; one row out for each row in.
 
     `make()` is called once a task and returns a function from some texts (null: empty) to one list or array a
-    field. `text_col` is cast to text, or taken as bytes if `binary`. `keep` names the columns that are returned besides (default: all, but for those called like a field).
+    field. `text_col` is cast to text, or taken as bytes if `binary`; `piece` bounds
+    the bytes of texts given at a time (a longer text comes alone). `keep` names the columns that are returned besides (default: all, but for those called like a field).
     """
     bounded_batches(df.sparkSession)
     names = [f.name for f in fields]
@@ -105,7 +116,7 @@ def map_texts(
         compute, arrow = make(), [to_arrow_type(t) for t in types]
         for batch in batches:
             texts = as_bytes(batch.column(batch.num_columns - 1))
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, piece):
                 got = compute(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *(pa.array(got[n], type=t) for n, t in zip(names, arrow, strict=True))],

@@ -9,8 +9,6 @@ block in all intervals of many pictures at once, in numpy.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +21,9 @@ from tallyframe.llm import common
 #: Payloads are filled up to a multiple of this, one row of blocks; the most rows in one picture (65,535 lines).
 ROW, MOST_ROWS = 64, 8191
 
+#: Bytes that a step works on; a byte takes up some hundred while its code is put together or taken apart.
+STEP = 1 << 19
+
 #: The number of Huffman codes of each length, 1 to 16 bits, for the DC categories 0 to 11 in order (the
 #: luminance table of the JPEG standard, annex K), and a table with one code, the end of a block.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
@@ -339,7 +340,7 @@ def store(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
         writer = Writer()
         return lambda texts: {"n_bytes": [len(t) for t in texts], "media": writer.write(texts)}
 
-    return common.map_texts(docs, text_col, make, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], keep)
+    return common.map_texts(docs, text_col, make, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], keep, piece=STEP)
 
 
 def read(stored: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -386,18 +387,19 @@ def read(stored: DataFrame, media_col: str = "media", keep: list[str] | None = N
 
         return run
 
-    return common.map_texts(stored, media_col, make, fields, keep, binary=True)
+    return common.map_texts(stored, media_col, make, fields, keep, binary=True, piece=STEP)
 
 
 def digests(stored: DataFrame, keep: list[str]) -> DataFrame:
     """The digest columns of stored media: of the bytes read back, of their last 64, and of the stored form."""
     seen = read(stored, keep=[*keep, "n_bytes", "media"])
-    fields = [
-        T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
-    ]
-
-    def make():
-        return lambda read_back: {"payload_bytes": [len(p) for p in read_back], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in read_back], "tail_crc32": [zlib.crc32(p[-64:]) for p in read_back]}
-
-    seen = seen.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "thumbnail", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash").alias("feature"))
-    return common.map_texts(seen, "thumbnail", make, fields, [*keep, "n_bytes", "media_bytes", "media_sha256", "feature"], binary=True)
+    return seen.select(
+        *[F.col(f"`{c}`") for c in keep],
+        "n_bytes",
+        F.octet_length("thumbnail").cast("long").alias("payload_bytes"),
+        F.sha2("thumbnail", 256).alias("payload_sha256"),
+        F.crc32(F.substring("thumbnail", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash").alias("feature"),
+    )

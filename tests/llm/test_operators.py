@@ -181,7 +181,7 @@ def test_ctw_agrees_with_recursion(spark, depth):
     assert len(got) == len(texts)
     train = [low(t).encode() for i, t in enumerate(texts) if i % 3 != 1]
     for r in got:
-        assert math.isclose(r["score"], brute_ctw(train, low(texts[r["doc_id"]]).encode(), depth), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r["score"], brute_ctw(train, low(texts[r["doc_id"]]).encode(), depth), rel_tol=1e-6)  # answers travel as 32-bit floats
 
 
 def test_ctw_base_and_odd_rows(spark):
@@ -200,7 +200,7 @@ def test_ctw_base_and_odd_rows(spark):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
     assert ctw.score(empty(spark), F.lit(True)).count() == 0
     even = ctw.score(docs.filter("doc_id = 1"), F.lit(False)).first()
-    assert math.isclose(even["score"], -8 * (even["n_bytes"] + 1) * math.log10(2)) and even["n_known"] == 0
+    assert math.isclose(even["score"], -8 * (even["n_bytes"] + 1) * math.log10(2), rel_tol=1e-6) and even["n_known"] == 0
 
 
 def test_ctw_log_gamma(spark):
