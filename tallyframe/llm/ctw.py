@@ -15,6 +15,8 @@ meet the block's texts again. So neither the model nor the vocabulary is ever in
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,13 @@ from pyspark.sql import functions as F
 from tallyframe.llm import common
 
 #: Bytes of context, and bytes of text in a block.
-DEPTH, BLOCK_BYTES = 5, 12 << 20
+DEPTH, BLOCK_BYTES = 5, 24 << 20
+
+#: Bytes of text that a step turns into runs of bytes at a time.
+STEP = 1 << 19
+
+#: What a block gets: the words and grams that it asked for, and to each its count or logarithm, all in one order.
+ANSWERS = ("words", "word_c", "grams", "logp")
 
 #: Fixed value: marks both the bytes before a text and its end; no UTF-8 has this byte.
 EDGE = 0xFF
@@ -79,8 +87,13 @@ def model(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         above = down.select(F.col("key").alias("up"), F.col("one").alias("one_up"), F.col("rest").alias("rest_up"))
         own = levels[d].withColumn("up", shorter(F.col("key"), d)).join(above, "up")
         down = own.select("key", (F.col("one_up") + F.col("rest_up") * F.col("own") * one).alias("one"), (F.col("rest_up") * (1 - F.col("own"))).alias("rest"))
-    said = F.log10(F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one")))
-    return nodes(grams).join(down.select("key", "one"), "key").groupBy("gram").agg(F.sum(said).alias("logp"))
+    # A context has 255 nodes at most: they travel as one map to its grams.
+    maps = down.groupBy(F.shiftright("key", 8).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int"), "one"))).alias("ones"))
+    byte, logp = F.col("gram").bitwiseAND(F.lit(255)).cast("int"), F.lit(0.0)
+    for k in range(8):
+        p = F.element_at("ones", F.lit(1 << k) + F.shiftright(byte, 8 - k))
+        logp = logp + F.log10(F.when(F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)) == 1, p).otherwise(1 - p))
+    return grams.withColumn("context", F.shiftright("gram", 8)).join(maps, "context").select("gram", logp.alias("logp"))
 
 
 def gram_codes(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +116,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         size = 1 << self.bits
-        self.key, self.value = np.full(size, -1, dtype=np.int64), np.zeros(size)
+        self.key, self.value = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.float32)
         left, at = np.arange(len(keys)), self.slot(keys)
         while len(left):
             free = self.key[at] == -1
@@ -124,30 +137,135 @@ class Lookup:
         return self.value[at]
 
 
-def asked(block: int, texts: list[bytes], train: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+class Asked:
     """What a block asks for: its distinct words and grams, each with its count in training texts."""
-    counts: dict[bytes, int] = {}
-    for t, own in zip(texts, train.tolist(), strict=True):
-        for w in t.split():
-            counts[w] = counts.get(w, 0) + own
-    found, times = [], []
-    for a, b in common.pieces(texts):
-        code, doc = gram_codes(texts[a:b], depth)
-        own = train[a:b][doc]
-        for part, weight in ((code[own], 1), (code[~own], 0)):
-            key, n = np.unique(part, return_counts=True)
-            found.append(key)
-            times.append(n * weight)
-    key, back = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_inverse=True)
-    n = np.bincount(back, weights=np.concatenate([*times, np.zeros(0)]), minlength=len(key)).astype(np.int64)
-    names = ["block", "word", "gram", "c"]
-    words, each = list(counts), np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    for i in range(0, len(words), 50_000):
-        part = words[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part, pa.binary()), pa.nulls(len(part), pa.int64()), pa.array(each[i : i + 50_000])], names=names)
-    for i in range(0, len(key), 100_000):
-        part = key[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[i : i + 100_000])], names=names)
+
+    def __init__(self, depth: int):
+        self.depth, self.train, self.rest, self.grams, self.counts, self.held = depth, Counter(), Counter(), [], [], 0
+
+    def add(self, texts: list[bytes], train: np.ndarray) -> None:
+        for t, own in zip(texts, train.tolist(), strict=True):
+            (self.train if own else self.rest).update(t.split())
+        code, doc = gram_codes(texts, self.depth)
+        own = train[doc]
+        for codes, weight in ((code[own], 1), (code[~own], 0)):
+            key, n = np.unique(codes, return_counts=True)
+            self.grams.append(key)
+            self.counts.append(n * weight)
+            self.held += len(key)
+        if self.held > 1 << 20:
+            self.merge()
+
+    def merge(self) -> None:
+        key, n = summed(self.grams, self.counts)
+        # What is left after a merge counts from nothing, so that merging stays rare however many distinct grams there are.
+        self.grams, self.counts, self.held = [key], [n], 0
+
+    def batches(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket: words and grams as one value each, and their counts in the same order."""
+        self.merge()
+        self.rest.update(dict.fromkeys(self.train, 0))
+        words = list(self.rest)
+        of = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(buckets + 1))
+        grams, counts = self.grams[0], self.counts[0]
+        for k in range(buckets):
+            own = [words[i] for i in order[cut[k] : cut[k + 1]].tolist()]
+            here = grams % buckets == k
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([block], pa.int64()), "bucket": pa.array([k], pa.int64()), "words": pa.array([b"\n".join(own)], pa.binary()),
+                    "word_c": pa.array([np.fromiter(map(self.train.__getitem__, own), dtype=np.int64, count=len(own)).tobytes()], pa.binary()),
+                    "grams": pa.array([grams[here].tobytes()], pa.binary()), "gram_c": pa.array([counts[here].tobytes()], pa.binary()),
+                }
+            )
+
+
+ASKED = "block long, bucket long, words binary, word_c binary, grams binary, gram_c binary"
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    key, back = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+    return key, np.bincount(back, weights=np.concatenate([*counts, np.zeros(0)]), minlength=len(key)).astype(np.int64)
+
+
+def numbers(value: bytes | None, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(value or b"", dtype=kind)
+
+
+def split(words: bytes) -> list[bytes]:
+    return words.split(b"\n") if words else []
+
+
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of asked things, sorted by bucket -> for each bucket its grams with their counts in all blocks, the sum and
+    number of its words' counts, and to each block the counts of the words that it asked for."""
+    names = ["block", "bucket", "word_c", "gram", "c", "n", "v"]
+    bucket, rows = None, []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        for r in rows:
+            for w, c in zip(split(r["words"]), numbers(r["word_c"]).tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+        for r in rows:
+            c = np.fromiter(map(total.__getitem__, split(r["words"])), dtype=np.int64)
+            yield batch_of(names, 1, block=[r["block"]], bucket=[bucket], word_c=[c.tobytes()])
+        yield batch_of(names, 1, n=[sum(total.values())], v=[sum(c > 0 for c in total.values())])
+        key, n = summed([numbers(r["grams"]) for r in rows], [numbers(r["gram_c"]) for r in rows])
+        for i in range(0, len(key), 100_000):
+            yield batch_of(names, len(key[i : i + 100_000]), gram=key[i : i + 100_000], c=n[i : i + 100_000])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["bucket"] != bucket:
+                yield from told()
+                rows = []
+            bucket = row["bucket"]
+            rows.append(row)
+    if rows:
+        yield from told()
+
+
+def batch_of(names: list[str], rows: int, /, **values: object) -> pa.RecordBatch:
+    kinds = {"word_c": pa.binary(), "logp": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(values[c], kinds.get(c, pa.int64())) if c in values else pa.nulls(rows, kinds.get(c, pa.int64())) for c in names], names=names)
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by bucket, first grams with their logarithms, then what blocks asked for -> the logarithms to each block,
+    in the order in which it asked."""
+    bucket, key, value = None, [], []
+    for batch in batches:
+        for (at, kind), part in runs(batch, "bucket", "kind"):
+            if at != bucket:
+                bucket, key, value = at, [], []
+            if kind == 0:
+                key.append(part.column("gram").to_numpy())
+                value.append(part.column("logp").to_numpy())
+                continue
+            if len(key) > 1:
+                whole, said = np.concatenate(key), np.concatenate(value)
+                order = np.argsort(whole)
+                key, value = [whole[order]], [said[order].astype(np.float32)]
+            elif key and value[0].dtype != np.float32:
+                order = np.argsort(key[0])
+                key, value = [key[0][order]], [value[0][order].astype(np.float32)]
+            for row in part.select(["block", "grams"]).to_pylist():
+                own = value[0][np.searchsorted(key[0], numbers(row["grams"]))] if row["grams"] else np.zeros(0, np.float32)
+                yield batch_of(["block", "bucket", "logp"], 1, block=[row["block"]], bucket=[at], logp=[own.tobytes()])
+
+
+def runs(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Parts of a sorted batch that are alike in some columns of whole numbers."""
+    if not batch.num_rows:
+        return
+    keys = [batch.column(c).to_numpy() for c in columns]
+    edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+        yield tuple(int(k[a]) for k in keys), batch.slice(a, b - a)
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -172,45 +290,71 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     block = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(blocks)).cast("long")
     dealt = rows.withColumn("block", block)
 
-    def ask(table: pa.Table) -> pa.Table:
-        texts = [t.lower() for t in common.as_bytes(table["text"].combine_chunks())]
-        got = list(asked(table["block"][0].as_py(), texts, table["train"].to_numpy().astype(bool), depth))
-        return pa.Table.from_batches(got) if got else table.schema.empty_table()
-
-    wanted = common.written(dealt.groupBy("block").applyInArrow(ask, "block long, word binary, gram long, c long"), "asked")
-    grams = common.written(wanted.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("c").alias("c")), "grams")
-    words = common.written(wanted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, Asked(depth)
+        for batch in batches:
+            for (at,), part in runs(batch, "block"):
+                if block is not None and at != block:
+                    yield from held.batches(block, blocks)
+                    held = Asked(depth)
+                block, train_, texts = at, part.column("train").to_numpy(zero_copy_only=False).astype(bool), common.as_bytes(part.column("text"))
+                for a, b in common.pieces(texts, STEP):
+                    held.add([t.lower() for t in texts[a:b]], train_[a:b])
+        if block is not None:
+            yield from held.batches(block, blocks)
+
+    # All rows of a block are in one partition, one after the other, so a task holds one block's lists at a time. What is
+    # asked is dealt into as many buckets as there are blocks; a bucket is about as large as a block's lists.
+    sorted_ = dealt.select("block", "train", "text").repartition("block").sortWithinPartitions("block")
+    wanted = common.written(sorted_.mapInArrow(ask, ASKED), "asked")
+    totals = common.written(wanted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "block long, bucket long, word_c binary, gram long, c long, n long, v long"), "totals")
+    seen = totals.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     ends = rows.filter("train").count()
-    seen = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
-    answers = wanted.filter("word IS NOT NULL").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value"))
-    said = wanted.filter("gram IS NOT NULL").select("block", "gram").join(model(grams, depth), "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", F.col("logp").alias("value"))
-
-    def put_together(texts_: pa.Table, answers_: pa.Table) -> pa.Table:
-        words_, grams_ = answers_.filter(answers_["word"].is_valid()), answers_.filter(answers_["gram"].is_valid())
-        value = np.log10(words_["value"].to_numpy() + 0.5)
-        log = dict(zip(words_["word"].to_pylist(), value.tolist(), strict=True))
-        known = {w for w, c in zip(words_["word"].to_pylist(), words_["value"].to_numpy().tolist(), strict=True) if c == 0}
-        look = Lookup(grams_["gram"].to_numpy(), grams_["value"].to_numpy())
-        texts = [t.lower() for t in common.as_bytes(texts_["text"].combine_chunks())]
-        total, end = math.log10(n + 0.5 * (v + 1)), math.log10(ends + 0.5)
-        n_tokens, n_known, base, model_score = [], [], [], []
-        for t in texts:
-            own = t.split()
-            n_tokens.append(len(own) + 1)
-            n_known.append(len(own) - sum(map(known.__contains__, own)) + (ends > 0))
-            base.append(math.fsum(map(log.__getitem__, own)) + end - (len(own) + 1) * total)
-        for a, b in common.pieces(texts):
-            code, doc = gram_codes(texts[a:b], depth)
-            model_score.append(np.bincount(doc, weights=look.get(code), minlength=b - a))
-        return pa.table(
-            {
-                "id": texts_["id"], "train": texts_["train"], "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array([n] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate([*model_score, np.zeros(0)]), pa.float64()),
-            }
-        )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, train boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = dealt.groupBy("block").cogroup(answers.unionAll(said).groupBy("block")).applyInArrow(put_together, schema)
-    return out.withColumnRenamed("id", id_col)
+    n, v = (seen["n"] or 0) + ends, (seen["v"] or 0) + (ends > 0)
+    logs = common.written(model(totals.filter("gram IS NOT NULL").select("gram", "c"), depth), "model")
+    known = logs.select(F.pmod("gram", F.lit(blocks)).alias("bucket"), F.lit(0).alias("kind"), "gram", "logp", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("grams"))
+    open_ = wanted.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp"), "block", "grams")
+    said = common.written(known.unionAll(open_).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "block long, bucket long, logp binary"), "said")
+    blank = {"bucket": "long", "words": "binary", "word_c": "binary", "grams": "binary", "logp": "binary", "id": rows.schema["id"].dataType.simpleString(), "train": "boolean", "text": "string"}
+
+    def shaped(df: DataFrame, kind: int) -> DataFrame:
+        """The columns of answers and texts together, answers first in each block."""
+        return df.select("block", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, end, none = math.log10(n + 0.5 * (v + 1)), math.log10(ends + 0.5), math.log10(0.5)
+        block, held, log, look = None, {}, {}, None
+        for batch in batches:
+            for (at, kind), part in runs(batch, "block", "kind"):
+                if at != block:
+                    block, held, log, look = at, {}, {}, None
+                if kind == 0:
+                    for row in part.select(["bucket", *ANSWERS]).to_pylist():
+                        held.setdefault(row["bucket"], {}).update((c, row[c]) for c in ANSWERS if row[c] is not None)
+                    continue
+                if look is None:
+                    for row in held.values():
+                        log.update(zip(split(row["words"]), np.log10(numbers(row["word_c"]) + 0.5).tolist(), strict=True))
+                    look = Lookup(np.concatenate([numbers(r["grams"]) for r in held.values()]), np.concatenate([numbers(r["logp"], np.float32) for r in held.values()]))
+                    held = {}
+                texts = common.as_bytes(part.column("text"))
+                for a, b in common.pieces(texts, STEP):
+                    n_bytes, n_tokens, n_known, base = [], [], [], []
+                    low = [t.lower() for t in texts[a:b]]
+                    for t in low:
+                        own = list(map(log.__getitem__, t.split()))
+                        n_bytes.append(len(t))
+                        n_tokens.append(len(own) + 1)
+                        n_known.append(len(own) - own.count(none) + (ends > 0))
+                        base.append(math.fsum(own) + end - (len(own) + 1) * total)
+                    code, doc = gram_codes(low, depth)
+                    score_ = np.bincount(doc, weights=look.get(code), minlength=b - a)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id").slice(a, b - a), part.column("train").slice(a, b - a), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n] * (b - a), pa.int64()), pa.array(base, pa.float64()), pa.array(score_)],
+                        names=["id", "train", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
+
+    answers = shaped(wanted.select("block", "bucket", "words", "grams"), 0).unionAll(shaped(totals.filter("word_c IS NOT NULL").select("block", "bucket", "word_c"), 0)).unionAll(shaped(said, 0))
+    together = answers.unionAll(shaped(dealt, 1)).repartition("block").sortWithinPartitions("block", "kind")
+    schema = f"id {blank['id']}, train boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return together.mapInArrow(put_together, schema).withColumnRenamed("id", id_col)
