@@ -217,7 +217,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: Column, most: int, id_co
     """(text, label) of at most `most` labelled rows: those with the least hash of their id.
 
     Rows without an id or a label are left out; an id that is labelled twice counts once, with its highest label.
-    The chosen ids have a bound, so they are broadcast; each is given as often as `docs` has it.
+    The chosen ids have a bound, so they are broadcast; of rows of `docs` with the same id the least text counts, so the
+    sample has the same bound.
     """
     ids = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), label.cast("int").alias("label"))
     if where is not None:
@@ -225,7 +226,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: Column, most: int, id_co
     ids = ids.filter("label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(most)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), "id").select("id", "text", "label")
+    return texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def choose(sample: DataFrame, spec: Spec, classes: int, features: int, least: float) -> np.ndarray:
