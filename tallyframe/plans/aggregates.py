@@ -121,12 +121,12 @@ def edge_angles(spark, d):
     return fits.edge_angle(p, ["edge"], "x", "y").select("edge", F.round("degrees", 6).alias("degrees"))
 
 
-POINTS = "SELECT s_nationkey AS k, s_suppkey % 200 * 1.0 AS ax, (s_suppkey * 37) % 290 * 1.0 AS ay, (s_suppkey % 200) * 1.02 + ((s_suppkey * 37) % 290) * 0.01 + s_acctbal / 10000 AS bx, ((s_suppkey * 37) % 290) * 1.01 - 2 + s_acctbal / 20000 AS by_ FROM supplier"
+POINTS = "SELECT s_nationkey AS k, s_suppkey % 200 * 1.0 AS ax, (s_suppkey * 37) % 290 * 1.0 AS ay, (s_suppkey % 200) * 1.02 + ((s_suppkey * 37) % 290) * 0.01 + s_acctbal / 10007 AS bx, ((s_suppkey * 37) % 290) * 1.01 - 2 + s_acctbal / 20011 AS by_ FROM supplier"
 
 
 def points(spark, d):
     x, y = (F.col("s_suppkey") % 200).cast("double"), ((F.col("s_suppkey") * 37) % 290).cast("double")
-    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), x.alias("ax"), y.alias("ay"), (x * 1.02 + y * 0.01 + F.col("s_acctbal") / 10000).alias("bx"), (y * 1.01 - 2 + F.col("s_acctbal") / 20000).alias("by_"))
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), x.alias("ax"), y.alias("ay"), (x * 1.02 + y * 0.01 + F.col("s_acctbal") / 10007).alias("bx"), (y * 1.01 - 2 + F.col("s_acctbal") / 20011).alias("by_"))
 
 
 @query(

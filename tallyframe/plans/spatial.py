@@ -38,7 +38,7 @@ def clear_above(spark, d):
 
 @query(
     "nearest_ink",
-    f"SELECT a.id, least(coalesce(min(greatest(a.x0 - i.x, i.x - a.x1, a.y0 - i.y, i.y - a.y1, 0)), 25), 25)::BIGINT AS clear FROM ({A}) a LEFT JOIN (SELECT * FROM ({INK}) WHERE x % 7 = 0) i ON a.page = i.page AND i.x BETWEEN a.x0 - 25 AND a.x1 + 25 AND i.y BETWEEN a.y0 - 25 AND a.y1 + 25 GROUP BY a.id",
+    f"SELECT a.id, least(coalesce(min(CASE WHEN i.x IS NOT NULL THEN greatest(a.x0 - i.x, i.x - a.x1, a.y0 - i.y, i.y - a.y1, 0) END), 25), 25)::BIGINT AS clear FROM ({A}) a LEFT JOIN (SELECT * FROM ({INK}) WHERE x % 7 = 0) i ON a.page = i.page AND i.x BETWEEN a.x0 - 25 AND a.x1 + 25 AND i.y BETWEEN a.y0 - 25 AND a.y1 + 25 GROUP BY a.id",
 )
 def nearest_ink(spark, d):
     return spatial.nearest_ink(boxes(spark, d), ink(spark, d).filter("x % 7 = 0"), "page", 25)
