@@ -62,10 +62,10 @@ def distinct_shapes(shapes: DataFrame, group: str, order: str, features: list[st
     """
     bins = F.floor(F.col(features[0]) / width)
     rows = shapes.select(group, order, *features).withColumn("__bin", bins)
-    early = rows.select(F.col(group).alias("__g"), F.col(order).alias("__e"), *[F.col(f).alias(f"__{f}") for f in features], F.explode(F.array(bins - 1, bins, bins + 1)).alias("__b"))
-    near = (F.col(group) == F.col("__g")) & (F.col("__bin") == F.col("__b")) & (F.col("__e") < F.col(order))
+    early = rows.select(F.col(group).alias("__g"), F.col(order).alias("__e"), *[F.col(f).alias(f"__early_{f}") for f in features], F.explode(F.array(bins - 1, bins, bins + 1)).alias("__probe"))
+    near = (F.col(group) == F.col("__g")) & (F.col("__bin") == F.col("__probe")) & (F.col("__e") < F.col(order))
     for f in features:
-        near = near & (F.abs(F.col(f) - F.col(f"__{f}")) <= width)
+        near = near & (F.abs(F.col(f) - F.col(f"__early_{f}")) <= width)
     pairs = rows.join(early, near).select(F.col(group).alias("__pg"), F.col("__e").alias("__a"), F.col(order).alias("__z"))
     pairs = written(pairs, "pairs")
     state = written(rows.select(group, order).withColumn("__stays", F.lit(None).cast("boolean")), "shapes")
