@@ -10,6 +10,9 @@ from tallyframe.llm.common import WORD
 #: Weights of the sources in their order, repeating, and the most that a source may be repeated.
 WEIGHTS, MOST = (5, 2, 1), 3.0
 
+#: Steps in which the draws of a source are counted, to place the threshold that its fraction comes to.
+STEPS = 1 << 14
+
 
 def words_in(text: Column) -> Column:
     """Number of words; a null text has none."""
@@ -45,26 +48,46 @@ def draw(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def plan(sizes: DataFrame, seed: int, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """(id, source, size) -> (source, source_size, target, whole, cut): each document of a source is taken `whole` times,
+    and once more if its draw lies below `cut`.
+
+    The cut is the fraction of the rate, moved to the step at which the words of the draws below it come nearest to
+    what the fraction asks for (of two equally near the lower); so a source with a few very long documents comes near
+    its target too. A source has `STEPS` steps at most, whatever its number of documents.
+    """
+    bins = sizes.select("source", "size", F.floor(draw(seed, F.col("id")) * STEPS).alias("step")).groupBy("source", "step").agg(F.sum("size").alias("size"))
+    targets = source_targets(bins.select("source", "size"), weights, most).withColumnRenamed("source", "of")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    each = bins.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", F.floor(rate))
+    wanted = F.col("target") - F.col("whole") * F.col("source_size")
+    below = F.sum("size").over(Window.partitionBy("source").orderBy("step"))
+    # Going up to the end of a step, or not at all.
+    each = each.withColumn("off", F.abs(below - wanted)).withColumn("none", F.abs(wanted))
+    best = each.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.min(F.struct("off", F.col("step") + 1)).alias("best"), F.first("none").alias("none"))
+    cut = F.when(F.col("none") <= F.col("best.off"), 0.0).otherwise(F.col("best.col2") / STEPS)
+    return best.select("source", "source_size", "target", "whole", cut.alias("cut"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, keep: list[str] | None = None) -> DataFrame:
     """Each document once, with `size`, `source_size`, `target` (both of its source) and `copies`.
 
     copies is the whole part of target / source_size, and one more if a number drawn from seed and id lies below the
-    fraction, so reruns agree; it is never over `most`. Null texts and texts without words have size 0; null is a
-    source like any other; rows with the same id share the draw; sources of size 0 have target 0 and no copies; no
-    rows give no rows. Columns called like a result are replaced, others pass (or only those in `keep`).
+    fraction, as `plan` places it; reruns agree, and it is never over `most`. Null texts and texts without words have size
+    0; null is a source like any other; rows with the same id share the draw; sources of size 0 have target 0 and no
+    copies; no rows give no rows. Columns called like a result are replaced, others pass (or only those in `keep`).
 
-    The sums by source are combined before their shuffle. The join with them carries no hot key's rows to one task:
-    Spark broadcasts the table of sources when its measured size is under spark.sql.autoBroadcastJoinThreshold, and
-    else splits skewed partitions of its sort-merge join.
+    Sums by source and step are combined before their shuffle. The join with the plan carries no hot key's rows to one
+    task: Spark broadcasts the table of sources when its measured size is under spark.sql.autoBroadcastJoinThreshold,
+    and else splits skewed partitions of its sort-merge join.
     """
     own = {"size", "source_size", "target", "copies"}
     kept = [c for c in docs.columns if c.lower() not in own] if keep is None else keep
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"))
-    targets = source_targets(docs.select(F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size")))
-    targets = targets.withColumnRenamed("source", "of")
-    mixed = inner.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(rate) + F.when(draw(seed, F.col("id")) < rate - F.floor(rate), 1).otherwise(0)
+    base = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size")]
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *base)
+    plans = plan(docs.select(*base), seed).withColumnRenamed("source", "of")
+    mixed = inner.join(plans, F.col("source").eqNullSafe(F.col("of")), "left")
+    copies = F.col("whole") + F.when(draw(seed, F.col("id")) < F.col("cut"), 1).otherwise(0)
     return mixed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", F.col("target"), copies.cast("long").alias("copies"))
 
 

@@ -112,11 +112,19 @@ drawn AS (
   SELECT doc_id, source, size,
          ('0x' || substr(md5('7/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM sized),
+bins AS (SELECT source, floor(u * 16384)::BIGINT AS step, sum(size) AS size FROM drawn GROUP BY 1, 2),
+steps AS (
+  SELECT b.source, b.step, s.target - floor(CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END) * s.source_size AS wanted,
+         sum(b.size) OVER (PARTITION BY b.source ORDER BY b.step) AS below
+  FROM bins b JOIN shares s ON b.source IS NOT DISTINCT FROM s.source),
+cuts AS (
+  SELECT source, CASE WHEN abs(any_value(wanted)) <= min(abs(below - wanted)) THEN 0 ELSE (arg_min(step, (abs(below - wanted), step)) + 1) / 16384.0::DOUBLE END AS cut
+  FROM steps GROUP BY source),
 rated AS (
-  SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
-  FROM drawn JOIN shares ON drawn.source IS NOT DISTINCT FROM shares.source)
-SELECT doc_id, size, source_size, target, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies,
-       (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+  SELECT doc_id, size, source_size, target,
+         (floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) + CASE WHEN u < cut THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM drawn JOIN shares ON drawn.source IS NOT DISTINCT FROM shares.source JOIN cuts ON drawn.source IS NOT DISTINCT FROM cuts.source)
+SELECT doc_id, size, source_size, target, copies, (size * copies)::BIGINT AS taken
 FROM rated
 """
 
