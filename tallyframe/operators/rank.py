@@ -13,6 +13,9 @@ from tallyframe.functions.measure import shares
 #: The farthest that still is the same document, the lead a match must have, the least density of a page.
 SAME, LEAD, DENSITY = 0.30, 0.12, 0.0005
 
+#: Vectors that are compared at a time, about: candidates, and sheets.
+BLOCK, CHUNK = 2048, 64
+
 
 def ranked_candidates(sheets: DataFrame, candidates: DataFrame, keep: int) -> DataFrame:
     """(sheet, candidate, distance, rank): the `keep` candidates nearest to each sheet by half the sum of differences
@@ -28,11 +31,11 @@ def ranked_candidates(sheets: DataFrame, candidates: DataFrame, keep: int) -> Da
 
 
     size = len((candidates.select("v").first() or [[]])[0])
-    block = F.floor(F.col("n") / 512).cast("long")
-    placed = candidates.select(F.col("id").cast("long").alias("candidate"), shares(F.col("v")).alias("v")).withColumn("n", F.pmod(F.xxhash64("candidate"), F.lit(1 << 20)))
-    blocks = placed.groupBy(block.alias("block")).agg(F.collect_list("candidate").alias("candidates"), F.flatten(F.collect_list(F.coalesce("v", F.array_repeat(F.lit(float("nan")), size)))).alias("m"))
+    n_blocks, n_chunks = (max(1, -(-df.count() // most)) for df, most in ((candidates, BLOCK), (sheets, CHUNK)))
+    placed = candidates.select(F.col("id").cast("long").alias("candidate"), shares(F.col("v")).alias("v"))
+    blocks = placed.groupBy(F.pmod(F.xxhash64("candidate"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("candidate").alias("candidates"), F.flatten(F.collect_list(F.coalesce("v", F.array_repeat(F.lit(float("nan")), size)))).alias("m"))
     asked = sheets.select(F.col("id").cast("long").alias("sheet"), shares(F.col("v")).alias("v"))
-    chunks = asked.withColumn("chunk", F.pmod(F.xxhash64("sheet"), F.lit(64))).groupBy("chunk").agg(F.collect_list("sheet").alias("sheets"), F.flatten(F.collect_list(F.coalesce("v", F.array_repeat(F.lit(float("nan")), size)))).alias("q"))
+    chunks = asked.withColumn("chunk", F.pmod(F.xxhash64("sheet"), F.lit(n_chunks))).groupBy("chunk").agg(F.collect_list("sheet").alias("sheets"), F.flatten(F.collect_list(F.coalesce("v", F.array_repeat(F.lit(float("nan")), size)))).alias("q"))
 
     def compare(batches):
         for batch in batches:

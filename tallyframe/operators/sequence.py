@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.measure import saturating_add
+from tallyframe.operators.spatial import written
 
 
 def from_row(df: DataFrame, ordinal: str, first: int) -> DataFrame:
@@ -21,13 +22,15 @@ def renumbered(df: DataFrame, ordinal: str, start: int, first: int = 1) -> DataF
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Add `number`, from 1 in the given order, without bringing all rows to one task.
 
-    Rows are range-partitioned and sorted; each partition's count is known before, and what precedes it is added to
-    places inside it.
+    Rows are range-partitioned and numbered inside their partition; that is written down, as another run might part
+    them elsewhere. How many rows precede a partition is then added.
     """
-    placed = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("part", F.spark_partition_id())
-    inside = placed.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    before = placed.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(before.select("part", "before"), "part").withColumn("number", F.col("inside") + F.col("before")).drop("part", "inside", "before")
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.repartitionByRange(n, *[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
+    inside = written(placed.withColumn("__inside", F.row_number().over(Window.partitionBy("__part").orderBy(*order))), "numbered")
+    counts = inside.groupBy("__part").count()
+    before = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row for each partition
+    return inside.join(before, F.col("__part") == F.col("__p")).withColumn("number", F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__p", "__before")
 
 
 def next_number(df: DataFrame, number: str = "number") -> DataFrame:
