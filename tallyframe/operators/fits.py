@@ -135,3 +135,25 @@ def densest(df: DataFrame, by: list[str], x: str, width: float) -> DataFrame:
     frame = f"OVER (PARTITION BY {', '.join(by)} ORDER BY {x} RANGE BETWEEN CURRENT ROW AND {width!r}D FOLLOWING)"
     found = df.select(*by, x, F.expr(f"count(*) {frame}").alias("held"), F.expr(f"avg({x}) {frame}").alias("mean"))
     return found.groupBy(*by).agg(F.max_by("mean", F.struct("held", -F.col(x))).alias("mode"), F.max("held").alias("held"))
+
+
+def leaning(points: DataFrame, by: list[str], x: str, y: str, most: float, coarse: float = 0.25, fine: float = 0.02, least: int = 200) -> DataFrame:
+    """(by, degrees): the angle at which points fall into the fewest rows, found by the spread of counts of rows, first
+    in coarse steps up to `most` either way, then in fine ones around the best. The first of equals; 0 below `least`.
+
+    Each point is put down once for each angle tried, and counted by row before anything else is done.
+    """
+    enough = points.groupBy(*by).agg(F.count("*").alias("n"))
+
+    def best(around: DataFrame, step: float, reach: float) -> DataFrame:
+        n = round(reach / step)
+        tried = around.select(*by, F.explode(F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda i: F.round(F.col("degrees") + i * step, 6))).alias("degrees"))
+        p = points.select(*by, x, y).join(tried, by)
+        row = F.floor(F.col(y) * F.cos(F.radians("degrees")) - F.col(x) * F.sin(F.radians("degrees")))
+        rows = p.groupBy(*by, "degrees", row.alias("row")).agg(F.count("*").alias("c"))
+        spread = rows.groupBy(*by, "degrees").agg(F.sum(F.col("c") * F.col("c")).alias("s"))
+        return spread.groupBy(*by).agg(F.max_by("degrees", F.struct("s", -F.col("degrees"))).alias("degrees"))
+
+    start = enough.filter(F.col("n") >= least).select(*by, F.lit(0.0).alias("degrees"))
+    found = best(best(start, coarse, most), fine, coarse)
+    return enough.select(*by).join(found, by, "left").select(*by, F.coalesce("degrees", F.lit(0.0)).alias("degrees"))

@@ -169,3 +169,19 @@ def scale_passes(spark, d):
     sure = table(spark, d, "lineitem").filter("l_discount >= 0.02").select("l_suppkey", (F.col("l_quantity") / (10 + F.col("l_linenumber"))).alias("s"))
     ranked = sure.withColumn("i", F.row_number().over(w.orderBy("s")) - 1).withColumn("n", F.count("*").over(w))
     return ranked.filter((F.col("n") >= 3) & (F.col("i") == F.floor(F.col("n") / 2))).select("l_suppkey", F.round("s", 6).alias("scale"))
+
+
+@query("leaning_pages")
+def leaning_pages(spark, d):
+    from tallyframe.operators.fits import leaning
+
+    x = (F.col("l_partkey") % 200).cast("double")
+    pages = table(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("page"), x.alias("x"), ((F.col("l_orderkey") % 20) * 10 + 2.5 + x * 0.02).alias("y"))
+    return leaning(pages, ["page"], "x", "y", 3.0)
+
+
+@query("durations", """SELECT o_orderkey, CASE WHEN s < 90 THEN s || ' s' WHEN m < 90 THEN m || ' min' ELSE (m // 60) || ' h ' || (m % 60) || ' min' END AS said FROM (SELECT o_orderkey, s, round(s / 60.0)::BIGINT AS m FROM (SELECT o_orderkey, (o_orderkey * 31) % 20000 AS s FROM orders))""")
+def durations(spark, d):
+    from tallyframe.functions.options import duration
+
+    return table(spark, d, "orders").select("o_orderkey", duration(F.col("o_orderkey") * 31 % 20_000).alias("said"))
