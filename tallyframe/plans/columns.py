@@ -367,7 +367,7 @@ FIT = {"rotation": 2.0, "scale": 1.01, "dx": 3.0, "dy": -4.0}
 
 @query(
     "similarity_points",
-    """WITH p AS (SELECT s_suppkey, s_suppkey % 200 * 1.0 AS x, s_acctbal / 50 AS y FROM supplier), u AS (SELECT *, x - 105 AS ux, y - 148.5 AS uy, radians(2.0) AS a FROM p)
+    """WITH p AS (SELECT s_suppkey, (s_suppkey % 200)::DOUBLE AS x, s_acctbal / 50 AS y FROM supplier), u AS (SELECT *, x - 105 AS ux, y - 148.5 AS uy, radians(2.0) AS a FROM p)
        SELECT s_suppkey, round(1.01 * (ux * cos(a) - uy * sin(a)) + 105 + 3, 6) AS x1, round(1.01 * (ux * sin(a) + uy * cos(a)) + 148.5 - 4, 6) AS y1, round(x, 6) AS x0, round(y, 6) AS y0 FROM u""",
 )
 def similarity_points(spark, d):
