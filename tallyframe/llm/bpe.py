@@ -25,6 +25,9 @@ CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Pre-tokens that a task remembers, and the longest one (in characters) it does.
 REMEMBERED, LONGEST = 250_000, 40
 
+#: Width from which a pre-token is merged by itself, in plain lists: steps of few trees are no work for numpy.
+WIDE = 1024
+
 NEVER = np.int64(1) << 62
 
 
@@ -53,6 +56,7 @@ class Vocabulary:
         made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(code, kind="stable")
         self.code, self.rank, self.made = code[order], order.astype(np.int64), made[order]
+        self.known_pairs: dict[int, tuple[int, int]] | None = None
         self.bytes_of: list[bytes] = [b""] * self.n
         for piece, i in ids.items():
             self.bytes_of[i] = bytes(value[c] for c in piece)
@@ -60,6 +64,12 @@ class Vocabulary:
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
 
+    def table(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id by the code of a pair."""
+        if self.known_pairs is None:
+            self.known_pairs = dict(zip(self.code.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        return self.known_pairs
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NEVER if they don't merge) and merged id of each pair; -1 stands for no symbol."""
         want = left * self.n + right
@@ -121,6 +131,49 @@ def merge_stack(vocabulary: Vocabulary, symbols: np.ndarray) -> np.ndarray:
     return sym
 
 
+def merge_one(vocabulary: Vocabulary, symbols: list[int]) -> list[int]:
+    """The same for one long row; what is left of it."""
+    never, n, width = int(NEVER), len(symbols), 1 << max(1, (len(symbols) - 1).bit_length())
+    pairs, base = vocabulary.table(), vocabulary.n
+    sym, following, before = symbols + [-1], [*range(1, n), n], [*range(-1, n - 1)]
+    made, tree = [-1] * n, [never] * (2 * width)
+    for i in range(n - 1):
+        rank, made[i] = pairs.get(sym[i] * base + sym[i + 1], (never, -1))
+        tree[width + i] = rank * width + i if rank < never else never
+    for node in range(width - 1, 0, -1):
+        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+    def put(place: int, key: int) -> None:
+        node = place + width
+        tree[node] = key
+        node >>= 1
+        while node:
+            a, b = tree[2 * node], tree[2 * node + 1]
+            least = a if a < b else b
+            if tree[node] == least:
+                return  # nothing changes further up
+            tree[node] = least
+            node >>= 1
+
+    def pair_at(place: int) -> None:
+        rank, made[place] = pairs.get(sym[place] * base + sym[following[place]], (never, -1)) if following[place] < n else (never, -1)
+        put(place, rank * width + place if rank < never else never)
+
+    while tree[1] < never:
+        place = tree[1] % width
+        gone = following[place]
+        sym[place] = made[place]
+        following[place] = after = following[gone]
+        sym[gone] = -1
+        put(gone, never)
+        if after < n:
+            before[after] = place
+        pair_at(place)
+        if before[place] >= 0:
+            pair_at(before[place])
+    return [x for x in sym[:n] if x >= 0]
+
+
 class Encoder:
     """Encodes and decodes as the file's own library does; special tokens in a text become their ids."""
 
@@ -137,6 +190,10 @@ class Encoder:
         widths = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
         for width in np.unique(widths):
             all_of = np.flatnonzero(widths == width)
+            if width >= WIDE:
+                for k in all_of.tolist():
+                    out[k] = np.array(merge_one(self.vocabulary, self.vocabulary.byte_ids[list(raw[k])].tolist()), dtype="<u4").tobytes()
+                continue
             step = max(1, (1 << 18) // int(width))
             for i in range(0, len(all_of), step):
                 own = all_of[i : i + step]

@@ -63,6 +63,9 @@ def test_bpe_agrees_on_random_texts_and_ids():
     texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
     for text, coded in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(coded, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    long = ["x" * 50_000, "ab" * 9_000, "".join(rng.choice(list("etaoinéß"), 20_000)), "漢字" * 4_000, " " * 5_000, "=" * 3_001, "".join(rng.choice(list("01"), 2_049))]
+    for text, coded in zip(long, own.encode(long), strict=True):
+        assert np.frombuffer(coded, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     for _ in range(300):
         ids = rng.integers(0, 50257, 20)
         assert own.decode(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
