@@ -95,26 +95,29 @@ class Writer:
         out[to] = raw
         return out, np.add.reduceat(spread, first[:-1])
 
-    def write(self, texts: list[bytes]) -> list[bytes]:
-        rows = [max(1, -(-len(t) // ROW)) for t in texts]
-        samples = np.frombuffer(b"".join(t.ljust(ROW * r, b"\0") for t, r in zip(texts, rows, strict=True)), dtype=np.uint8).reshape(-1, ROW)
+    def rows(self, samples: np.ndarray, place: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Rows of samples as they stand in a file, each with a restart marker behind it, and how long each is."""
         data, sizes = self.scans(samples)
-        # After each row but a picture's last, a restart marker, counted modulo 8.
-        place = np.concatenate([np.arange(r) for r in rows]) % MOST_ROWS
         ends = np.cumsum(sizes + 2)
         out = np.empty(int(ends[-1]), dtype=np.uint8)
-        shift = np.repeat(2 * np.arange(len(sizes)), sizes)
-        out[np.arange(len(data)) + shift] = data
+        out[np.arange(len(data)) + np.repeat(2 * np.arange(len(sizes)), sizes)] = data
         out[ends - 2], out[ends - 1] = 0xFF, 0xD0 + (place % 8)
-        media, row, flat = [], 0, out.tobytes()
-        starts = np.concatenate([[0], ends]).tolist()
-        for r in rows:
+        return out.tobytes(), sizes + 2
+
+    def write(self, texts: list[bytes]) -> list[bytes]:
+        counts = [max(1, -(-len(t) // ROW)) for t in texts]
+        samples = np.frombuffer(b"".join(t.ljust(ROW * n, b"\0") for t, n in zip(texts, counts, strict=True)), dtype=np.uint8).reshape(-1, ROW)
+        place = np.concatenate([np.arange(n) for n in counts]) % MOST_ROWS
+        done = [self.rows(samples[a : a + STEP // ROW], place[a : a + STEP // ROW]) for a in range(0, len(samples), STEP // ROW)]
+        flat, starts = b"".join(d for d, _ in done), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in done]))]).tolist()
+        media, row = [], 0
+        for n in counts:
             parts = []
-            for a in range(0, r, MOST_ROWS):
-                b = min(r, a + MOST_ROWS)
-                parts += [header(b - a), flat[starts[row + a] : starts[row + b] - 2], b"\xff\xd9"]
+            for a in range(0, n, MOST_ROWS):
+                b = min(n, a + MOST_ROWS)
+                parts += [header(b - a), flat[starts[row + a] : starts[row + b] - 2], b"\xff\xd9"]  # the last row has no marker
             media.append(b"".join(parts))
-            row += r
+            row += n
         return media
 
 
@@ -221,10 +224,11 @@ class Reader:
             layout = tuple((c == luma, *(frames[c][1:3] if len(p.scan) > 1 else (1, 1)), p.tables[0, d], p.tables[1, a]) for c, d, a in p.scan)
             groups.setdefault((layout, p.restart), []).append(i)
         for (layout, restart), members in groups.items():
-            for i, got in zip(members, self.decode([pictures[i] for i in members], layout, restart), strict=True):
-                p = pictures[i]
-                step = p.quant[p.components[0][3]][0]
-                out[i] = np.clip(np.round(got * step / 8.0) + 128, 0, 255).astype(np.uint8)
+            for a, b in common.pieces([pictures[i].data for i in members], STEP):
+                for i, got in zip(members[a:b], self.decode([pictures[i] for i in members[a:b]], layout, restart), strict=True):
+                    p = pictures[i]
+                    step = p.quant[p.components[0][3]][0]
+                    out[i] = np.clip(np.round(got * step / 8.0) + 128, 0, 255).astype(np.uint8)
         return out
 
     def decode(self, pictures: list[Picture], layout: tuple, restart: int) -> list[np.ndarray]:
