@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.spatial import written
+from tallyframe.operators.tables import written
 
 
 def lines_by_overlap(marks: DataFrame, page: str, order: str, top: str, bottom: str, least: float = 0.35) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.measure import saturating_add
-from tallyframe.operators.spatial import written
+from tallyframe.operators.tables import written
 
 
 def from_row(df: DataFrame, ordinal: str, first: int) -> DataFrame:
