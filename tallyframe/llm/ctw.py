@@ -162,22 +162,26 @@ class Asked:
         self.grams, self.counts, self.held = [key], [n], 0
 
     def batches(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket: words and grams as one value each, and their counts in the same order."""
+        """A row for each bucket that gets something: its words and grams as one value each, and their counts in the
+        same order. So a block has no more rows than words and grams, however many buckets there are."""
         self.merge()
         self.rest.update(dict.fromkeys(self.train, 0))
         words = list(self.rest)
-        of = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(buckets + 1))
-        grams, counts = self.grams[0], self.counts[0]
-        for k in range(buckets):
-            own = [words[i] for i in order[cut[k] : cut[k + 1]].tolist()]
-            here = grams % buckets == k
+        of_word, of_gram = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets, self.grams[0] % buckets
+        by_word, by_gram = np.argsort(of_word, kind="stable"), np.argsort(of_gram, kind="stable")
+        grams, counts = self.grams[0][by_gram], self.counts[0][by_gram]
+        some = np.union1d(of_word, of_gram)
+        w0, w1 = (np.searchsorted(of_word[by_word], some, side=x).tolist() for x in ("left", "right"))
+        g0, g1 = (np.searchsorted(of_gram[by_gram], some, side=x).tolist() for x in ("left", "right"))
+        each = max(1, len(some) * 50_000 // max(1, len(words) + len(grams)))
+        for i in range(0, len(some), each):
+            own = [[words[j] for j in by_word[w0[k] : w1[k]].tolist()] for k in range(i, min(i + each, len(some)))]
+            here = [slice(g0[k], g1[k]) for k in range(i, min(i + each, len(some)))]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "block": pa.array([block], pa.int64()), "bucket": pa.array([k], pa.int64()), "words": pa.array([b"\n".join(own)], pa.binary()),
-                    "word_c": pa.array([np.fromiter(map(self.train.__getitem__, own), dtype=np.int64, count=len(own)).tobytes()], pa.binary()),
-                    "grams": pa.array([grams[here].tobytes()], pa.binary()), "gram_c": pa.array([counts[here].tobytes()], pa.binary()),
+                    "block": pa.array([block] * len(own), pa.int64()), "bucket": pa.array(some[i : i + each]), "words": pa.array([b"\n".join(w) for w in own], pa.binary()),
+                    "word_c": pa.array([np.fromiter(map(self.train.__getitem__, w), dtype=np.int64, count=len(w)).tobytes() for w in own], pa.binary()),
+                    "grams": pa.array([grams[g].tobytes() for g in here], pa.binary()), "gram_c": pa.array([counts[g].tobytes() for g in here], pa.binary()),
                 }
             )
 
