@@ -41,6 +41,24 @@ def phrase_hits(words: DataFrame, phrase: str, errors: int, most_words: int = 8)
     return ahead.withColumn("hit", best).filter("hit IS NOT NULL").select("sheet", "line", F.col("word_no").alias("first"), F.col("hit.last").alias("last"), "x", F.col("hit.right").alias("right"), "y")
 
 
+def label_hits(words: DataFrame, labels: list[str], most_words: int = 8) -> DataFrame:
+    """As `phrase_hits` without errors, for several phrases in one pass over the words; `field_no` is a phrase's number.
+
+    Every run of up to `most_words` words is made once and looked up in the list of phrases; lines stay where they are.
+    """
+    keys: dict[str, list[int]] = {}
+    for i, label in enumerate(labels):
+        keys.setdefault("".join(c for c in label if c.isalnum()).lower(), []).append(i)
+    w = Window.partitionBy("sheet", "line").orderBy("word_no")
+    ahead = F.collect_list(F.struct("word_no", (F.col("x") + F.col("w")).alias("right"), F.col("key"))).over(w.rowsBetween(0, most_words - 1))
+    rows = words.select("sheet", "line", "word_no", "x", "y", "w", squash(F.col("text")).alias("key")).withColumn("ahead", ahead).filter("key <> ''")
+    run = lambda k: F.struct(F.array_join(F.transform(F.slice("ahead", 1, k), lambda s: s["key"]), "").alias("key"), k.alias("k"), F.element_at("ahead", k)["word_no"].alias("last"), F.element_at("ahead", k)["right"].alias("right"))
+    runs = rows.select("sheet", "line", "word_no", "x", "y", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), run)).alias("r")).filter(F.col("r.key").isin(*keys))
+    found = runs.groupBy("sheet", "line", "word_no", F.col("r.key").alias("key")).agg(F.min(F.struct("r.k", "r.last", "r.right", "x", "y")).alias("h"))
+    numbers = F.create_map(*[v for k, ns in keys.items() for v in (F.lit(k), F.array(*[F.lit(n) for n in ns]))])
+    return found.select("sheet", "line", F.col("word_no").alias("first"), F.col("h.last").alias("last"), F.col("h.x").alias("x"), F.col("h.right").alias("right"), F.col("h.y").alias("y"), F.explode(F.element_at(numbers, F.col("key"))).alias("field_no"))
+
+
 def resolve_anchor(words: DataFrame, phrase: str) -> DataFrame:
     """(sheet, status, n, x, y): where a phrase stands on each sheet. An exact reading on any line goes before near ones;
     each line counts once; none is NotFound, more than one Ambiguous."""
@@ -69,10 +87,7 @@ def pick_fields(words: DataFrame, fields: list[dict]) -> DataFrame:
     2.6 label heights, from 10 left of the label to 10 right of it.
     """
     sheets = words.select("sheet").distinct()
-    labels = None
-    for i, f in enumerate(fields):
-        hits = phrase_hits(words, f["label"], 0).select("sheet", "line", "first", "last", "x", "right", "y", F.lit(i).alias("field_no"))
-        labels = hits if labels is None else labels.unionAll(hits)
+    labels = label_hits(words, [f["label"] for f in fields])
     part_of = labels.select("sheet", "line", F.explode(F.sequence("first", "last")).alias("word_no")).distinct().withColumn("is_label", F.lit(True))
     rows = words.join(part_of, ["sheet", "line", "word_no"], "left").withColumn("stop", F.coalesce("is_label", F.lit(False)) | F.col("text").rlike("[:：]$"))
     counts = labels.groupBy("sheet", "field_no").agg(F.count("*").alias("n"))
