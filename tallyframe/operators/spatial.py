@@ -54,20 +54,24 @@ def nearest_ink(boxes: DataFrame, ink: DataFrame, by: str, cap: int) -> DataFram
     return boxes.select("id").join(found, "id", "left").select("id", F.coalesce("clear", F.lit(cap)).cast("long").alias("clear"))
 
 
-def regions(cells: DataFrame, by: str, cell: int, least: int = 0, rounds: int = 200) -> DataFrame:
-    """(by, x0, y0, x1, y1, n): connected regions of points on a coarse grid of squares `cell` wide, corners included.
+#: A square and its eight neighbours, as steps.
+AROUND = tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
+def steps_around() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])
+
+
+def roots(squares: DataFrame, by: str, rounds: int = 200) -> DataFrame:
+    """(by, gx, gy, root) of distinct squares: the first square, in reading order, of those that hang together, corners
+    included.
 
     Squares pass on the smallest name among their neighbours, and then that of the square they are named after, until
-    nothing changes; each round is written to the shared folder. Regions of fewer than `least` points are left out.
+    nothing changes; each round is written to the shared folder.
     """
-    x, y = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
-    squares = cells.groupBy(F.col(by), x.alias("gx"), y.alias("gy")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
-    squares = written(squares, "squares")
-    name = F.struct("gy", "gx")
-    held = squares.select(by, "gx", "gy", name.alias("root"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    held = squares.select(by, "gx", "gy", F.struct("gy", "gx").alias("root"))
     for _ in range(rounds):
-        spread = held.select(by, "root", F.explode(steps).alias("s"), "gx", "gy").select(by, (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"), "root")
+        spread = held.select(by, "root", F.explode(steps_around()).alias("s"), "gx", "gy").select(by, (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"), "root")
         least_near = spread.groupBy(by, "gx", "gy").agg(F.min("root").alias("near"))
         new = held.join(least_near, [by, "gx", "gy"]).select(by, "gx", "gy", F.least("root", "near").alias("near"), "root")
         # The square that a name stands for may know a smaller one already.
@@ -76,13 +80,49 @@ def regions(cells: DataFrame, by: str, cell: int, least: int = 0, rounds: int =
         moved = new.filter("moved").limit(1).count()
         held = new.drop("moved")
         if not moved:
-            break
-    else:
-        raise RuntimeError(f"regions did not settle in {rounds} rounds")
+            return held
+    raise RuntimeError(f"regions did not settle in {rounds} rounds")
+
+
+def regions(cells: DataFrame, by: str, cell: int, least: int = 0, rounds: int = 200) -> DataFrame:
+    """(by, x0, y0, x1, y1, n): connected regions of points on a coarse grid of squares `cell` wide, corners included.
+
+    Regions of fewer than `least` points are left out.
+    """
+    x, y = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
+    squares = cells.groupBy(F.col(by), x.alias("gx"), y.alias("gy")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
+    squares = written(squares, "squares")
+    held = roots(squares, by, rounds)
     whole = squares.join(held, [by, "gx", "gy"]).groupBy(by, "root").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
     return whole.filter(F.col("n") >= least).drop("root")
 
 
+def labelled(cells: DataFrame, by: str) -> DataFrame:
+    """(by, x, y, label): the connected part that each point belongs to, corners included, numbered from 1 on each page
+    in reading order of first points. Points given twice count once."""
+    held = roots(written(cells.select(by, F.col("x").alias("gx"), F.col("y").alias("gy")).distinct(), "points"), by)
+    number = held.select(by, "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy(by).orderBy("root")))
+    return held.join(number, [by, "root"]).select(by, F.col("gx").alias("x"), F.col("gy").alias("y"), "label")
+
+
+def blobs(raster: DataFrame, by: str, ink: int, paper: int) -> DataFrame:
+    """(by, label, n, cx, cy, clipped) of the connected parts darker than `ink` in a window of points (by, x, y, level).
+
+    A part is clipped where a neighbour of it is not in the window. Its centre weighs the part and the ring of points
+    around it by how much darker than `paper` they are, points being squares of side 1 with their corner at (x, y).
+    """
+    parts = labelled(raster.filter(F.col("level") < ink), by)
+    near = parts.select(by, "label", "x", "y", F.explode(steps_around()).alias("s"))
+    own = (F.col("s.i") == 0) & (F.col("s.j") == 0)
+    near = near.groupBy(by, "label", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y")).agg(F.max(own).alias("own"))
+    seen = near.join(raster.select(by, "x", "y", "level"), [by, "x", "y"], "left")
+    seen = seen.withColumn("dark", F.coalesce(F.greatest(paper - F.col("level"), F.lit(0)), F.lit(0)))
+    x, y, mine = F.col("x") + 0.5, F.col("y") + 0.5, F.col("own")
+    weight = F.sum("dark")
+    centre = lambda at: F.when(weight > 0, F.sum(F.col("dark") * at) / weight).otherwise(F.avg(F.when(mine, at)))
+    return seen.groupBy(by, "label").agg(F.count(F.when(mine, 1)).alias("n"), centre(x).alias("cx"), centre(y).alias("cy"), F.max(F.col("level").isNull()).alias("clipped"))
+
+
 def merged_boxes(boxes: DataFrame, by: str, width: float, rounds: int = 100) -> DataFrame:
     """Boxes (by, id, x0, y0, x1, y1) with those that overlap put together, again and again until none do."""
     held = written(boxes, "boxes")

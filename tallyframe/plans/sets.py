@@ -194,12 +194,12 @@ def merged_entities(spark, d):
 
 @query(
     "inherited_styles",
-    """WITH RECURSIVE s AS (SELECT p_partkey, p_partkey // 10 AS parent, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS style FROM part WHERE p_partkey < 1000),
+    """WITH RECURSIVE s AS (SELECT p_partkey, p_partkey // 10 AS parent, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS style FROM part),
             up AS (SELECT p_partkey, parent, style, 0 AS depth FROM s UNION ALL SELECT up.p_partkey, s.parent, s.style, depth + 1 FROM up JOIN s ON s.p_partkey = up.parent WHERE up.style IS NULL AND up.parent <> up.p_partkey AND depth < 5)
        SELECT p_partkey, any_value(style) FILTER (style IS NOT NULL) AS style FROM up GROUP BY 1""",
 )
 def inherited_styles(spark, d):
-    s = table(spark, d, "part").filter("p_partkey < 1000").select("p_partkey", F.floor(F.col("p_partkey") / 10).alias("parent"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("style"))
+    s = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 10).alias("parent"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("style"))
     out = s.select("p_partkey", "parent", "style")
     up = s.select(F.col("p_partkey").alias("at"), F.col("parent").alias("next"), F.col("style").alias("given"))
     for _ in range(5):  # as deep as styles may refer to each other

@@ -36,27 +36,68 @@ def clear_above(spark, d):
     return spatial.clear_above(boxes(spark, d), ink(spark, d), "page", 8.0)
 
 
+SPOTS = "SELECT s_suppkey % 5 AS page, s_suppkey * 53 % 500 AS x, s_suppkey * 17 % 700 AS y FROM supplier"
+
+
 @query(
     "nearest_ink",
-    f"SELECT a.id, least(coalesce(min(CASE WHEN i.x IS NOT NULL THEN greatest(a.x0 - i.x, i.x - a.x1, a.y0 - i.y, i.y - a.y1, 0) END), 25), 25)::BIGINT AS clear FROM ({A}) a LEFT JOIN (SELECT * FROM ({INK}) WHERE x % 7 = 0) i ON a.page = i.page AND i.x BETWEEN a.x0 - 25 AND a.x1 + 25 AND i.y BETWEEN a.y0 - 25 AND a.y1 + 25 GROUP BY a.id",
+    f"SELECT a.id, least(coalesce(min(CASE WHEN i.x IS NOT NULL THEN greatest(a.x0 - i.x, i.x - a.x1, a.y0 - i.y, i.y - a.y1, 0) END), 25), 25)::BIGINT AS clear FROM ({A}) a LEFT JOIN ({SPOTS}) i ON a.page = i.page AND i.x BETWEEN a.x0 - 25 AND a.x1 + 25 AND i.y BETWEEN a.y0 - 25 AND a.y1 + 25 GROUP BY a.id",
 )
 def nearest_ink(spark, d):
-    return spatial.nearest_ink(boxes(spark, d), ink(spark, d).filter("x % 7 = 0"), "page", 25)
+    k = F.col("s_suppkey")
+    spots = table(spark, d, "supplier").select((k % 5).alias("page"), (k * 53 % 500).alias("x"), (k * 17 % 700).alias("y"))
+    return spatial.nearest_ink(boxes(spark, d), spots, "page", 25)
 
 
-CELLS = f"SELECT * FROM ({INK}) WHERE (x + y) % 4 = 0"
+def connected(cells: str, each: str) -> str:
+    """SQL of the parts that squares (page, gx, gy) form, by their first square; `each` reads s (squares) and m (roots)."""
+    return f"""WITH RECURSIVE s AS ({cells}),
+          r AS (SELECT page, gx, gy, gy * 10000 + gx AS root FROM s UNION SELECT s.page, s.gx, s.gy, r.root FROM r JOIN s ON s.page = r.page AND s.gx BETWEEN r.gx - 1 AND r.gx + 1 AND s.gy BETWEEN r.gy - 1 AND r.gy + 1 AND r.root < s.gy * 10000 + s.gx),
+          m AS (SELECT page, gx, gy, min(root) AS root FROM r GROUP BY 1, 2, 3) {each}"""
 
 
 @query(
     "grid_components",
-    f"""WITH RECURSIVE s AS (SELECT page, x // 8 AS gx, y // 8 AS gy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM ({CELLS} AND x % 5 < 2) GROUP BY 1, 2, 3),
-          r AS (SELECT page, gx, gy, gy * 1000 + gx AS root FROM s UNION SELECT s.page, s.gx, s.gy, r.root FROM r JOIN s ON s.page = r.page AND abs(s.gx - r.gx) <= 1 AND abs(s.gy - r.gy) <= 1),
-          m AS (SELECT page, gx, gy, min(root) AS root FROM r GROUP BY 1, 2, 3)
-        SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(n)::BIGINT AS n FROM s JOIN m USING (page, gx, gy) GROUP BY page, root HAVING sum(n) >= 2""".replace(f"({CELLS} AND x % 5 < 2)", f"({CELLS} AND page = 2 AND x < 160 AND y < 160)"),
+    connected(
+        f"SELECT page, x // 2 AS gx, y // 2 AS gy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM ({INK}) GROUP BY 1, 2, 3",
+        "SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(n)::BIGINT AS n FROM s JOIN m USING (page, gx, gy) GROUP BY page, root HAVING sum(n) >= 2",
+    ),
 )
 def grid_components(spark, d):
-    cells = ink(spark, d).filter("(x + y) % 4 = 0 AND page = 2 AND x < 160 AND y < 160")
-    return spatial.regions(cells, "page", 8, 2)
+    return spatial.regions(ink(spark, d), "page", 2, 2)
+
+
+@query(
+    "pixel_components",
+    connected(
+        f"SELECT page, x AS gx, y AS gy FROM ({INK})",
+        "SELECT page, gx AS x, gy AS y, dense_rank() OVER (PARTITION BY page ORDER BY root)::INT AS label FROM m",
+    ),
+)
+def pixel_components(spark, d):
+    return spatial.labelled(ink(spark, d), "page")
+
+
+RASTER = "SELECT r_regionkey AS page, x, y, (x * x * 7 + y * y * 13 + x * y * 3 + r_regionkey * 31) % 256 AS level FROM region, range(40) a(x), range(40) b(y)"
+
+
+@query(
+    "ink_blobs",
+    connected(
+        f"SELECT page, x AS gx, y AS gy FROM ({RASTER}) WHERE level < 60",
+        f""", l AS (SELECT page, gx AS x, gy AS y, dense_rank() OVER (PARTITION BY page ORDER BY root)::INT AS label FROM m),
+          near AS (SELECT DISTINCT page, label, x + i AS x, y + j AS y FROM l, range(-1, 2) a(i), range(-1, 2) b(j)),
+          seen AS (SELECT near.*, level, greatest(200 - coalesce(level, 200), 0) AS dark FROM near LEFT JOIN ({RASTER}) USING (page, x, y))
+        SELECT page, label, n, round(sum(dark * (x + 0.5)) / sum(dark), 6)::DOUBLE AS cx, round(sum(dark * (y + 0.5)) / sum(dark), 6)::DOUBLE AS cy, bool_or(level IS NULL) AS clipped
+        FROM seen JOIN (SELECT page, label, count(*) AS n FROM l GROUP BY ALL) USING (page, label) GROUP BY page, label, n""",
+    ),
+)
+def ink_blobs(spark, d):
+    k, along = F.col("r_regionkey"), F.sequence(F.lit(0), F.lit(39))
+    at = table(spark, d, "region").select(k.alias("page"), F.explode(along).alias("x")).select("page", "x", F.explode(along).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    raster = at.withColumn("level", (x * x * 7 + y * y * 13 + x * y * 3 + F.col("page") * 31) % 256)
+    return spatial.blobs(raster, "page", 60, 200).select("page", "label", "n", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "clipped")
 
 
 @query("merged_boxes")
