@@ -91,6 +91,26 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return F.when(high > 0, low / high).otherwise(0.0)
 
 
+def moved(v: Column, width: int, dx: int, dy: int) -> Column:
+    """A square picture of `width`, row by row, moved right and down; what comes in from outside is 0."""
+    x, y = lambda i: i % width, lambda i: i // width
+    inside = [0 <= x(i) - dx < width and 0 <= y(i) - dy < width for i in range(width * width)]
+    return F.array(*[v[i - dy * width - dx] if held else F.lit(0.0) for i, held in enumerate(inside)])
+
+
+def best_jaccard(a: Column, b: Column, width: int) -> Column:
+    """The highest weighted Jaccard of two square pictures, the second one as it is or a cell off."""
+    return F.greatest(*[weighted_jaccard(a, moved(b, width, dx, dy) if dx or dy else b) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+
+
+def fiducials(width: Column, height: Column, inset: Column | None = None) -> Column:
+    """(x, y) of the four corner marks and the middle one of a sheet; the inset is a quarter of the shorter side, 15 to
+    25 mm, unless given."""
+    own = F.greatest(F.lit(15.0), F.least(F.lit(25.0), F.least(width, height) / 4)) if inset is None else inset
+    places = [(own, own), (width - own, own), (own, height - own), (width - own, height - own), (width / 2, height / 2)]
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in places])
+
+
 def pooled(v: Column, width: int, block: int) -> Column:
     """Means of square blocks of a square picture of `width`, row by row."""
     n = width // block

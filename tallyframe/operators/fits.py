@@ -36,8 +36,8 @@ def residual(x: str, y: str) -> Column:
     return F.abs(F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept")))
 
 
-def robust_line(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3, outlier: float = 4.0) -> DataFrame:
-    """A line refitted up to `rounds` times without points that miss it by over `outlier` times the upper median miss.
+def robust_points(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3, outlier: float = 4.0) -> DataFrame:
+    """The points of a line refitted up to `rounds` times without points that miss it by over `outlier` times the upper median miss.
 
     Refitting a group ends when nothing is dropped, when fewer than three points would be left, or when its median
     miss is 0; its last fit stands. Points dropped once stay away.
@@ -51,7 +51,12 @@ def robust_line(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3, o
         ranked = ranked.withColumn("far", F.coalesce(F.col("miss") > outlier * median, F.lit(False)) & (median > 0))
         left = F.sum((~F.col("far")).cast("int")).over(w)
         kept = ranked.withColumn("left", left).filter(~F.col("far") | (F.col("left") < 3)).select(*by, x, y)
-    return line(kept, by, x, y)
+    return kept
+
+
+def robust_line(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3, outlier: float = 4.0) -> DataFrame:
+    """The line through the points that `robust_points` leaves."""
+    return line(robust_points(df, by, x, y, rounds, outlier), by, x, y)
 
 
 def edge_angle(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -83,6 +88,13 @@ def similarity(df: DataFrame, by: list[str], centre: tuple[float, float], ax: st
     return g.join(left, by).select(*by, "n", "dx", "dy", F.degrees(F.atan2("b", "a")).alias("rotation"), F.hypot("a", "b").alias("scale"), "rms", "worst")
 
 
+def measured(readings: DataFrame, by: list[str], centre: tuple[float, float], ax: str, ay: str, bx: str, by_: str, least: int = 3) -> DataFrame:
+    """`similarity` from readings of which some are null: these are left out, and groups with fewer than `least` others."""
+    good = readings.dropna(subset=[bx, by_])
+    enough = good.groupBy(*by).agg(F.count("*").alias("read")).filter(F.col("read") >= least).select(*by)
+    return similarity(good.join(enough, by, "left_semi"), by, centre, ax, ay, bx, by_)
+
+
 def shift(df: DataFrame, by: list[str], ax: str, ay: str, bx: str, by_: str) -> DataFrame:
     """(n, dx, dy, rms, worst) of the mere shift that takes a to b best."""
     x, y = F.col(bx) - F.col(ax), F.col(by_) - F.col(ay)
