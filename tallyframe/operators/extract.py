@@ -79,6 +79,36 @@ def resolve_anchor(words: DataFrame, phrase: str) -> DataFrame:
     return both.select("sheet", status.alias("status"), n.alias("n"), one("right").alias("x"), one("y").alias("y"))
 
 
+#: Millimetres that a cover reaches beyond what it covers; height of the tallest letter to the size; mean letter width to the size.
+PAD, TALLEST, LETTER = 0.6, 0.7, 0.5
+
+
+def corrections(words: DataFrame, was: str, now: str) -> DataFrame:
+    """(sheet, status, n, cover_x, cover_y, cover_w, cover_h, x, baseline, size_pt, over) to put `now` in the place of `was`.
+
+    The phrase must stand on a sheet once (an exact reading goes before near ones): else the status is NotFound or
+    FoundTwice and nothing is planned. The size comes from the tallest word of the line; `over` is by how much the new
+    words are wider than the old, null where they aren't.
+    """
+    if not now.strip():
+        raise ValueError(f"{was!r} does not say what to put there instead")
+    key = "".join(c for c in was if c.isalnum())
+    hits = [phrase_hits(words, was, e).withColumn("errors", F.lit(e)) for e in sorted({0, 0 if len(key) < 5 else len(key) // 4})]
+    found = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
+    found = found.withColumn("least", F.min("errors").over(Window.partitionBy("sheet"))).filter("errors = least")
+    one = found.groupBy("sheet").agg(F.count("*").alias("n"), F.min(F.struct("line", "x", "right", "y")).alias("at"))
+    heights = words.groupBy("sheet", "line").agg(F.max("h").alias("tallest"))
+    out = words.select("sheet").distinct().join(one, "sheet", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.withColumn("at", F.when(F.col("n") == 1, F.col("at"))).withColumn("line", F.col("at.line")).join(heights, ["sheet", "line"], "left")
+    size, width = F.col("tallest") / TALLEST, F.col("at.right") - F.col("at.x")
+    over = len(now) * size * LETTER - width
+    status = F.when(F.col("n") == 0, "NotFound").when(F.col("n") == 1, "Planned").otherwise("FoundTwice")
+    return out.select(
+        "sheet", status.alias("status"), "n", (F.col("at.x") - PAD).alias("cover_x"), (F.col("at.y") - PAD).alias("cover_y"), (width + 2 * PAD).alias("cover_w"), (F.col("tallest") + 2 * PAD).alias("cover_h"),
+        F.col("at.x").alias("x"), (F.col("at.y") + F.col("tallest")).alias("baseline"), (size * 72 / 25.4).alias("size_pt"), F.when(over > 0, over).alias("over"),
+    )
+
+
 def pick_fields(words: DataFrame, fields: list[dict]) -> DataFrame:
     """(sheet, field, status, text, n) in long form: what stands behind, or below, each label.
 

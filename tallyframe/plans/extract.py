@@ -50,6 +50,18 @@ def phrase_hits(spark, d):
     return extract.phrase_hits(words, "Segment: MACHINERV", 2).select("sheet", "line", F.col("first").cast("long").alias("first"))
 
 
+@query(
+    "corrections",
+    """WITH s AS (SELECT c_custkey AS sheet, c_custkey % 5 <> 0 AND c_custkey % 7 = 0 AS twice FROM customer)
+       SELECT sheet, CASE WHEN twice THEN 'FoundTwice' ELSE 'Planned' END AS status, CASE WHEN twice THEN 2 ELSE 1 END AS n, CASE WHEN NOT twice THEN -0.6 END::DOUBLE AS cover_x, CASE WHEN NOT twice THEN 4.4 END::DOUBLE AS cover_y,
+              CASE WHEN NOT twice THEN 15.2 END::DOUBLE AS cover_w, CASE WHEN NOT twice THEN 4.7 END::DOUBLE AS cover_h, CASE WHEN NOT twice THEN 0 END::DOUBLE AS x, CASE WHEN NOT twice THEN 8.5 END::DOUBLE AS baseline,
+              CASE WHEN NOT twice THEN round(5 * 72 / 25.4::DOUBLE, 6) END AS size_pt, CASE WHEN NOT twice THEN 15 * 2.5 - 14 END::DOUBLE AS over FROM s""",
+)
+def corrections(spark, d):
+    got = extract.corrections(extract.placed_words(forms(spark, d), "c_custkey", "form"), "Balance", "Account balance")
+    return got.select("sheet", "status", F.col("n").cast("int").alias("n"), *[F.round(c, 6).alias(c) for c in ("cover_x", "cover_y", "cover_w", "cover_h", "x", "baseline", "size_pt", "over")])
+
+
 @query("suggestions")
 def suggestions(spark, d):
     return extract.suggestions(extract.placed_words(forms(spark, d), "c_custkey", "form"), "Balances")

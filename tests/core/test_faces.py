@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import faces, measure
 from tallyframe.operators import faces as pages
-from tallyframe.operators import spatial
+from tallyframe.operators import extract, spatial
 from tallyframe.plans.faces import FACES
 
 
@@ -54,3 +54,13 @@ def test_parts_are_numbered_in_reading_order_and_clipped_ones_marked(spark):
     assert [(got[k]["n"], got[k]["clipped"]) for k in (1, 2)] == [(1, True), (4, False)]
     assert (got[1]["cx"], got[1]["cy"], got[2]["cx"], got[2]["cy"]) == (0.5, 0.5, 3.0, 3.0)
     assert spatial.blobs(raster.filter("level > 0"), "page", 100, 200).count() == 0
+
+
+def test_a_correction_needs_one_place(spark):
+    said = [(1, "Total 120.00\nPaid"), (2, "Total\nTotal"), (3, "Nothing"), (4, "Invoice numbar 7"), (5, "Invoice numbar\nInvoice number"), (6, "")]
+    words = extract.placed_words(spark.createDataFrame(said, "id int, t string"), "id", "t")
+    got = {r["sheet"]: r for r in extract.corrections(words, "Total", "Sum").collect()}
+    assert {k: r["status"] for k, r in got.items()} == {1: "Planned", 2: "FoundTwice", 3: "NotFound", 4: "NotFound", 5: "NotFound"}
+    assert got[1]["over"] is None and abs(got[1]["cover_w"] - 11.2) < 1e-9 and got[2]["x"] is None
+    near = {r["sheet"]: (r["status"], r["n"]) for r in extract.corrections(words, "Invoice number", "Bill no. that is much longer").collect()}
+    assert near[4] == ("Planned", 1) and near[5] == ("Planned", 1)  # an exact reading goes before a near one
