@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm import common
 from tallyframe.llm.common import WORD
+from tallyframe.operators import sequence
 
 #: Weights of the sources in their order, repeating, and the most that a source may be repeated.
 WEIGHTS, MOST = (5, 2, 1), 3.0
@@ -24,22 +26,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
     Sources come in the order of their code points (Spark compares UTF-8 bytes, which is the same), null last, and
     take the weights in turn. What a source can't take is shared again by weight among the others until none is
-    above its bound. With sources in the order of bound to weight those at their bound come first, so that the
-    shares follow from running sums: the first source whose bound exceeds what is left for each unit of weight
-    ends the bounded ones. The running sums see one row for each source, as many as there are sources.
+    above its bound: each round sums, over the table of sources, what those take whose bound lies below the share for
+    each unit of weight, and raises the share of the rest. A round brings two sums to the driver, and rounds end when
+    no further source is at its bound. Numbering and sums are distributed, however many sources there are.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.array(*[F.lit(float(w)) for w in weights])[(place % len(weights)).cast("int")])
-    per = per.withColumn("bound", most * F.col("source_size")).withColumn("ratio", F.col("bound") / F.col("weight"))
-    order, everything = Window.orderBy("ratio", F.col("source").asc_nulls_last()), Window.partitionBy()
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(earlier), F.lit(0.0))
-    per = per.withColumn("level", left / F.sum("weight").over(onward))
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(everything)["level"]
-    target = F.coalesce(F.least(F.col("bound"), F.col("weight") * level), F.col("bound"))
-    return per.select("source", "source_size", target.alias("target"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    place = ((F.col("number") - 1) % len(weights)).cast("int")
+    per = sequence.numbered(per, "none", "source").withColumn("weight", F.array(*[F.lit(float(w)) for w in weights])[place])
+    per = per.select("source", "source_size", "weight", (most * F.col("source_size")).alias("bound"))
+    per = common.written(per.withColumn("ratio", F.col("bound") / F.col("weight")), "sources")
+    whole = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight"), F.count("*").alias("n")).first()
+    level, free = (whole["size"] / whole["weight"], whole["n"]) if whole["n"] else (0.0, 0)
+    while True:
+        open_ = F.col("ratio") >= level
+        got = per.agg(F.sum(F.when(~open_, F.col("bound"))).alias("taken"), F.sum(F.when(open_, F.col("weight"))).alias("weight"), F.count_if(open_).alias("free")).first()
+        if got["free"] == free or not got["free"]:
+            break
+        level, free = (whole["size"] - (got["taken"] or 0.0)) / got["weight"], got["free"]
+    return per.select("source", "source_size", F.least(F.col("bound"), F.col("weight") * level).alias("target"))
 
 
 def draw(seed: int, *cols: Column) -> Column:
@@ -57,6 +61,7 @@ def plan(sizes: DataFrame, seed: int, weights: tuple[float, ...] = WEIGHTS, most
     its target too. A source has `STEPS` steps at most, whatever its number of documents.
     """
     bins = sizes.select("source", "size", F.floor(draw(seed, F.col("id")) * STEPS).alias("step")).groupBy("source", "step").agg(F.sum("size").alias("size"))
+    bins = common.written(bins, "draws")
     targets = source_targets(bins.select("source", "size"), weights, most).withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     each = bins.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", F.floor(rate))
