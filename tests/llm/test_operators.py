@@ -111,6 +111,17 @@ def test_mixing_targets_and_copies(spark):
     assert emitted == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_mixing_shares_over_many_sources(spark):
+    rng = np.random.default_rng(5)
+    sizes = {f"s{i:03d}": int(x) for i, x in enumerate(rng.lognormal(4, 3, 400))} | {None: 17, "none": 0}
+    rows = spark.createDataFrame([*sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    want = shares(Counter(sizes))
+    assert set(got) == set(want) and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+    assert math.isclose(sum(got.values()), sum(sizes.values()), rel_tol=1e-9)
+    assert [r["target"] for r in mixing.source_targets(rows.filter("size = 0")).collect()] == [0.0] * sum(v == 0 for v in sizes.values())
+
+
 def test_mixing_odd_rows(spark):
     got = mixing.mix(odd(spark).withColumn("Size", F.lit("clash"))).collect()
     assert len(got) == len(ODD)
