@@ -28,6 +28,37 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
+MIT_BODY = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+BSD_BODY = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+APACHE_HEADER = (
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+)
+GPL_HEADER = (
+    "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
+)
+
+#: Usual headers and bodies, whole and by the paragraphs that say which licence it is, for `scan_files`.
+USUAL = TEMPLATES + (
+    ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", MIT_BODY[0]), ("MIT", " ".join(MIT_BODY)),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", BSD_BODY[2]), ("BSD-3-Clause", " ".join([*BSD_BODY, MIT_BODY[2]])),
+    ("Apache-2.0", APACHE_HEADER[0]), ("Apache-2.0", " ".join(APACHE_HEADER)), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 " + APACHE_HEADER[1]),
+    ("GPL-3.0", "This program " + GPL_HEADER[0]), ("GPL-3.0", " ".join(["This program", *GPL_HEADER])), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. https://fsf.org/ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
+
 #: The least cosine of a match, and names of licence files.
 LEAST, NAMED = 0.75, r"(?i)^(licen[cs]e|copying|unlicense)([-_.].*)?$"
 
@@ -91,6 +122,11 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     rows = rows.withColumn("whole", F.coalesce(name.rlike(NAMED), F.lit(False))).withColumn("dir", above)
     rows = rows.withColumn("best", own_license(F.col("text"), F.col("whole"), weights, least)).drop("text")
     rows = common.written(rows, "scanned")
+    return inherited(rows, kept)
+
+
+def inherited(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """`rows` (k0.., path, dir, whole, best) with the columns that `scan` adds."""
     # One licence for each directory; then, for each directory with files that have none, the nearest above it.
     owners = rows.filter("whole AND best IS NOT NULL").groupBy("dir").agg(F.min(F.struct("best.less", "path", "best.license")).alias("owner"))
     dirs = rows.filter("best IS NULL AND path IS NOT NULL").select("dir").distinct()
@@ -106,3 +142,65 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
         F.coalesce(-F.col("best.less"), F.when(given, -F.col("owner.less"))).alias("score"),
         F.when(F.col("best").isNotNull(), F.col("path")).otherwise(F.when(given, F.col("owner.path"))).alias("found_in"),
     )
+
+
+#: A line of a comment, and what it begins or ends with.
+COMMENT, MARKS = r"^\s*(//|/\*|\*|#|--|;|%|<!--|\"{3}|'{3})", r"^\s*(//+|/\*+|\*+/?|#+!?|--+|;+|%+|<!--|\"{3}|'{3})|(\*+/|-->|\"{3}|'{3})\s*$"
+
+
+def units(text: Column, whole: Column) -> Column:
+    """What is compared: lines; the leading comment and its paragraphs; of licence files also paragraphs and all."""
+    lines = F.split(text, "\n")
+    said = F.filter(F.transform(lines, lambda x, i: F.when((F.trim(x) != "") & ~x.rlike(COMMENT), i)), lambda i: i.isNotNull())
+    comment = F.transform(F.slice(lines, 1, F.coalesce(F.get(said, F.lit(0)), F.size(lines))), lambda x: F.regexp_replace(x, MARKS, ""))
+    header = F.array_join(comment, "\n")
+    blocks = lambda t: F.split(t, r"\n\s*\n")
+    none = F.array().cast("array<string>")
+    return F.concat(lines, F.when(F.trim(header) != "", F.concat(F.array(header), blocks(header))).otherwise(none), F.when(whole, F.concat(F.array(text), blocks(text))).otherwise(none))
+
+
+def scan_files(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: Sequence[tuple[str, str]] = USUAL, least: float = LEAST, keep: list[str] | None = None) -> DataFrame:
+    """As `scan`, with headers of several lines and paragraphs of licence files as units too, several templates for a
+    licence, and inverse document frequencies over all units of `files`, for words of templates and others alike.
+
+    Frequencies stay a table. A unit can reach `least` only if it has one of a template's heaviest words, which
+    together weigh more than a match can go without; only such units are scored, each distinct set of words once.
+    """
+    spark, own = files.sparkSession, ["license", "score", "found_in"]
+    kept = common.without(files, own).columns if keep is None else keep
+    rows = files.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{path_col}`").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    name, above = F.regexp_extract("path", "[^/]*$", 0), F.regexp_extract("path", "^(.*)/", 1)
+    rows = rows.withColumn("whole", F.coalesce(name.rlike(NAMED), F.lit(False))).withColumn("dir", above)
+    terms = F.transform(units(F.col("text"), F.col("whole")), words)
+    # Units with words are counted under the word "".
+    seen = rows.select(F.explode(F.filter(terms, lambda t: F.size(t) > 0)).alias("t")).select(F.explode(F.concat("t", F.array(F.lit("")))).alias("word"))
+    counts = common.written(seen.groupBy("word").agg(F.count("*").alias("n")), "frequencies")
+    sets = [(t, name, sorted(set(re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))))) for t, (name, text) in enumerate(templates)]
+    every = sorted({w for _, _, ws in sets for w in ws})
+    held = {r["word"]: r["n"] for r in counts.filter(F.col("word").isin("", *every)).collect()}
+    total = held.get("", 0)
+    square = {w: (math.log((1 + total) / (1 + held.get(w, 0))) + 1) ** 2 for w in every}
+    norms = [sum(square[w] for w in ws) for _, _, ws in sets]
+    needed: set[str] = set()
+    for (_, _, ws), norm in zip(sets, norms):
+        rest = norm
+        for w in sorted(ws, key=lambda w: (-square[w], w)):
+            needed.add(w)
+            rest -= square[w]
+            if rest < (least**2 - 1e-5) * norm:
+                break
+    near = F.filter(terms, lambda t: F.exists(t, lambda w: w.isin(*sorted(needed))))
+    keys = F.array_distinct(F.transform(near, lambda t: F.array_join(F.array_sort(t), " ")))
+    rows = common.written(rows.withColumn("keys", keys).drop("text").withColumn("row", F.monotonically_increasing_id()), "scanned")
+    asked = rows.select("row", F.explode("keys").alias("key"))
+    said = asked.select("key").distinct().select("key", F.explode(F.split("key", " ")).alias("word"))
+    known = spark.createDataFrame(list(square.items()), "word string, square double")
+    other = said.filter(~F.col("word").isin(*every)).join(counts, "word").select("key", ((F.log((1 + total) / (1 + F.col("n"))) + 1) ** 2).alias("square"))
+    inside = said.join(F.broadcast(known), "word")
+    norm = inside.select("key", "square").unionAll(other).groupBy("key").agg(F.sum("square").alias("norm"))
+    has = spark.createDataFrame([(w, t, name, n) for (t, name, ws), n in zip(sets, norms) for w in ws], "word string, t int, license string, own double")
+    dots = inside.join(F.broadcast(has), "word").groupBy("key", "t", "license", "own").agg(F.sum("square").alias("dot"))
+    less = -F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("own")), 6)
+    best = dots.join(norm, "key").select("key", less.alias("less"), "license").filter(F.col("less") <= -least).groupBy("key").agg(F.min(F.struct("less", "license")).alias("best"))
+    found = asked.join(best, "key").groupBy("row").agg(F.min("best").alias("best"))
+    return inherited(common.written(rows.drop("keys").join(found, "row", "left"), "matched"), kept)

@@ -77,6 +77,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
 
 
+def op10_license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source / thousands / hundreds / id; one with a statement of licence on any line stands for
+    a licence file of its source, thousand or hundred, by its id."""
+    docs = table(spark, sf_dir, "documents")
+    parts = F.array(F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.pmod("doc_id", F.lit(1000)) / 100).cast("string"))
+    states = F.coalesce(F.col("text").rlike(r"(?i)\blicen[cs]ed?\b"), F.lit(False))
+    level = (F.pmod("doc_id", F.lit(3)) + 1).cast("int")
+    path = F.when(states, F.concat(F.array_join(F.slice(parts, 1, level), "/"), F.lit("/LICENSE-"), F.col("doc_id"))).otherwise(F.concat_ws("/", F.array_join(parts, "/"), F.col("doc_id").cast("string")))
+    return licenses.scan_files(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -89,6 +100,7 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_media": op9_media,
         "op10_licenses": op10_licenses,
+        "op10_license_files": op10_license_files,
     }
 
 

@@ -526,3 +526,42 @@ def test_licenses_match_and_inherit(spark):
     )
     assert Counter((r["path"], r["license"], r["found_in"]) for r in got) == want
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def commented(text, mark="# ", width=60):
+    lines, line = [], ""
+    for w in text.split():
+        lines, line = (lines + [line], w) if len(line) + len(w) >= width else (lines, f"{line} {w}".strip())
+    return "\n".join(mark + x for x in [*lines, line])
+
+
+def test_usual_headers_and_licence_files_are_found(spark):
+    notice, years = "Copyright (c) 2021 Jane Roe", "Copyright 2019 The Frob Authors. All rights reserved."
+    gpl = "\n#\n".join(commented(p) for p in ["Frob " + licenses.GPL_HEADER[0], *licenses.GPL_HEADER[1:]])
+    files = [
+        ("a/LICENSE", "\n\n".join(["MIT License", notice, *licenses.MIT_BODY]), "MIT"),
+        ("b/LICENSE", "\n\n".join([notice, *licenses.MIT_BODY]), "MIT"),
+        ("c/LICENSE", "\n\n".join([notice, licenses.BSD_BODY[0], "1. " + licenses.BSD_BODY[1], "3. " + licenses.BSD_BODY[2], licenses.MIT_BODY[2]]), "BSD-3-Clause"),
+        ("d/COPYING", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for software and other kinds of works.", "GPL-3.0"),
+        ("e/LICENSE", "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "Apache-2.0"),
+        ("f/a.py", "#!/usr/bin/env python\n" + commented(years) + "\n#\n" + "\n#\n".join(commented(p) for p in licenses.APACHE_HEADER) + "\n\nimport os\n", "Apache-2.0"),
+        ("f/b.c", "/*\n" + commented([t for n, t in licenses.USUAL if "(ASF)" in t][0], " * ") + "\n */\nint main() {}\n", "Apache-2.0"),
+        ("f/c.py", gpl + "\nimport re\n", "GPL-3.0"),
+        ("f/d.js", commented(" ".join([notice, *licenses.MIT_BODY]), "// ") + "\nlet x = 1;\n", "MIT"),
+        ("a/x/y.py", "# a plain comment\n# of two lines\nx = 1\n", "MIT"), ("f/e.py", "# the license of this is open\nx = 2\n", None),
+    ]
+    files += [(f"g/{i}", f"words of the file {i} and the rest\nof it in line {i}", None) for i in range(50)]
+    table = spark.createDataFrame([f[:2] for f in files], "path string, text string")
+    got = {r["path"]: r for r in licenses.scan_files(table).collect()}
+    assert {p: got[p]["license"] for p, _, _ in files} == {p: want for p, _, want in files}
+    assert got["a/x/y.py"]["found_in"] == "a/LICENSE" and got["f/c.py"]["found_in"] == "f/c.py"
+    old = {r["path"]: r["license"] for r in licenses.scan(table).collect()}
+    assert sum(old[p] is None for p, _, want in files if want) >= 5
+    assert licenses.scan_files(table.limit(0)).count() == 0
+
+
+def test_license_files_pass_on_from_the_nearest_directory(spark, tmp_path):
+    said = {6: "a\nReleased under the MIT License.", 1: "b\nLicensed under CC BY-NC 4.0.", 2: "c\nLicensed under the Apache License, Version 2.0."}
+    spark.createDataFrame([(i, said.get(i, f"text {i}"), "en", "s", 1) for i in (*said, 50, 150, 1150)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["license"], r["found_in"]) for r in queries.op10_license_files(spark, str(tmp_path)).collect()}
+    assert (got[50], got[150], got[1150]) == (("Apache-2.0", "s/0/0/LICENSE-2"), ("CC-BY-NC-4.0", "s/0/LICENSE-1"), ("MIT", "s/LICENSE-6"))
