@@ -190,10 +190,13 @@ def scan_files(files: DataFrame, path_col: str = "path", text_col: str = "text",
             if rest < (least**2 - 1e-5) * norm:
                 break
     near = F.filter(terms, lambda t: F.exists(t, lambda w: w.isin(*sorted(needed))))
-    keys = F.array_distinct(F.transform(near, lambda t: F.array_join(F.array_sort(t), " ")))
-    rows = common.written(rows.withColumn("keys", keys).drop("text").withColumn("row", F.monotonically_increasing_id()), "scanned")
-    asked = rows.select("row", F.explode("keys").alias("key"))
-    said = asked.select("key").distinct().select("key", F.explode(F.split("key", " ")).alias("word"))
+    # A set of words goes by its digest, so that its words don't each carry all of them.
+    near = F.array_distinct(F.transform(near, lambda t: F.array_sort(t)))
+    near = F.transform(near, lambda t: F.struct(F.unhex(F.md5(F.array_join(t, " "))).alias("key"), t.alias("words")))
+    rows = common.written(rows.withColumn("near", near).drop("text").withColumn("row", F.monotonically_increasing_id()), "scanned")
+    asked = rows.select("row", F.explode("near.key").alias("key"))
+    said = rows.select(F.explode("near").alias("s")).groupBy("s.key").agg(F.first("s.words").alias("words")).select("key", F.explode("words").alias("word"))
+    said = common.written(said, "said")
     known = spark.createDataFrame(list(square.items()), "word string, square double")
     other = said.filter(~F.col("word").isin(*every)).join(counts, "word").select("key", ((F.log((1 + total) / (1 + F.col("n"))) + 1) ** 2).alias("square"))
     inside = said.join(F.broadcast(known), "word")
@@ -203,4 +206,4 @@ def scan_files(files: DataFrame, path_col: str = "path", text_col: str = "text",
     less = -F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("own")), 6)
     best = dots.join(norm, "key").select("key", less.alias("less"), "license").filter(F.col("less") <= -least).groupBy("key").agg(F.min(F.struct("less", "license")).alias("best"))
     found = asked.join(best, "key").groupBy("row").agg(F.min("best").alias("best"))
-    return inherited(common.written(rows.drop("keys").join(found, "row", "left"), "matched"), kept)
+    return inherited(common.written(rows.drop("near").join(found, "row", "left"), "matched"), kept)
