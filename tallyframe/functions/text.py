@@ -115,11 +115,20 @@ def script(text: Column) -> Column:
     )
 
 
-def common_run(a: Column, b: Column, most: int) -> Column:
-    """Length of the longest run of characters that both texts have, `most` at most: the longest length whose windows
-    meet. Windows of shorter lengths meet wherever longer ones do, so the lengths that meet can be counted."""
-    windows = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return sum((F.arrays_overlap(windows(a, n), windows(b, n)).cast("int") for n in range(1, most + 1)), F.lit(0))
+def common_run(a: Column, b: Column) -> Column:
+    """Length of the longest run of characters that both texts have, however long; 0 for a null. Windows of shorter
+    lengths meet wherever longer ones do, so the longest length whose windows meet is found by halving."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    windows = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n))
+    most = F.least(F.length(a), F.length(b))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(most + 1)).cast("int"))
+
+    def halve(held: Column, _: Column) -> Column:
+        n = F.shiftright(held["low"] + held["high"] + 1, 1)
+        meet = F.arrays_overlap(windows(a, n), windows(b, n))
+        return F.struct(F.when(meet, n).otherwise(held["low"]).alias("low"), F.when(meet, held["high"]).otherwise(n - 1).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), most.alias("high")), halve, lambda held: held["low"])
 
 
 def wrapped(text: Column, width: int) -> Column:

@@ -148,7 +148,7 @@ def suggestions(words: DataFrame, phrase: str, keep: int = 3, least: int = 3) ->
 
     key = "".join(c for c in phrase if c.isalnum()).lower()
     lines = words.groupBy("sheet", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "text"))), lambda s: s["text"]), " ").alias("said"))
-    scored = lines.withColumn("run", common_run(squash(F.col("said")), F.lit(key), min(12, len(key)))).withColumn("some", F.max("run").over(Window.partitionBy("sheet")) >= least)
+    scored = lines.withColumn("run", common_run(squash(F.col("said")), F.lit(key))).withColumn("some", F.max("run").over(Window.partitionBy("sheet")) >= least)
     asked = scored.filter(~F.col("some") | (F.col("run") >= least))
     order = Window.partitionBy("sheet").orderBy(F.when(F.col("some"), -F.col("run")).otherwise(0), "line")
     return asked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("sheet", "line", "said", "run")

@@ -242,7 +242,7 @@ def scripts(spark, d):
        UNION ALL SELECT p_partkey, 0 FROM k WHERE NOT list_has_any(string_split(a, ''), string_split(b, ''))""",
 )
 def common_runs(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.common_run(F.col("p_name"), F.col("p_type"), 12).alias("run"))
+    return table(spark, d, "part").select("p_partkey", text.common_run(F.col("p_name"), F.col("p_type")).alias("run"))
 
 
 @query("wrapped_lines")

@@ -269,3 +269,21 @@ def test_ledgers_are_cut_down(spark):
     present = spark.createDataFrame([("p1",), ("p2",)], "path string")
     got = {r["path"]: r["at"] for r in arrivals.compacted(ledger, present, most=8).collect()}
     assert got == {"p1": 99, "p2": 2, "p19": 19, "p18": 18, "p17": 17}
+
+
+def test_common_runs_are_as_long_as_they_are(spark):
+    def brute(a, b):
+        return max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0)
+
+    long = "".join(chr(97 + i * i % 26) + str(i) for i in range(40))
+    pairs = [(long, f"x{long}y"), (long[:13], long), (long[5:45], f"{long[3:50]}z"), ("", "a"), ("", ""), ("abc", "xyz"), ("aab", "baa"), ("a" * 30, "a" * 29 + "b"), ("é😀x" * 7, "😀xé" * 9)]
+    table = spark.createDataFrame([*pairs, (None, "a")], "a string, b string")
+    got = {(r["a"], r["b"]): r["run"] for r in table.select("a", "b", text.common_run(F.col("a"), F.col("b")).alias("run")).collect()}
+    assert got == {(a, b): brute(a, b) for a, b in pairs} | {(None, "a"): 0}
+
+
+def test_suggestions_rank_lines_by_runs_over_twelve_letters(spark):
+    said = "abcdefghijklmnopqrstuvwxyz0123456789"
+    forms = spark.createDataFrame([(1, "\n".join([said[:12], said[:20], said]))], "id long, form string")
+    got = [(r["said"], r["run"]) for r in extract.suggestions(extract.placed_words(forms, "id", "form"), said).collect()]
+    assert got == [(said, 36), (said[:20], 20), (said[:12], 12)]
