@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators import sets
+from tallyframe.operators.tables import written
 from tallyframe.plans.registry import query, table
 
 #: Two states of the orders: some gone, some repriced, some moved in time, some of another priority.
@@ -200,11 +201,17 @@ def merged_entities(spark, d):
 )
 def inherited_styles(spark, d):
     s = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 10).alias("parent"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("style"))
-    out = s.select("p_partkey", "parent", "style")
     up = s.select(F.col("p_partkey").alias("at"), F.col("parent").alias("next"), F.col("style").alias("given"))
-    for _ in range(5):  # as deep as styles may refer to each other
-        found = out.join(up, out["parent"] == up["at"], "left")
-        out = found.select("p_partkey", F.when(F.col("style").isNull(), F.col("next")).otherwise(F.col("parent")).alias("parent"), F.coalesce("style", "given").alias("style"))
+    done, open_ = s.filter("style IS NOT NULL"), s.filter("style IS NULL")
+    for _ in range(15):  # a style and its ancestors are 16 levels at most
+        found = open_.join(up, open_["parent"] == up["at"], "left")
+        found = written(found.select("p_partkey", F.when(F.col("at").isNotNull() & (F.col("next") != F.col("at")), F.col("next")).alias("parent"), F.col("given").alias("style")), "styles")
+        # Who has a style or no further ancestor is done.
+        done = done.unionAll(found.filter("style IS NOT NULL OR parent IS NULL"))
+        open_ = found.filter("style IS NULL AND parent IS NOT NULL")
+        if open_.isEmpty():
+            break
+    out = done.unionAll(open_)
     return out.select("p_partkey", "style")
 
 

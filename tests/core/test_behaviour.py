@@ -287,3 +287,14 @@ def test_suggestions_rank_lines_by_runs_over_twelve_letters(spark):
     forms = spark.createDataFrame([(1, "\n".join([said[:12], said[:20], said]))], "id long, form string")
     got = [(r["said"], r["run"]) for r in extract.suggestions(extract.placed_words(forms, "id", "form"), said).collect()]
     assert got == [(said, 36), (said[:20], 20), (said[:12], 12)]
+
+
+def test_styles_come_from_any_ancestor(spark, tmp_path):
+    from tallyframe.plans import catalogue
+
+    # The nearest styled ancestor of the last key is eight levels up.
+    chain = [3]
+    while len(chain) < 9:
+        chain.append(next(k for k in (10 * chain[-1] + 1, 10 * chain[-1] + 2) if k % 3))
+    spark.createDataFrame([(k, f"b{k}") for k in chain], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["p_partkey"]: r["style"] for r in catalogue.QUERIES["inherited_styles"](spark, str(tmp_path)).collect()} == dict.fromkeys(chain, "b3")
