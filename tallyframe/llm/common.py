@@ -133,3 +133,13 @@ def joined(texts: list[bytes], gap: int = 8) -> tuple[np.ndarray, np.ndarray, np
     np.cumsum(lengths[:-1] + gap, out=starts[1:])
     filler = b"\0" * gap
     return np.frombuffer(filler.join([*texts, b""]), dtype=np.uint8), starts, starts + lengths
+
+
+def alike(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Parts of a sorted batch that are alike in some columns of whole numbers."""
+    if not batch.num_rows:
+        return
+    keys = [batch.column(c).to_numpy() for c in columns]
+    edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+        yield tuple(int(k[a]) for k in keys), batch.slice(a, b - a)

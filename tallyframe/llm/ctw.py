@@ -243,7 +243,7 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     in the order in which it asked."""
     bucket, key, value = None, [], []
     for batch in batches:
-        for (at, kind), part in runs(batch, "bucket", "kind"):
+        for (at, kind), part in common.alike(batch, "bucket", "kind"):
             if at != bucket:
                 bucket, key, value = at, [], []
             if kind == 0:
@@ -262,16 +262,6 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of(["block", "bucket", "logp"], 1, block=[row["block"]], bucket=[at], logp=[own.tobytes()])
 
 
-def runs(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Parts of a sorted batch that are alike in some columns of whole numbers."""
-    if not batch.num_rows:
-        return
-    keys = [batch.column(c).to_numpy() for c in columns]
-    edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-    for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
-        yield tuple(int(k[a]) for k in keys), batch.slice(a, b - a)
-
-
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, train, n_bytes, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text.
 
@@ -297,7 +287,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, Asked(depth)
         for batch in batches:
-            for (at,), part in runs(batch, "block"):
+            for (at,), part in common.alike(batch, "block"):
                 if block is not None and at != block:
                     yield from held.batches(block, blocks)
                     held = Asked(depth)
@@ -329,7 +319,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         total, end, none = math.log10(n + 0.5 * (v + 1)), math.log10(ends + 0.5), math.log10(0.5)
         block, held, log, look = None, {}, {}, None
         for batch in batches:
-            for (at, kind), part in runs(batch, "block", "kind"):
+            for (at, kind), part in common.alike(batch, "block", "kind"):
                 if at != block:
                     block, held, log, look = at, {}, {}, None
                 if kind == 0:

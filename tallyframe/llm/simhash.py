@@ -1,23 +1,28 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by segments with one bit left out.
 
-Two fingerprints that differ in at most `bits` bits, cut into segments of which one must differ by at most one bit,
-agree on that segment once the bit is left out. So every fingerprint is indexed by each of its segments with each bit
-left out in turn; an equality join on those variants finds all candidates, and the whole fingerprints are compared.
+Cut into as many segments as bits may differ, or fewer, a fingerprint has one that differs by at most one bit, and agrees once
+that bit is left out. So every fingerprint is indexed by segments with each bit left out in turn, an equality join on those
+variants finds all candidates, and the whole fingerprints are compared. A variant of one segment alone (31 bits) would be
+shared by ever more fingerprints as they grow in number; so a segment more is cut than may differ, and each variant is
+joined to the segments that, for some choice, don't differ at all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.llm import common, components
-from tallyframe.llm.textfeatures import lower
 
-#: Members up to which a variant's fingerprints are compared pair by pair; larger ones take the exact other way.
-PAIRWISE = 24
+#: Members of a run up to which they are compared each with each; their names are then passed on in a matrix.
+EACH = 2_048
 
 
 def fingerprints(texts: list[bytes], words: int = 3) -> np.ndarray:
@@ -49,55 +54,121 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, ke
     return common.map_texts(docs, text_col, make, [T.StructField(name, T.LongType())], keep)
 
 
+#: Segments that a fingerprint is cut into, by the number of bits that may differ. In one segment more than bits the
+#: keys of a single segment would be short where there are very many fingerprints; three bits need five to come near 40.
+CUTS = {0: 1, 1: 2, 2: 3, 3: 5}
+
+
 def segments(bits: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the fewest segments of which one differs by at most one bit when `bits` differ."""
-    n = bits // 2 + 1
+    """(lowest bit, width) of each segment."""
+    n = CUTS[bits]
     edges = [64 * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def signatures(bits: int) -> list[tuple[int, int]]:
+    """(bits that are kept, bit left out or -1) of each key: together they find every pair within `bits` bits.
+
+    For each choice of `bits` segments that may differ, all others are equal, and of those chosen one is indexed with
+    each of its bits left out in turn. The one is so chosen that, wherever bits differ, some key has them all outside of what it
+    keeps: two bits in one segment are found where another is indexed.
+    """
+    cut, every = segments(bits), (1 << 64) - 1
+    mask = [((1 << width) - 1) << low for low, width in cut]
+    if not bits:
+        return [(every, -1)]
+    out = []
+    for chosen in combinations(range(len(cut)), bits):
+        one = chosen[sum(chosen) % bits]
+        kept = every
+        for s in chosen:
+            kept &= ~mask[s]
+        low, width = cut[one]
+        out += [(kept | (mask[one] & ~(1 << (low + j))), low + j) for j in range(width)]
+    return out
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, bits: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
+def nearest(values: np.ndarray, bits: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted fingerprints that differ in `free` bits only -> (a, b): verified links that span the components of
+    all pairs within `bits` bits, one for each fingerprint that isn't the least of its component.
+
+    Each takes the least name that it meets among its neighbours until none changes. Up to `EACH` of them find their
+    neighbours by comparing all; more look each choice of up to `bits` of the free bits up, turned, so the work
+    grows with their number.
+    """
+    n = len(values)
+    name, link = np.arange(n), np.arange(n)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= bits if n <= EACH else None
+    turned = [] if n <= EACH else [np.uint64(sum(1 << int(f) for f in some)) for k in range(1, bits + 1) for some in combinations(free.tolist(), k)]
+    moved = True
+    while moved:
+        moved = False
+        for t in [None] if n <= EACH else turned:
+            if t is None:
+                at = np.where(near, name[None, :], n).argmin(axis=1)
+                better = name[at] < name
+            else:
+                at = np.minimum(np.searchsorted(values, values ^ t), n - 1)
+                better = (values[at] == values ^ t) & (name[at] < name)
+            link[better], name[better], moved = at[better], name[at[better]], moved or bool(better.any())
+    own = np.flatnonzero(link != np.arange(n))
+    return values[own], values[link[own]]
+
+
+def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """Distinct `fp` -> (a, b): links whose components are those of all pairs that differ in at most `bits` bits.
 
-    A variant with up to `pairwise` fingerprints is joined with itself, so each of its rows meets a bounded number of
-    others. For the fingerprints of larger variants pairs would grow with the square, so these are linked through
-    shared neighbours instead, exactly: two fingerprints differ in at most 2r bits if and only if some number differs
-    from both in at most r. Each puts down all numbers that near (r is half of `bits`, and for an odd count one side
-    goes a bit further), and whoever meets at a number is linked to the least one there.
+    Each fingerprint is indexed by its keys (see `signatures`): 64 of some 42 bits for two bits, 128 of some 37 for
+    three. Who shares a key meets in one run of a sorted partition and is verified. A run can't be long: its members differ only in
+    the bits that the key leaves out, and members of long runs look each other up instead of being paired.
     """
-    if not 0 <= bits <= 3:
+    if bits not in CUTS:
         raise ValueError("0 to 3 differing bits")
-    keys = []
-    for s, (low, width) in enumerate(segments(bits)):
-        own = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-        for j in range(width):
-            keys.append(F.struct(F.lit(s * 64 + j).cast("short").alias("place"), own.bitwiseAND(F.lit(~(1 << j) if j < 63 else (1 << 63) - 1)).alias("rest")))
-    variants = prints.select("fp", F.explode(F.array(*keys)).alias("v")).select("fp", "v.place", "v.rest")
-    sized = variants.withColumn("members", F.count("*").over(Window.partitionBy("place", "rest"))).filter("members > 1")
-    sized = common.written(sized, "variants")
-    few = sized.filter(F.col("members") <= pairwise)
-    right = few.select("place", "rest", F.col("fp").alias("b"))
-    pairs = few.select("place", "rest", F.col("fp").alias("a")).join(right, ["place", "rest"]).filter("a < b").filter(differing(F.col("a"), F.col("b")) <= bits).select("a", "b")
-    many = sized.filter(F.col("members") > pairwise).select("fp").distinct()
-    return pairs.unionAll(near_links(many, bits))
-
-
-def near_links(prints: DataFrame, bits: int) -> DataFrame:
-    """Links of fingerprints through shared neighbours, a bounded number of rows for each."""
-    flips = [0, *(1 << k if k < 63 else -(1 << 63) for k in range(64))]
-    ball = F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])
-    inner = prints.select("fp", F.explode(ball if bits >= 2 else F.array(F.col("fp"))).alias("at"))
-    if bits % 2 == 0:
-        meet = inner.groupBy("at").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).filter("b <> top")
-        return inner.join(meet.select("at", "b"), "at").filter("fp <> b").select(F.col("fp").alias("a"), "b")
-    # An odd count: one of the two is a bit nearer. Each fingerprint's ball of the lesser radius is met by those one bit further out.
-    wide = inner.select("fp", F.explode(F.array(*[F.col("at").bitwiseXOR(F.lit(f)) for f in flips])).alias("at")).distinct()
-    meet = inner.groupBy("at").agg(F.min("fp").alias("b"))
-    return wide.join(meet, "at").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    keys = signatures(bits)
+    common.bounded_batches(prints.sparkSession)
+    shown = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(kept)))) for k, (kept, _) in enumerate(keys)]
+    rows = prints.select("fp", F.explode(F.array(*shown)).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    masks = np.array([k for k, _ in keys], dtype=np.uint64)
+
+    def joined(fp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links among sorted rows of whole runs; the key is a hash, so what is met is verified as a whole."""
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([edge, [len(key)]]))
+        two = edge[size == 2]
+        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
+        a, b = [fp[near]], [fp[near + 1]]
+        for s, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = np.unique(fp[s : s + n])
+            varied = np.bitwise_or.reduce(own ^ own[0])
+            # Two keys whose hashes meet are one run: each fingerprint's own key tells them apart if the run is long.
+            free = np.flatnonzero(np.unpackbits(np.array([varied]).view(np.uint8), bitorder="little"))
+            x, y = nearest(own, bits, free)
+            a.append(x)
+            b.append(y)
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fp, key = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, key = np.concatenate([fp, batch.column(0).to_numpy().view(np.uint64)]), np.concatenate([key, batch.column(1).to_numpy()])
+            whole = int(np.searchsorted(key, key[-1]))  # the last run may go on
+            if whole:
+                yield as_links(*joined(fp[:whole], key[:whole]))
+                fp, key = fp[whole:], key[whole:]
+        if len(fp):
+            yield as_links(*joined(fp, key))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def as_links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
 def classes(prints: DataFrame, bits: int = 2) -> DataFrame:

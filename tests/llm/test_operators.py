@@ -372,8 +372,9 @@ def test_fingerprints(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("bits", "pairwise"), [(2, 24), (2, 1), (3, 24), (3, 1), (1, 24), (1, 1), (0, 1)])
-def test_links_join_the_same_components(spark, bits, pairwise):
+@pytest.mark.parametrize(("bits", "each"), [(2, 2_048), (2, 2), (3, 2_048), (3, 2), (1, 2_048), (1, 2), (0, 2)])
+def test_links_join_the_same_components(spark, monkeypatch, bits, each):
+    monkeypatch.setattr(simhash, "EACH", each)
     rng = np.random.default_rng(bits)
     values = set(rng.integers(0, 1 << 64, 40, dtype=np.uint64).tolist())
     for v in list(values)[:12]:
@@ -384,7 +385,7 @@ def test_links_join_the_same_components(spark, bits, pairwise):
             values.add(x)
     signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
     prints = spark.createDataFrame([(s,) for s in signed], "fp long")
-    links = [(signed[r["a"]], signed[r["b"]]) for r in simhash.links(prints, bits, pairwise).collect()]
+    links = [(signed[r["a"]], signed[r["b"]]) for r in simhash.links(prints, bits).collect()]
     want = brute_components(values, bits)
     parent = {v: v for v in values}
 
@@ -399,6 +400,55 @@ def test_links_join_the_same_components(spark, bits, pairwise):
     assert {v: find(v) for v in values} == want
 
 
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_some_key_leaves_out_the_bits_that_differ(bits):
+    """Every choice of up to three bits by how many lie in each segment, over all segments, and many at random."""
+    keys, rng = simhash.signatures(bits), np.random.default_rng(bits)
+    assert len(keys) == len(set(keys)) == {1: 64, 2: 64, 3: 128}[bits] and min(kept.bit_count() for kept, _ in keys) >= 37
+    for _ in range(4_000):
+        low, width = simhash.segments(bits)[int(rng.integers(simhash.CUTS[bits]))]
+        some = [*(low + rng.choice(width, bits, replace=False)), *rng.integers(0, 64, bits)]
+        differ = sum(1 << int(b) for b in set(rng.choice(some, bits, replace=False).tolist()))
+        assert any(not differ & kept for kept, _ in keys)
+
+
+def test_a_run_of_ten_thousand_members(spark):
+    """One dense run: its components are those of all pairs, and it gives a link for each member at most."""
+    rng = np.random.default_rng(8)
+    base, free = 0x123456789ABCDEF0, [0, 1, 2, 3, 5, 8, 13, 14, 15, 16, 17, 18, 19, 20]
+    codes = np.unique(rng.integers(0, 1 << 14, 14_000))
+    values = np.array([base ^ sum(1 << f for k, f in enumerate(free) if c >> k & 1) for c in codes.tolist()], dtype=np.uint64)
+    values = np.sort(np.concatenate([values, values[:5] ^ np.uint64(1 << 60)]))
+    assert len(values) > 9_000
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    found = components.components(simhash.links(rows, 2)).collect()
+    names = {np.int64(r["node"]).view(np.uint64).item(): r["root"] for r in found}
+    want = components_by_turning(values.tolist(), 2)
+    groups: dict = {}
+    for v, root in want.items():
+        groups.setdefault(root, []).append(v)
+    assert all(len({names.get(v, v) for v in g}) == 1 for g in groups.values()) and len({names.get(v, v) for v in want}) == len(groups)
+    a, b = simhash.nearest(values, 2, np.array([*free, 60]))
+    assert len(a) < len(values) and all(int(x ^ y).bit_count() <= 2 for x, y in zip(a, b, strict=True))
+
+
+def components_by_turning(values, bits):
+    """Components of all pairs within some bits, by a walk over every number that near."""
+    held, root = set(values), {}
+    turned = [1 << i | 1 << j for i in range(64) for j in range(i, 64)]
+    assert bits == 2
+    for v in sorted(held):
+        todo = [] if v in root else [v]
+        root.setdefault(v, v)
+        while todo:
+            x = todo.pop()
+            for t in turned:
+                if x ^ t in held and x ^ t not in root:
+                    root[x ^ t] = v
+                    todo.append(x ^ t)
+    return root
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200), (300, 301), (301, 300)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -429,11 +479,12 @@ def brute_url(url, rules, otherwise):
     return (host, path, *(max(fits)[2:] if fits else (None, otherwise)))
 
 
-@pytest.mark.parametrize("most_bytes", [urls.MOST_BYTES, 0])
-def test_url_verdicts(spark, most_bytes):
+@pytest.mark.parametrize(("shard_bytes", "at_once"), [(urls.SHARD_BYTES, urls.AT_ONCE), (4, urls.AT_ONCE), (4, 1)])
+def test_url_verdicts(spark, monkeypatch, shard_bytes, at_once):
+    monkeypatch.setattr(urls, "AT_ONCE", at_once)
     pages = spark.createDataFrame([(*u, "x") for u in URLS], "page_id long, url string, host string")
     rules = [*queries.RULES, ("h.net/", "allow"), ("site.org/fr/a", "block")]
-    got = urls.judge(pages, spark.createDataFrame(rules, "rule string, verdict string"), most_bytes=most_bytes).collect()
+    got = urls.judge(pages, spark.createDataFrame(rules, "rule string, verdict string"), shard_bytes=shard_bytes).collect()
     want = Counter((i, *brute_url(u, rules, "allow")) for i, u in URLS)
     assert Counter(map(tuple, got)) == want
 
@@ -445,13 +496,35 @@ def test_url_filter_without_rows_or_rules(spark):
     assert urls.judge(pages.limit(0), spark.createDataFrame(queries.RULES, none.schema)).count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("shard_bytes", [urls.SHARD_BYTES, 100])
+def test_cascades_are_exact_over_their_universe(spark, shard_bytes):
     rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 6000))
-    rows = [(k, (k * 31 + 7) % (1 << 60), i % 17 == 0) for i, k in enumerate(keys.tolist())]
-    built = urls.cascade(spark.createDataFrame(rows, "a long, b long, listed boolean"))
-    a, b = (np.array([r[k] for r in rows], dtype=np.int64).view(np.uint64) for k in (0, 1))
-    assert len(built.levels) > 1 and built.listed(a, b).tolist() == [r[2] for r in rows]
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 6000)).tolist()
+    rows = [(k, a, (a * 31 + 7) % (1 << 60), i % (17, 3)[k] == 0) for i, a in enumerate(keys) for k in (0, 1)]
+    filters, shards = urls.cascades(spark.createDataFrame(rows, "list int, a long, b long, listed boolean"), shard_bytes)
+    assert (shards > 10) == (shard_bytes == 100)
+    of = {(r["a"]): r["s"] for r in spark.createDataFrame([(a,) for a in keys], "a long").select("a", urls.shard_of(F.col("a"), shards).alias("s")).collect()}
+    held: dict = {}
+    for f in filters.collect():
+        held.setdefault(f["shard"], []).append(f.asDict())
+    assert max(f["level"] for fs in held.values() for f in fs) > 0
+    for shard, fs in held.items():
+        built = urls.Held()
+        built.add(fs)
+        for k, c in built.lists.items():
+            own = [r for r in rows if r[0] == k and of[r[1]] == shard]
+            a, b = (np.array([r[i] for r in own], dtype=np.int64).view(np.uint64) for i in (1, 2))
+            assert c.listed(a, b).tolist() == [r[3] for r in own]
+
+
+def test_many_shapes_of_rules(spark):
+    rng = np.random.default_rng(6)
+    hosts = [".".join(rng.choice(list("abc"), int(rng.integers(1, 5)))) for _ in range(40)]
+    paths = ["/" + "".join(rng.choice(list("xy/"), int(rng.integers(0, 7)))) for _ in range(60)]
+    rules = list({h + p: v for h, p, v in zip(rng.choice(hosts, 60), rng.choice(paths, 60), rng.choice(["allow", "block"], 60), strict=True)}.items())
+    pages = [(i, f"http://{h}{p}") for i, (h, p) in enumerate(zip(rng.choice(hosts, 200), rng.choice(paths, 200), strict=True))]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(str(r), str(v)) for r, v in rules], "rule string, verdict string"), shard_bytes=50).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *brute_url(u, rules, "allow")) for i, u in pages)
 
 
 # --- JPEG -----------------------------------------------------------------------------------------------------------
