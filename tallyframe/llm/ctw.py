@@ -39,6 +39,18 @@ ANSWERS = ("words", "word_c", "grams", "logp")
 EDGE = 0xFF
 
 
+#: The modulus (a prime) and factor of a step that stirs grams before they are dealt.
+PRIME, FACTOR = (1 << 31) - 1, 48_271
+
+
+def bucket_of(gram, buckets: int, pmod=lambda x, n: x % n):
+    """The bucket of a gram, as a number or a column: all of its bytes count, as its last letter alone would fill few."""
+    x = gram
+    for _ in range(2):
+        x = pmod(pmod(x, PRIME) * FACTOR, PRIME)
+    return pmod(x, buckets)
+
+
 def log_gamma(x: Column) -> Column:
     """ln(gamma(x)) for x of 0.5 or more: Stirling's series after eight steps up."""
     y = x + 8
@@ -116,7 +128,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         size = 1 << self.bits
-        self.key, self.value = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.float32)
+        self.key, self.value = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.float64)
         left, at = np.arange(len(keys)), self.slot(keys)
         while len(left):
             free = self.key[at] == -1
@@ -167,7 +179,7 @@ class Asked:
         self.merge()
         self.rest.update(dict.fromkeys(self.train, 0))
         words = list(self.rest)
-        of_word, of_gram = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets, self.grams[0] % buckets
+        of_word, of_gram = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets, bucket_of(self.grams[0], buckets)
         by_word, by_gram = np.argsort(of_word, kind="stable"), np.argsort(of_gram, kind="stable")
         grams, counts = self.grams[0][by_gram], self.counts[0][by_gram]
         some = np.union1d(of_word, of_gram)
@@ -241,11 +253,11 @@ def batch_of(names: list[str], rows: int, /, **values: object) -> pa.RecordBatch
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by bucket, first grams with their logarithms, then what blocks asked for -> the logarithms to each block,
     in the order in which it asked."""
-    bucket, key, value = None, [], []
+    bucket, key, value, sorted_ = None, [], [], False
     for batch in batches:
         for (at, kind), part in common.alike(batch, "bucket", "kind"):
             if at != bucket:
-                bucket, key, value = at, [], []
+                bucket, key, value, sorted_ = at, [], [], False
             if kind == 0:
                 key.append(part.column("gram").to_numpy())
                 value.append(part.column("logp").to_numpy())
@@ -253,12 +265,12 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(key) > 1:
                 whole, said = np.concatenate(key), np.concatenate(value)
                 order = np.argsort(whole)
-                key, value = [whole[order]], [said[order].astype(np.float32)]
-            elif key and value[0].dtype != np.float32:
+                key, value, sorted_ = [whole[order]], [said[order]], True
+            elif key and not sorted_:
                 order = np.argsort(key[0])
-                key, value = [key[0][order]], [value[0][order].astype(np.float32)]
+                key, value, sorted_ = [key[0][order]], [value[0][order]], True
             for row in part.select(["block", "grams"]).to_pylist():
-                own = value[0][np.searchsorted(key[0], numbers(row["grams"]))] if row["grams"] else np.zeros(0, np.float32)
+                own = value[0][np.searchsorted(key[0], numbers(row["grams"]))] if row["grams"] else np.zeros(0)
                 yield batch_of(["block", "bucket", "logp"], 1, block=[row["block"]], bucket=[at], logp=[own.tobytes()])
 
 
@@ -280,8 +292,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), train.alias("train"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    # Blocks follow from the row itself, so a lost task puts the same rows into the same block again.
-    block = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(blocks)).cast("long")
+    # Blocks follow from the row itself, so a lost task puts the same rows into the same block again. The text counts
+    # too: rows of one id are not one block; rows that are alike in both are, and ask no more than one of them does.
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long")
     dealt = rows.withColumn("block", block)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +319,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     ends = rows.filter("train").count()
     n, v = (seen["n"] or 0) + ends, (seen["v"] or 0) + (ends > 0)
     logs = common.written(model(totals.filter("gram IS NOT NULL").select("gram", "c"), depth), "model")
-    known = logs.select(F.pmod("gram", F.lit(blocks)).alias("bucket"), F.lit(0).alias("kind"), "gram", "logp", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("grams"))
+    known = logs.select(bucket_of(F.col("gram"), blocks, lambda x, n: F.pmod(x, F.lit(n))).alias("bucket"), F.lit(0).alias("kind"), "gram", "logp", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("grams"))
     open_ = wanted.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp"), "block", "grams")
     said = common.written(known.unionAll(open_).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "block long, bucket long, logp binary"), "said")
     blank = {"bucket": "long", "words": "binary", "word_c": "binary", "grams": "binary", "logp": "binary", "id": rows.schema["id"].dataType.simpleString(), "train": "boolean", "text": "string"}
@@ -329,7 +342,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 if look is None:
                     for row in held.values():
                         log.update(zip(split(row["words"]), np.log10(numbers(row["word_c"]) + 0.5).tolist(), strict=True))
-                    look = Lookup(np.concatenate([numbers(r["grams"]) for r in held.values()]), np.concatenate([numbers(r["logp"], np.float32) for r in held.values()]))
+                    look = Lookup(np.concatenate([numbers(r["grams"]) for r in held.values()]), np.concatenate([numbers(r["logp"], np.float64) for r in held.values()]))
                     held = {}
                 texts = common.as_bytes(part.column("text"))
                 for a, b in common.pieces(texts, STEP):

@@ -195,7 +195,7 @@ def test_ctw_agrees_with_recursion(spark, depth):
     assert len(got) == len(texts)
     train = [low(t).encode() for i, t in enumerate(texts) if i % 3 != 1]
     for r in got:
-        assert math.isclose(r["score"], brute_ctw(train, low(texts[r["doc_id"]]).encode(), depth), rel_tol=1e-6)  # answers travel as 32-bit floats
+        assert math.isclose(r["score"], brute_ctw(train, low(texts[r["doc_id"]]).encode(), depth), rel_tol=1e-9)
 
 
 def test_ctw_base_and_odd_rows(spark):
@@ -214,7 +214,26 @@ def test_ctw_base_and_odd_rows(spark):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
     assert ctw.score(empty(spark), F.lit(True)).count() == 0
     even = ctw.score(docs.filter("doc_id = 1"), F.lit(False)).first()
-    assert math.isclose(even["score"], -8 * (even["n_bytes"] + 1) * math.log10(2), rel_tol=1e-6) and even["n_known"] == 0
+    assert math.isclose(even["score"], -8 * (even["n_bytes"] + 1) * math.log10(2), rel_tol=1e-12) and even["n_known"] == 0
+
+
+@pytest.mark.parametrize("buckets", [255, 256, 1_024, 1_280])
+def test_ctw_deals_grams_evenly(spark, buckets):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 9)))) for _ in range(3_000)]
+    grams = np.unique(ctw.gram_codes([" ".join(rng.choice(words, 60)).encode() for _ in range(2_500)])[0])
+    held = np.bincount(ctw.bucket_of(grams, buckets), minlength=buckets)
+    assert held.max() < 2 * held.mean()
+    some = grams[:200].tolist()
+    got = spark.createDataFrame([(g,) for g in some], "gram long").select(ctw.bucket_of(F.col("gram"), buckets, lambda x, n: F.pmod(x, F.lit(n))).alias("b"))
+    assert [r["b"] for r in got.collect()] == ctw.bucket_of(grams[:200], buckets).tolist()
+
+
+def test_ctw_rows_of_one_id_and_clashing_names(spark):
+    rows = [(1, f"text number {i} of one id " * 5, "x", 0.5) for i in range(60)] + [(2, "the same", "x", 0.5)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string, score double")
+    got = ctw.score(docs, F.col("doc_id") == 1, block_bytes=500).collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 60, 2: 3} and len({r["score"] for r in got if r["doc_id"] == 2}) == 1
 
 
 def test_ctw_log_gamma(spark):
