@@ -12,8 +12,8 @@ from tallyframe.operators import sequence
 #: Weights of the sources in their order, repeating, and the most that a source may be repeated.
 WEIGHTS, MOST = (5, 2, 1), 3.0
 
-#: Steps in which the draws of a source are counted, to place the threshold that its fraction comes to.
-STEPS = 1 << 14
+#: Steps in which the draws of a source are counted, and how many of them are summed together first.
+STEPS, TOGETHER = 1 << 14, 1 << 7
 
 
 def words_in(text: Column) -> Column:
@@ -52,53 +52,67 @@ def draw(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def step(seed: int, id_: Column) -> Column:
+    return F.floor(draw(seed, id_) * STEPS)
+
+
 def plan(sizes: DataFrame, seed: int, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(id, source, size) -> (source, source_size, target, whole, cut): each document of a source is taken `whole` times,
-    and once more if its draw lies below `cut`.
+    """(id, source, size) -> (source, source_size, target, whole, fraction, low, high, some, all): each document of a source
+    is taken `whole` times, and once more if the step of its draw lies from `low` up to `high`, going round.
 
-    The cut is the fraction of the rate, moved to the step at which the words of the draws below it come nearest to
-    what the fraction asks for (of two equally near the lower); so a source with a few very long documents comes near
-    its target too. A source has `STEPS` steps at most, whatever its number of documents.
+    Systematic sampling: a source's words lie on a circle, in steps by the draws of their documents. From a point drawn for the
+    source on, as many words are taken as the fraction comes to: a step's documents are, if the step begins there. As
+    each point is as likely as any other, each document is taken with the fraction's probability, whatever its size; and
+    the words taken miss the fraction's by one step's at most, that is by one document's where a step holds one.
     """
-    bins = sizes.select("source", "size", F.floor(draw(seed, F.col("id")) * STEPS).alias("step")).groupBy("source", "step").agg(F.sum("size").alias("size"))
+    bins = sizes.select("source", "size", step(seed, F.col("id")).alias("step")).groupBy("source", "step").agg(F.sum("size").alias("size"))
     bins = common.written(bins, "draws")
-    targets = source_targets(bins.select("source", "size"), weights, most).withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    each = bins.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", F.floor(rate))
-    wanted = F.col("target") - F.col("whole") * F.col("source_size")
-    below = F.sum("size").over(Window.partitionBy("source").orderBy("step"))
-    # Going up to the end of a step, or not at all.
-    each = each.withColumn("off", F.abs(below - wanted)).withColumn("none", F.abs(wanted))
-    best = each.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.min(F.struct("off", F.col("step") + 1)).alias("best"), F.first("none").alias("none"))
-    cut = F.when(F.col("none") <= F.col("best.off"), 0.0).otherwise(F.col("best.col2") / STEPS)
-    return best.select("source", "source_size", "target", "whole", cut.alias("cut"))
+    targets = source_targets(bins.select("source", "size"), weights, most).withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
+    targets = targets.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("from", draw(seed, F.lit("of"), F.col("source")) * F.col("source_size"))
+    # Words before each step: those of the steps before among its 128, and of the groups of 128 before; no window is longer.
+    fine = bins.filter("size > 0").withColumn("group", F.floor(F.col("step") / TOGETHER))
+    before = F.sum("size").over(Window.partitionBy("source", "group").orderBy("step")) - F.col("size")
+    coarse = fine.groupBy("source", "group").agg(F.sum("size").alias("size"))
+    coarse = coarse.select(F.col("source").alias("of"), F.col("group").alias("og"), (F.sum("size").over(Window.partitionBy("source").orderBy("group")) - F.col("size")).alias("earlier"))
+    each = fine.withColumn("before", before).join(coarse, F.col("source").eqNullSafe(F.col("of")) & (F.col("group") == F.col("og"))).select("source", "step", (F.col("before") + F.col("earlier")).alias("start"))
+    each = each.join(targets.select(F.col("source").alias("of"), "source_size", "wanted", "from"), F.col("source").eqNullSafe(F.col("of")))
+    off = F.col("start") - F.col("from") + F.when(F.col("start") < F.col("from"), F.col("source_size")).otherwise(0)
+    inside = F.col("off") < F.col("wanted")
+    ends = each.withColumn("off", off).groupBy(F.col("source").alias("of")).agg(
+        F.min_by("step", F.when(inside, F.col("off"))).alias("low"), F.min_by("step", F.when(~inside, F.col("off"))).alias("high"), F.max(inside).alias("some"), F.min(inside).alias("all")
+    )
+    return targets.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "whole", "fraction", "low", "high", "some", "all")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, keep: list[str] | None = None) -> DataFrame:
-    """Each document once, with `size`, `source_size`, `target` (both of its source) and `copies`.
+    """Each document once, with `size`, `source_size`, `target`, `fraction` (all three of its source) and `copies`.
 
-    copies is the whole part of target / source_size, and one more if a number drawn from seed and id lies below the
-    fraction, as `plan` places it; reruns agree, and it is never over `most`. Null texts and texts without words have size
-    0; null is a source like any other; rows with the same id share the draw; sources of size 0 have target 0 and no
-    copies; no rows give no rows. Columns called like a result are replaced, others pass (or only those in `keep`).
+    copies is the whole part of target / source_size, and one more with the fraction's probability, by numbers drawn
+    from the seed and the id and from the seed and the source (`plan`); reruns agree, and it is never over `most`. Null
+    texts and texts without words have size 0; null is a source like any other; rows with the same id share the draw and
+    so the copies; ids whose draws meet in a step are taken together; sources of size 0 have target 0 and no copies; no
+    rows give no rows. Columns called like a result are replaced, others pass (or only those in `keep`).
 
     Sums by source and step are combined before their shuffle. The join with the plan carries no hot key's rows to one
     task: Spark broadcasts the table of sources when its measured size is under spark.sql.autoBroadcastJoinThreshold,
     and else splits skewed partitions of its sort-merge join.
     """
-    own = {"size", "source_size", "target", "copies"}
+    own = {"size", "source_size", "target", "fraction", "copies"}
     kept = [c for c in docs.columns if c.lower() not in own] if keep is None else keep
     base = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size")]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *base)
     plans = plan(docs.select(*base), seed).withColumnRenamed("source", "of")
     mixed = inner.join(plans, F.col("source").eqNullSafe(F.col("of")), "left")
-    copies = F.col("whole") + F.when(draw(seed, F.col("id")) < F.col("cut"), 1).otherwise(0)
-    return mixed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", F.col("target"), copies.cast("long").alias("copies"))
+    at, low, high = step(seed, F.col("id")), F.col("low"), F.col("high")
+    more = F.when(~F.coalesce("some", F.lit(False)), False).when(F.col("all"), True).when(low < high, (at >= low) & (at < high)).otherwise((at >= low) | (at < high))
+    copies = F.col("whole") + more.cast("int")
+    return mixed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "fraction", copies.cast("long").alias("copies"))
 
 
 def emit(docs: DataFrame, **names: str | int) -> DataFrame:
     """The mixture itself: the documents, each as often as `mix` says, with their own columns only."""
-    own = {"size", "source_size", "target", "copies"}
+    own = {"size", "source_size", "target", "fraction", "copies"}
     safe = docs.select(*[F.col(f"`{c}`").alias(f"{c}__own" if c.lower() in own else c) for c in docs.columns])
     mixed = mix(safe, **names)
     # Whole copies are made by an array of that length; there are `MOST` of them at most.

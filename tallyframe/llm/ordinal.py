@@ -30,22 +30,27 @@ class Ordinal:
         return tf.sigmoid(margins[:, None] - self.thresholds[None, :])
 
 
+def ordinal_gradient(x: tf.Sample, v: np.ndarray, width: int, l2: float) -> np.ndarray:
+    """The gradient, in the weights and the thresholds, of minus the mean log likelihood and l2 * w^2."""
+    n, y, grades = max(1, len(x.label)), x.label, len(v) - width + 1
+    margin, cuts = x.times(v[:width]), np.concatenate([[-np.inf], v[width:], [np.inf]])
+    with np.errstate(over="ignore"):
+        high, low = 1 / (1 + np.exp(-np.clip(cuts[y + 1] - margin, -500, 500))), 1 / (1 + np.exp(-np.clip(cuts[y] - margin, -500, 500)))
+    mass = np.maximum(high - low, 1e-12)
+    dh, dl = high * (1 - high) / mass, low * (1 - low) / mass
+    return np.concatenate([x.back((dh - dl) / n, width) + 2 * l2 * v[:width], [(np.where(y == k + 1, dl, 0) - np.where(y == k, dh, 0)).sum() / n for k in range(grades - 1)]])
+
+
 def fit_ordinal(x: tf.Sample, width: int, grades: int, l2: float = 1e-6, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest likelihood (accelerated gradient; steps that disorder thresholds are mended)."""
-    n, y = max(1, len(x.label)), x.label
+    y = x.label
     share = np.clip([np.mean(y <= k) for k in range(grades - 1)], 1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log(share / (1 - share)) + np.arange(grades - 1) * 1e-3)
     step = 1 / (0.5 * (x.curvature(width) + 1) + 2 * l2)
     z = np.concatenate([np.zeros(width), start])
     v, momentum = z.copy(), 1.0
     for _ in range(rounds):
-        margin, cuts = x.times(v[:width]), np.concatenate([[-np.inf], v[width:], [np.inf]])
-        with np.errstate(over="ignore"):
-            high, low = 1 / (1 + np.exp(-np.clip(cuts[y + 1] - margin, -500, 500))), 1 / (1 + np.exp(-np.clip(cuts[y] - margin, -500, 500)))
-        mass = np.maximum(high - low, 1e-12)
-        dh, dl = high * (1 - high) / mass, low * (1 - low) / mass
-        g = np.concatenate([x.back((dh - dl) / n, width) + 2 * l2 * v[:width], [(np.where(y == k + 1, dl, 0) - np.where(y == k, dh, 0)).sum() / n for k in range(grades - 1)]])
-        new = v - step * g
+        new = v - step * ordinal_gradient(x, v, width, l2)
         new[width:] = np.maximum.accumulate(new[width:] + np.arange(grades - 1) * 1e-9)
         faster = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         v = new + (momentum - 1) / faster * (new - z)

@@ -66,18 +66,6 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source / thousands / hundreds / id; one that begins with a statement of licence stands for
-    its thousand's licence file."""
-    docs = table(spark, sf_dir, "documents")
-    thousand = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"))
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    states = F.coalesce(first.rlike(r"(?i)\blicen[cs]ed?\b"), F.lit(False))
-    hundred = F.floor(F.pmod("doc_id", F.lit(1000)) / 100).cast("string")
-    path = F.when(states, F.concat(thousand, F.lit("/LICENSE-"), F.col("doc_id"))).otherwise(F.concat_ws("/", thousand, hundred, F.col("doc_id").cast("string")))
-    return licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
-
-
-def op10_license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: source / thousands / hundreds / id; one with a statement of licence on any line stands for
     a licence file of its source, thousand or hundred, by its id."""
     docs = table(spark, sf_dir, "documents")
@@ -85,7 +73,7 @@ def op10_license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = F.coalesce(F.col("text").rlike(r"(?i)\blicen[cs]ed?\b"), F.lit(False))
     level = (F.pmod("doc_id", F.lit(3)) + 1).cast("int")
     path = F.when(states, F.concat(F.array_join(F.slice(parts, 1, level), "/"), F.lit("/LICENSE-"), F.col("doc_id"))).otherwise(F.concat_ws("/", F.array_join(parts, "/"), F.col("doc_id").cast("string")))
-    return licenses.scan_files(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
 
 
 def queries() -> dict:
@@ -100,7 +88,6 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_media": op9_media,
         "op10_licenses": op10_licenses,
-        "op10_license_files": op10_license_files,
     }
 
 
@@ -124,19 +111,23 @@ drawn AS (
   SELECT doc_id, source, size,
          ('0x' || substr(md5('7/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM sized),
-bins AS (SELECT source, floor(u * 16384)::BIGINT AS step, sum(size) AS size FROM drawn GROUP BY 1, 2),
-steps AS (
-  SELECT b.source, b.step, s.target - floor(CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END) * s.source_size AS wanted,
-         sum(b.size) OVER (PARTITION BY b.source ORDER BY b.step) AS below
-  FROM bins b JOIN shares s ON b.source IS NOT DISTINCT FROM s.source),
-cuts AS (
-  SELECT source, CASE WHEN abs(any_value(wanted)) <= min(abs(below - wanted)) THEN 0 ELSE (arg_min(step, (abs(below - wanted), step)) + 1) / 16384.0::DOUBLE END AS cut
-  FROM steps GROUP BY source),
+bins AS (SELECT source, floor(u * 16384)::BIGINT AS step, sum(size)::BIGINT AS size FROM drawn GROUP BY 1, 2),
+rates AS (
+  SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction, target - floor(rate)::BIGINT * source_size AS wanted,
+         ('0x' || substr(md5('7/of/' || coalesce(source, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE * source_size AS "from"
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM shares)),
+starts AS (SELECT source, step, (sum(size) OVER (PARTITION BY source ORDER BY step) - size)::BIGINT AS start FROM bins WHERE size > 0),
+offs AS (
+  SELECT s.source, s.step, s.start - r."from" + CASE WHEN s.start < r."from" THEN r.source_size ELSE 0 END AS off, r.wanted
+  FROM starts s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+ends AS (SELECT source, arg_min(step, off) FILTER (off < wanted) AS low, arg_min(step, off) FILTER (off >= wanted) AS high FROM offs GROUP BY source),
 rated AS (
-  SELECT doc_id, size, source_size, target,
-         (floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) + CASE WHEN u < cut THEN 1 ELSE 0 END)::BIGINT AS copies
-  FROM drawn JOIN shares ON drawn.source IS NOT DISTINCT FROM shares.source JOIN cuts ON drawn.source IS NOT DISTINCT FROM cuts.source)
-SELECT doc_id, size, source_size, target, copies, (size * copies)::BIGINT AS taken
+  SELECT doc_id, size, source_size, target, fraction,
+         (whole + CASE WHEN low IS NULL THEN 0 WHEN high IS NULL THEN 1
+                       WHEN low < high THEN (floor(u * 16384) >= low AND floor(u * 16384) < high)::INT
+                       ELSE (floor(u * 16384) >= low OR floor(u * 16384) < high)::INT END)::BIGINT AS copies
+  FROM drawn JOIN rates ON drawn.source IS NOT DISTINCT FROM rates.source LEFT JOIN ends ON drawn.source IS NOT DISTINCT FROM ends.source)
+SELECT doc_id, size, source_size, target, fraction, copies, (size * copies)::BIGINT AS taken
 FROM rated
 """
 
@@ -158,40 +149,63 @@ FROM fits GROUP BY page_id, host, path
 """
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def op10_sql() -> str:
-    w = licenses.Weights(licenses.TEMPLATES)
-    idf = ", ".join(f"('{word}', {value!r}::DOUBLE)" for word, value in w.idf.items())
-    terms = ", ".join(f"('{name}', '{word}', {w.norm[name]!r}::DOUBLE)" for name, ws in w.terms.items() for word in ws)
+    """Weights come from the templates' texts and the documents alone."""
+    templates = ", ".join(f"({t}, {quoted(name)}, {quoted(text)})" for t, (name, text) in enumerate(licenses.TEMPLATES))
+
+    def terms(text: str) -> str:
+        lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"regexp_extract_all(regexp_replace({lower}, {quoted(licenses.TAG)}, 'spdx-license-identifier:', 'g'), {quoted(licenses.TERM)})"
+
     return rf"""
-WITH idf(word, weight) AS (VALUES {idf}),
-templates(license, word, norm) AS (VALUES {terms}),
+WITH templates(t, license, body) AS (VALUES {templates}),
 files AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-         coalesce(source, 'none') || '/' || floor(doc_id / 1000)::BIGINT AS thousand,
-         regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '(?i)\blicen[cs]ed?\b') AS whole
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(regexp_matches(text, '(?i)\blicen[cs]ed?\b'), false) AS whole,
+         [coalesce(source, 'none'), floor(doc_id / 1000)::BIGINT::VARCHAR, floor((doc_id % 1000) / 100)::BIGINT::VARCHAR] AS parts
   FROM documents),
 placed AS (
-  SELECT *, CASE WHEN whole THEN thousand || '/LICENSE-' || doc_id ELSE thousand || '/' || floor((doc_id % 1000) / 100)::BIGINT || '/' || doc_id END AS path,
-         CASE WHEN whole THEN thousand ELSE thousand || '/' || floor((doc_id % 1000) / 100)::BIGINT END AS dir
+  SELECT *, array_to_string(parts[1:CASE WHEN whole THEN doc_id % 3 + 1 ELSE 3 END], '/') AS dir,
+         array_to_string(parts[1:CASE WHEN whole THEN doc_id % 3 + 1 ELSE 3 END], '/') || CASE WHEN whole THEN '/LICENSE-' ELSE '/' END || doc_id AS path
   FROM files),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM placed),
+said AS (SELECT r, min(at) AS said FROM lines WHERE trim(line) <> '' AND NOT regexp_matches(line, {quoted(licenses.COMMENT)}) GROUP BY r),
+headers AS (
+  SELECT r, string_agg(regexp_replace(line, {quoted(licenses.MARKS)}, '', 'g'), chr(10) ORDER BY at) AS header
+  FROM lines LEFT JOIN said USING (r) WHERE at < coalesce(said, at + 1) GROUP BY r),
 units AS (
-  SELECT r, u, unnest(list_distinct(regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'))) AS word
-  FROM (SELECT r, unnest(lines) AS unit, generate_subscripts(lines, 1) AS u
-        FROM (SELECT r, string_split(text, chr(10)) || CASE WHEN whole THEN [text] ELSE [] END AS lines FROM placed))),
-norms AS (SELECT r, u, sqrt(sum(coalesce(weight, {w.unknown!r}::DOUBLE) ** 2)) AS norm FROM units LEFT JOIN idf USING (word) GROUP BY r, u),
+  SELECT r, unit, row_number() OVER () AS u FROM (
+    SELECT r, line AS unit FROM lines
+    UNION ALL SELECT r, header FROM headers WHERE trim(header) <> ''
+    UNION ALL SELECT r, unnest(string_split_regex(header, {quoted(licenses.BETWEEN)})) FROM headers WHERE trim(header) <> ''
+    UNION ALL SELECT r, text FROM placed WHERE whole
+    UNION ALL SELECT r, unnest(string_split_regex(text, {quoted(licenses.BETWEEN)})) FROM placed WHERE whole)),
+has AS (SELECT r, u, word, count(*)::DOUBLE AS times FROM (SELECT r, u, unnest({terms("unit")}) AS word FROM units) GROUP BY r, u, word),
+total AS (SELECT count(DISTINCT u) AS n FROM has),
+own_terms AS (SELECT t, license, word, count(*)::DOUBLE AS times FROM (SELECT t, license, unnest({terms("body")}) AS word FROM templates) GROUP BY t, license, word),
+frequencies AS (SELECT word, count(*) AS df FROM has GROUP BY word),
+idf AS (
+  SELECT word, ln((1 + (SELECT n FROM total))::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf
+  FROM (SELECT word FROM has UNION SELECT word FROM own_terms) LEFT JOIN frequencies USING (word)),
+norms AS (SELECT u, sum((times * idf) * (times * idf)) AS norm FROM has JOIN idf USING (word) GROUP BY u),
+own_norms AS (SELECT t, sum((times * idf) * (times * idf)) AS norm FROM own_terms JOIN idf USING (word) GROUP BY t),
 scored AS (
-  SELECT r, u, t.license, round(sum(i.weight ** 2) / (any_value(n.norm) * any_value(t.norm)), 6) AS score
-  FROM units JOIN templates t USING (word) JOIN idf i USING (word) JOIN norms n USING (r, u) GROUP BY r, u, t.license),
-best AS (
-  SELECT r, license, score FROM scored WHERE score >= {licenses.LEAST}
-  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
-own AS (SELECT p.r, p.doc_id, p.path, p.dir, p.thousand, p.whole, b.license, b.score FROM placed p LEFT JOIN best b USING (r)),
+  SELECT h.r, h.u, o.t, o.license, round(sum(h.times * i.idf * o.times * i.idf) / sqrt(any_value(n.norm) * any_value(m.norm)), 6) AS score
+  FROM has h JOIN own_terms o USING (word) JOIN idf i USING (word) JOIN norms n ON n.u = h.u JOIN own_norms m ON m.t = o.t GROUP BY h.r, h.u, o.t, o.license),
+best AS (SELECT r, license, score FROM scored WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, license) = 1),
+own AS (SELECT p.*, b.license, b.score FROM placed p LEFT JOIN best b USING (r)),
 owners AS (
-  SELECT thousand, path AS owner, license AS given, score AS given_score FROM own WHERE whole AND license IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY thousand ORDER BY score DESC, path) = 1)
-SELECT doc_id, path, coalesce(license, given) AS license, coalesce(score, given_score) AS score,
-       CASE WHEN license IS NOT NULL THEN path ELSE owner END AS found_in
-FROM own LEFT JOIN owners USING (thousand)
+  SELECT dir AS up, path AS owner, license AS given, score AS given_score FROM own WHERE whole AND license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
+above AS (
+  SELECT dir, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1), lambda n: array_to_string(string_split(dir, '/')[1:n], '/'))) AS up
+  FROM (SELECT DISTINCT dir FROM own)),
+nearest AS (SELECT a.dir, o.* EXCLUDE up FROM above a JOIN owners o USING (up) QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY length(a.up) DESC) = 1)
+SELECT doc_id, path, coalesce(license, given) AS license, coalesce(score, given_score) AS score, CASE WHEN license IS NOT NULL THEN path ELSE owner END AS found_in
+FROM own LEFT JOIN nearest USING (dir)
 """
 
 

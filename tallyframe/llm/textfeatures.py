@@ -309,6 +309,21 @@ def gathered(sample: DataFrame, spec: Spec, buckets: np.ndarray, twins: Callable
     return Sample(np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64), table["label"].to_numpy().astype(np.int64), np.where(twin == 0, -1, first))
 
 
+def logistic_gradient(x: Sample, v: np.ndarray, weight: np.ndarray, l2: float, alike: float) -> np.ndarray:
+    """The gradient, in the weights and the constant, of the weighted log loss, l2 * w^2 and the twins' penalty."""
+    width, twins = len(v) - 1, np.flatnonzero(x.twin >= 0)
+    margin = x.times(v[:width]) + v[width]
+    r = weight * (sigmoid(margin) - x.label)
+    total = r.sum()
+    if alike and len(twins):
+        gap = 2 * alike * (margin[twins] - margin[x.twin[twins]]) / len(twins)
+        np.add.at(r, twins, gap)
+        np.add.at(r, x.twin[twins], -gap)
+    g = np.append(x.back(r, width), total)
+    g[:width] += 2 * l2 * v[:width]
+    return g
+
+
 def fit_logistic(x: Sample, width: int, l1: float = 0.0, l2: float = 1e-6, alike: float = 0.0, rounds: int = 300, part: np.ndarray | None = None, yes: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and constant that minimise mean log loss, l1 * |w| + l2 * w^2, and `alike` times the mean square of
     the differences in margin between rows and their twins (accelerated proximal gradient, a fixed number of rounds).
@@ -319,16 +334,7 @@ def fit_logistic(x: Sample, width: int, l1: float = 0.0, l2: float = 1e-6, alike
     step = 1 / (0.25 * max(1.0, yes) * (x.curvature(width) * len(x.label) / n + 1) + 2 * l2 + 4 * alike * bool(len(twins)) * x.curvature(width) * len(x.label) / max(1, len(twins)))
     w, v, momentum = np.zeros(width + 1), np.zeros(width + 1), 1.0
     for _ in range(rounds):
-        margin = x.times(v[:width]) + v[width]
-        r = weight * (sigmoid(margin) - x.label)
-        total = r.sum()
-        if alike and len(twins):
-            gap = 2 * alike * (margin[twins] - margin[x.twin[twins]]) / len(twins)
-            np.add.at(r, twins, gap)
-            np.add.at(r, x.twin[twins], -gap)
-        g = np.append(x.back(r, width), total)
-        g[:width] += 2 * l2 * v[:width]
-        new = v - step * g
+        new = v - step * logistic_gradient(x, v, weight, l2, alike)
         new[:width] = np.sign(new[:width]) * np.maximum(0, np.abs(new[:width]) - step * l1)
         faster = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         v = new + (momentum - 1) / faster * (new - w)

@@ -105,7 +105,7 @@ def test_mixing_targets_and_copies(spark):
         assert r["copies"] in (math.floor(rate), math.floor(rate) + 1) and r["copies"] <= 3
         taken[r["source"]] += r["copies"] * r["size"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 0.01 * want[s] + 40
+        assert abs(taken[s] - want[s]) <= 0.001 * want[s] + 80  # the documents of one step
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
     emitted = Counter(r["doc_id"] for r in mixing.emit(docs).collect())
     assert emitted == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
@@ -122,6 +122,34 @@ def test_mixing_shares_over_many_sources(spark):
     assert [r["target"] for r in mixing.source_targets(rows.filter("size = 0")).collect()] == [0.0] * sum(v == 0 for v in sizes.values())
 
 
+def test_mixing_takes_each_document_with_the_fraction_s_probability(spark):
+    """Many sources of one long document, which has half the words, and of short ones; each source is a draw of its own."""
+    rows = [(100 * s + i, "w " * (200 if i == 0 else 10), "en", f"s{s:03d}", 0) for s in range(360) for i in range(21)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    seen: dict = {}
+    for r in got:
+        whole = math.floor(r["target"] / r["source_size"])
+        seen.setdefault((round(r["fraction"], 3), r["size"]), []).append(r["copies"] - whole)
+    assert {k for k, _ in seen} == {0.875, 0.75, 0.375}
+    for (fraction, size), more in seen.items():
+        assert abs(np.mean(more) - fraction) < (0.16 if size == 200 else 0.08)
+    taken = Counter()
+    for r in got:
+        taken[r["source"], r["target"]] += r["size"] * r["copies"]
+    assert all(abs(n - target) <= 200 for (_, target), n in taken.items())
+
+
+def test_mixing_of_equal_draws_and_of_short_windows(spark, monkeypatch):
+    """Few steps, so that many documents share one, and windows of one step: still whole numbers of copies near the target."""
+    monkeypatch.setattr(mixing, "STEPS", 16)
+    monkeypatch.setattr(mixing, "TOGETHER", 1)
+    rows = [(i, "w " * (i % 7), "en", ["a", "b", None][i % 3], 0) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in ("a", "b", None):
+        own = [r for r in got if r["source"] == s]
+        assert len({r["copies"] for r in own}) <= 2 and abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) < 0.15 * own[0]["source_size"]
+
+
 def test_mixing_odd_rows(spark):
     got = mixing.mix(odd(spark).withColumn("Size", F.lit("clash"))).collect()
     assert len(got) == len(ODD)
@@ -299,6 +327,107 @@ def test_toxicity_does_not_learn_groups(spark):
     assert free > 0.7 > held
 
 
+def test_toxicity_swaps_groups_of_four_languages():
+    make = toxicity.wordings(most=1)
+    said = {
+        "Women and women's": "men and men's", "the people of\n color here": "the black people here", "gay people": "lesbian people", "womens": None, "aufgeblinden": None,
+        "Die Männer gehen": "Die mädchen gehen", "Menschen mit Behinderung": "menschen ohne behinderung", "les chrétiens": "les juifs", "dos judíos": "dos hindúes", "chrétiensé": None, "": None,
+    }
+    for text, want in said.items():
+        assert make(text.encode()) == ([want.encode()] if want else [])
+    own = toxicity.wordings({"x": [["frobs", "grobs", "blobs of ice"]]}, most=2)
+    assert own(b"Frobs, grobs; women") == [b"grobs, blobs of ice; women", b"blobs of ice, frobs; women"]
+    assert toxicity.wordings({})(b"women") == []
+
+
+def test_toxicity_tells_how_many_texts_were_swapped(spark):
+    docs, labels = labelled_texts(spark, 120)
+    assert toxicity.fit(docs, labels, folds=None).swapped == 0
+    some = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" said the women"))).otherwise(F.col("text")))
+    model = toxicity.fit(some, labels, folds=None)
+    assert (model.texts, model.swapped) == (120, 12)
+
+
+def sparse(rng, n, width, grades, twins=0):
+    """A random sample of sparse rows, the last `twins` of them other wordings of the first."""
+    at = np.argwhere(rng.random((n, width)) < 0.4)
+    twin = np.where(np.arange(n) >= n - twins, np.arange(n) - (n - twins), -1)
+    return tf.Sample(at[:, 0], at[:, 1], rng.random(len(at)), rng.integers(0, grades, n), twin)
+
+
+def rows_of(x, width):
+    out = [[0.0] * width for _ in x.label]
+    for d, f, v in zip(x.doc.tolist(), x.feature.tolist(), x.value.tolist(), strict=True):
+        out[d][f] += v
+    return out
+
+
+def slope(loss, v, h=1e-6):
+    return [(loss([*v[:i], v[i] + h, *v[i + 1 :]]) - loss([*v[:i], v[i] - h, *v[i + 1 :]])) / (2 * h) for i in range(len(v))]
+
+
+def test_toxicity_penalty_is_the_mean_square_of_differences():
+    rng, width = np.random.default_rng(12), 6
+    x = sparse(rng, 40, width, 2, twins=11)
+    rows, weight = rows_of(x, width), np.where(x.twin < 0, np.where(x.label > 0, 8.0, 1.0), 0.0) / 29
+
+    def loss(v):
+        margin = [sum(a * b for a, b in zip(r, v)) + v[-1] for r in rows]
+        out = 0.01 * sum(w * w for w in v[:-1])
+        for m, y, w in zip(margin, x.label.tolist(), weight.tolist()):
+            out += w * (math.log1p(math.exp(-m)) if y else math.log1p(math.exp(m)))
+        gaps = [(margin[i] - margin[t]) ** 2 for i, t in enumerate(x.twin.tolist()) if t >= 0]
+        return out + 3.0 * sum(gaps) / len(gaps)
+
+    v = rng.normal(0, 1, width + 1)
+    assert np.allclose(tf.logistic_gradient(x, v, weight, 0.01, 3.0), slope(loss, v.tolist()), atol=1e-6)
+    w, constant = tf.fit_logistic(x, width, l2=0.01, alike=3.0, yes=8.0, rounds=3_000)
+    assert np.allclose(slope(loss, [*w.tolist(), constant]), 0, atol=1e-5)
+
+
+def test_ordinal_likelihood():
+    """Gradient, fit, expected grade and tail against loops over the cumulative-link likelihood."""
+    rng, width, grades = np.random.default_rng(13), 5, 4
+    x = sparse(rng, 80, width, grades)
+    rows = rows_of(x, width)
+
+    def below(k, margin, cuts):
+        return 0.0 if k < 0 else 1.0 if k >= len(cuts) else 1 / (1 + math.exp(margin - cuts[k]))
+
+    def loss(v):
+        out = 0.02 * sum(w * w for w in v[:width])
+        for r, y in zip(rows, x.label.tolist()):
+            margin = sum(a * b for a, b in zip(r, v))
+            out -= math.log(below(y, margin, v[width:]) - below(y - 1, margin, v[width:])) / len(rows)
+        return out
+
+    v = [*rng.normal(0, 1, width).tolist(), -1.0, 0.2, 1.5]
+    assert np.allclose(ordinal.ordinal_gradient(x, np.array(v), width, 0.02), slope(loss, v), atol=1e-6)
+    w, cuts = ordinal.fit_ordinal(x, width, grades, l2=0.02, rounds=3_000)
+    best = [*w.tolist(), *cuts.tolist()]
+    assert sorted(cuts.tolist()) == cuts.tolist() and np.allclose(slope(loss, best), 0, atol=1e-5)
+    z = list(v)
+    for _ in range(6_000):  # plain descent from elsewhere ends at the same place
+        z = [a - 0.8 * g for a, g in zip(z, ordinal.ordinal_gradient(x, np.array(z), width, 0.02).tolist())]
+    assert np.allclose(best, z, atol=1e-3)
+    tails = ordinal.Ordinal(tf.Linear(ordinal.SPEC, np.zeros(0), np.zeros(0)), cuts).tails(x.times(w))
+    for r, tail in zip(rows, tails.tolist(), strict=True):
+        margin = sum(a * b for a, b in zip(r, best))
+        chance = [below(k, margin, cuts.tolist()) - below(k - 1, margin, cuts.tolist()) for k in range(grades)]
+        assert all(math.isclose(t, sum(chance[k + 1 :]), abs_tol=1e-12) for k, t in enumerate(tail))
+        assert math.isclose(sum(tail), sum(k * c for k, c in enumerate(chance)), abs_tol=1e-12)
+
+
+def test_equal_texts_score_alike(spark):
+    docs, labels = labelled_texts(spark, 200)
+    model = toxicity.fit(docs, labels)
+    graded = ordinal.fit(docs, labels, F.when(F.col("quality") == 0, 0).otherwise(1), 2)
+    long = [(i, text, "en", "a", 0) for i, text in enumerate(["###a " * 500_000, "", None, "x" * 3_000_000, "vilegroba and " * 200_000] * 2)]
+    for table in (odd(spark), spark.createDataFrame(long, SCHEMA), odd(spark).repartition(5)):
+        got = ordinal.grade_texts(toxicity.score(table, model), graded).select(F.coalesce("text", F.lit("")).alias("t"), "toxicity", "expected_grade", "tail_probability", "kept").distinct()
+        assert got.count() == got.select("t").distinct().count()
+
+
 def brute_counts(text):
     text = text or ""
     words = WORD.findall(text)
@@ -344,7 +473,7 @@ def test_ordinal_grades(spark):
     assert model.thresholds[0] < model.thresholds[1]
     got = ordinal.grade_texts(docs, model).join(labels, "doc_id").collect()
     assert np.mean([r["kept"] == (r["quality"] == 1) for r in got]) > 0.97
-    assert all(math.isclose(r["tail_probability"], r["tail_probability"]) and 0 <= r["expected_grade"] <= 2 for r in got)
+    assert all(0 <= r["tail_probability"] <= 1 and r["tail_probability"] <= r["expected_grade"] <= 2 for r in got)
     assert ordinal.grade_texts(odd(spark).withColumn("Kept", F.lit(1)), model).count() == len(ODD)
     assert ordinal.grade_texts(empty(spark), model).count() == 0
     assert len(ordinal.fit(docs, labels.limit(0), grade, 3).thresholds) == 2
@@ -603,20 +732,31 @@ def test_media_that_are_no_pictures(spark):
 # --- licences -------------------------------------------------------------------------------------------------------
 
 
+PLAIN = [(f"g/{i}", f"words of the file {i} and the rest\nof it in line {i} with the version and the terms of use\nthis program is for any purpose {i}") for i in range(50)]
+
+
+def scanned(spark, files, **options):
+    table = spark.createDataFrame([(*f[:2], "clash") for f in [*files, *PLAIN]], "path string, text string, Score string")
+    got = [r for r in licenses.scan(table, **options).collect() if not (r["path"] or "").startswith("g/")]
+    assert len(got) == len(files)
+    return got
+
+
 def test_licenses_match_and_inherit(spark):
-    apache, mit = dict(licenses.TEMPLATES)["Apache-2.0"], dict(licenses.TEMPLATES)["MIT"]
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
     files = [
         ("r/LICENSE", apache), ("r/a.py", "import x"), ("r/s/t/b.py", None), ("r/s/LICENSE.txt", f"\n{mit}\n"), ("r/s/c.py", f"x\n# {apache}\ny"), ("q/d.py", "the license of version"), ("COPYING", "no licence here"),
         (None, mit), (None, "x"), ("r/a.py", "import x"), ("rx/e.py", "import"), ("r/s/COPYING", apache + " and more words that no template has at all, many"),
+        ("t/LICENSE", "MIT License\n\nISC License"), ("t/a", "b"), ("u/v/w/x/y", ""), ("u/COPYING", mit), ("u/LICENSE", mit),
     ]
-    got = licenses.scan(spark.createDataFrame([(*f, "clash") for f in files], "path string, text string, Score string")).collect()
     want = Counter(
         [
             ("r/LICENSE", "Apache-2.0", "r/LICENSE"), ("r/a.py", "Apache-2.0", "r/LICENSE"), ("r/a.py", "Apache-2.0", "r/LICENSE"), ("r/s/t/b.py", "MIT", "r/s/LICENSE.txt"), ("r/s/LICENSE.txt", "MIT", "r/s/LICENSE.txt"),
             ("r/s/c.py", "Apache-2.0", "r/s/c.py"), ("q/d.py", None, None), ("COPYING", None, None), (None, "MIT", None), (None, None, None), ("rx/e.py", None, None), ("r/s/COPYING", "MIT", "r/s/LICENSE.txt"),
+            ("t/LICENSE", "ISC", "t/LICENSE"), ("t/a", "ISC", "t/LICENSE"), ("u/v/w/x/y", "MIT", "u/COPYING"), ("u/COPYING", "MIT", "u/COPYING"), ("u/LICENSE", "MIT", "u/LICENSE"),
         ]
     )
-    assert Counter((r["path"], r["license"], r["found_in"]) for r in got) == want
+    assert Counter((r["path"], r["license"], r["found_in"]) for r in scanned(spark, files)) == want
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
@@ -627,33 +767,99 @@ def commented(text, mark="# ", width=60):
     return "\n".join(mark + x for x in [*lines, line])
 
 
-def test_usual_headers_and_licence_files_are_found(spark):
-    notice, years = "Copyright (c) 2021 Jane Roe", "Copyright 2019 The Frob Authors. All rights reserved."
-    gpl = "\n#\n".join(commented(p) for p in ["Frob " + licenses.GPL_HEADER[0], *licenses.GPL_HEADER[1:]])
+def filled(text, width=70):
+    return commented(text, "", width)
+
+
+#: Licence texts as they stand in projects, each a bit other than its template: names, years, numbering, organisations.
+NOTICE = "Copyright (c) 2015-2021 Jane Roe <jane@example.org> and the Frob contributors"
+BSD_OF_AN_UNIVERSITY = [
+    "Copyright (c) 1992, 1993 The Regents of the University of Frobshire. All rights reserved.",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+]
+MIT_OF_A_FONT = [
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of the Frob fonts and associated documentation files (the "Font Software"), to deal in the Font Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Font Software, and to permit persons to whom the Font Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Font Software.",
+    'THE FONT SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+]
+GPL_PREAMBLE = "The GNU General Public License is a free, copyleft license for software and other kinds of works.\n\nThe licenses for most software and other practical works are designed to take away your freedom to share and change the works."
+GPL_OF_FROB = [
+    "This file is part of Frob.",
+    "Frob is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Frob is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with Frob. If not, see <http://www.gnu.org/licenses/>.",
+]
+APACHE_OF_A_FIRM = [
+    "Copyright 2019 Frob, Inc. All rights reserved.",
+    'Licensed under the Apache License, Version 2.0 (the "License"). You may not use this file except in compliance with the License. A copy of the License is located at https://www.apache.org/licenses/LICENSE-2.0',
+    'or in the "license" file accompanying this file. This file is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+
+
+def test_real_headers_and_licence_files_are_found(spark):
+    """None of these is a template; near misses have much in common with one and are something else."""
+    lesser = [p.replace("GNU General", "GNU Lesser General") for p in GPL_OF_FROB]
     files = [
-        ("a/LICENSE", "\n\n".join(["MIT License", notice, *licenses.MIT_BODY]), "MIT"),
-        ("b/LICENSE", "\n\n".join([notice, *licenses.MIT_BODY]), "MIT"),
-        ("c/LICENSE", "\n\n".join([notice, licenses.BSD_BODY[0], "1. " + licenses.BSD_BODY[1], "3. " + licenses.BSD_BODY[2], licenses.MIT_BODY[2]]), "BSD-3-Clause"),
-        ("d/COPYING", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for software and other kinds of works.", "GPL-3.0"),
-        ("e/LICENSE", "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "Apache-2.0"),
-        ("f/a.py", "#!/usr/bin/env python\n" + commented(years) + "\n#\n" + "\n#\n".join(commented(p) for p in licenses.APACHE_HEADER) + "\n\nimport os\n", "Apache-2.0"),
-        ("f/b.c", "/*\n" + commented([t for n, t in licenses.USUAL if "(ASF)" in t][0], " * ") + "\n */\nint main() {}\n", "Apache-2.0"),
-        ("f/c.py", gpl + "\nimport re\n", "GPL-3.0"),
-        ("f/d.js", commented(" ".join([notice, *licenses.MIT_BODY]), "// ") + "\nlet x = 1;\n", "MIT"),
-        ("a/x/y.py", "# a plain comment\n# of two lines\nx = 1\n", "MIT"), ("f/e.py", "# the license of this is open\nx = 2\n", None),
+        ("a/LICENSE", "\n\n".join(["The MIT License", NOTICE, *map(filled, licenses.MIT_BODY)]), "MIT"), ("b/LICENSE", "\n\n".join([NOTICE, *map(filled, MIT_OF_A_FONT)]), "MIT"),
+        ("c/LICENSE", "\n\n".join(map(filled, BSD_OF_AN_UNIVERSITY)), "BSD-3-Clause"), ("c2/LICENSE", "\n\n".join(map(filled, [*BSD_OF_AN_UNIVERSITY[:4], BSD_OF_AN_UNIVERSITY[5]])), "BSD-2-Clause"),
+        ("d/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <http://fsf.org/>\n\n                            Preamble\n\n" + GPL_PREAMBLE, "GPL-3.0"),
+        ("d2/COPYING", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n\nPreamble\n\nThe licenses for most software are designed to take away your freedom.", "GPL-2.0"),
+        ("d3/COPYING", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nThis version of the license", "LGPL-3.0"),
+        ("e/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        https://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.", "Apache-2.0"),
+        ("e2/LICENSE", filled(NOTICE + " " + " ".join(licenses.ISC_BODY)), "ISC"), ("e3/LICENSE.md", "# Mozilla Public License Version 2.0\n\n1. Definitions", "MPL-2.0"),
+        ("f/a.py", "#!/usr/bin/env python\n" + "\n#\n".join(map(commented, APACHE_OF_A_FIRM)) + "\n\nimport os\n", "Apache-2.0"),
+        ("f/b.c", "/*\n" + commented(licenses.ASF_NOTICE, " * ") + "\n */\nint main() {}\n", "Apache-2.0"),
+        ("f/c.py", "\n#\n".join(map(commented, GPL_OF_FROB)) + "\nimport re\n", "GPL-3.0"), ("f/c2.py", "\n#\n".join(map(commented, lesser)) + "\nimport re\n", "LGPL-3.0"),
+        ("f/d.js", commented(" ".join([NOTICE, *licenses.MIT_BODY]), "// ") + "\nlet x = 1;\n", "MIT"), ("f/e.cc", "// Copyright 2020 The Frob Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.\n", "BSD-3-Clause"),
+        ("f/f.rs", "// SPDX-License-Identifier: MIT\nfn main() {}", "MIT"), ("f/g.h", "/* SPDX-License-Identifier:  GPL-2.0-only */\n#define X", "GPL-2.0"), ("f/h.ts", "<!-- this Source Code Form is subject to the terms of the Mozilla Public\n   - License, v. 2.0. If a copy of the MPL was not distributed with this\n   - file, You can obtain one at http://mozilla.org/MPL/2.0/. -->", "MPL-2.0"),
+        ("a/x/y.py", "# a plain comment\n# of two lines\nx = 1\n", "MIT"),
+        # near misses
+        ("n/a.py", "# the license of this is open\nx = 2\n", None), ("n/b.rs", "// SPDX-License-Identifier: Zlib\nfn main() {}", None), ("n/c.py", "# Licensed under the Apache License, Version 1.1.\n", None),
+        ("n/d.txt", "Permission to enter the building is granted free of charge to any person", None), ("n/e.txt", "The software is provided to all members with a warranty of two years", None),
+        ("n/f.txt", "MIT is a university; its license plates are red and its press has published many books", None), ("n/g.txt", "Licensed under CC BY-SA 3.0.", None), ("n/h.md", "", None),
     ]
-    files += [(f"g/{i}", f"words of the file {i} and the rest\nof it in line {i}", None) for i in range(50)]
-    table = spark.createDataFrame([f[:2] for f in files], "path string, text string")
-    got = {r["path"]: r for r in licenses.scan_files(table).collect()}
+    texts = {t for _, t in licenses.TEMPLATES}
+    assert not any(t in texts for _, t, _ in files)
+    got = {r["path"]: r for r in scanned(spark, files)}
     assert {p: got[p]["license"] for p, _, _ in files} == {p: want for p, _, want in files}
     assert got["a/x/y.py"]["found_in"] == "a/LICENSE" and got["f/c.py"]["found_in"] == "f/c.py"
-    old = {r["path"]: r["license"] for r in licenses.scan(table).collect()}
-    assert sum(old[p] is None for p, _, want in files if want) >= 5
-    assert licenses.scan_files(table.limit(0)).count() == 0
+
+
+def test_license_scores_against_a_loop(spark):
+    """Cosines of all units and templates by plain dictionaries; a very long text and ties among them."""
+    mit = "Released under the MIT License."
+    texts = ["word " * 60_000 + "\n" + mit, f"{mit} {mit} see the file", "MIT License MIT License", None, "", "Licensed under CC BY 4.0. or CC BY-NC 4.0.", "version 2.0 version 2.0\n\nof it"]
+    files = [(f"x/{i}", t) for i, t in enumerate(texts)] + [("y/LICENSE", texts[1]), ("y/COPYING", "\n".join(licenses.MIT_BODY))]
+    got = {r["path"]: (r["license"], r["score"]) for r in scanned(spark, files, least=0.5)}
+    units = {}
+    for path, text in [*files, *PLAIN]:
+        lines = (text or "").split("\n")
+        units[path] = [licenses.terms_of(x) for x in lines + ([text, *re.split(r"\n\s*\n", text)] if path.startswith("y/") else [])]
+    df = Counter(w for us in units.values() for u in us for w in u)
+    n = sum(bool(u) for us in units.values() for u in us)
+    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1
+
+    def cosine(u, t):
+        size = lambda x: math.sqrt(sum((c * idf(w)) ** 2 for w, c in x.items()))
+        return round(sum(c * t[w] * idf(w) ** 2 for w, c in u.items() if w in t) / (size(u) * size(t)), 6)
+
+    for path, _ in files:
+        scored = [(-cosine(u, licenses.terms_of(t)), name) for u in units[path] if u for name, t in licenses.TEMPLATES]
+        least = min([s for s in scored if s[0] <= -0.5], default=(None, None))
+        assert got[path] == (least[1], least[0] and -least[0]), path
 
 
 def test_license_files_pass_on_from_the_nearest_directory(spark, tmp_path):
     said = {6: "a\nReleased under the MIT License.", 1: "b\nLicensed under CC BY-NC 4.0.", 2: "c\nLicensed under the Apache License, Version 2.0."}
     spark.createDataFrame([(i, said.get(i, f"text {i}"), "en", "s", 1) for i in (*said, 50, 150, 1150)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["license"], r["found_in"]) for r in queries.op10_license_files(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["license"], r["found_in"]) for r in queries.op10_licenses(spark, str(tmp_path)).collect()}
     assert (got[50], got[150], got[1150]) == (("Apache-2.0", "s/0/0/LICENSE-2"), ("CC-BY-NC-4.0", "s/0/LICENSE-1"), ("MIT", "s/LICENSE-6"))
+
+
+def test_license_scans_have_no_python_in_their_plan(spark):
+    plan = licenses.scan(spark.createDataFrame([("a/b", "MIT License")], "path string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
