@@ -171,11 +171,11 @@ placed AS (
   SELECT *, array_to_string(parts[1:CASE WHEN whole THEN doc_id % 3 + 1 ELSE 3 END], '/') AS dir,
          array_to_string(parts[1:CASE WHEN whole THEN doc_id % 3 + 1 ELSE 3 END], '/') || CASE WHEN whole THEN '/LICENSE-' ELSE '/' END || doc_id AS path
   FROM files),
-lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM placed),
-said AS (SELECT r, min(at) AS said FROM lines WHERE trim(line) <> '' AND NOT regexp_matches(line, {quoted(licenses.COMMENT)}) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM placed),
+said AS (SELECT r, min(pos) AS said FROM lines WHERE trim(line) <> '' AND NOT regexp_matches(line, {quoted(licenses.COMMENT)}) GROUP BY r),
 headers AS (
-  SELECT r, string_agg(regexp_replace(line, {quoted(licenses.MARKS)}, '', 'g'), chr(10) ORDER BY at) AS header
-  FROM lines LEFT JOIN said USING (r) WHERE at < coalesce(said, at + 1) GROUP BY r),
+  SELECT r, string_agg(regexp_replace(line, {quoted(licenses.MARKS)}, '', 'g'), chr(10) ORDER BY pos) AS header
+  FROM lines LEFT JOIN said USING (r) WHERE pos < coalesce(said, pos + 1) GROUP BY r),
 units AS (
   SELECT r, unit, row_number() OVER () AS u FROM (
     SELECT r, line AS unit FROM lines
