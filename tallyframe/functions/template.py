@@ -43,6 +43,13 @@ def unknown_columns(templates: Iterable[str], df: DataFrame, ignored: Iterable[s
     return list(dict.fromkeys(t for template in templates for t, is_name in parts(template) if is_name and t not in known))
 
 
+def unknown_in(df: DataFrame, template: str, order: str, known: Iterable[str]) -> DataFrame:
+    """(name, templates, first): names in templates that are rows which are neither columns nor otherwise known, with the
+    number of templates that have each and the first of these."""
+    named = df.select(F.col(order).alias("at"), F.explode(F.array_except(placeholders(F.col(template)), F.array(*[F.lit(k) for k in known]))).alias("name"))
+    return named.groupBy("name").agg(F.count("*").alias("templates"), F.min("at").alias("first"))
+
+
 def placeholders(template: Column) -> Column:
     """Names in a template, each once; none that is empty or has a `{`."""
     return F.filter(F.array_distinct(F.regexp_extract_all(template, F.lit("[{]([^}]*)[}]"))), lambda x: (x != "") & ~F.contains(x, F.lit("{")))

@@ -5,7 +5,7 @@ Words are rows (sheet, line, word_no, text, x, y, w, h); lines are told apart by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import squash, within
@@ -21,38 +21,47 @@ def placed_words(df: DataFrame, sheet: str, text: str, line_height: float = 5.0,
     return words.select("sheet", "line", "word_no", "text", x.alias("x"), (F.col("line") * line_height).alias("y"), (F.length("text") * letter).alias("w"), F.lit(line_height * 0.7).alias("h")).filter("text <> ''")
 
 
-def phrase_hits(words: DataFrame, phrase: str, errors: int, most_words: int = 8) -> DataFrame:
+def keyed(words: DataFrame, reach: int) -> DataFrame:
+    """The words that have letters or figures, with what follows them in their line up to `reach` characters on: `ahead`,
+    from the word itself on, as (word_no, right, key). Words of marks only have no key and stand in no one's way.
+
+    A run that begins at a word can't come to a key once the words before its last one are longer than the key, so the
+    frame is bounded by the key and not by a number of words.
+    """
+    rows = words.select("sheet", "line", "word_no", "x", "y", "w", squash(F.col("text")).alias("key")).filter("key <> ''")
+    line = Window.partitionBy("sheet", "line").orderBy("word_no")
+    rows = rows.withColumn("at", F.sum(F.length("key")).over(line) - F.length("key"))
+    frame = Window.partitionBy("sheet", "line").orderBy("at").rangeBetween(0, reach)
+    return rows.withColumn("ahead", F.collect_list(F.struct("word_no", (F.col("x") + F.col("w")).alias("right"), "key")).over(frame))
+
+
+def joined_keys(ahead: Column, k: Column) -> Column:
+    return F.array_join(F.transform(F.slice(ahead, 1, k), lambda s: s["key"]), "")
+
+
+def phrase_hits(words: DataFrame, phrase: str, errors: int) -> DataFrame:
     """(sheet, line, first, last, x, right, y): runs of words of a line that come to the phrase within `errors` edits, the
-    shortest for each start. Keys are letters and figures only, so runs grow over punctuation."""
+    shortest for each start, however many words that is. Keys are letters and figures only, so runs grow over
+    punctuation, and a phrase is found that is spelled out letter by letter."""
     key = "".join(c for c in phrase if c.isalnum()).lower()
-    w = Window.partitionBy("sheet", "line").orderBy("word_no")
-    rows = words.select("sheet", "line", "word_no", "x", "y", "w", squash(F.col("text")).alias("key"))
-    ahead = rows
-    for k in range(1, most_words):
-        ahead = ahead.withColumn(f"k{k}", F.lead("key", k).over(w)).withColumn(f"r{k}", F.lead(F.col("x") + F.col("w"), k).over(w)).withColumn(f"n{k}", F.lead("word_no", k).over(w))
-    runs, joined = [], F.col("key")
-    for k in range(most_words):
-        if k:
-            joined = F.concat(joined, F.col(f"k{k}"))
-        right, last = (F.col(f"r{k}"), F.col(f"n{k}")) if k else (F.col("x") + F.col("w"), F.col("word_no"))
-        good = (F.col("key") != "") & within(joined, F.lit(key), errors)
-        runs.append(F.when(F.coalesce(good, F.lit(False)), F.struct(F.lit(k).alias("k"), last.alias("last"), right.alias("right"))))
-    best = F.array_min(F.array_compact(F.array(*runs)))
-    return ahead.withColumn("hit", best).filter("hit IS NOT NULL").select("sheet", "line", F.col("word_no").alias("first"), F.col("hit.last").alias("last"), "x", F.col("hit.right").alias("right"), "y")
-
-
-def label_hits(words: DataFrame, labels: list[str], most_words: int = 8) -> DataFrame:
+    rows = keyed(words, len(key) + errors)
+    numbers = F.sequence(F.lit(1), F.size("ahead"))
+    good = lambda k: F.length(joined_keys(F.col("ahead"), k)).between(len(key) - errors, len(key) + errors) & F.coalesce(within(joined_keys(F.col("ahead"), k), F.lit(key), errors), F.lit(False))
+    rows = rows.withColumn("k", F.array_min(F.filter(numbers, good))).filter("k IS NOT NULL").withColumn("end", F.element_at("ahead", F.col("k")))
+    return rows.select("sheet", "line", F.col("word_no").alias("first"), F.col("end.word_no").alias("last"), "x", F.col("end.right").alias("right"), "y")
+
+
+def label_hits(words: DataFrame, labels: list[str]) -> DataFrame:
     """As `phrase_hits` without errors, for several phrases in one pass over the words; `field_no` is a phrase's number.
 
-    Every run of up to `most_words` words is made once and looked up in the list of phrases; lines stay where they are.
+    Every run of words that is no longer than the longest phrase is made once and looked up in the list of phrases;
+    lines stay where they are.
     """
     keys: dict[str, list[int]] = {}
     for i, label in enumerate(labels):
         keys.setdefault("".join(c for c in label if c.isalnum()).lower(), []).append(i)
-    w = Window.partitionBy("sheet", "line").orderBy("word_no")
-    ahead = F.collect_list(F.struct("word_no", (F.col("x") + F.col("w")).alias("right"), F.col("key"))).over(w.rowsBetween(0, most_words - 1))
-    rows = words.select("sheet", "line", "word_no", "x", "y", "w", squash(F.col("text")).alias("key")).withColumn("ahead", ahead).filter("key <> ''")
-    run = lambda k: F.struct(F.array_join(F.transform(F.slice("ahead", 1, k), lambda s: s["key"]), "").alias("key"), k.alias("k"), F.element_at("ahead", k)["word_no"].alias("last"), F.element_at("ahead", k)["right"].alias("right"))
+    rows = keyed(words, max(map(len, keys)))
+    run = lambda k: F.struct(joined_keys(F.col("ahead"), k).alias("key"), k.alias("k"), F.element_at("ahead", k)["word_no"].alias("last"), F.element_at("ahead", k)["right"].alias("right"))
     runs = rows.select("sheet", "line", "word_no", "x", "y", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), run)).alias("r")).filter(F.col("r.key").isin(*keys))
     found = runs.groupBy("sheet", "line", "word_no", F.col("r.key").alias("key")).agg(F.min(F.struct("r.k", "r.last", "r.right", "x", "y")).alias("h"))
     numbers = F.create_map(*[v for k, ns in keys.items() for v in (F.lit(k), F.array(*[F.lit(n) for n in ns]))])

@@ -5,24 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.islands import upper_median
+from tallyframe.operators.tables import written
+
+
+#: Values of a group that may be put in order, and the parts in which more of them are summarised to leave fewer.
+MOST, PARTS = 100_000, 1_000
+
+
+def elements(df: DataFrame, by: list[str], x: str, at: dict[str, Column]) -> DataFrame:
+    """(by, n, one column for each of `at`): elements of each group's sorted values, nulls left out, by index from 0. `at`
+    gives the index as an expression of `n`; null where there is no such element.
+
+    No group of over `MOST` values is sorted: a mergeable summary of the values between the bounds known so far gives
+    closer bounds around an element, again and again, each time some thousandths of what there was. Values below the
+    bounds are counted, and those between are put in order, each distinct one once.
+    """
+    names = list(at)
+    # Columns of our own, which no group column is called like.
+    x_, no, i, low, high, held, below = (F.col(f"__{c}") for c in ("x", "no", "i", "low", "high", "held", "below"))
+    rows = df.select(*by, F.col(x).alias("__x")).filter("__x IS NOT NULL")
+    counts = written(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(x_).alias("__low"), F.max(x_).alias("__high")), "counts")
+    index = F.explode(F.array(*[F.struct(F.lit(k).alias("__no"), at[c].cast("long").alias("__i")) for k, c in enumerate(names)]))
+    bounds = counts.withColumn("__e", index).select(*by, "__e.__no", "__e.__i", "__low", "__high", F.col("n").alias("__held")).filter("__i BETWEEN 0 AND __held - 1")
+    while not bounds.filter(held > MOST).isEmpty():
+        between = F.when(x_ >= low, x_)
+        seen = rows.join(bounds.filter(held > MOST).drop("__held"), by).filter(x_ <= high).groupBy(*by, "__no", "__i", "__low", "__high").agg(
+            F.count_if(x_ < low).alias("__below"), F.count(between).alias("__held"), F.percentile_approx(between, [k / PARTS for k in range(PARTS + 1)], 20 * PARTS).alias("__marks")
+        )
+        first = F.floor((i - below) * PARTS / held).cast("int") - 1
+        last = F.ceil((i - below + 1) * PARTS / held).cast("int") + 1
+        closer = seen.select(*by, "__no", "__i", F.when(first > 0, F.get("__marks", first)).otherwise(low).alias("__low"), F.when(last < PARTS, F.get("__marks", last)).otherwise(high).alias("__high"), F.ceil(held * 5 / PARTS).alias("__held"))
+        bounds = written(bounds.filter(held <= MOST).unionByName(closer), "bounds")
+    # Values below count under null, and those above play no part.
+    tally = rows.join(bounds.drop("__held"), by).filter(x_ <= high).groupBy(*by, "__no", "__i", F.when(x_ >= low, x_).alias("__value")).agg(F.count("*").alias("__held"))
+    ranked = tally.withColumn("__up_to", F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy(F.asc_nulls_first("__value"))))
+    found = ranked.filter("__value IS NOT NULL AND __up_to > __i").groupBy(*by).agg(*[F.min(F.when(no == k, F.col("__value"))).alias(c) for k, c in enumerate(names)])
+    return counts.select(*by, "n").join(found, by, "left")
+
+
+def part_of(p: int, q: int) -> Column:
+    """The index of the element that p/q of a group's values lie before."""
+    return F.floor(F.col("n") * p / q)
 
 
 def indexed_quantiles(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """(n, lower, median, upper): elements of the sorted values at a quarter, a half, three quarters, by index."""
-    w = Window.partitionBy(*by).orderBy(x)
-    ranked = df.select(*by, x).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    pick = lambda p, q: F.max(F.when(F.col("i") == F.floor(F.col("n") * p / q), F.col(x)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pick(1, 4).alias("lower"), pick(1, 2).alias("median"), pick(3, 4).alias("upper"))
+    return elements(df, by, x, {"lower": part_of(1, 4), "median": part_of(1, 2), "upper": part_of(3, 4)})
 
 
-def trimmed_deviation(values: Column) -> Column:
-    """Mean of |x - median| / median of a sorted list without its first and last tenth; null below 12 values."""
-    n, middle = F.size(values), upper_median(values)
-    cut = F.floor(n / 10).cast("int")
-    kept = F.slice(values, cut + 1, n - 2 * cut)
-    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.abs(x - middle) / middle)
-    return F.when(n >= 12, total / (n - 2 * cut))
+def trimmed_deviation(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, deviation): mean of |x - median| / median of each group's sorted values without the first and last tenth;
+    null below 12 values. Of values that equal the last one cut off, as many count as are left."""
+    cut = F.floor(F.col("n") / 10)
+    ends = elements(df, by, x, {"median": part_of(1, 2), "first": cut, "last": F.col("n") - 1 - cut})
+    off = lambda v: F.abs(v - F.col("median")) / F.col("median")
+    v = F.col(x)
+    inner = (v > F.col("first")) & (v < F.col("last"))
+    got = df.filter(v.isNotNull()).join(ends, by).groupBy(*by, "n", "median", "first", "last").agg(F.sum(F.when(inner, off(v)).otherwise(0.0)).alias("inner"), F.count_if(v <= F.col("first")).alias("up_to"), F.count_if(v < F.col("last")).alias("below"))
+    left = F.col("n") - 2 * cut
+    total = F.when(F.col("first") == F.col("last"), left * off(F.col("first"))).otherwise(F.col("inner") + (F.col("up_to") - cut) * off(F.col("first")) + (F.col("n") - cut - F.col("below")) * off(F.col("last")))
+    return got.select(*by, F.when(F.col("n") >= 12, total / left).alias("deviation"))
 
 
 def line(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -40,18 +82,27 @@ def robust_points(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3,
     """The points of a line refitted up to `rounds` times without points that miss it by over `outlier` times the upper median miss.
 
     Refitting a group ends when nothing is dropped, when fewer than three points would be left, or when its median
-    miss is 0; its last fit stands. Points dropped once stay away.
+    miss is 0; its last fit stands. Points dropped once stay away. What a round finds is a line and a limit for each
+    group, a small table; points are judged by all rounds so far as they are read, and groups are not gathered.
     """
-    kept = df.select(*by, x, y)
+    points = df.select(*by, x, y)
+    empty = F.array().cast("array<struct<slope:double,intercept:double,limit:double>>")
+    judges = points.select(*by).distinct().withColumn("judges", empty)
+
+    def kept() -> DataFrame:
+        miss = lambda j: F.abs(F.col(y) - (j["slope"] * F.col(x) + j["intercept"]))
+        return points.join(judges, by).filter(F.forall("judges", lambda j: F.coalesce(miss(j) <= j["limit"], F.lit(True)))).select(*by, x, y)
+
     for _ in range(rounds):
-        judged = kept.join(line(kept, by, x, y).drop("n"), by).withColumn("miss", residual(x, y))
-        w = Window.partitionBy(*by)
-        ranked = judged.withColumn("i", F.row_number().over(w.orderBy("miss")) - 1).withColumn("n", F.count("*").over(w))
-        median = F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("miss"))).over(w)
-        ranked = ranked.withColumn("far", F.coalesce(F.col("miss") > outlier * median, F.lit(False)) & (median > 0))
-        left = F.sum((~F.col("far")).cast("int")).over(w)
-        kept = ranked.withColumn("left", left).filter(~F.col("far") | (F.col("left") < 3)).select(*by, x, y)
-    return kept
+        fitted = written(line(kept(), by, x, y).drop("n"), "lines")
+        judged = kept().join(fitted, by).withColumn("miss", residual(x, y))
+        median = elements(judged, by, "miss", {"median": part_of(1, 2)})
+        limit = F.when(F.col("median") > 0, outlier * F.col("median"))
+        limited = written(fitted.join(median.select(*by, limit.alias("limit")), by, "left"), "limits")
+        left = kept().join(limited, by).withColumn("miss", residual(x, y)).groupBy(*by).agg(F.count_if(F.coalesce(F.col("miss") <= F.col("limit"), F.lit(True))).alias("left"))
+        one = F.struct("slope", "intercept", F.when(F.col("left") >= 3, F.col("limit")).alias("limit"))
+        judges = written(judges.join(limited.join(left, by), by).select(*by, F.array_append("judges", one).alias("judges")), "judges")
+    return kept()
 
 
 def robust_line(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3, outlier: float = 4.0) -> DataFrame:
@@ -63,8 +114,8 @@ def edge_angle(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Degrees an edge leans, from a line refitted once without points off by over max(3 mean misses, 2); 16 needed."""
     first = line(df, by, x, y).filter("n >= 16")
     judged = df.select(*by, x, y).join(first.drop("n"), by).withColumn("miss", residual(x, y))
-    limit = F.greatest(3 * F.avg("miss").over(Window.partitionBy(*by)), F.lit(2.0))
-    kept = judged.withColumn("limit", limit).filter("miss <= limit").select(*by, x, y)
+    limits = judged.groupBy(*by).agg(F.greatest(3 * F.avg("miss"), F.lit(2.0)).alias("limit"))
+    kept = judged.join(limits, by).filter("miss <= limit").select(*by, x, y)
     again = line(kept, by, x, y).select(*by, F.when(F.col("n") >= 16, F.col("slope")).alias("again"))
     return first.join(again, by, "left").select(*by, (-F.degrees(F.atan(F.coalesce("again", "slope")))).alias("degrees"))
 

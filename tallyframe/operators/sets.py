@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.tables import written
+
 
 def all_equal(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
     """Null-safe equality of columns that both have."""
@@ -67,6 +69,50 @@ def merge_config(mine: DataFrame, theirs: DataFrame, key: str, value: str, repla
     return both.select(F.coalesce("k", "k2").alias(key), chosen.alias(value), outcome.alias("outcome"))
 
 
+def tidied(code: Column, maker: str) -> Column:
+    """A code without case, blanks, dashes, underscores and the maker's name before it."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(code)), "[ _-]", ""), f"^{maker}", "")
+
+
+def by_code(asked: DataFrame, code: str, stock: DataFrame, own: str, also: str, order: str, maker: str) -> DataFrame:
+    """Each asked row with the `order` of the first stock that has its code, as its own or among those it is also sold
+    under; null where none has."""
+    names = stock.select(F.col(order), F.explode(F.array_append(F.col(also), F.col(own))).alias("name"))
+    first = names.groupBy(tidied(F.col("name"), maker).alias("__key")).agg(F.min(order).alias(order))
+    return asked.withColumn("__key", tidied(F.col(code), maker)).join(first, "__key", "left").drop("__key")
+
+
+def by_name(asked: DataFrame, wanted: str, names: DataFrame, name: str, order: str) -> DataFrame:
+    """(wanted, order): each distinct wanted name with the first of `names` that is the same but for case and what is
+    no letter or figure; else the first that has it inside; null where none has. A name without letters finds nothing.
+
+    What a name could be inside of is looked for by a piece of up to three characters of it, the one that fewest names
+    have; so only those are compared.
+    """
+    from tallyframe.functions.text import squash
+
+    keys = written(asked.select(F.col(wanted).alias("wanted"), squash(F.col(wanted)).alias("key")).distinct(), "wanted")
+    known = written(names.groupBy(squash(F.col(name)).alias("name")).agg(F.min(order).alias("first")).filter("name <> ''"), "names")
+    exact = keys.join(known, F.col("key") == F.col("name")).select("wanted", F.col("first").alias("exact"))
+    rest = keys.join(exact, "wanted", "left_anti").filter("key <> ''")
+    pieces = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n))
+    long = F.least(F.length("key"), F.lit(3))
+    held = known.select("name", "first", F.explode(F.flatten(F.array(*[F.when(F.length("name") >= n, pieces(F.col("name"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))).alias("piece")).distinct()
+    rare = held.groupBy("piece").agg(F.count("*").alias("n"))
+    asks = rest.select("wanted", "key", F.explode(F.array_distinct(pieces(F.col("key"), long))).alias("piece")).join(rare, "piece").groupBy("wanted", "key").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count("*").alias("met"), F.first(F.size(F.array_distinct(pieces(F.col("key"), long)))).alias("all"))
+    inside = asks.filter("met = all").join(held, "piece").filter(F.contains("name", "key")).groupBy("wanted").agg(F.min("first").alias("inside"))
+    return keys.join(exact, "wanted", "left").join(inside, "wanted", "left").select(F.col("wanted").alias(wanted), F.coalesce("exact", "inside").alias(order))
+
+
+def for_every(df: DataFrame, kind: str, every: str) -> DataFrame:
+    """Rows by `target`, each kind that occurs: a kind's own rows, and the rows of kind `every` for each other one too."""
+    own = df.withColumn("target", F.col(kind))
+    # The kinds are one row, a list of distinct names, whatever the number of rows.
+    kinds = df.filter(F.col(kind) != every).agg(F.collect_set(kind).alias("__kinds"))
+    shared = df.filter(F.col(kind) == every).crossJoin(F.broadcast(kinds)).withColumn("target", F.explode("__kinds")).drop("__kinds")
+    return own.unionByName(shared)
+
+
 def latest_match(asked: DataFrame, log: DataFrame, key: str, order: str, payload: list[str]) -> DataFrame:
     """Each asked row with the payload of the newest log entry of its key, and `known`; unknown ones stay."""
     newest = log.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*payload), order).alias("__last"))
@@ -99,6 +145,38 @@ def grid_anti(left: DataFrame, right: DataFrame, page: str, radius: int) -> Data
     return left.join(wide, [page, "x", "y"], "left_anti")
 
 
+def containing(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, wanted_col: str, inner: int = 8) -> DataFrame:
+    """(item, id): documents that have an item's whole text somewhere in theirs; an empty or null text is nowhere.
+
+    Documents are asked for by a run of words of the item: its first `inner` words, or all it has, but for its own first and
+    last word, as these may be parts of longer ones. Items without three words are asked for by their first letters,
+    four at most. What goes through the join are hashes of runs and ids; texts are then read once more, those of
+    candidates only, and compared as a whole.
+    """
+    parts = F.split(F.col("wanted"), " ")
+    wanted = items.select(F.col(item_col).alias("item"), F.col(wanted_col).alias("wanted")).filter("wanted <> ''").withColumn("n", F.greatest(F.least(F.size(parts) - 2, F.lit(inner)), F.lit(0)))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    letters = F.least(F.length("wanted"), F.lit(4))
+    keyed = wanted.withColumn("kind", F.when(F.col("n") > 0, F.col("n")).otherwise(-letters)).withColumn("key", F.when(F.col("n") > 0, F.xxhash64(hashed(F.slice(parts, 2, F.col("n"))))).otherwise(F.xxhash64(F.substr("wanted", F.lit(1), letters))))
+    keyed = written(keyed.select("item", "wanted", "kind", "key"), "items")
+    kinds = [r["kind"] for r in keyed.select("kind").distinct().collect()]  # `inner` and four lengths at most
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not kinds:
+        return keyed.select(F.col("item").alias(item_col)).join(texts.select(F.col("id").alias(id_col)).limit(0), F.lit(False))
+
+    def runs(kind: int) -> Column:
+        if kind > 0:
+            return F.transform(F.sequence(F.lit(1), F.size("hashes") - kind + 1), lambda i: F.xxhash64(F.slice("hashes", i, kind)))
+        return F.transform(F.sequence(F.lit(1), F.length("text") + kind + 1), lambda i: F.xxhash64(F.substr("text", i, F.lit(-kind))))
+
+    long = lambda k: F.size("hashes") >= k if k > 0 else F.length("text") >= -k
+    each = [F.when(long(k), F.transform(F.array_distinct(runs(k)), lambda key: F.struct(F.lit(k).alias("kind"), key.alias("key")))).otherwise(F.array().cast("array<struct<kind:int,key:bigint>>")) for k in kinds]
+    met = texts.withColumn("hashes", hashed(F.split("text", " "))).select("id", F.explode(F.flatten(F.array(*each))).alias("r")).select("id", "r.kind", "r.key")
+    asked = written(met.join(keyed.select("item", "kind", "key"), ["kind", "key"]).select("id", "item").distinct(), "candidates")
+    found = texts.join(asked, "id").join(keyed.select("item", "wanted"), "item").filter(F.contains("text", "wanted"))
+    return found.select(F.col("item").alias(item_col), F.col("id").alias(id_col)).distinct()
+
+
 def shared_targets(df: DataFrame, target: str, source: str) -> DataFrame:
     """Targets that more than one source would write, whatever their case."""
     return df.groupBy(F.lower(target).alias("target")).agg(F.sort_array(F.collect_set(source)).alias("sources")).filter(F.size("sources") > 1)
@@ -121,22 +199,6 @@ def merge_entities(df: DataFrame, keys: list[Column], worth: Column, order: str,
     return rows.groupBy(*[f"key{i}" for i in range(len(keys))]).agg(*best, F.count("*").alias("seen"))
 
 
-def tolerance_distinct(df: DataFrame, group: str, order: str, x: str, y: str, tolerance: float) -> DataFrame:
-    """In each group the rows, in order, that are farther than the tolerance from every earlier one kept, in x or y.
-
-    What is kept depends on what was kept before, so a group is walked through; the state is one list of representatives.
-    """
-
-    def far(held: Column, p: Column) -> Column:
-        close = F.exists(held, lambda r: (F.abs(r["x"] - p["x"]) <= tolerance) & (F.abs(r["y"] - p["y"]) <= tolerance))
-        return F.when(close, held).otherwise(F.array_append(held, p))
-
-    point = F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    empty = F.array().cast("array<struct<o:bigint,x:double,y:double>>")
-    kept = df.groupBy(group).agg(F.sort_array(F.collect_list(point)).alias("points")).select(group, F.aggregate("points", empty, far).alias("kept"))
-    return kept.select(group, F.explode("kept").alias("p")).select(group, F.col("p.o").alias(order), F.col("p.x").alias(x), F.col("p.y").alias(y))
-
-
 def newest(df: DataFrame, by: list[str], order: str, keep: int) -> DataFrame:
     """The last `keep` rows of each group."""
     w = Window.partitionBy(*by).orderBy(F.desc(order))

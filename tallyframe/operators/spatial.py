@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.components import components
 from tallyframe.operators.tables import written
 
 
@@ -62,29 +67,84 @@ def steps_around() -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])
 
 
-def roots(squares: DataFrame, by: str, rounds: int = 200) -> DataFrame:
+#: Squares along the side of a tile; a tile's squares are united in one pass.
+TILE = 64
+
+
+def within_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Squares (page, tx, ty, gx, gy), sorted by tile -> each with the first square, in reading order, of its part of
+    the tile. A tile has TILE * TILE squares at most, so what is held is bounded."""
+    held: list[pa.RecordBatch] = []
+
+    def told(rows: pa.Table, page: np.ndarray) -> pa.RecordBatch:
+        tx, ty, gx, gy = (rows[c].to_numpy() for c in ("tx", "ty", "gx", "gy"))
+        new = np.ones(len(gx), dtype=bool)
+        new[1:] = (page[1:] != page[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])
+        tile = np.cumsum(new)
+        # A code of the place inside its tile, with a rim, so that neighbours differ by fixed steps; in reading order.
+        code = (tile * (TILE + 2) + (gy - ty * TILE) + 1) * (TILE + 2) + (gx - tx * TILE) + 1
+        order = np.argsort(code)
+        sorted_, name = code[order], np.arange(len(code))
+        pairs = []
+        for step in (1, TILE + 1, TILE + 2, TILE + 3):
+            at = np.minimum(np.searchsorted(sorted_, sorted_ + step), len(sorted_) - 1)
+            hit = np.flatnonzero((sorted_[at] == sorted_ + step) & (tile[order[at]] == tile[order]))
+            pairs.append((hit, at[hit]))
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        while True:  # take the least name of the two, then the name's own name, until all neighbours agree
+            low = np.minimum(name[a], name[b])
+            if np.array_equal(name[a], name[b]):
+                break
+            np.minimum.at(name, name[a], low)
+            np.minimum.at(name, name[b], low)
+            while not np.array_equal(name, name[name]):
+                name = name[name]
+        first = np.empty(len(code), dtype=np.int64)
+        first[order] = order[name]
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("page", "gx", "gy")), pa.array(gx[first]), pa.array(gy[first])], names=["page", "gx", "gy", "rx", "ry"])
+
+    def codes(rows: pa.Table) -> np.ndarray:
+        return rows["page"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if not len(rows):
+            continue
+        page = codes(rows)
+        tx, ty = rows["tx"].to_numpy(), rows["ty"].to_numpy()
+        last = np.flatnonzero((page != page[-1]) | (tx != tx[-1]) | (ty != ty[-1]))
+        whole = int(last[-1]) + 1 if len(last) else 0  # the last tile may go on
+        if whole:
+            yield told(rows.slice(0, whole), page[:whole])
+        held = rows.slice(whole).to_batches()
+    rows = pa.Table.from_batches(held) if held else None
+    if rows is not None and len(rows):
+        yield told(rows.combine_chunks(), codes(rows))
+
+
+def roots(squares: DataFrame, by: str) -> DataFrame:
     """(by, gx, gy, root) of distinct squares: the first square, in reading order, of those that hang together, corners
     included.
 
-    Squares pass on the smallest name among their neighbours, and then that of the square they are named after, until
-    nothing changes; each round is written to the shared folder.
+    Squares are united inside tiles first, in one pass; only links between squares at the rims of neighbouring tiles
+    then go through rounds of joins. So rounds and what they move follow the tiles that a region crosses, not its
+    squares.
     """
-    held = squares.select(by, "gx", "gy", F.struct("gy", "gx").alias("root"))
-    for _ in range(rounds):
-        spread = held.select(by, "root", F.explode(steps_around()).alias("s"), "gx", "gy").select(by, (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"), "root")
-        least_near = spread.groupBy(by, "gx", "gy").agg(F.min("root").alias("near"))
-        new = held.join(least_near, [by, "gx", "gy"]).select(by, "gx", "gy", F.least("root", "near").alias("near"), "root")
-        # The square that a name stands for may know a smaller one already.
-        jump = new.select(F.col(by).alias("jb"), F.struct("gy", "gx").alias("jn"), F.col("near").alias("far"))
-        new = written(new.join(jump, (new[by] == jump["jb"]) & (new["near"] == jump["jn"])).select(by, "gx", "gy", F.least("near", "far").alias("root"), (F.least("near", "far") < F.col("root")).alias("moved")), "roots")
-        moved = new.filter("moved").limit(1).count()
-        held = new.drop("moved")
-        if not moved:
-            return held
-    raise RuntimeError(f"regions did not settle in {rounds} rounds")
-
-
-def regions(cells: DataFrame, by: str, cell: int, least: int = 0, rounds: int = 200) -> DataFrame:
+    kind = squares.schema[by].dataType.simpleString()
+    tiled = squares.select(F.col(by).alias("page"), F.floor(F.col("gx") / TILE).alias("tx"), F.floor(F.col("gy") / TILE).alias("ty"), F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"))
+    tiled = tiled.repartition("page", "tx", "ty").sortWithinPartitions("page", "tx", "ty")
+    inside = written(tiled.mapInArrow(within_tiles, f"page {kind}, gx long, gy long, rx long, ry long").select("page", "gx", "gy", F.struct("page", F.col("ry").alias("gy"), F.col("rx").alias("gx")).alias("part")), "tiles")
+    mx, my = F.pmod("gx", F.lit(TILE)), F.pmod("gy", F.lit(TILE))
+    rim = inside.filter((mx == 0) | (mx == TILE - 1) | (my == 0) | (my == TILE - 1))
+    near = rim.select("page", F.explode(steps_around()).alias("s"), "gx", "gy", "part").select("page", (F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"), F.col("part").alias("a"))
+    links = near.join(rim.withColumnRenamed("part", "b"), ["page", "gx", "gy"]).filter("a <> b").select("a", "b")
+    found = components(links)
+    out = inside.join(found, inside["part"] == found["node"], "left").withColumn("first", F.coalesce("root", "part"))
+    return out.select(F.col("page").alias(by), "gx", "gy", F.struct(F.col("first.gy").alias("gy"), F.col("first.gx").alias("gx")).alias("root"))
+
+
+def regions(cells: DataFrame, by: str, cell: int, least: int = 0) -> DataFrame:
     """(by, x0, y0, x1, y1, n): connected regions of points on a coarse grid of squares `cell` wide, corners included.
 
     Regions of fewer than `least` points are left out.
@@ -92,7 +152,7 @@ def regions(cells: DataFrame, by: str, cell: int, least: int = 0, rounds: int =
     x, y = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
     squares = cells.groupBy(F.col(by), x.alias("gx"), y.alias("gy")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("n"))
     squares = written(squares, "squares")
-    held = roots(squares, by, rounds)
+    held = roots(squares, by)
     whole = squares.join(held, [by, "gx", "gy"]).groupBy(by, "root").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
     return whole.filter(F.col("n") >= least).drop("root")
 
@@ -123,18 +183,21 @@ def blobs(raster: DataFrame, by: str, ink: int, paper: int) -> DataFrame:
     return seen.groupBy(by, "label").agg(F.count(F.when(mine, 1)).alias("n"), centre(x).alias("cx"), centre(y).alias("cy"), F.max(F.col("level").isNull()).alias("clipped"))
 
 
-def merged_boxes(boxes: DataFrame, by: str, width: float, rounds: int = 100) -> DataFrame:
-    """Boxes (by, id, x0, y0, x1, y1) with those that overlap put together, again and again until none do."""
+def merged_boxes(boxes: DataFrame, by: str, width: float) -> DataFrame:
+    """Boxes (by, id, x0, y0, x1, y1) with those that overlap put together, again and again until none do.
+
+    A round puts together all boxes that hang together by overlaps, so the next one has only to see to what the larger
+    boxes now touch; there are fewer boxes each time, so it ends.
+    """
     held = written(boxes, "boxes")
-    for _ in range(rounds):
-        pairs = overlapping(held, held, by, width).filter("a <> b")
-        least_ = pairs.groupBy(by, F.col("a").alias("id")).agg(F.min("b").alias("m"))
-        named = held.join(least_, [by, "id"], "left").withColumn("to", F.least(F.col("id"), F.coalesce("m", "id")))
-        new = written(named.groupBy(by, F.col("to").alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")), "boxes")
-        if not overlapping(new, new, by, width).filter("a <> b").limit(1).count():
-            return new
-        held = new
-    raise RuntimeError(f"boxes did not settle in {rounds} rounds")
+    while True:
+        node = lambda c: F.struct(by, F.col(c).alias("id"))
+        pairs = written(overlapping(held, held, by, width).filter("a < b").select(node("a").alias("a"), node("b").alias("b")), "overlaps")
+        if pairs.isEmpty():
+            return held
+        root = components(pairs).select(F.col(f"node.{by}").alias(by), F.col("node.id").alias("id"), F.col("root.id").alias("to"))
+        named = held.join(root, [by, "id"], "left").withColumn("to", F.coalesce("to", "id"))
+        held = written(named.groupBy(by, F.col("to").alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")), "boxes")
 
 
 def without_dust(letters: DataFrame, line: str, height: str, least: float) -> DataFrame:

@@ -7,17 +7,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Once a table is written nothing reads the shuffles that made it; with this setting Spark deletes them then.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where none is named (tests), one of this machine."""
+    """The folder that the cluster names for checkpoints. Where none is named: with a local master, as in tests, one of
+    this machine, for the session; else an error, as other machines could not read what is written here."""
     context = spark.sparkContext._jsc.sc()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.getCheckpointDir().isDefined():
+        named = context.getCheckpointDir().get()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()).rstrip("/")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder, so that later steps don't begin anew and a lost executor costs no work."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` as a Parquet table in the shared folder, read back: later steps don't begin anew, and a lost executor costs no
+    earlier work."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    held = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, held)
+    return spark.read.schema(df.schema).parquet(path)

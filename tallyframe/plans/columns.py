@@ -19,10 +19,16 @@ def fill_template(spark, d):
     return df.select("c_custkey", template.fill(LABEL, [c for c in df.columns if c != "number"]).alias("label"))
 
 
-@query("unknown_columns", """SELECT 'unknown' AS name UNION ALL SELECT 'when'""")
+@query(
+    "unknown_columns",
+    """WITH c AS (SELECT column_name FROM (DESCRIBE customer)),
+            n AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all('{c_name} ' || text || ' {' || role || '} {c_nationkey} {date} {number} {' || lower(split_part(text, ' ', 1)) || '}', '[{]([^}]*)[}]', 1))) AS name FROM conversations)
+       SELECT name, count(*) AS templates, min(conv_id * 1000 + turn) AS first FROM n WHERE name NOT IN (SELECT column_name FROM c) AND name NOT IN ('date', 'number', '') AND NOT contains(name, '{') GROUP BY name""",
+)
 def unknown_columns(spark, d):
-    names = template.unknown_columns([LABEL, "{when} {c_name} {unknown}"], table(spark, d, "customer"))
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    """Templates are rows: what they name that the list hasn't got, in how many of them, and in which first."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), F.concat(F.lit("{c_name} "), "text", F.lit(" {"), "role", F.lit("} {c_nationkey} {date} {number} {"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))), F.lit("}")).alias("t"))
+    return template.unknown_in(turns, "t", "at", [*table(spark, d, "customer").columns, "date", "number"])
 
 
 @query(
@@ -235,17 +241,24 @@ def scripts(spark, d):
 
 @query(
     "common_runs",
-    """WITH k AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part)
+    """WITH k AS (SELECT p_partkey, p_name || p_brand AS a, CASE WHEN p_partkey % 3 = 0 THEN 'of ' || p_name || ' ' || p_type ELSE p_type END AS b FROM part)
        SELECT p_partkey, coalesce(max(n), 0)::INT AS run FROM (
          SELECT p_partkey, n, list_has_any(list_transform(range(1, length(a) - n + 2), lambda i: substr(a, i, n)), list_transform(range(1, length(b) - n + 2), lambda i: substr(b, i, n))) AS hit
-         FROM k, range(1, 13) r(n) WHERE length(a) >= n AND length(b) >= n) WHERE hit GROUP BY p_partkey
+         FROM (SELECT *, unnest(range(1, least(length(a), length(b)) + 1)) AS n FROM k)) WHERE hit GROUP BY p_partkey
        UNION ALL SELECT p_partkey, 0 FROM k WHERE NOT list_has_any(string_split(a, ''), string_split(b, ''))""",
 )
 def common_runs(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.common_run(F.col("p_name"), F.col("p_type")).alias("run"))
+    other = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("of "), "p_name", F.lit(" "), "p_type")).otherwise(F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", text.common_run(F.concat("p_name", "p_brand"), other).alias("run"))
 
 
-@query("wrapped_lines")
+@query(
+    "wrapped_lines",
+    """WITH RECURSIVE w AS (SELECT p_partkey, list_filter(string_split_regex(p_name || ' ' || p_type || ' ' || p_brand, '\\s+'), lambda x: x <> '') AS words FROM part),
+            r AS (SELECT p_partkey, words, 1 AS i, []::VARCHAR[] AS lines, words[1] AS line FROM w
+                  UNION ALL SELECT p_partkey, words, i + 1, CASE WHEN length(line || ' ' || words[i + 1]) <= 16 THEN lines ELSE list_append(lines, line) END, CASE WHEN length(line || ' ' || words[i + 1]) <= 16 THEN line || ' ' || words[i + 1] ELSE words[i + 1] END FROM r WHERE i < len(words))
+       SELECT p_partkey, list_append(lines, line) AS lines, len(lines)::INT + 1 AS n_lines FROM r WHERE i = len(words)""",
+)
 def wrapped_lines(spark, d):
     lines = text.wrapped(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 16)
     return table(spark, d, "part").select("p_partkey", lines.alias("lines"), F.size(lines).alias("n_lines"))
@@ -410,6 +423,11 @@ def saturating_sums(spark, d):
     return table(spark, d, "part").select("p_partkey", measure.saturating_add(a, F.when(F.col("p_partkey") % 2 == 0, size + 10).otherwise(-size)).alias("total"))
 
 
-@query("numerals")
+@query(
+    "numerals",
+    """WITH n AS (SELECT p_partkey, least(greatest(p_partkey, 1), 3999)::INT AS n, p_size::INT AS s FROM part)
+       SELECT p_partkey, repeat('M', n // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman,
+              CASE WHEN s > 26 THEN chr(96 + (s - 1) // 26) ELSE '' END || chr(97 + (s - 1) % 26) AS letters FROM n""",
+)
 def numerals(spark, d):
     return table(spark, d, "part").select("p_partkey", measure.roman(F.col("p_partkey")).alias("roman"), measure.letters(F.col("p_size")).alias("letters"))

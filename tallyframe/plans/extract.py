@@ -44,6 +44,20 @@ def resolve_anchor(spark, d):
     return extract.resolve_anchor(words, "building").select("sheet", "status", "n")
 
 
+@query(
+    "long_phrases",
+    """SELECT doc_id AS sheet, min(i - 1)::INT AS line, count(*) AS hits FROM (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS s FROM (
+         SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'x It was — the best of times, it was the worst of times! y' WHEN 1 THEN chr(10) || 'i t w a s t h e b e s t o f t i m e s it was the worst of times' WHEN 2 THEN chr(10) || 'it was the best of times, it was the worst of' ELSE '' END AS t FROM documents)))
+       WHERE contains(lower(regexp_replace(l, '[^\\pL\\pN]', '', 'g')), 'itwasthebestoftimesitwastheworstoftimes') GROUP BY doc_id""",
+)
+def long_phrases(spark, d):
+    """A phrase of twelve words, also with marks between and spelled out."""
+    k = F.col("doc_id") % 4
+    more = F.when(k == 0, "\nx It was — the best of times, it was the worst of times! y").when(k == 1, "\ni t w a s t h e b e s t o f t i m e s it was the worst of times").when(k == 2, "\nit was the best of times, it was the worst of").otherwise("")
+    words = extract.placed_words(table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("t")), "doc_id", "t")
+    return extract.phrase_hits(words, "It was the best of times, it was the worst of times", 0).groupBy("sheet").agg(F.min("line").alias("line"), F.count("*").alias("hits"))
+
+
 @query("phrase_hits", """SELECT c_custkey AS sheet, 0 AS line, 2 + len(string_split(c_name, ' ')) - 1 AS first FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""".replace("WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", "WHERE c_mktsegment = 'MACHINERY'"))
 def phrase_hits(spark, d):
     words = extract.placed_words(forms(spark, d), "c_custkey", "form")
@@ -62,7 +76,13 @@ def corrections(spark, d):
     return got.select("sheet", "status", F.col("n").cast("int").alias("n"), *[F.round(c, 6).alias(c) for c in ("cover_x", "cover_y", "cover_w", "cover_h", "x", "baseline", "size_pt", "over")])
 
 
-@query("suggestions")
+@query(
+    "suggestions",
+    f"""WITH l AS (SELECT c_custkey AS sheet, generate_subscripts(s, 1) - 1 AS line, trim(unnest(s)) AS said FROM (SELECT c_custkey, string_split(form, chr(10)) AS s FROM ({FORM.replace("c_acctbal::BIGINT", "round_even(c_acctbal, 0)::BIGINT")}))),
+             r AS (SELECT *, coalesce((SELECT max(n) FROM range(1, 9) a(n), range(1, 9) b(i) WHERE i + n <= 9 AND contains(lower(regexp_replace(said, '[^\\pL\\pN]', '', 'g')), substr('balances', i::INT, n::INT))), 0) AS run FROM l WHERE said <> ''),
+             s AS (SELECT *, max(run) OVER (PARTITION BY sheet) >= 3 AS shared FROM r)
+        SELECT sheet, line::INT AS line, said, run::INT AS run FROM s WHERE NOT shared OR run >= 3 QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY CASE WHEN shared THEN -run ELSE 0 END, line) <= 3""",
+)
 def suggestions(spark, d):
     return extract.suggestions(extract.placed_words(forms(spark, d), "c_custkey", "form"), "Balances")
 

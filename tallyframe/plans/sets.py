@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators import sets
+from tallyframe.operators import greedy, sets
 from tallyframe.operators.tables import written
 from tallyframe.plans.registry import query, table
+from tallyframe.plans.support import kept_one_by_one
 
 #: Two states of the orders: some gone, some repriced, some moved in time, some of another priority.
 NOW = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 1 THEN o_orderstatus || '!' ELSE o_orderstatus END AS words, CASE WHEN o_orderkey % 11 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS place,
@@ -135,40 +133,55 @@ def merge_config(spark, d):
     return sets.merge_config(mine, theirs, "name", "value", replace=True)
 
 
+ASKED_FOR = "CASE c_custkey % 6 WHEN 0 THEN 'Acme ' || s WHEN 1 THEN lower(replace(s, '#', ' - ')) WHEN 2 THEN ' SUP_' || n || ' ' WHEN 3 THEN 'acme-S.' || n WHEN 4 THEN 'Sold as ' || n ELSE 'S.' || n || 'x' END"
+
+
 @query(
     "alias_lookup",
-    """WITH s AS (SELECT s_suppkey, s_name, lower(replace(replace(s_name, '#', ''), ' ', '')) AS key FROM supplier), c AS (SELECT c_custkey, replace(lower(replace(c_name, ' ', '')), 'customer', 'supplier') AS key FROM customer)
-       SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, regexp_replace(key, '[ _#-]', '', 'g') AS key FROM c) c LEFT JOIN (SELECT s_suppkey, regexp_replace(key, '[ _-]', '', 'g') AS key FROM s) s USING (key)""",
+    f"""WITH RECURSIVE k AS (SELECT s_suppkey, s_name, ['SUP-' || s_suppkey, 'S.' || s_suppkey, 'S.' || (s_suppkey + 1)] AS also FROM supplier),
+            n AS (SELECT s_suppkey, unnest([s_name] || also) AS name FROM k),
+            t AS (SELECT s_suppkey, regexp_replace(regexp_replace(lower(trim(name)), '[ _-]', '', 'g'), '^acme', '') AS key FROM n),
+            f AS (SELECT key, min(s_suppkey) AS s_suppkey FROM t GROUP BY key),
+            a AS (SELECT c_custkey, {ASKED_FOR} AS asked FROM (SELECT c_custkey, c_custkey % 40 + 1 AS n, 'Supplier#' || lpad((c_custkey % 40 + 1)::VARCHAR, 9, '0') AS s FROM customer))
+       SELECT c_custkey, asked, f.s_suppkey FROM (SELECT *, regexp_replace(regexp_replace(lower(trim(asked)), '[ _-]', '', 'g'), '^acme', '') AS key FROM a) a LEFT JOIN f USING (key)""",
 )
 def alias_lookup(spark, d):
-    normal = lambda c: F.regexp_replace(F.lower(c), "[ _#-]", "")
-    stock = table(spark, d, "supplier").select("s_suppkey", normal("s_name").alias("key"))
-    asked = table(spark, d, "customer").select("c_custkey", F.replace(normal("c_name"), F.lit("customer"), F.lit("supplier")).alias("key"))
-    return asked.join(stock, "key", "left").select("c_custkey", "s_suppkey")
+    """Stock by its code or any other code that it is sold under; `S.5` is a code of two, and the first in the list has it."""
+    k = F.col("s_suppkey")
+    stock = table(spark, d, "supplier").select(k, F.col("s_name").alias("code"), F.array(F.concat(F.lit("SUP-"), k), F.concat(F.lit("S."), k), F.concat(F.lit("S."), k + 1)).alias("also"))
+    n = F.col("c_custkey") % 40 + 1
+    s, m = F.concat(F.lit("Supplier#"), F.lpad(n.cast("string"), 9, "0")), F.col("c_custkey") % 6
+    asked = F.when(m == 0, F.concat(F.lit("Acme "), s)).when(m == 1, F.lower(F.replace(s, F.lit("#"), F.lit(" - ")))).when(m == 2, F.concat(F.lit(" SUP_"), n, F.lit(" ")))
+    asked = asked.when(m == 3, F.concat(F.lit("acme-S."), n)).when(m == 4, F.concat(F.lit("Sold as "), n)).otherwise(F.concat(F.lit("S."), n, F.lit("x")))
+    return sets.by_code(table(spark, d, "customer").select("c_custkey", asked.alias("asked")), "asked", stock, "code", "also", "s_suppkey", maker="acme")
 
 
 @query(
     "exact_then_contains",
-    """WITH t AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS w FROM part), k AS (SELECT DISTINCT w FROM t)
-       SELECT k.w, coalesce(min(CASE WHEN t.p_name = k.w THEN p_partkey END), min(p_partkey)) AS p_partkey FROM k JOIN t ON t.w = k.w GROUP BY k.w""",
+    """WITH n AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^\\pL\\pN]', '', 'g')) AS key FROM part),
+            w AS (SELECT c_custkey, wanted, lower(regexp_replace(wanted, '[^\\pL\\pN]', '', 'g')) AS key
+                  FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN substr(p_name, 3, 7) WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN p_name || ' x' ELSE ' ' || substr(p_name, 2, 2) END AS wanted
+                        FROM customer JOIN part ON p_partkey = c_custkey))
+       SELECT c_custkey, wanted, coalesce(min(p_partkey) FILTER (n.key = w.key), min(p_partkey)) AS p_partkey
+       FROM w LEFT JOIN n ON w.key <> '' AND contains(n.key, w.key) GROUP BY c_custkey, wanted""",
 )
 def exact_then_contains(spark, d):
-    t = table(spark, d, "part").select("p_partkey", "p_name", F.substring_index("p_name", " ", 1).alias("w"))
-    k = t.select("w").distinct()
-    return k.join(t, "w").groupBy("w").agg(F.coalesce(F.min(F.when(F.col("p_name") == F.col("w"), F.col("p_partkey"))), F.min("p_partkey")).alias("p_partkey"))
+    part, k = table(spark, d, "part"), F.col("c_custkey") % 5
+    name = F.col("p_name")
+    wanted = F.when(k == 0, F.upper(name)).when(k == 1, F.substring(name, 3, 7)).when(k == 2, F.replace(name, F.lit(" "), F.lit("-"))).when(k == 3, F.concat(name, F.lit(" x"))).otherwise(F.concat(F.lit(" "), F.substring(name, 2, 2)))
+    asked = table(spark, d, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).select("c_custkey", wanted.alias("wanted"))
+    found = sets.by_name(asked.select("wanted"), "wanted", part.select("p_name", "p_partkey"), "p_name", "p_partkey")
+    return asked.join(found, "wanted", "left").select("c_custkey", "wanted", "p_partkey")
 
 
 @query(
     "every_architecture",
-    """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'amd64' WHEN 2 THEN 'arm64' ELSE 'riscv' END AS arch FROM part)
-       SELECT a.arch AS target, p_partkey FROM (SELECT DISTINCT arch FROM p WHERE arch <> 'all') a JOIN p ON p.arch = a.arch OR p.arch = 'all'""",
+    """WITH p AS (SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'all' ELSE p_brand END AS arch FROM part)
+       SELECT a.arch AS target, p_partkey FROM (SELECT DISTINCT arch FROM p) a JOIN p ON p.arch = a.arch OR (p.arch = 'all' AND a.arch <> 'all')""",
 )
 def every_architecture(spark, d):
-    k = F.col("p_partkey") % 4
-    p = table(spark, d, "part").select("p_partkey", F.when(k == 0, "all").when(k == 1, "amd64").when(k == 2, "arm64").otherwise("riscv").alias("arch"))
-    targets = F.array(F.lit("amd64"), F.lit("arm64"), F.lit("riscv"))
-    # A row for all is repeated for each; others go to their own: no join at all.
-    return p.select(F.explode(F.when(F.col("arch") == "all", targets).otherwise(F.array("arch"))).alias("target"), "p_partkey")
+    arch = F.when(F.col("p_size") % 9 == 0, "all").otherwise(F.col("p_brand"))
+    return sets.for_every(table(spark, d, "part").select("p_partkey", arch.alias("arch")), "arch", "all").select("target", "p_partkey")
 
 
 @query(
@@ -196,7 +209,7 @@ def merged_entities(spark, d):
 @query(
     "inherited_styles",
     """WITH RECURSIVE s AS (SELECT p_partkey, p_partkey // 10 AS parent, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS style FROM part),
-            up AS (SELECT p_partkey, parent, style, 0 AS depth FROM s UNION ALL SELECT up.p_partkey, s.parent, s.style, depth + 1 FROM up JOIN s ON s.p_partkey = up.parent WHERE up.style IS NULL AND up.parent <> up.p_partkey AND depth < 5)
+            up AS (SELECT p_partkey, parent, style FROM s UNION ALL SELECT up.p_partkey, s.parent, s.style FROM up JOIN s ON s.p_partkey = up.parent WHERE up.style IS NULL AND up.parent <> up.p_partkey)
        SELECT p_partkey, any_value(style) FILTER (style IS NOT NULL) AS style FROM up GROUP BY 1""",
 )
 def inherited_styles(spark, d):
@@ -220,19 +233,8 @@ def inherited_styles(spark, d):
     """WITH w AS (SELECT doc_id, text FROM documents) SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN w d ON contains(d.text, b.text) GROUP BY b.item_id""",
 )
 def phrases_found(spark, d):
-    # Candidates share a passage's first ten words (or all it has); whole passages are then looked for in them.
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("wanted"))
-    words = lambda c: F.split(c, " ")
-    first = items.withColumn("n", F.least(F.size(words("wanted")), F.lit(10))).withColumn("key", F.xxhash64(F.array_join(F.slice(words("wanted"), 2, F.greatest(F.col("n") - 2, F.lit(1))), " ")))
-    lengths = [r[0] for r in first.select("n").distinct().collect()]
-    w = docs.withColumn("w", words("text"))
-
-    def windows(m):
-        return F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, m), " ")))
-
-    parts = [w.filter(F.size("w") >= max(n - 2, 1)).select("doc_id", "text", F.lit(n).alias("n"), F.explode(F.array_distinct(windows(max(n - 2, 1)))).alias("key")) for n in lengths]
-    runs = reduce(DataFrame.unionAll, parts)
-    hits = runs.join(first, ["n", "key"]).filter(F.contains("text", "wanted")).select("item_id", "doc_id").distinct()
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    hits = sets.containing(docs, "doc_id", "text", items, "item_id", "text")
     counts = hits.groupBy("item_id").agg(F.count("*").alias("documents"))
     return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"))
 
@@ -261,10 +263,13 @@ def conflicting_contents(spark, d):
     return sets.conflicts(table(spark, d, "part").withColumn("h", F.sha2(F.concat("p_type", "p_size"), 256)), "p_name", "h")
 
 
-@query("tolerance_distinct")
+@query(
+    "tolerance_distinct",
+    kept_one_by_one("SELECT p_brand AS g, p_partkey AS o, p_size * 1.0::DOUBLE AS x, p_retailprice / 100 AS y FROM part", "abs(k.x - m.x) <= 0.5 AND abs(k.y - m.y) <= 0.5") + " SELECT g AS p_brand, k.o AS p_partkey, k.x AS x, k.y AS y FROM e",
+)
 def tolerance_distinct(spark, d):
     p = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_size") * 1.0).alias("x"), (F.col("p_retailprice") / 100).alias("y"))
-    return sets.tolerance_distinct(p, "p_brand", "p_partkey", "x", "y", 0.5)
+    return greedy.distinct_shapes(p, "p_brand", "p_partkey", ["x", "y"], 0.5)
 
 
 @query("undo_ring", """SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10""")

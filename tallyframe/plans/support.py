@@ -11,25 +11,64 @@ from tallyframe.operators import greedy, sequence
 from tallyframe.plans.registry import query, table
 
 
-@query("lines_by_overlap")
+#: Marks on a page: a hundred, whatever the size of the table.
+ON_PAGE = 100
+
+
+@query(
+    "lines_by_overlap",
+    """WITH RECURSIVE m AS (SELECT p_partkey // 100 AS page, p_partkey, p_retailprice * (p_partkey * 7 % 30 + 1) / 100 AS t, p_retailprice * (p_partkey * 7 % 30 + 1) / 100 + p_size AS b, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS i FROM part),
+            r AS (SELECT page, i, [{'o': p_partkey, 't': t, 'b': b, 'line': 1}] AS held FROM m WHERE i = 1
+                  UNION ALL SELECT m.page, m.i, list_append(held, {'o': m.p_partkey, 't': m.t, 'b': m.b, 'line': coalesce(
+                         list_max(list_transform(list_filter(held, lambda x: (least(x.b, m.b) - greatest(x.t, m.t)) / least(x.b - x.t, m.b - m.t) > 0.35), lambda x: x.line)), list_max(list_transform(held, lambda x: x.line)) + 1)})
+                  FROM r JOIN m ON m.page = r.page AND m.i = r.i + 1)
+       SELECT page, h.o AS p_partkey, h.line AS line FROM (SELECT page, unnest(held) AS h FROM r QUALIFY row_number() OVER (PARTITION BY page ORDER BY i DESC) = 1)""",
+)
 def lines_by_overlap(spark, d):
-    marks = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_retailprice") / 10).alias("t"), (F.col("p_retailprice") / 10 + F.col("p_size")).alias("b"))
-    return greedy.lines_by_overlap(marks, "p_brand", "p_partkey", "t", "b")
+    top = F.col("p_retailprice") * (F.col("p_partkey") * 7 % 30 + 1) / 100
+    marks = table(spark, d, "part").select(F.floor(F.col("p_partkey") / ON_PAGE).alias("page"), "p_partkey", top.alias("t"), (top + F.col("p_size")).alias("b"))
+    return greedy.lines_by_overlap(marks, "page", "p_partkey", "t", "b")
+
+
+@query(
+    "stacked_marks",
+    """WITH RECURSIVE m AS (SELECT p_partkey // 100 AS page, p_partkey AS o, p_size::DOUBLE AS x, p_retailprice * (p_partkey * 7 % 30 + 1) / 500 AS y, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS i FROM part),
+            r AS (SELECT page, i, [{'first': o, 'n': 1, 'x0': x, 'x1': x, 'y0': y, 'y1': y}] AS held FROM m WHERE i = 1
+                  UNION ALL SELECT page, i, CASE WHEN f IS NULL THEN list_append(held, {'first': o, 'n': 1, 'x0': x, 'x1': x, 'y0': y, 'y1': y}) ELSE list_transform(held, lambda b: CASE WHEN b.first = f
+                         THEN {'first': b.first, 'n': b.n + 1, 'x0': least(b.x0, x), 'x1': greatest(b.x1, x), 'y0': least(b.y0, y), 'y1': greatest(b.y1, y)} ELSE b END) END
+                  FROM (SELECT m.*, held, list_min(list_transform(list_filter(held, lambda b: m.x >= b.x0 - 2 AND m.x <= b.x1 + 2 AND m.y >= b.y0 - 2 AND m.y <= b.y1 + 2), lambda b: b.first)) AS f FROM r JOIN m ON m.page = r.page AND m.i = r.i + 1))
+       SELECT page, h.first AS first, h.n AS n, h.x0 AS x0, h.x1 AS x1, h.y0 AS y0, h.y1 AS y1 FROM (SELECT page, unnest(held) AS h FROM r QUALIFY row_number() OVER (PARTITION BY page ORDER BY i DESC) = 1)""",
+)
+def stacked_marks(spark, d):
+    y = F.col("p_retailprice") * (F.col("p_partkey") * 7 % 30 + 1) / 500
+    marks = table(spark, d, "part").select(F.floor(F.col("p_partkey") / ON_PAGE).alias("page"), "p_partkey", F.col("p_size").alias("x"), y.alias("y"))
+    return greedy.stacked(marks, "page", "p_partkey", "x", "y", 2.0, 2.0)
 
 
-@query("stacked_marks")
-def stacked_marks(spark, d):
-    marks = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").alias("x"), (F.col("p_retailprice") / 50).alias("y"))
-    return greedy.stacked(marks, "p_brand", "p_partkey", "x", "y", 1.0, 1.0)
+def kept_one_by_one(rows: str, near: str) -> str:
+    """SQL of rows (g, o, x, y) that are near none kept before them in their group; `near` compares k (kept) with m."""
+    return f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o) AS i FROM ({rows})),
+            r AS (SELECT g, i, [{{'o': o, 'x': x, 'y': y}}] AS kept FROM m WHERE i = 1
+                  UNION ALL SELECT m.g, m.i, CASE WHEN len(list_filter(kept, lambda k: {near})) > 0 THEN kept ELSE list_append(kept, {{'o': m.o, 'x': m.x, 'y': m.y}}) END FROM r JOIN m ON m.g = r.g AND m.i = r.i + 1),
+            e AS (SELECT g, unnest(kept) AS k FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY i DESC) = 1)"""
 
 
-@query("distinct_shapes")
+@query(
+    "distinct_shapes",
+    kept_one_by_one("SELECT p_brand AS g, p_partkey AS o, p_size::DOUBLE AS x, p_retailprice / 100 AS y FROM part", "abs(k.x - m.x) <= 1.5 AND abs(k.y - m.y) <= 1.5") + " SELECT g AS p_brand, k.o AS p_partkey, k.x AS h, k.y AS a FROM e",
+)
 def distinct_shapes(spark, d):
     shapes = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("h"), (F.col("p_retailprice") / 100).alias("a"))
     return greedy.distinct_shapes(shapes, "p_brand", "p_partkey", ["h", "a"], 1.5)
 
 
-@query("code128")
+@query(
+    "code128",
+    """WITH t AS (SELECT p_partkey, p_partkey::VARCHAR AS k FROM part), c AS (SELECT *, length(k) - length(k) % 2 AS even, length(k) >= 4 AS long FROM t),
+            v AS (SELECT p_partkey, [ascii('P') - 32, ascii('-') - 32] || CASE WHEN long THEN CASE WHEN length(k) % 2 = 1 THEN [ascii(k) - 32] ELSE [] END || [99] || list_transform(range(0, even // 2), lambda j: substr(k, length(k) - even + 2 * j + 1, 2)::INT) || [100]
+                         ELSE list_transform(string_split(k, ''), lambda x: ascii(x) - 32) END || [ascii('A') - 32] AS body FROM c)
+       SELECT p_partkey, [104] || body || [(104 + list_sum(list_transform(body, lambda x, i: x * i)))::INT % 103, 106] AS symbols FROM v""",
+)
 def code128_symbols(spark, d):
     return table(spark, d, "part").select("p_partkey", code128(F.concat(F.lit("P-"), F.col("p_partkey").cast("string"), F.lit("A"))).alias("symbols"))
 
@@ -93,14 +132,6 @@ def key_values(spark, d):
     return each.select("p_partkey", F.split("p", "=", 2)[0].alias("key"), F.split("p", "=", 2)[1].alias("value"))
 
 
-@query("saved_jobs", """SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 1000 GROUP BY 1""")
-def saved_jobs(spark, d):
-    """A saved job is a named text with parameters; values are bound, not pasted."""
-    for t in ("customer", "nation"):
-        table(spark, d, t).createOrReplaceTempView(f"job_{t}")
-    return spark.sql("SELECT n_name, count(*) AS customers FROM job_customer JOIN job_nation ON c_nationkey = n_nationkey WHERE c_acctbal > :least GROUP BY n_name", args={"least": 1000})
-
-
 @query("named_sizes", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'A4' WHEN 1 THEN 'Letter' END AS name FROM part""")
 def named_sizes(spark, d):
     k = F.col("p_partkey") % 3
@@ -165,13 +196,23 @@ def measurable_words(spark, d):
 
 @query("scale_passes", """SELECT l_suppkey, round(m2, 6) AS scale FROM (SELECT l_suppkey, v[len(v) // 2 + 1] AS m2 FROM (SELECT l_suppkey, list_sort(list(l_quantity / (10 + l_linenumber))) AS v FROM lineitem WHERE l_discount >= 0.02 GROUP BY 1) WHERE len(v) >= 3)""")
 def scale_passes(spark, d):
-    w = Window.partitionBy("l_suppkey")
+    from tallyframe.operators.fits import elements, part_of
+
     sure = table(spark, d, "lineitem").filter("l_discount >= 0.02").select("l_suppkey", (F.col("l_quantity") / (10 + F.col("l_linenumber"))).alias("s"))
-    ranked = sure.withColumn("i", F.row_number().over(w.orderBy("s")) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.filter((F.col("n") >= 3) & (F.col("i") == F.floor(F.col("n") / 2))).select("l_suppkey", F.round("s", 6).alias("scale"))
+    return elements(sure, ["l_suppkey"], "s", {"median": part_of(1, 2)}).filter("n >= 3").select("l_suppkey", F.round("median", 6).alias("scale"))
+
+
+def leaning(around: str, out: str, step: float, reach: int) -> str:
+    """SQL of the angle, within so many steps of each page's (page, d0), at which its points fall into the fewest rows."""
+    return f"""{out} AS (SELECT page, arg_max(degrees, s * 1e6 - degrees) AS d0 FROM (
+              SELECT page, degrees, sum(c * c) AS s FROM (SELECT p.page, degrees, floor(y * cos(radians(degrees)) - x * sin(radians(degrees))) AS row, count(*) AS c
+                FROM p JOIN (SELECT page, round(d0 + i * {step}, 6) AS degrees FROM {around}, range(-{reach}, {reach} + 1) t(i)) a ON a.page = p.page GROUP BY ALL) GROUP BY ALL) GROUP BY page)"""
 
 
-@query("leaning_pages")
+@query(
+    "leaning_pages",
+    "WITH p AS (SELECT l_suppkey % 4 AS page, (l_partkey % 200)::DOUBLE AS x, (l_orderkey % 20) * 10 + 2.5::DOUBLE + (l_partkey % 200) * 0.02::DOUBLE AS y FROM lineitem), z AS (SELECT DISTINCT page, 0.0::DOUBLE AS d0 FROM p), " + leaning("z", "c", 0.25, 12) + ", " + leaning("c", "f", 0.02, 12) + " SELECT page, d0 AS degrees FROM f",
+)
 def leaning_pages(spark, d):
     from tallyframe.operators.fits import leaning
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import trimmed
+from tallyframe.operators.sequence import numbered
+from tallyframe.operators.tables import written
 
 
 class ListError(ValueError):
@@ -19,38 +21,55 @@ def counted(spark: SparkSession, n: int, most: int = 50_000) -> DataFrame:
     return spark.range(1, n + 1).withColumnRenamed("id", "number")
 
 
+def records(files: DataFrame) -> DataFrame:
+    """(path, content as text) -> (path, at, cells): the records of each file, in order, `at` from 0.
+
+    Commas part cells; LF, CRLF or a lone CR end a record; a quote turns quoting on and off wherever it stands, two of
+    them inside quotes are one, and a quote that is never closed takes in all that follows. A file is one row until it
+    is cut, so files of a list are read side by side; a byte order mark is dropped.
+
+    Cut at quotes, every second piece is quoted; an empty piece between two quoted ones is a doubled quote.
+    """
+    # Separators of units and of records; a list that has them itself keeps them, as characters that are no text meanwhile.
+    between, after, own, other = "\u001f", "\u001e", "\u001f\u001e", "\ufdd0\ufdd1"
+    whole = F.translate(F.regexp_replace(F.col("content"), "^\ufeff", ""), own, other)
+    pieces = F.split(whole, '"')
+    last = F.size(pieces) - 1
+    plain = lambda t: F.translate(F.regexp_replace(t, "\r\n?", "\n"), ",\n", between + after)
+    kept = F.transform(pieces, lambda t, i: F.when(i % 2 == 1, t).when((i > 0) & (i < last) & (t == ""), '"').otherwise(plain(t)))
+    lines = files.select("path", F.posexplode(F.split(F.array_join(kept, ""), after)).alias("at", "line"))
+    return lines.select("path", "at", F.transform(F.split("line", between), lambda c: F.translate(c, other, own)).alias("cells"))
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV list as text columns and `number`, strictly.
+    """A CSV list as text columns and `number`, strictly (see `records`).
 
-    The header's names are trimmed, a byte order mark is dropped, values are trimmed of white space, empty values stay
-    empty texts. Lines that are empty are left out; one with more or fewer cells than the header raises, as do a list
-    without rows, without columns, or with bytes that are no UTF-8. Numbers go by place in the file.
+    The header's names are trimmed and values are trimmed of white space; empty values stay empty texts. Records
+    without any value are left out; one with more or fewer cells than the header raises, as do a list without rows,
+    without columns, or with bytes that are no UTF-8. Of a folder each file begins with the same header, and files come
+    in the order of their paths. Numbers go by place.
     """
-    options = {"header": False, "multiLine": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\u0000", "mode": "PERMISSIVE"}
-    lines = spark.read.options(**options).csv(path)
-    head = [trimmed_name(v) for v in (lines.first() or [])]
+    text = F.col("content").cast("string")
+    files = spark.read.format("binaryFile").load(path).select("path", text.alias("content"), F.is_valid_utf8(text).alias("good"))
+    bad = files.filter("NOT good").select("path").first()
+    if bad:
+        raise ListError(f"{bad['path']} isn't UTF-8 text")
+    trim = lambda cells: F.transform(cells, trimmed)
+    rows = written(records(files).select("path", "at", trim(F.col("cells")).alias("cells")), "list")
+    heads = rows.filter("at = 0").groupBy("cells").agg(F.min("path").alias("path")).orderBy("path").limit(2).collect()
+    head = heads[0]["cells"] if heads else []
     if not any(head):
         raise ListError("the list has no columns")
-    binary = spark.read.format("binaryFile").load(path)
-    if binary.filter(~F.is_valid_utf8(F.col("content").cast("string"))).count():
-        raise ListError("the list isn't UTF-8 text")
-    # The header fixes the schema; a record of another width shows in the column for corrupt ones.
-    schema = ", ".join(f"`c{i}` string" for i in range(len(head))) + ", `bad` string"
-    rows = spark.read.options(**options, columnNameOfCorruptRecord="bad").schema(schema).csv(path)
-    rows = rows.withColumn("at", F.monotonically_increasing_id()).filter("at > 0").cache()
-    odd = rows.filter("bad IS NOT NULL").agg(F.min("at")).first()[0]
-    if odd is not None:
-        raise ListError(f"record {odd + 1} has more or fewer cells than the header")
-    named = {name: i for i, name in enumerate(head)}  # of two columns of a name the last wins
-    kept = rows.filter(F.greatest(*[F.coalesce(F.length(f"c{i}"), F.lit(0)) for i in range(len(head))], F.lit(0)) > 0)
-    out = kept.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("number"), *[trimmed(F.coalesce(F.col(f"c{i}"), F.lit(""))).alias(n) for n, i in named.items()])
-    if out.isEmpty():
+    if len(heads) > 1:
+        raise ListError(f"{heads[1]['path']} has another header than {heads[0]['path']}")
+    body = rows.filter((F.col("at") > 0) & F.exists("cells", lambda c: c != ""))
+    odd = body.agg(F.count("*").alias("n"), F.min(F.when(F.size("cells") != len(head), F.struct("path", "at", F.size("cells").alias("cells")))).alias("odd")).first()
+    if odd["odd"] is not None:
+        raise ListError(f"record {odd['odd']['at'] + 1} has {odd['odd']['cells']} values for {len(head)} columns; a comma in a value has to be inside quotes")
+    if not odd["n"]:
         raise ListError("the list has no rows")
-    return out
-
-
-def trimmed_name(value: str | None) -> str:
-    return (value or "").lstrip("﻿").strip()
+    named = {name: i for i, name in enumerate(head)}  # of two columns of a name the last wins
+    return numbered(body, "path", "at").select("number", *[F.col("cells")[i].alias(n) for n, i in named.items()])
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.measure import serial_date
 from tallyframe.functions.text import trimmed
+from tallyframe.operators.tables import written
 from tallyframe.sources.lists import ListError
 
 #: The most rows, columns and cells of a sheet; the most bytes that a part may come to when unpacked.
@@ -164,13 +165,17 @@ def paragraphs(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str, s
     yield from inside(root, False)
 
 
-def opened(spark: SparkSession, path: str, wanted: str) -> DataFrame:
-    """(path, tab, row, column, kind, value, error) of files; what can't be read is a row with an error."""
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def opened(found: DataFrame, wanted: str) -> DataFrame:
+    """(path, content) -> (path, tab, row, column, kind, value, error); what can't be read is a row with an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "tab", "row", "column", "kind", "value", "error"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = ["path", "tab_no", "tab", "row", "column", "kind", "value", "error"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
@@ -185,72 +190,92 @@ def opened(spark: SparkSession, path: str, wanted: str) -> DataFrame:
                             cells = ods_cells(archive)
                         else:
                             raise ListError("a zip file, but no spreadsheet")
+                        tab_no, tab = 0, None
                         for cell in cells:
-                            rows.append((file, *cell, None))
+                            tab_no, tab = (tab_no, tab) if cell[0] == tab else (tab_no + 1, cell[0])
+                            rows.append((file, tab_no, *cell, None))
                             if len(rows) == 50_000:
                                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                                 rows = []
                 except (zipfile.BadZipFile, ElementTree.ParseError, ListError, AttributeError, TypeError, KeyError, NotImplementedError) as e:
-                    rows.append((file, None, None, None, None, None, str(e) or type(e).__name__))
+                    rows.append((file, *[None] * 6, str(e) or type(e).__name__))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return found.mapInArrow(read, "path string, tab string, row long, column long, kind string, value string, error string")
+    return found.select("path", "content").mapInArrow(read, "path string, tab_no long, tab string, row long, column long, kind string, value string, error string")
 
 
-def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(path, tab, row, column, value, error) of all spreadsheets of a path, each cell as it is shown."""
-    cells = opened(spark, path, "cells")
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """(path, content) of spreadsheets -> (path, tab_no, tab, row, column, value, error), each cell as it is shown; tabs are
+    numbered in their order."""
+    cells = opened(files, "cells")
     number = F.col("value").try_cast("double")
     percent = F.concat(F.regexp_replace(F.round(number * 100, 10).cast("string"), r"[.]0$", ""), F.lit("%"))
     shown = F.when(F.col("kind") == "date", F.coalesce(serial_date(number), "value")).when(F.col("kind") == "date1904", F.coalesce(serial_date(number, since_1904=True), "value")).when((F.col("kind") == "percent") & number.isNotNull(), percent).otherwise(F.col("value"))
-    return cells.select("path", "tab", "row", "column", shown.alias("value"), "error")
+    return cells.select("path", "tab_no", "tab", "row", "column", shown.alias("value"), "error")
 
 
-def workbook_list(spark: SparkSession, path: str, tab: str | None = None) -> DataFrame:
-    """A workbook's tab as a list: the one that is called so (case and outer spaces aside), or the first with a cell.
+def workbook_rows(cells: DataFrame, tab: str | None = None) -> DataFrame:
+    """`workbook_cells` -> (path, number, column, name, value) of each file's list, in long form.
 
-    The first row with a value is the header, its names trimmed. Rows without values are left out, short ones filled up
-    with empty texts, cells beyond the header dropped.
+    A file's list is in the tab that is called so (case and outer spaces aside), or in the first with a value. The
+    first row with a value is the header, its names trimmed. Rows without values are left out, and cells beyond the
+    header; an empty cell has no row here. Numbers go by place.
     """
-    cells = workbook_cells(spark, path).cache()
+    full = cells.filter("error IS NULL").withColumn("value", trimmed(F.col("value"))).filter("value <> ''")
+    if tab is not None:
+        full = full.filter(F.lower(trimmed(F.col("tab"))) == tab.strip().lower())
+    first = full.groupBy("path").agg(F.min(F.struct("tab_no", "row")).alias("f")).select("path", F.col("f.tab_no").alias("tab_no"), F.col("f.row").alias("head"))
+    own = full.join(first, ["path", "tab_no"])
+    names = own.filter("row = head").select("path", "column", F.col("value").alias("name"))
+    # A sheet has a bounded number of rows.
+    order = own.filter("row > head").select("path", "row").distinct().withColumn("number", F.row_number().over(Window.partitionBy("path").orderBy("row")).cast("long"))
+    return own.filter("row > head").join(names, ["path", "column"]).join(order, ["path", "row"]).select("path", "number", "column", "name", "value")
+
+
+def workbook_list(spark: SparkSession, path: str, tab: str | None = None) -> DataFrame:
+    """One workbook's list with a column for each name, short rows filled up with empty texts."""
+    cells = written(workbook_cells(contents(spark, path)), "cells")
     bad = cells.filter("error IS NOT NULL").select("error").first()
     if bad:
         raise ListError(bad[0])
-    tabs = [r["tab"] for r in cells.filter(trimmed(F.col("value")) != "").select("tab").distinct().collect()]
-    if tab is None:
-        order = cells.withColumn("n", F.monotonically_increasing_id()).groupBy("tab").agg(F.min("n").alias("n")).orderBy("n")
-        chosen = next((r["tab"] for r in order.collect() if r["tab"] in tabs), None)
-    else:
-        chosen = next((t for t in tabs if t.strip().lower() == tab.strip().lower()), None)
-    if chosen is None:
+    rows = workbook_rows(cells, tab)
+    names = rows.groupBy("column").agg(F.first("name").alias("name")).orderBy("column").collect()
+    full = cells.filter(trimmed(F.col("value")) != "")
+    if tab is not None:
+        full = full.filter(F.lower(trimmed(F.col("tab"))) == tab.strip().lower())
+    if full.isEmpty():
         raise ListError("there is no such tab with rows in it")
-    own = cells.filter((F.col("tab") == chosen) & (trimmed(F.col("value")) != ""))
-    first = own.agg(F.min("row")).first()[0]
-    names = {r["column"]: r["value"].strip() for r in own.filter(F.col("row") == first).collect()}
-    rows = own.filter(F.col("row") > first).groupBy("row").agg(*[F.coalesce(F.max(F.when(F.col("column") == c, trimmed(F.col("value")))), F.lit("")).alias(n) for c, n in sorted(names.items())])
-    if rows.isEmpty():
+    if not names:
         raise ListError("the list has no rows")
-    return rows.select(F.row_number().over(Window.orderBy("row")).cast("long").alias("number"), *[F.col(f"`{n}`") for n in names.values()])  # at most as many rows as a sheet has
+    head = full.groupBy("tab_no").agg(F.min("row").alias("row")).orderBy("tab_no").first()
+    named = {r["column"]: r["value"].strip() for r in full.filter((F.col("tab_no") == head["tab_no"]) & (F.col("row") == head["row"])).collect()}
+    return rows.groupBy("number").agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("value"))), F.lit("")).alias(n) for c, n in sorted(named.items())])
+
+
+def document_blocks(files: DataFrame) -> DataFrame:
+    """(path, content) of word-processor files -> (path, block, level, kind, style, text, error): level is that of a
+    heading, 0 else."""
+    return opened(files, "text").select("path", F.col("row").alias("block"), F.col("column").alias("level"), "kind", F.col("tab").alias("style"), F.col("value").alias("text"), "error")
 
 
-def document_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, level, kind, style, text, error) of word-processor files: level is that of a heading, 0 else."""
-    return opened(spark, path, "text").select("path", F.col("row").alias("block"), F.col("column").alias("level"), "kind", F.col("tab").alias("style"), F.col("value").alias("text"), "error")
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of text files."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
-def plain_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, level, text) of plain text and Markdown files, line by line; a heading's level is its number signs."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("block", "said")).filter(F.trim("said") != "")
+def plain_blocks(files: DataFrame) -> DataFrame:
+    """(path, value) of plain text and Markdown files -> (path, block, level, text), line by line; a heading's level is its
+    number signs."""
+    lines = files.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("block", "said")).filter(F.trim("said") != "")
     marks = F.regexp_extract("said", r"^(#{1,6})\s", 1)
     return lines.select("path", (F.col("block") + 1).alias("block"), F.length(marks).alias("level"), F.regexp_replace("said", r"^#{1,6}\s+", "").alias("text"))
 
 
-def stanzas(spark: SparkSession, path: str) -> DataFrame:
-    """(path, stanza, name, value) of control files: `Name: value`, lines that begin with white space carry on, blank lines
+def stanzas(files: DataFrame) -> DataFrame:
+    """(path, value) of control files -> (path, stanza, name, value): `Name: value`, lines that begin with white space carry on, blank lines
     end a stanza; names are lower-cased."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+    whole = files.select("path", F.regexp_replace("value", "\r\n?", "\n").alias("value"))
     parts = whole.select("path", F.posexplode(F.filter(F.split("value", r"\n[ \t]*\n+"), lambda s: F.trim(s) != "")).alias("stanza", "said"))
     fields = parts.select("path", (F.col("stanza") + 1).alias("stanza"), F.explode(F.split("said", r"\n(?=[^ \t\n])")).alias("field")).filter(F.contains("field", F.lit(":")))
     name = F.lower(F.trim(F.substring_index("field", ":", 1)))

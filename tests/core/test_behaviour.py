@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import measure, template, text
-from tallyframe.operators import extract, fits, islands, rank, rules, sequence, sets, spatial
+from tallyframe.operators import extract, fits, greedy, islands, rank, rules, sequence, sets, spatial
 from tallyframe.sources import files, lists
 from tallyframe.streaming import arrivals
 
@@ -90,7 +90,7 @@ def test_config_is_kept_or_replaced(spark):
 
 def test_tolerance_is_inclusive_and_distinct_is_greedy(spark):
     df = spark.createDataFrame([("g", i, x, 0.0) for i, x in enumerate([0.0, 0.5, 1.0, 1.01])], "g string, i long, x double, y double")
-    assert [r["i"] for r in sets.tolerance_distinct(df, "g", "i", "x", "y", 0.5).orderBy("i").collect()] == [0, 2]
+    assert [r["i"] for r in greedy.distinct_shapes(df, "g", "i", ["x", "y"], 0.5).orderBy("i").collect()] == [0, 2]
 
 
 @pytest.mark.parametrize(("numbers", "said"), [([3], "3"), ([3, 4], "3 and 4"), ([1, 2, 3], "1 to 3"), ([1, 3, 4], "1, 3 and 4"), ([1, 2, 3, 7, 9, 10], "1 to 3, 7, 9 and 10")])
@@ -183,6 +183,15 @@ def put(folder, name, data):
 def test_lists_are_read_strictly(spark, tmp_path):
     good = put(tmp_path, "a.csv", '﻿name , address\r\nAnn,"1, High St\nTown ""X"""\r\n\r\n Bob ,\r\n')
     assert [tuple(r) for r in lists.read_list(spark, good).orderBy("number").collect()] == [(1, "Ann", '1, High St\nTown "X"'), (2, "Bob", "")]
+    odd = put(tmp_path, "odd.csv", 'a,b\r1"x"y,"p\rq"\r"""",""\r2,"never closed, so\nall of it\r3')
+    assert [tuple(r)[1:] for r in lists.read_list(spark, odd).orderBy("number").collect()] == [("1xy", "p\rq"), ('"', ""), ("2", "never closed, so\nall of it\r3")]
+    (tmp_path / "many").mkdir()
+    for n in range(3):
+        put(tmp_path / "many", f"{n}.csv", "k,v\n" + "".join(f"{n},{i}\n" for i in range(n + 1)))
+    assert [tuple(r) for r in lists.read_list(spark, str(tmp_path / "many")).orderBy("number").collect()] == [(1, "0", "0"), (2, "1", "0"), (3, "1", "1"), (4, "2", "0"), (5, "2", "1"), (6, "2", "2")]
+    put(tmp_path / "many", "9.csv", "k,w\n1,2\n")
+    with pytest.raises(lists.ListError, match="another header"):
+        lists.read_list(spark, str(tmp_path / "many"))
     for name, data in (("b.csv", "a,b\n1,2,3\n"), ("c.csv", "a,b\n1\n"), ("d.csv", "a,b\n"), ("e.csv", ",\n1,2\n"), ("f.csv", b"a\n\xff\xfe\n")):
         with pytest.raises(lists.ListError):
             lists.read_list(spark, put(tmp_path, name, data))

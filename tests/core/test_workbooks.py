@@ -46,7 +46,7 @@ def test_cells_as_they_are_shown(spark, tmp_path):
     got = workbooks.workbook_list(spark, path)
     assert got.columns == ["number", "name", "when", "share"]
     assert [tuple(r) for r in got.orderBy("number").collect()] == [(1, "Anna", "2024-07-14", "25%"), (2, "TRUE", "1900-01-01 12:00:00", "")]
-    assert workbooks.workbook_cells(spark, xlsx(tmp_path / "b.xlsx", ['<row><c s="1"><v>1</v></c></row>'], styles=STYLES, since_1904=True)).first()["value"] == "1904-01-02"
+    assert workbooks.workbook_cells(workbooks.contents(spark, xlsx(tmp_path / "b.xlsx", ['<row><c s="1"><v>1</v></c></row>'], styles=STYLES, since_1904=True))).first()["value"] == "1904-01-02"
 
 
 def test_tabs(spark, tmp_path):
@@ -85,18 +85,18 @@ def test_bombs_are_refused(spark, tmp_path):
 def test_documents_as_blocks(spark, tmp_path):
     w = "xmlns:w='w'"
     docx = packed(tmp_path / "a.docx", {"word/document.xml": f"<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val='Heading 2'/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:delText>x</w:delText></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"})
-    got = [(r["block"], r["level"], r["kind"], r["text"]) for r in workbooks.document_blocks(spark, docx).orderBy("block").collect()]
+    got = [(r["block"], r["level"], r["kind"], r["text"]) for r in workbooks.document_blocks(workbooks.contents(spark, docx)).orderBy("block").collect()]
     assert got == [(1, 2, "paragraph", "Top"), (2, 0, "paragraph", "a\tb"), (3, 0, "cell", "c")]
     odt = packed(tmp_path / "a.odt", {"content.xml": "<d xmlns:x='x'><x:h x:outline-level='1'>H</x:h><x:p>one <x:span>two</x:span></x:p></d>"})
-    assert [(r["level"], r["text"]) for r in workbooks.document_blocks(spark, odt).orderBy("block").collect()] == [(1, "H"), (0, "one two")]
+    assert [(r["level"], r["text"]) for r in workbooks.document_blocks(workbooks.contents(spark, odt)).orderBy("block").collect()] == [(1, "H"), (0, "one two")]
     (tmp_path / "a.md").write_text("# Top\r\n\r\ntext\n### Low\n#none")
-    got = [(r["level"], r["text"]) for r in workbooks.plain_blocks(spark, str(tmp_path / "a.md")).orderBy("block").collect()]
+    got = [(r["level"], r["text"]) for r in workbooks.plain_blocks(workbooks.whole_texts(spark, str(tmp_path / "a.md"))).orderBy("block").collect()]
     assert got == [(1, "Top"), (0, "text"), (3, "Low"), (0, "#none")]
 
 
 def test_stanzas(spark, tmp_path):
     (tmp_path / "control").write_text("Package: a\nDescription: one\n two\n .\n\n\nPackage: b\nno field\nURL: http://x:1\n")
-    got = {(r["stanza"], r["name"]): r["value"] for r in workbooks.stanzas(spark, str(tmp_path / "control")).collect()}
+    got = {(r["stanza"], r["name"]): r["value"] for r in workbooks.stanzas(workbooks.whole_texts(spark, str(tmp_path / "control"))).collect()}
     assert got == {(1, "package"): "a", (1, "description"): "one\n two\n .", (2, "package"): "b\nno field".split("\n")[0], (2, "url"): "http://x:1"}
 
 
