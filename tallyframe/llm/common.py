@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.operators.tables import shared_folder, written  # noqa: F401  # used by the other modules from here
+
 #: A word: a run of anything but the six ASCII white-space characters. `bytes.split()` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,34 +30,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where none is named (tests), one of this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-#: Once a table is written nothing reads the shuffles that made it; with this setting Spark deletes them then.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read back: a lost executor then costs no earlier work."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, held)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def training_row(id_col: Column, folds: int, held: int = 1) -> Column:
     """True where crc32 of the id as text, modulo `folds`, is not `held`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds != held

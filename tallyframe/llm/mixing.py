@@ -70,6 +70,7 @@ def plan(sizes: DataFrame, seed: int, weights: tuple[float, ...] = WEIGHTS, most
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = source_targets(bins.select("source", "size"), weights, most).withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
     targets = targets.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("from", draw(seed, F.lit("of"), F.col("source")) * F.col("source_size"))
+    targets = common.written(targets, "targets")  # a row for each source, of a size that Spark then knows
     # Words before each step: those of the steps before among its 128, and of the groups of 128 before; no window is longer.
     fine = bins.filter("size > 0").withColumn("group", F.floor(F.col("step") / TOGETHER))
     before = F.sum("size").over(Window.partitionBy("source", "group").orderBy("step")) - F.col("size")
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     kept = [c for c in docs.columns if c.lower() not in own] if keep is None else keep
     base = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size")]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *base)
-    plans = plan(docs.select(*base), seed).withColumnRenamed("source", "of")
+    plans = common.written(plan(docs.select(*base), seed), "plan").withColumnRenamed("source", "of")
     mixed = inner.join(plans, F.col("source").eqNullSafe(F.col("of")), "left")
     at, low, high = step(seed, F.col("id")), F.col("low"), F.col("high")
     more = F.when(~F.coalesce("some", F.lit(False)), False).when(F.col("all"), True).when(low < high, (at >= low) & (at < high)).otherwise((at >= low) | (at < high))
