@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -241,10 +242,10 @@ class Encoder:
         return raw
 
 
-def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: str | Callable[[], str], text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """Encode and decode each whole text; adds `n_tokens`, `ids` (if wanted), `ids_sha256`, `decoded_sha256`.
 
-    vocabulary: path of a tokenizers JSON file, there on every machine. A null text counts as the empty text, which
+    vocabulary: path of a tokenizers JSON file, there on every machine, or a function that a task asks for it. A null text counts as the empty text, which
     has no ids. Equal texts get equal ids, each row its own; no rows give no rows. Columns called like a result are
     replaced, others pass. A very long text is worked on by itself, whole.
     """
@@ -253,7 +254,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def make():
-        coder = Encoder(vocabulary)
+        coder = Encoder(vocabulary if isinstance(vocabulary, str) else vocabulary())
 
         def run(texts: list[bytes]) -> dict[str, object]:
             coded = coder.encode([t.decode() for t in texts])

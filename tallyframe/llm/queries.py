@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, common, ctw, jpeg, licenses, mixing, ordinal, quality, simhash, toxicity, urls
 
-#: Path of a vocabulary file; TALLYFRAME_TOKENIZERS names another folder. The files are not part of this package.
-VOCABULARY = os.path.join(os.environ.get("TALLYFRAME_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
+def vocabulary() -> str:
+    """Path of the vocabulary file on the machine that asks: in the folder that TALLYFRAME_TOKENIZERS names, or where the
+    package of public tokenizers has it. The files are not part of this package."""
+    named = os.environ.get("TALLYFRAME_TOKENIZERS")
+    if named:
+        return os.path.join(named, "byte_bpe_50k.json")
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"], with_ids=False)
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"], with_ids=False)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

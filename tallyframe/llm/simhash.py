@@ -172,12 +172,18 @@ def as_links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def classes(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """(fp, id) -> (fp, id of the smallest of its component): one row for each distinct fingerprint."""
+    """(fp, id) -> (fp, id of the smallest of its component): one row for each distinct fingerprint.
+
+    Fingerprints go into the components behind the least id of each, so a component's root brings the smallest id with it, and
+    nothing is gathered by component, which may hold a third of all fingerprints.
+    """
     per = common.written(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    found = components.components(links(per.select("fp"), bits))
-    rooted = per.join(found, per["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    named = per.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("node"))
+    near = links(per.select("fp"), bits)
+    nodes = near.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    found = components.components(nodes.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node.fp").alias("fp"), "root")
+    rooted = per.join(found, "fp", "left")
+    return rooted.select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root.least")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:

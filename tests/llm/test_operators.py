@@ -42,8 +42,8 @@ def empty(spark):
 def test_bpe_agrees_with_the_library(spark):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(queries.VOCABULARY)
-    got = bpe.encode_texts(odd(spark), queries.VOCABULARY).collect()
+    library = Tokenizer.from_file(queries.vocabulary())
+    got = bpe.encode_texts(odd(spark), queries.vocabulary()).collect()
     assert len(got) == len(ODD)
     for row in got:
         ids = library.encode(row["text"] or "", add_special_tokens=False).ids
@@ -52,13 +52,13 @@ def test_bpe_agrees_with_the_library(spark):
         assert row["ids"] == ids and row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(raw).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
-    assert bpe.encode_texts(empty(spark), queries.VOCABULARY).count() == 0
+    assert bpe.encode_texts(empty(spark), queries.vocabulary()).count() == 0
 
 
 def test_bpe_agrees_on_random_texts_and_ids():
     from tokenizers import Tokenizer
 
-    library, own, rng = Tokenizer.from_file(queries.VOCABULARY), bpe.Encoder(queries.VOCABULARY), np.random.default_rng(5)
+    library, own, rng = Tokenizer.from_file(queries.vocabulary()), bpe.Encoder(queries.vocabulary()), np.random.default_rng(5)
     letters = list("aabeth  \n\r\t'sdll.,;<|>endoftx0129é漢🙂\u2003\u0301\x1c\x85")
     texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
     for text, coded in zip(texts, own.encode(texts), strict=True):
@@ -604,6 +604,13 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_have_the_smallest_id(spark):
+    """Ids in another order than fingerprints; a null id counts only where there is no other."""
+    rows = [(0b0, 9), (0b11, 4), (0b1111, 7), (0b111111, None), (1 << 40 | 0b1010101 << 20, None), (1 << 50 | 0b1110111 << 30, 2), (1 << 50 | 0b1110111 << 30, None)]
+    got = {r["fp"]: r["component_id"] for r in simhash.classes(spark.createDataFrame(rows, "fp long, id long"), 2).collect()}
+    assert got == {0b0: 4, 0b11: 4, 0b1111: 4, 0b111111: 4, 1 << 40 | 0b1010101 << 20: None, 1 << 50 | 0b1110111 << 30: 2}
+
+
 def test_one_of_each_group_stays(spark):
     kept = simhash.keep_one(odd(spark)).collect()
     assert kept[0].__fields__ == odd(spark).columns
