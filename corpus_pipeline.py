@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of whole texts, with their digests and those of the texts decoded from them."""
-    return bpe.encode_texts(docs, queries.VOCABULARY, keep=["doc_id", "lang", "source"])
+    return bpe.encode_texts(docs, queries.vocabulary, keep=["doc_id", "lang", "source"])
 
 
 STAGES: list[tuple[str, Stage]] = [
