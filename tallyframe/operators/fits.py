@@ -99,9 +99,13 @@ def robust_points(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3,
         median = elements(judged, by, "miss", {"median": part_of(1, 2)})
         limit = F.when(F.col("median") > 0, outlier * F.col("median"))
         limited = written(fitted.join(median.select(*by, limit.alias("limit")), by, "left"), "limits")
-        left = kept().join(limited, by).withColumn("miss", residual(x, y)).groupBy(*by).agg(F.count_if(F.coalesce(F.col("miss") <= F.col("limit"), F.lit(True))).alias("left"))
+        left = kept().join(limited, by).withColumn("miss", residual(x, y)).groupBy(*by).agg(F.count("*").alias("all"), F.count_if(F.coalesce(F.col("miss") <= F.col("limit"), F.lit(True))).alias("left"))
         one = F.struct("slope", "intercept", F.when(F.col("left") >= 3, F.col("limit")).alias("limit"))
-        judges = written(judges.join(limited.join(left, by), by).select(*by, F.array_append("judges", one).alias("judges")), "judges")
+        dropped = (F.col("left") >= 3) & (F.col("left") < F.col("all"))
+        judged_by = written(judges.join(limited.join(left, by), by).select(*by, F.array_append("judges", one).alias("judges"), dropped.alias("dropped")), "judges")
+        judges = judged_by.drop("dropped")
+        if judged_by.filter("dropped").isEmpty():
+            break
     return kept()
 
 

@@ -5,6 +5,9 @@ A page's marks are gathered into one row, as what follows depends on all before;
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,26 +58,32 @@ def stacked(marks: DataFrame, page: str, order: str, x: str, y: str, reach_x: fl
 
 
 def distinct_shapes(shapes: DataFrame, group: str, order: str, features: list[str], width: float) -> DataFrame:
-    """Rows of each group without those that are near an earlier row that stays: all features within `width`.
+    """Rows of each group without those that are near an earlier row that stays: all features within `width`. A row
+    without a group, an order or one of the features is near none. Numbers of order are distinct within a group.
 
-    Rows meet in bins of the first feature, each earlier row in its own bin and the two beside it. A row that has no
-    earlier neighbour stays; one that has a neighbour that stays goes; this is repeated until all are settled.
+    Rows lie in cells as wide as the tolerance. In each round the first row left of a cell stays if no row left in the cells
+    around it comes before; then all that are near one that stays go. A cell's rows are near each other, so few of a cell
+    stay and rows meet few of them: no pairs of all rows are made, and each round leaves a part of the cells only.
     """
-    bins = F.floor(F.col(features[0]) / width)
-    rows = shapes.select(group, order, *features).withColumn("__bin", bins)
-    early = rows.select(F.col(group).alias("__g"), F.col(order).alias("__e"), *[F.col(f).alias(f"__early_{f}") for f in features], F.explode(F.array(bins - 1, bins, bins + 1)).alias("__probe"))
-    near = (F.col(group) == F.col("__g")) & (F.col("__bin") == F.col("__probe")) & (F.col("__e") < F.col(order))
-    for f in features:
-        near = near & (F.abs(F.col(f) - F.col(f"__early_{f}")) <= width)
-    pairs = rows.join(early, near).select(F.col(group).alias("__pg"), F.col("__e").alias("__a"), F.col(order).alias("__z"))
-    pairs = written(pairs, "pairs")
-    state = written(rows.select(group, order).withColumn("__stays", F.lit(None).cast("boolean")), "shapes")
-    while True:
-        known = state.select(F.col(group).alias("__kg"), F.col(order).alias("__ko"), F.col("__stays").alias("__ks"))
-        judged = pairs.join(known, (F.col("__pg") == F.col("__kg")) & (F.col("__a") == F.col("__ko")))
-        per = judged.groupBy("__pg", "__z").agg(F.coalesce(F.bool_or("__ks"), F.lit(False)).alias("__gone"), F.bool_and(~F.coalesce("__ks", F.lit(True))).alias("__free"))
-        new = state.join(per, (F.col(group) == F.col("__pg")) & (F.col(order) == F.col("__z")), "left")
-        stays = F.when(F.col("__z").isNull(), True).when(F.col("__gone"), False).when(F.col("__free"), True)
-        state = written(new.select(group, order, F.coalesce("__stays", stays).alias("__stays")), "shapes")
-        if not state.filter("__stays IS NULL").limit(1).count():
-            return shapes.join(state.filter("__stays").select(group, order), [group, order])
+    names = [f"__f{i}" for i in range(len(features))]
+    cells = [f"__c{i}" for i in range(len(features))]
+    rows = shapes.select(F.col(group).alias("__g"), F.col(order).alias("__o"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)])
+    whole = F.col("__g").isNotNull() & F.col("__o").isNotNull()
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    left = written(rows.filter(whole).select("*", *[F.floor(F.col(n) / width).alias(c) for n, c in zip(names, cells)]), "shapes")
+    stays = [rows.filter(~whole).select("__g", "__o")]
+    steps = F.array(*[F.struct(*[F.lit(s).alias(c) for s, c in zip(step, cells)]) for step in product((-1, 0, 1), repeat=len(cells))])
+    around = lambda df, *keep: df.select("__g", *keep, *cells, F.explode(steps).alias("__s")).select("__g", *keep, *[(F.col(c) + F.col(f"__s.{c}")).alias(c) for c in cells])
+    while not left.isEmpty():
+        first = left.groupBy("__g", *cells).agg(F.min(F.struct("__o", *names)).alias("m")).select("__g", *cells, "m.*")
+        least = around(first, "__o").groupBy("__g", *cells).agg(F.min("__o").alias("__least"))
+        safe = written(first.join(least, ["__g", *cells]).filter("__o = __least").drop("__least"), "stays")
+        stays.append(safe.select("__g", "__o"))
+        beside = around(safe.select("__g", *cells, *[F.col(n).alias(f"{n}s") for n in names]), *[f"{n}s" for n in names])
+        near = F.col("l.__g") == F.col("s.__g")
+        for c, n in zip(cells, names):
+            near = near & (F.col(f"l.{c}") == F.col(f"s.{c}")) & (F.abs(F.col(f"l.{n}") - F.col(f"s.{n}s")) <= width)
+        left = written(left.alias("l").join(beside.alias("s"), near, "left_anti"), "shapes")
+    kept = reduce(DataFrame.unionAll, stays)
+    return shapes.join(kept, F.col(group).eqNullSafe(F.col("__g")) & F.col(order).eqNullSafe(F.col("__o")), "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.fits import elements, part_of
+
 
 def runs(df: DataFrame, by: list[str], n: str) -> DataFrame:
     """Runs of consecutive whole numbers in each group: (first, last)."""
@@ -63,19 +65,11 @@ def data_limits(df: DataFrame, by: list[str], left: str, right: str, height: str
     greatest of them; groups with fewer than four gaps have the floor only."""
     w = Window.partitionBy(*by).orderBy(left, right)
     gap = F.col(left) - F.max(right).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gathered = df.select(*by, gap.alias("gap"), height).groupBy(*by).agg(F.sort_array(F.collect_list("gap")).alias("gaps"), F.sort_array(F.collect_list(height)).alias("heights"))
-    own = F.greatest(2.2 * upper_median(F.col("gaps")), 0.45 * at_share(F.col("heights"), 1, 4), F.lit(floor))
-    return gathered.select(*by, F.when(F.size("gaps") < 4, F.lit(floor)).otherwise(own).alias("gap_limit"))
-
-
-def upper_median(ordered: Column) -> Column:
-    """The middle of a sorted list, the upper one of two; null for an empty list."""
-    return at_share(ordered, 1, 2)
-
-
-def at_share(ordered: Column, part: int, of: int) -> Column:
-    """The element at part/of of a sorted list, counted from 0 and rounded down."""
-    return F.try_element_at(ordered, (F.floor(F.size(ordered) * part / of) + 1).cast("int"))
+    gaps = elements(df.select(*by, gap.alias("gap")), by, "gap", {"middle": part_of(1, 2)}).withColumnRenamed("n", "gaps")
+    heights = elements(df, by, height, {"quarter": part_of(1, 4)}).drop("n")
+    own = F.greatest(2.2 * F.col("middle"), 0.45 * F.col("quarter"), F.lit(floor))
+    groups = df.select(*by).distinct().join(gaps, by, "left").join(heights, by, "left")
+    return groups.select(*by, F.when(F.coalesce("gaps", F.lit(0)) < 4, F.lit(floor)).otherwise(own).alias("gap_limit"))
 
 
 def hierarchical_numbers(df: DataFrame, by: str, order: str, level: str, depth: int) -> DataFrame:

@@ -34,6 +34,15 @@ def duplicate_counts(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     return df.select(digest.alias("key"), F.col(number).alias("number")).groupBy("key").agg(F.min("number").alias("first"), F.count("*").alias("n")).filter("n > 1").select("first", "n")
 
 
+def duplicate_members(df: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """(number, first, n): a row for each row of a group of two or more that are alike in `keys`, with the group's first
+    number and size; however large a group is, it is never one row."""
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    rows = df.select(digest.alias("key"), F.col(number).alias("number"))
+    groups = rows.groupBy("key").agg(F.min("number").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(groups, "key").select(F.col("number").alias(number), "first", "n")
+
+
 def first_earlier(df: DataFrame, key: str, position: str) -> DataFrame:
     """Add `same_as`: the position of the first row with the same key, for all rows but that; null keys match none."""
     first = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(position).alias("__first"))

@@ -34,6 +34,11 @@ def duplicate_groups(spark, d):
     return sets.duplicate_groups(table(spark, d, "documents"), ["text"], "doc_id")
 
 
+@query("duplicate_members", """SELECT doc_id, min(doc_id) OVER w AS first, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY text) QUALIFY n > 1""")
+def duplicate_members(spark, d):
+    return sets.duplicate_members(table(spark, d, "documents"), ["text"], "doc_id")
+
+
 @query(
     "duplicate_summary",
     """WITH g AS (SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)

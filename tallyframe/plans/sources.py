@@ -85,13 +85,13 @@ def workbook_rows(spark, d):
 
 
 @query(
-    "open_sheets",
+    "ods_rows",
     """WITH n AS (SELECT *, 'r' || n_regionkey AS path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
             t AS (SELECT n.*, unnest(range(0, 1 + n_nationkey % 3)) AS again FROM n),
             o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n_nationkey, again) AS number FROM t)
        SELECT path, number, c AS "column", CASE c WHEN 0 THEN 'h' ELSE 'k' END AS name, CASE c WHEN 0 THEN n_name ELSE n_name || chr(10) || n_nationkey END AS value FROM o, range(0, 2) x(c)""",
 )
-def open_sheets(spark, d):
+def ods_rows(spark, d):
     """Rows that are repeated, blank rows by the thousand, and cells of two paragraphs."""
     row = F.concat(F.lit('<t:table-row t:number-rows-repeated="'), (1 + F.col("n_nationkey") % 3).cast("string"), F.lit('"><t:table-cell><x:p>'), F.col("n_name"), F.lit("</x:p></t:table-cell><t:table-cell><x:p>"), F.col("n_name"), F.lit("</x:p><x:p>"), F.col("n_nationkey").cast("string"), F.lit('</x:p></t:table-cell></t:table-row><t:table-row t:number-rows-repeated="1000"><t:table-cell t:number-columns-repeated="16000"/></t:table-row>'))
     head = '<d xmlns:t="t" xmlns:x="x"><t:table t:name="S"><t:table-row><t:table-cell><x:p>h</x:p></t:table-cell><t:table-cell><x:p>k</x:p></t:table-cell></t:table-row>'
@@ -121,11 +121,11 @@ def word_blocks(spark, d):
 
 
 @query(
-    "open_document_blocks",
+    "odt_blocks",
     """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
        SELECT 'c' || conv_id AS path, 2 * i - 1 AS block, 3 AS level, sha256(role) AS said FROM t UNION ALL SELECT 'c' || conv_id, 2 * i, 0, sha256(text || '!') FROM t""",
 )
-def open_document_blocks(spark, d):
+def odt_blocks(spark, d):
     body = F.concat(F.lit('<x:tracked-changes><x:p>old</x:p></x:tracked-changes><x:h x:outline-level="3">'), F.col("role"), F.lit("</x:h><x:p>"), escape_html(F.col("text")), F.lit("<x:span>!</x:span></x:p>"))
     whole = table(spark, d, "conversations").groupBy(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path")).agg(in_order(body, "turn").alias("body"))
     got = workbooks.document_blocks(zipped(whole.select("path", F.create_map(F.lit("content.xml"), F.concat(F.lit('<d xmlns:x="x">'), F.col("body"), F.lit("</d>"))).alias("parts"))))
@@ -281,10 +281,10 @@ def signatures_or_errors(spark, d):
 
 
 @query(
-    "options_laid_over",
+    "tunables_laid_over",
     """WITH o(name, value) AS (VALUES ('threshold', 200.0), ('tolerance', 0.5), ('group', 2.0), ('least', 0.05), ('pad', 0.0), ('margin', 5.0), ('dpi', 600.0)) SELECT name, value::DOUBLE AS value FROM o""",
 )
-def options_laid_over(spark, d):
+def tunables_laid_over(spark, d):
     """Defaults, a user's own over them, and what is given over those; nothing given leaves what is there."""
     chosen = Options().over(tolerance=0.4, pad=0.0).over(tolerance=0.5, dpi=600.0, margin=None)
     return spark.createDataFrame([(k, float(v)) for k, v in vars(chosen).items()], "name string, value double")
@@ -341,6 +341,27 @@ def sweeps(spark, d):
     return looks[0].unionAll(looks[1]).unionAll(looks[2]).unionAll(looks[3])
 
 
+@query(
+    "followed_files",
+    """SELECT turn, r_name AS name, CASE WHEN turn = 4 THEN 25 ELSE length(r_name) END AS size FROM region, range(1, 5) t(turn) WHERE turn = 2 OR (turn = 4 AND r_regionkey = 0)""",
+)
+def followed_files(spark, d):
+    """The same as a stream of looks with state by path, in three runs from one checkpoint."""
+    at, state = folder(spark, "in"), folder(spark, "state")
+    names = {r["r_regionkey"]: r["r_name"] for r in table(spark, d, "region").collect()}  # five
+    for name in names.values():
+        put(spark, f"{at}/{name}", name)
+    watched = arrivals.Folder(spark, at, state)
+    handle = lambda todo: todo.select("path", F.lit("done").alias("outcome"))
+    for turn in (1, 2, 3, 4):
+        if turn == 3:
+            put(spark, f"{at}/{names[0]}", "longer than it was before")
+        watched.look(turn)
+        if turn != 1:
+            watched.follow(handle).awaitTermination()
+    return watched.handled().select(F.col("at").cast("long").alias("turn"), F.substring_index("path", "/", -1).alias("name"), "size")
+
+
 @query("folder_listing", """SELECT r_name AS name, length(r_name) AS size FROM region""")
 def folder_listing(spark, d):
     at = folder(spark, "in")

@@ -1,15 +1,18 @@
 """Arriving files: looked at until they are settled, then handled once.
 
 Spark's file source tells files apart by path alone, so one that is written anew would be passed over. Here a look is
-(path, size, modified); what was handled is kept in a ledger by all three.
+(path, size, modified); what was handled is kept in a ledger by all three. `Folder.sweep` compares a look with the one
+before by a join; `Folder.follow` reads looks as a stream and keeps what it knows of each path as state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 LOOK = ["path", "size", "modified"]
 
@@ -33,6 +36,32 @@ def decided(before: DataFrame, now: DataFrame, ledger: DataFrame, why_not: Colum
     return out.select(*LOOK, verdict.alias("verdict"))
 
 
+#: What is kept of a path between looks: its last size and time of change, and whether it was given out as they are.
+STATE = "size long, modified long, given boolean"
+
+
+def arriving(looks: DataFrame) -> DataFrame:
+    """A stream of looks (path, size, modified, turn) -> the files to be handled, as (path, size, modified, turn).
+
+    State is kept by path, so a look meets only what is known of its own file, however many there are: a file is given
+    out at the first look that finds it as the look before did, not empty, and again after it was changed.
+    """
+
+    def step(key, parts, state):
+        size, modified, given = state.get if state.exists else (-1, -1, False)
+        out = []
+        for row in sorted((r for part in parts for r in part[["size", "modified", "turn"]].itertuples(index=False)), key=lambda r: r.turn):
+            if (row.size, row.modified) != (size, modified):
+                size, modified, given = int(row.size), int(row.modified), False
+            elif size > 0 and not given:
+                out.append((key[0], size, modified, int(row.turn)))
+                given = True
+        state.update((size, modified, given))
+        yield pd.DataFrame(out, columns=["path", "size", "modified", "turn"])
+
+    return looks.groupBy("path").applyInPandasWithState(step, "path string, size long, modified long, turn int", STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 class Folder:
     """Sweeps over a folder; the ledger and the last look are Parquet tables beside a stream's checkpoint."""
 
@@ -65,6 +94,27 @@ class Folder:
         done.coalesce(1).write.mode("overwrite").parquet(f"{self.state}/ledger/turn={turn}")
         return verdicts
 
+    def look(self, turn: int) -> None:
+        """Write a look at the folder for `follow`, as a file of its own."""
+        self.listing().withColumn("turn", F.lit(turn)).coalesce(1).write.mode("append").parquet(f"{self.state}/stream/looks")
+
+    def follow(self, handle: Callable[[DataFrame], DataFrame], every: str | None = None):
+        """A streaming query over the looks that are written, with keyed state of the last one: each batch hands what has
+        settled to `handle`, which returns (path, outcome), and writes the ledger of its number, so a batch that is run
+        again writes over its own. Without `every` it takes the looks that are there and ends."""
+        looks = self.spark.readStream.schema("path string, size long, modified long, turn int").parquet(f"{self.state}/stream/looks")
+
+        def batch(todo: DataFrame, number: int) -> None:
+            done = todo.join(handle(todo), "path").select(*LOOK, "outcome", F.col("turn").alias("at"))
+            done.write.mode("overwrite").parquet(f"{self.state}/stream/ledger/batch={number}")
+
+        trigger = {"processingTime": every} if every else {"availableNow": True}
+        return arriving(looks).writeStream.outputMode("append").foreachBatch(batch).trigger(**trigger).option("checkpointLocation", f"{self.state}/stream/checkpoint").start()
+
+    def handled(self) -> DataFrame:
+        """The ledger of `follow`."""
+        return self.read("stream/ledger", "path string, size long, modified long, outcome string, at int, batch int")
+
     def watch(self, handle: Callable[[DataFrame], DataFrame], every: str | None = None, checkpoint: str | None = None):
         """Sweeps as a streaming query: each tick of a rate source is a turn; without `every`, two turns and an end."""
         if every is None:

@@ -257,6 +257,33 @@ def test_a_file_is_handled_once_and_again_when_written_anew(spark, tmp_path):
     assert handled == [[], ["a.pdf"], ["a.pdf"], [], [], ["a.pdf"]]
 
 
+def test_looks_are_followed_as_a_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder, "a.pdf", "one")
+    put(folder, "b.pdf", "x")
+    watched, handled = arrivals.Folder(spark, str(folder), f"{tmp_path}/state"), []
+
+    def handle(todo):
+        names = sorted(os.path.basename(r["path"]) for r in todo.collect())
+        handled.append(names)
+        return todo.select("path", F.lit("done").alias("outcome"))
+
+    for turn, change in enumerate((None, ("b.pdf", "xx"), None, ("a.pdf", "one more"), None, None), 1):
+        if change:
+            put(folder, *change)
+        watched.look(turn)
+        watched.follow(handle).awaitTermination()
+    assert [h for h in handled if h] == [["a.pdf"], ["b.pdf"], ["a.pdf"]]
+    assert {(os.path.basename(r["path"]), r["size"], r["at"]) for r in watched.handled().collect()} == {("a.pdf", 3, 2), ("b.pdf", 2, 3), ("a.pdf", 8, 5)}
+    # Several looks in one batch are taken in their order.
+    late = arrivals.Folder(spark, str(folder), f"{tmp_path}/late")
+    for turn in (1, 2, 3):
+        late.look(turn)
+    late.follow(handle).awaitTermination()
+    assert sorted((os.path.basename(r["path"]), r["at"]) for r in late.handled().collect()) == [("a.pdf", 2), ("b.pdf", 2)]
+
+
 def test_a_watch_is_a_streaming_query(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
