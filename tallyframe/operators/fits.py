@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from tallyframe.operators.tables import written
 
 
-#: Values of a group that may be put in order, and the parts in which more of them are summarised to leave fewer.
-MOST, PARTS = 100_000, 1_000
+#: Values of a group that may be put in order, and the bins in which more of them are counted to leave fewer.
+MOST, BINS = 100_000, 4_096
 
 
 def elements(df: DataFrame, by: list[str], x: str, at: dict[str, Column]) -> DataFrame:
     """(by, n, one column for each of `at`): elements of each group's sorted values, nulls left out, by index from 0. `at`
     gives the index as an expression of `n`; null where there is no such element.
 
-    No group of over `MOST` values is sorted: a mergeable summary of the values between the bounds known so far gives
-    closer bounds around an element, again and again, each time some thousandths of what there was. Values below the
-    bounds are counted, and those between are put in order, each distinct one once.
+    No group of over `MOST` values is sorted: values between the bounds known so far are counted in bins of equal width,
+    and the bin that holds the element gives closer bounds, again and again, until few values, or one, lie between.
+    These are put in order, each distinct one once.
     """
     names = list(at)
     # Columns of our own, which no group column is called like.
@@ -26,20 +26,21 @@ def elements(df: DataFrame, by: list[str], x: str, at: dict[str, Column]) -> Dat
     rows = df.select(*by, F.col(x).alias("__x")).filter("__x IS NOT NULL")
     counts = written(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(x_).alias("__low"), F.max(x_).alias("__high")), "counts")
     index = F.explode(F.array(*[F.struct(F.lit(k).alias("__no"), at[c].cast("long").alias("__i")) for k, c in enumerate(names)]))
-    bounds = counts.withColumn("__e", index).select(*by, "__e.__no", "__e.__i", "__low", "__high", F.col("n").alias("__held")).filter("__i BETWEEN 0 AND __held - 1")
-    while not bounds.filter(held > MOST).isEmpty():
-        between = F.when(x_ >= low, x_)
-        seen = rows.join(bounds.filter(held > MOST).drop("__held"), by).filter(x_ <= high).groupBy(*by, "__no", "__i", "__low", "__high").agg(
-            F.count_if(x_ < low).alias("__below"), F.count(between).alias("__held"), F.percentile_approx(between, [k / PARTS for k in range(PARTS + 1)], 20 * PARTS).alias("__marks")
-        )
-        first = F.floor((i - below) * PARTS / held).cast("int") - 1
-        last = F.ceil((i - below + 1) * PARTS / held).cast("int") + 1
-        closer = seen.select(*by, "__no", "__i", F.when(first > 0, F.get("__marks", first)).otherwise(low).alias("__low"), F.when(last < PARTS, F.get("__marks", last)).otherwise(high).alias("__high"), F.ceil(held * 5 / PARTS).alias("__held"))
-        bounds = written(bounds.filter(held <= MOST).unionByName(closer), "bounds")
-    # Values below count under null, and those above play no part.
-    tally = rows.join(bounds.drop("__held"), by).filter(x_ <= high).groupBy(*by, "__no", "__i", F.when(x_ >= low, x_).alias("__value")).agg(F.count("*").alias("__held"))
-    ranked = tally.withColumn("__up_to", F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy(F.asc_nulls_first("__value"))))
-    found = ranked.filter("__value IS NOT NULL AND __up_to > __i").groupBy(*by).agg(*[F.min(F.when(no == k, F.col("__value"))).alias(c) for k, c in enumerate(names)])
+    bounds = counts.withColumn("__e", index).filter("__e.__i BETWEEN 0 AND n - 1")
+    bounds = bounds.select(*by, "__e.__no", "__e.__i", "__low", "__high", F.col("n").alias("__held"), F.lit(0).cast("long").alias("__below"))
+    wide = (held > MOST) & (low < high)
+    between = lambda found: rows.join(found, by).filter((x_ >= low) & (x_ <= high))
+    while not bounds.filter(wide).isEmpty():
+        place = F.least(F.floor((x_ - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("__bin")
+        keys = [*by, "__no", "__i", "__below"]
+        binned = between(bounds.filter(wide)).groupBy(*keys, place).agg(F.count("*").alias("__held"), F.min(x_).alias("__low"), F.max(x_).alias("__high"))
+        up_to = below + F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy("__bin"))
+        chosen = binned.withColumn("__up_to", up_to).filter((F.col("__up_to") > i) & (F.col("__up_to") - held <= i))
+        closer = chosen.select(*by, "__no", "__i", "__low", "__high", "__held", (F.col("__up_to") - held).alias("__below"))
+        bounds = written(bounds.filter(~wide).unionByName(closer), "bounds")
+    tally = between(bounds.drop("__held")).groupBy(*by, "__no", "__i", "__below", "__x").agg(F.count("*").alias("__held"))
+    ranked = tally.withColumn("__up_to", below + F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy("__x")))
+    found = ranked.filter("__up_to > __i").groupBy(*by).agg(*[F.min(F.when(no == k, x_)).alias(c) for k, c in enumerate(names)])
     return counts.select(*by, "n").join(found, by, "left")
 
 
@@ -86,25 +87,25 @@ def robust_points(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3,
     group, a small table; points are judged by all rounds so far as they are read, and groups are not gathered.
     """
     points = df.select(*by, x, y)
-    empty = F.array().cast("array<struct<slope:double,intercept:double,limit:double>>")
-    judges = points.select(*by).distinct().withColumn("judges", empty)
+    judges, done = points.select(*by).distinct(), 0
 
     def kept() -> DataFrame:
-        miss = lambda j: F.abs(F.col(y) - (j["slope"] * F.col(x) + j["intercept"]))
-        return points.join(judges, by).filter(F.forall("judges", lambda j: F.coalesce(miss(j) <= j["limit"], F.lit(True)))).select(*by, x, y)
+        good = F.lit(True)
+        for r in range(done):
+            miss = F.abs(F.col(y) - (F.col(f"__slope{r}") * F.col(x) + F.col(f"__intercept{r}")))
+            good = good & F.coalesce(miss <= F.col(f"__limit{r}"), F.lit(True))
+        return (points.join(judges, by) if done else points).filter(good).select(*by, x, y)
 
-    for _ in range(rounds):
+    for done in range(rounds):
         fitted = written(line(kept(), by, x, y).drop("n"), "lines")
-        judged = kept().join(fitted, by).withColumn("miss", residual(x, y))
+        judged = kept().join(fitted, by).select(*by, residual(x, y).alias("miss"))
         median = elements(judged, by, "miss", {"median": part_of(1, 2)})
-        limit = F.when(F.col("median") > 0, outlier * F.col("median"))
-        limited = written(fitted.join(median.select(*by, limit.alias("limit")), by, "left"), "limits")
-        left = kept().join(limited, by).withColumn("miss", residual(x, y)).groupBy(*by).agg(F.count("*").alias("all"), F.count_if(F.coalesce(F.col("miss") <= F.col("limit"), F.lit(True))).alias("left"))
-        one = F.struct("slope", "intercept", F.when(F.col("left") >= 3, F.col("limit")).alias("limit"))
-        dropped = (F.col("left") >= 3) & (F.col("left") < F.col("all"))
-        judged_by = written(judges.join(limited.join(left, by), by).select(*by, F.array_append("judges", one).alias("judges"), dropped.alias("dropped")), "judges")
-        judges = judged_by.drop("dropped")
-        if judged_by.filter("dropped").isEmpty():
+        limited = written(fitted.join(median.select(*by, F.when(F.col("median") > 0, outlier * F.col("median")).alias("limit")), by, "left"), "limits")
+        left = judged.join(limited.select(*by, "limit"), by).groupBy(*by).agg(F.count("*").alias("all"), F.count_if(F.coalesce(F.col("miss") <= F.col("limit"), F.lit(True))).alias("left"))
+        found = limited.join(left, by).select(*by, F.col("slope").alias(f"__slope{done}"), F.col("intercept").alias(f"__intercept{done}"), F.when(F.col("left") >= 3, F.col("limit")).alias(f"__limit{done}"), ((F.col("left") >= 3) & (F.col("left") < F.col("all"))).alias("__dropped"))
+        found = written(judges.join(found, by, "left"), "judges")
+        judges, done = found.drop("__dropped"), done + 1
+        if found.filter("__dropped").isEmpty():
             break
     return kept()
 
