@@ -195,8 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), words=words, keep=["id"], name="fp")
     prints = common.written(prints, "fingerprints")
-    # The class of a very common fingerprint goes to many rows: Spark splits such partitions of the join.
-    out = prints.join(classes(prints, bits), "fp", "left")
+    # The class of a very common fingerprint goes to many rows. The classes are written, so Spark knows their size: a table
+    # under its bound for broadcasts goes to the rows, and else it splits such partitions of the join.
+    out = prints.join(common.written(classes(prints, bits), "component"), "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
