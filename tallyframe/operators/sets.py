@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,7 +81,7 @@ def merge_config(mine: DataFrame, theirs: DataFrame, key: str, value: str, repla
 
 def tidied(code: Column, maker: str) -> Column:
     """A code without case, blanks, dashes, underscores and the maker's name before it."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(code)), "[ _-]", ""), f"^{maker}", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(code)), "[ _-]", ""), f"^{re.escape(maker)}", "")
 
 
 def by_code(asked: DataFrame, code: str, stock: DataFrame, own: str, also: str, order: str, maker: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tallyframe.operators.tables import written
+
 LOOK = ["path", "size", "modified"]
 
 
@@ -105,6 +107,7 @@ class Folder:
         looks = self.spark.readStream.schema("path string, size long, modified long, turn int").parquet(f"{self.state}/stream/looks")
 
         def batch(todo: DataFrame, number: int) -> None:
+            todo = written(todo, "arrived")  # state is read and written once a batch
             done = todo.join(handle(todo), "path").select(*LOOK, "outcome", F.col("turn").alias("at"))
             done.write.mode("overwrite").parquet(f"{self.state}/stream/ledger/batch={number}")
 
