@@ -1,6 +1,7 @@
-"""Groupings in which each row is put by what was put before: walked through in order, one page at a time.
+"""Groupings in which each row is put by what was put before.
 
-A page's marks are gathered into one row, as what follows depends on all before; a page has a bounded number of them.
+A page is cut at gaps that no mark can bridge; what lies between two of them is gathered into one row and walked through in
+order, as what follows there depends on all before. So a page may be long, if it isn't dense throughout.
 """
 
 from __future__ import annotations
@@ -8,12 +9,19 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.tables import written
 
 
+def banded(marks: DataFrame, page: str, low: Column, high: Column, reach: float) -> DataFrame:
+    """Add `__band`: a new one begins where a mark lies over `reach` beyond all before it."""
+    above = Window.partitionBy(page).orderBy(low, high)
+    starts = F.coalesce((low - F.max(high).over(above.rowsBetween(Window.unboundedPreceding, -1)) > reach).cast("int"), F.lit(1))
+    return marks.withColumn("__starts", starts).withColumn("__band", F.sum("__starts").over(above.rowsBetween(Window.unboundedPreceding, 0))).drop("__starts")
+
+
 def lines_by_overlap(marks: DataFrame, page: str, order: str, top: str, bottom: str, least: float = 0.35) -> DataFrame:
     """(page, order, line): marks in order, each in the last line in which it shares over `least` of the smaller height
     with any member, else in a new one; lines are numbered as they begin."""
@@ -29,9 +37,14 @@ def lines_by_overlap(marks: DataFrame, page: str, order: str, top: str, bottom:
         line = F.coalesce(hit, F.coalesce(F.array_max(F.transform(held, lambda x: x["line"])), F.lit(0)) + 1)
         return F.array_append(held, F.struct(m["o"].alias("o"), m["t"].alias("t"), m["b"].alias("b"), line.alias("line")))
 
-    gathered = marks.groupBy(page).agg(F.sort_array(F.collect_list(mark)).alias("marks"))
-    placed = gathered.select(page, F.explode(F.aggregate("marks", F.array().cast(kind), put)).alias("m"))
-    return placed.select(page, F.col("m.o").alias(order), F.col("m.line").alias("line"))
+    parts = banded(marks, page, F.least(top, bottom), F.greatest(top, bottom), 0.0)
+    gathered = parts.groupBy(page, "__band").agg(F.sort_array(F.collect_list(mark)).alias("marks"))
+    placed = gathered.select(page, "__band", F.explode(F.aggregate("marks", F.array().cast(kind), put)).alias("m"))
+    # Lines of all bands are numbered by their first marks.
+    first = placed.groupBy(page, "__band", "m.line").agg(F.min("m.o").alias("__first"))
+    number = first.withColumn("__number", F.row_number().over(Window.partitionBy(page).orderBy("__first")))
+    placed = placed.select(page, "__band", F.col("m.o").alias(order), F.col("m.line").alias("line")).join(number, [page, "__band", "line"])
+    return placed.select(page, order, F.col("__number").alias("line"))
 
 
 def stacked(marks: DataFrame, page: str, order: str, x: str, y: str, reach_x: float, reach_y: float) -> DataFrame:
@@ -53,7 +66,8 @@ def stacked(marks: DataFrame, page: str, order: str, x: str, y: str, reach_x: fl
         new = F.struct(m["o"].alias("first"), F.lit(1).alias("n"), m["x"].alias("x0"), m["x"].alias("x1"), m["y"].alias("y0"), m["y"].alias("y1"))
         return F.when(first.isNull(), F.array_append(held, new)).otherwise(grown)
 
-    gathered = marks.groupBy(page).agg(F.sort_array(F.collect_list(mark)).alias("marks"))
+    at = F.col(y).cast("double")
+    gathered = banded(marks, page, at, at, reach_y).groupBy(page, "__band").agg(F.sort_array(F.collect_list(mark)).alias("marks"))
     return gathered.select(page, F.explode(F.aggregate("marks", F.array().cast(kind), put)).alias("b")).select(page, "b.*")
 
 
