@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, ctw, jpeg, licenses, mixing, ordinal, quality, simhash, toxicity, urls
+from tallyframe.llm import bpe, common, ctw, jpeg, licenses, mixing, ordinal, quality, repair, simhash, toxicity, urls
+
 
 def vocabulary() -> str:
     """Path of the vocabulary file on the machine that asks: in the folder that TALLYFRAME_TOKENIZERS names, or where the
@@ -83,6 +84,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(conversations), conversations)
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -95,6 +101,7 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_media": op9_media,
         "op10_licenses": op10_licenses,
+        "op12_repair": op12_repair,
     }
 
 
