@@ -7,18 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, ctw, jpeg, licenses, mixing, ordinal, quality, repair, simhash, toxicity, urls
+from tallyframe.llm import bpe, common, counts, ctw, jpeg, licenses, mixing, ordinal, quality, repair, simhash, toxicity, urls
 
 
-def vocabulary() -> str:
-    """Path of the vocabulary file on the machine that asks: in the folder that TALLYFRAME_TOKENIZERS names, or where the
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a vocabulary file on the machine that asks: in the folder that TALLYFRAME_TOKENIZERS names, or where the
     package of public tokenizers has it. The files are not part of this package."""
     named = os.environ.get("TALLYFRAME_TOKENIZERS")
     if named:
-        return os.path.join(named, "byte_bpe_50k.json")
+        return os.path.join(named, name)
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(conversations), conversations)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), lambda: vocabulary("word_bpe_49k.json"), limit=2048, keep=["doc_id"])
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -102,6 +106,7 @@ def queries() -> dict:
         "op9_media": op9_media,
         "op10_licenses": op10_licenses,
         "op12_repair": op12_repair,
+        "op13_token_counts": op13_token_counts,
     }
 
 
