@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, common, counts, ctw, jpeg, licenses, mixing, ordinal, quality, repair, simhash, toxicity, urls
+from tallyframe.llm import bpe, common, counts, ctw, jpeg, licenses, mixing, ordinal, quality, repair, simhash, toxicity, trie, urls
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -84,6 +84,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id", "path"])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(trie.encoded(table(spark, sf_dir, "conversations"))))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair.report(repair.damage(conversations), conversations)
@@ -105,6 +109,7 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_media": op9_media,
         "op10_licenses": op10_licenses,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_repair": op12_repair,
         "op13_token_counts": op13_token_counts,
     }
@@ -228,5 +233,40 @@ FROM own LEFT JOIN nearest USING (dir)
 """
 
 
+#: CRC-32 of a conversation's number, a bit at a time.
+OP11_SQL = r"""
+WITH RECURSIVE numbers AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS said FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, said, i, reg) AS (
+  SELECT c, said, 0, 4294967295::BIGINT FROM numbers
+  UNION ALL
+  SELECT c, said, i + 1, CASE WHEN i % 9 = 0 THEN xor(reg, ord(said[i // 9 + 1])::BIGINT) WHEN reg % 2 = 1 THEN xor(reg // 2, 3988292384::BIGINT) ELSE reg // 2 END
+  FROM crc WHERE i < 9 * length(said)),
+convs AS (SELECT c, c - c % 5 AS base, xor(reg, 4294967295::BIGINT) % 9 AS h FROM crc WHERE i = 9 * length(said)),
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+mixed AS (
+  SELECT v.c, 0 AS own, t.place, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.place <= v.h
+  UNION ALL
+  SELECT v.c, 1, t.place, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.place > v.h),
+rebuilt AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, place) AS d, role, text FROM mixed),
+sequences AS (SELECT c, list(md5(length(role) || ':' || role || text) ORDER BY d) AS ids, list(strlen(text) ORDER BY d) AS sizes FROM rebuilt GROUP BY c),
+whole AS (SELECT v.c, coalesce(s.ids, []) AS ids, coalesce(s.sizes, []) AS sizes FROM convs v LEFT JOIN sequences s USING (c)),
+members AS (SELECT c, d, array_to_string(ids[1:d], ',') AS key, len(ids) AS n, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM whole, unnest(range(len(ids) + 1)) AS u(d)),
+nodes AS (
+  SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM members GROUP BY key, d),
+linked AS (SELECT n.*, p.conv_id AS parent FROM nodes n JOIN members m ON m.c = n.conv_id AND m.d = n.d LEFT JOIN members a ON a.c = n.conv_id AND a.d = n.d - 1 LEFT JOIN nodes p ON p.key = a.key AND p.d = a.d),
+children AS (SELECT parent, d - 1 AS d, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2),
+sums AS (
+  SELECT a.key, a.d, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((t.n_convs - 1) * t.size) AS saved
+  FROM linked t LEFT JOIN children k ON k.parent = t.conv_id AND k.d = t.d JOIN members a ON a.c = t.conv_id AND a.d <= t.d GROUP BY 1, 2)
+SELECT l.conv_id, l.d::BIGINT AS depth, l.parent AS parent_conv_id, l.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, l.ends_sha256
+FROM linked l JOIN sums s ON s.key = l.key AND s.d = l.d LEFT JOIN children k ON k.parent = l.conv_id AND k.d = l.d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licenses": op10_sql(), "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op10_licenses": op10_sql(), "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL}
