@@ -4,44 +4,74 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.operators.tables import written
+from tallyframe.operators.tables import forget, written
 
 
 #: Values of a group that may be put in order, and the bins in which more of them are counted to leave fewer.
 MOST, BINS = 100_000, 4_096
 
 
+def bin_of(x: Column, low: Column, high: Column, by_size: Column, exact: bool) -> Column:
+    """Which of BINS bins between low < high, which rises with x and differs for low and high: of equal width, or, where
+    `by_size` holds, of equal ratio, below zero and above."""
+    last = F.lit(BINS - 1).cast("long")
+    if exact:
+        d = lambda c: c.cast("decimal(20,0)")
+        return F.least(F.floor((d(x) - d(low)) * BINS / (d(high) - d(low))).cast("long"), last)
+    span, inf = high - low, F.lit(float("inf"))
+    # The widest ranges of doubles have no width that is a double; half of it is.
+    width = F.when(span < inf, (x - low) / F.when(span < inf, span).otherwise(1.0)).otherwise((x / 2 - low / 2) / F.when(span < inf, 1.0).otherwise(high / 2 - low / 2))
+    size = lambda c: F.when(c > 0, F.ln(F.when(c > 0, c).otherwise(1.0)) + 746).when(c < 0, -(F.ln(F.when(c < 0, -c).otherwise(1.0)) + 746)).otherwise(0.0)  # noqa: E731  # over 0 from the smallest double up
+    ratios = size(high) - size(low)
+    place = F.when(by_size & (ratios > 0), (size(x) - size(low)) / F.when(ratios > 0, ratios).otherwise(1.0)).otherwise(width)
+    return F.least(F.floor(place * BINS), last)
+
+
 def elements(df: DataFrame, by: list[str], x: str, at: dict[str, Column]) -> DataFrame:
     """(by, n, one column for each of `at`): elements of each group's sorted values, nulls left out, by index from 0. `at`
-    gives the index as an expression of `n`; null where there is no such element.
-
-    No group of over `MOST` values is sorted: values between the bounds known so far are counted in bins of equal width,
-    and the bin that holds the element gives closer bounds, again and again, until few values, or one, lie between.
-    These are put in order, each distinct one once.
+    gives the index as an expression of `n`; null where there is no such element. Infinities come first and last, NaN after
+    them.
+
+    No group of over `MOST` values is sorted: values between the bounds known so far are counted in bins, and the bin that
+    holds the element gives closer bounds, again and again, until few values, or one, lie between. Bins have equal widths;
+    after a round that has left most values in one bin they have equal ratios once, so that some far values cost two
+    rounds. Bounds get closer in every round: from the widest range of doubles it takes some ten. Infinities and NaN are
+    counted, not put in bins. The last values are put in order, each distinct one once.
     """
     names = list(at)
     # Columns of our own, which no group column is called like.
-    x_, no, i, low, high, held, below = (F.col(f"__{c}") for c in ("x", "no", "i", "low", "high", "held", "below"))
-    rows = df.select(*by, F.col(x).alias("__x")).filter("__x IS NOT NULL")
-    counts = written(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(x_).alias("__low"), F.max(x_).alias("__high")), "counts")
-    index = F.explode(F.array(*[F.struct(F.lit(k).alias("__no"), at[c].cast("long").alias("__i")) for k, c in enumerate(names)]))
-    bounds = counts.withColumn("__e", index).filter("__e.__i BETWEEN 0 AND n - 1")
-    bounds = bounds.select(*by, "__e.__no", "__e.__i", "__low", "__high", F.col("n").alias("__held"), F.lit(0).cast("long").alias("__below"))
+    x_, no, i, low, high, held, below, by_size = (F.col(f"__{c}") for c in ("x", "no", "i", "low", "high", "held", "below", "by_size"))
+    kind = df.schema[x].dataType
+    exact = not isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType))
+    rows = df.select(*by, (F.col(x).cast("double") if isinstance(kind, T.DecimalType) else F.col(x)).alias("__x")).filter("__x IS NOT NULL")
+    inf, minus = F.lit(float("inf")), F.lit(float("-inf"))
+    finite = F.lit(True) if exact else (x_ > minus) & (x_ < inf)
+    of_finite = lambda fold: fold(F.when(finite, x_))
+    counts = written(rows.groupBy(*by).agg(F.count("*").alias("n"), of_finite(F.min).alias("__low"), of_finite(F.max).alias("__high"), F.count_if(F.lit(False) if exact else x_ == minus).alias("__first"), F.count_if(finite).alias("__held"), F.count_if(F.lit(False) if exact else x_ == inf).alias("__last")), "counts")
+    index = F.explode(F.array(*[F.struct(F.lit(k).alias("__no"), (at[c].cast("long") - F.col("__first")).alias("__i")) for k, c in enumerate(names)]))
+    bounds = counts.withColumn("__e", index).filter("__e.__i BETWEEN 0 AND __held - 1")
+    bounds = bounds.select(*by, "__e.__no", "__e.__i", "__low", "__high", "__held", F.lit(0).cast("long").alias("__below"), F.lit(False).alias("__by_size"))
     wide = (held > MOST) & (low < high)
-    between = lambda found: rows.join(found, by).filter((x_ >= low) & (x_ <= high))
+    between = lambda found: rows.filter(finite).join(found, by).filter((x_ >= low) & (x_ <= high))
+    before = None
     while not bounds.filter(wide).isEmpty():
-        place = F.least(F.floor((x_ - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("__bin")
-        keys = [*by, "__no", "__i", "__below"]
-        binned = between(bounds.filter(wide)).groupBy(*keys, place).agg(F.count("*").alias("__held"), F.min(x_).alias("__low"), F.max(x_).alias("__high"))
+        keys = [*by, "__no", "__i", "__below", "__by_size"]
+        binned = between(bounds.filter(wide).withColumnRenamed("__held", "__of")).groupBy(*keys, "__of", bin_of(x_, low, high, by_size, exact).alias("__bin")).agg(F.count("*").alias("__held"), F.min(x_).alias("__low"), F.max(x_).alias("__high"))
         up_to = below + F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy("__bin"))
         chosen = binned.withColumn("__up_to", up_to).filter((F.col("__up_to") > i) & (F.col("__up_to") - held <= i))
-        closer = chosen.select(*by, "__no", "__i", "__low", "__high", "__held", (F.col("__up_to") - held).alias("__below"))
+        closer = chosen.select(*by, "__no", "__i", "__low", "__high", "__held", (F.col("__up_to") - held).alias("__below"), (~by_size & (held * 4 > F.col("__of"))).alias("__by_size"))
         bounds = written(bounds.filter(~wide).unionByName(closer), "bounds")
+        if before is not None:
+            forget(before)
+        before = bounds
     tally = between(bounds.drop("__held")).groupBy(*by, "__no", "__i", "__below", "__x").agg(F.count("*").alias("__held"))
     ranked = tally.withColumn("__up_to", below + F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy("__x")))
-    found = ranked.filter("__up_to > __i").groupBy(*by).agg(*[F.min(F.when(no == k, x_)).alias(c) for k, c in enumerate(names)])
-    return counts.select(*by, "n").join(found, by, "left")
+    found = ranked.filter("__up_to > __i").groupBy(*by).agg(*[F.min(F.when(no == k, x_)).alias(f"__found{k}") for k in range(len(names))])
+    out = counts.withColumnRenamed("__held", "__finite").join(found, by, "left")
+    value = lambda k, at_: F.col(f"__found{k}") if exact else F.when((at_ < 0) | (at_ >= F.col("n")), None).when(at_ < F.col("__first"), minus).when(at_ < F.col("__first") + F.col("__finite"), F.col(f"__found{k}")).when(at_ < F.col("__first") + F.col("__finite") + F.col("__last"), inf).otherwise(float("nan"))
+    return out.select(*by, "n", *[value(k, at[c].cast("long")).cast(kind).alias(c) for k, c in enumerate(names)])
 
 
 def part_of(p: int, q: int) -> Column:
@@ -83,31 +113,25 @@ def robust_points(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3,
     """The points of a line refitted up to `rounds` times without points that miss it by over `outlier` times the upper median miss.
 
     Refitting a group ends when nothing is dropped, when fewer than three points would be left, or when its median
-    miss is 0; its last fit stands. Points dropped once stay away. What a round finds is a line and a limit for each
-    group, a small table; points are judged by all rounds so far as they are read, and groups are not gathered.
+    miss is 0; its last fit stands. Points dropped once stay away. A round writes what each point misses its line by and
+    reads that for the rest; what it finds is a limit for each group, a small table, and groups are not gathered.
     """
-    points = df.select(*by, x, y)
-    judges, done = points.select(*by).distinct(), 0
-
-    def kept() -> DataFrame:
-        good = F.lit(True)
-        for r in range(done):
-            miss = F.abs(F.col(y) - (F.col(f"__slope{r}") * F.col(x) + F.col(f"__intercept{r}")))
-            good = good & F.coalesce(miss <= F.col(f"__limit{r}"), F.lit(True))
-        return (points.join(judges, by) if done else points).filter(good).select(*by, x, y)
-
-    for done in range(rounds):
-        fitted = written(line(kept(), by, x, y).drop("n"), "lines")
-        judged = kept().join(fitted, by).select(*by, residual(x, y).alias("miss"))
-        median = elements(judged, by, "miss", {"median": part_of(1, 2)})
-        limited = written(fitted.join(median.select(*by, F.when(F.col("median") > 0, outlier * F.col("median")).alias("limit")), by, "left"), "limits")
-        left = judged.join(limited.select(*by, "limit"), by).groupBy(*by).agg(F.count("*").alias("all"), F.count_if(F.coalesce(F.col("miss") <= F.col("limit"), F.lit(True))).alias("left"))
-        found = limited.join(left, by).select(*by, F.col("slope").alias(f"__slope{done}"), F.col("intercept").alias(f"__intercept{done}"), F.when(F.col("left") >= 3, F.col("limit")).alias(f"__limit{done}"), ((F.col("left") >= 3) & (F.col("left") < F.col("all"))).alias("__dropped"))
-        found = written(judges.join(found, by, "left"), "judges")
-        judges, done = found.drop("__dropped"), done + 1
-        if found.filter("__dropped").isEmpty():
+    points = df.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    for _ in range(rounds):
+        # Lines stand with the points, so that what follows reads one table without a join.
+        lines = written(line(points, by, "__x", "__y").drop("n"), "lines")
+        miss = F.abs(F.col("__y") - (F.col("slope") * F.col("__x") + F.col("intercept")))
+        judged = written(points.join(lines, by).select(*by, "__x", "__y", miss.alias("__miss")), "judged")
+        median = elements(judged, by, "__miss", {"__median": part_of(1, 2)})
+        limits = written(median.select(*by, F.when(F.col("__median") > 0, outlier * F.col("__median")).alias("__limit")), "limits")
+        good = F.coalesce(F.col("__miss") <= F.col("__limit"), F.lit(True))
+        left = judged.join(limits, by, "left").groupBy(*by).agg(F.count("*").alias("__all"), F.count_if(good).alias("__left"))
+        enough = written(left.filter(F.col("__left") >= 3).select(*by, (F.col("__left") < F.col("__all")).alias("__dropped")), "enough")
+        limits = limits.join(enough, by)
+        points = judged.join(limits.select(*by, "__limit"), by, "left").filter(good).select(*by, "__x", "__y")
+        if enough.filter("__dropped").isEmpty():
             break
-    return kept()
+    return points.select(*by, F.col("__x").alias(x), F.col("__y").alias(y))
 
 
 def robust_line(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3, outlier: float = 4.0) -> DataFrame:

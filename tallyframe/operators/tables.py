@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,80 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Freeing:
+    """Switches FREE_SHUFFLES on for a session while any table is being written, and back when the last one is."""
+
+    lock, active, held = threading.Lock(), 0, "false"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        with Freeing.lock:
+            if not Freeing.active:
+                Freeing.held = self.spark.conf.get(FREE_SHUFFLES)
+                self.spark.conf.set(FREE_SHUFFLES, "true")
+            Freeing.active += 1
+
+    def __exit__(self, *_: object) -> None:
+        with Freeing.lock:
+            Freeing.active -= 1
+            if not Freeing.active:
+                self.spark.conf.set(FREE_SHUFFLES, Freeing.held)
+
+
+#: Paths that `written` has made, for each `Temporary` that is open in this thread.
+OPEN = threading.local()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Temporary:
+    """`with Temporary(spark) as t:` removes the tables that `written` makes inside when it ends, but for `t.keep(table)`.
+
+    What is computed inside must be written or collected inside. Tables that are kept pass to the `Temporary` around it, if
+    there is one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Temporary:
+        OPEN.stack = [*getattr(OPEN, "stack", []), self]
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.paths.remove(table.written_to)
+        if len(OPEN.stack) > 1:
+            OPEN.stack[-2].paths.append(table.written_to)
+        return table
+
+    def __exit__(self, *_: object) -> None:
+        OPEN.stack = OPEN.stack[:-1]
+        for path in self.paths:
+            removed(self.spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: later steps don't begin anew, and a lost executor costs no
-    earlier work."""
+    earlier work. The table stays until `forget`, or the end of the `Temporary` around it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
+    with Freeing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, held)
-    return spark.read.schema(df.schema).parquet(path)
+    if getattr(OPEN, "stack", []):
+        OPEN.stack[-1].paths.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of `written` that nothing reads any more, as those of a round once the next one is written."""
+    for table in tables:
+        removed(table.sparkSession, table.written_to)
+        if getattr(OPEN, "stack", []) and table.written_to in OPEN.stack[-1].paths:
+            OPEN.stack[-1].paths.remove(table.written_to)

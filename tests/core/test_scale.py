@@ -1,12 +1,13 @@
 """Operators that no longer gather groups, against plain versions, with their bounds set low."""
 
+import os
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import components, extract, fits, greedy, marks, sets, spatial
+from tallyframe.operators import components, extract, fits, greedy, marks, sets, spatial, tables
 from tallyframe.operators.store import NoSuchName, Store, run_job
 
 
@@ -168,3 +169,41 @@ def test_jobs_are_saved_run_and_deleted(spark, tmp_path):
         store.save(spark.createDataFrame([("no name", "{}")], "name string, document string"))
     assert store.delete("a") and store.all().count() == 0
     assert spark.read.parquet(f"{tmp_path}/jobs").filter(F.col("deleted")).count() == 1
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_elements_among_infinities_and_the_widest_range(spark, monkeypatch, most):
+    monkeypatch.setattr(fits, "MOST", most)
+    monkeypatch.setattr(fits, "BINS", 16)
+    inf, nan, big, least = float("inf"), float("nan"), 1.7976931348623157e308, 5e-324
+    rng = random.Random(7)
+    normal = [rng.gauss(0, 1) for _ in range(40)]
+    groups = {
+        "inf": [*range(12), inf], "both": [-inf, -inf, *normal, inf, inf, inf], "nan": [*normal, nan, nan], "wide": [-1.7e308, 1.7e308, *normal, big, -big], "tiny": [least * i for i in range(30)],
+        "far": [*normal, 1e300, -1e300], "all": [inf] * 9, "odd": [nan] * 7 + [-inf] * 7, "close": [1.0 + i * 2.220446049250313e-16 for i in range(50)], "signs": [-0.0, 0.0, least, -least, *[10.0**e for e in range(-300, 300, 20)]],
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, x double").repartition(3)
+    got = {r["g"]: r for r in fits.elements(df, ["g"], "x", {**{f"e{i}": F.lit(i) for i in (0, 1, 7, 12)}, "middle": fits.part_of(1, 2), "last": F.col("n") - 1, "beyond": F.col("n"), "none": F.lit(-1)}).collect()}
+    for g, xs in groups.items():
+        v = sorted(map(float, xs), key=lambda x: (x != x, x))
+        for name, i in {"e0": 0, "e1": 1, "e7": 7, "e12": 12, "middle": len(v) // 2, "last": len(v) - 1, "beyond": len(v), "none": -1}.items():
+            want = v[i] if 0 <= i < len(v) else None
+            assert got[g][name] == want or (want != want and got[g][name] != got[g][name]), (g, name)
+    whole = spark.createDataFrame([(1, x) for x in [-(2**63), 2**63 - 1, 5, 6, 7, 2**53 + 1, 2**53, 2**53 + 2, 2**62, None]], "g int, x long")
+    row = fits.elements(whole, ["g"], "x", {f"e{i}": F.lit(i) for i in range(9)}).first()
+    assert [row[f"e{i}"] for i in range(9)] == [-(2**63), 5, 6, 7, 2**53, 2**53 + 1, 2**53 + 2, 2**62, 2**63 - 1]
+
+
+def test_tables_go_when_their_run_ends(spark):
+    folder = f"{tables.shared_folder(spark)}/tables"
+    held = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    tables.written(edges, "first")
+    sizes, before = [], held()
+    for _ in range(3):
+        with tables.Temporary(spark):
+            with tables.Temporary(spark) as inner:
+                kept = inner.keep(tables.written(components.components(edges), "kept"))
+            assert kept.count() == 61 and len(held() - before) == 1
+        sizes.append(held() - before)
+    assert sizes == [set(), set(), set()]
