@@ -1,6 +1,8 @@
 """Numbers of tokens of whole texts, as a tokenizers library counts them.
 
-Texts of usual length are encoded as they are. A long one is cut into chunks that overlap, so that no task gets all of it,
+No word of the tokenizer's pattern has white space in it, nor does anything compose across it, so a text has as many tokens
+as what lies between its white space has, and what has been counted once is remembered, in a table of bounded size. That
+serves texts of usual length, whole. A long one is cut into chunks that overlap, so that no task gets all of it,
 and the chunks are encoded wherever there is room. Where two neighbours meet, both have seen the overlap; they are spliced
 at a place where both begin a word, and which no letter before it can move:
 
@@ -35,8 +37,8 @@ CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 64
 #: How much wider chunks and overlaps get where neighbours don't meet.
 WIDER = 4
 
-#: Bytes of short texts that are encoded in one call.
-PIECE = 256 << 10
+#: Stretches without white space whose counts a task remembers, and the longest that it does, in bytes.
+REMEMBERED, LONGEST = 1 << 19, 64
 
 
 def seconds() -> frozenset[str]:
@@ -56,6 +58,25 @@ def library(path: str):
     return tokenizer
 
 
+class Words:
+    """Counts tokens of texts by what lies between their white space."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.known = library(path), {}
+
+    def counts(self, texts: list[bytes]) -> list[int]:
+        words = [t.split() for t in texts]  # at the six kinds of ASCII white space
+        new = list(set().union(*words).difference(self.known))
+        self.known.update(zip(new, (len(e) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+        out = [sum(map(self.known.__getitem__, found)) for found in words]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return out
+
+
 class Chunks:
     """Counts tokens of chunks, and before each place where a chunk may be spliced."""
 
@@ -150,7 +171,7 @@ def token_counts(docs: DataFrame, vocabulary: Callable[[], str] | str, limit: in
     """Add `n_bytes` (UTF-8), `n_tokens` and `over_limit` (more than `limit` tokens) for each whole text.
 
     vocabulary: path of a tokenizers JSON file on every machine, or a function that a task asks for it; the file's pattern
-    must not look back, nor ahead by over MARGIN bytes. Special tokens in a text count as the library has it by default.
+    must not look back, nor ahead by over MARGIN bytes, nor keep white space. Special tokens in a text count as the library has it by default.
     A null text counts as the empty text: no bytes, no tokens. Equal rows get equal counts, each its own; no rows give none.
     Columns called like a result are replaced, others pass. Texts of up to `chunk` bytes are never cut.
     """
@@ -161,10 +182,10 @@ def token_counts(docs: DataFrame, vocabulary: Callable[[], str] | str, limit: in
     own = [f"k{i}" for i in range(len(kept))]
 
     def make() -> Callable[[list[bytes]], dict[str, object]]:
-        tokenizer = library(vocabulary if isinstance(vocabulary, str) else vocabulary())
-        return lambda texts: {"n": [len(e) for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]}
+        words = Words(vocabulary if isinstance(vocabulary, str) else vocabulary())
+        return lambda texts: {"n": words.counts(texts)}
 
-    short = common.map_texts(plain.filter(F.col("size") <= chunk), "text", make, [T.StructField("n", T.LongType())], keep=[*own, "size"], piece=PIECE)
+    short = common.map_texts(plain.filter(F.col("size") <= chunk), "text", make, [T.StructField("n", T.LongType())], keep=[*own, "size"])
     texts = written(plain.filter(F.col("size") > chunk).select(*own, "size", F.col("text").cast("binary").alias("raw"), F.monotonically_increasing_id().alias("row")), "long_texts")
     counted = long_counts(texts.select("row", "raw", "size"), vocabulary, chunk, overlap)
     long = texts.select(*own, "size", "row").join(counted.withColumnsRenamed({"row": "row_", "n_tokens": "n"}), F.col("row") == F.col("row_")).select(*own, "size", "n")
