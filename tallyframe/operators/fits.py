@@ -10,7 +10,7 @@ from tallyframe.operators.tables import forget, written
 
 
 #: Values of a group that may be put in order, and the bins in which more of them are counted to leave fewer.
-MOST, BINS = 100_000, 4_096
+MOST, BINS = 20_000, 4_096
 
 
 def bin_of(x: Column, low: Column, high: Column, by_size: Column, exact: bool) -> Column:
@@ -43,29 +43,29 @@ def elements(df: DataFrame, by: list[str], x: str, at: dict[str, Column]) -> Dat
     names = list(at)
     # Columns of our own, which no group column is called like.
     x_, no, i, low, high, held, below, by_size = (F.col(f"__{c}") for c in ("x", "no", "i", "low", "high", "held", "below", "by_size"))
+    wide = (held > MOST) & (low < high)
     kind = df.schema[x].dataType
     exact = not isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType))
     rows = df.select(*by, (F.col(x).cast("double") if isinstance(kind, T.DecimalType) else F.col(x)).alias("__x")).filter("__x IS NOT NULL")
     inf, minus = F.lit(float("inf")), F.lit(float("-inf"))
     finite = F.lit(True) if exact else (x_ > minus) & (x_ < inf)
     of_finite = lambda fold: fold(F.when(finite, x_))
-    counts = written(rows.groupBy(*by).agg(F.count("*").alias("n"), of_finite(F.min).alias("__low"), of_finite(F.max).alias("__high"), F.count_if(F.lit(False) if exact else x_ == minus).alias("__first"), F.count_if(finite).alias("__held"), F.count_if(F.lit(False) if exact else x_ == inf).alias("__last")), "counts")
+    counts = written(rows.groupBy(*by).agg(F.count("*").alias("n"), of_finite(F.min).alias("__low"), of_finite(F.max).alias("__high"), F.count_if(F.lit(False) if exact else x_ == minus).alias("__first"), F.count_if(finite).alias("__held"), F.count_if(F.lit(False) if exact else x_ == inf).alias("__last")), "counts", wide)
     index = F.explode(F.array(*[F.struct(F.lit(k).alias("__no"), (at[c].cast("long") - F.col("__first")).alias("__i")) for k, c in enumerate(names)]))
     bounds = counts.withColumn("__e", index).filter("__e.__i BETWEEN 0 AND __held - 1")
     bounds = bounds.select(*by, "__e.__no", "__e.__i", "__low", "__high", "__held", F.lit(0).cast("long").alias("__below"), F.lit(False).alias("__by_size"))
-    wide = (held > MOST) & (low < high)
     between = lambda found: rows.filter(finite).join(found, by).filter((x_ >= low) & (x_ <= high))
-    before = None
-    while not bounds.filter(wide).isEmpty():
+    last = counts
+    while last.any:
         keys = [*by, "__no", "__i", "__below", "__by_size"]
         binned = between(bounds.filter(wide).withColumnRenamed("__held", "__of")).groupBy(*keys, "__of", bin_of(x_, low, high, by_size, exact).alias("__bin")).agg(F.count("*").alias("__held"), F.min(x_).alias("__low"), F.max(x_).alias("__high"))
         up_to = below + F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy("__bin"))
         chosen = binned.withColumn("__up_to", up_to).filter((F.col("__up_to") > i) & (F.col("__up_to") - held <= i))
         closer = chosen.select(*by, "__no", "__i", "__low", "__high", "__held", (F.col("__up_to") - held).alias("__below"), (~by_size & (held * 4 > F.col("__of"))).alias("__by_size"))
-        bounds = written(bounds.filter(~wide).unionByName(closer), "bounds")
-        if before is not None:
-            forget(before)
-        before = bounds
+        bounds = written(bounds.filter(~wide).unionByName(closer), "bounds", wide)
+        if last is not counts:
+            forget(last)
+        last = bounds
     tally = between(bounds.drop("__held")).groupBy(*by, "__no", "__i", "__below", "__x").agg(F.count("*").alias("__held"))
     ranked = tally.withColumn("__up_to", below + F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy("__x")))
     found = ranked.filter("__up_to > __i").groupBy(*by).agg(*[F.min(F.when(no == k, x_)).alias(f"__found{k}") for k in range(len(names))])
@@ -118,18 +118,16 @@ def robust_points(df: DataFrame, by: list[str], x: str, y: str, rounds: int = 3,
     """
     points = df.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
     for _ in range(rounds):
-        # Lines stand with the points, so that what follows reads one table without a join.
-        lines = written(line(points, by, "__x", "__y").drop("n"), "lines")
+        lines = line(points, by, "__x", "__y").drop("n")
         miss = F.abs(F.col("__y") - (F.col("slope") * F.col("__x") + F.col("intercept")))
         judged = written(points.join(lines, by).select(*by, "__x", "__y", miss.alias("__miss")), "judged")
         median = elements(judged, by, "__miss", {"__median": part_of(1, 2)})
         limits = written(median.select(*by, F.when(F.col("__median") > 0, outlier * F.col("__median")).alias("__limit")), "limits")
         good = F.coalesce(F.col("__miss") <= F.col("__limit"), F.lit(True))
-        left = judged.join(limits, by, "left").groupBy(*by).agg(F.count("*").alias("__all"), F.count_if(good).alias("__left"))
-        enough = written(left.filter(F.col("__left") >= 3).select(*by, (F.col("__left") < F.col("__all")).alias("__dropped")), "enough")
-        limits = limits.join(enough, by)
-        points = judged.join(limits.select(*by, "__limit"), by, "left").filter(good).select(*by, "__x", "__y")
-        if enough.filter("__dropped").isEmpty():
+        left = judged.join(limits, by, "left").groupBy(*by).agg(F.count("*").alias("__all"), F.count_if(good).alias("__left"), F.max("__limit").alias("__limit"))
+        enough = written(left.filter(F.col("__left") >= 3).select(*by, "__limit", (F.col("__left") < F.col("__all")).alias("__dropped")), "enough", F.col("__dropped"))
+        points = judged.join(enough.select(*by, "__limit"), by, "left").filter(good).select(*by, "__x", "__y")
+        if not enough.any:
             break
     return points.select(*by, F.col("__x").alias(x), F.col("__y").alias(y))
 

@@ -63,7 +63,7 @@ def coverage(pages: DataFrame) -> DataFrame:
 def emptiness(pages: DataFrame) -> DataFrame:
     """(page, added, removed): nothing at all is new; or nothing is new and much is gone, as if inputs were swapped."""
     total = pages.agg(F.coalesce(F.sum("added"), F.lit(0.0)).alias("added"), F.coalesce(F.sum("removed"), F.lit(0.0)).alias("removed"))
-    return found(total, (F.col("added") == 0) & (F.col("removed") == 0), "note", "empty_delta").unionAll(found(total, (F.col("added") == 0) & (F.col("removed") > 0), "blocker", "documents_reversed"))
+    return found(total, (F.col("added") == 0) & (F.col("removed") == 0), "blocker", "empty_delta").unionAll(found(total, (F.col("added") == 0) & (F.col("removed") > 0), "blocker", "documents_reversed"))
 
 
 def calibration(jobs: DataFrame) -> DataFrame:
@@ -89,9 +89,9 @@ def without_symptoms(checks: DataFrame) -> DataFrame:
 
 
 def verdict(checks: DataFrame) -> DataFrame:
-    """One row: whether a blocker is there, and whether all blockers are moved content."""
+    """One row: whether a blocker is there, and whether no blocker is anything but moved content."""
     blocker = F.col("severity") == "blocker"
-    return checks.agg(F.coalesce(F.bool_or(blocker), F.lit(False)).alias("blocked"), F.coalesce(F.bool_and(F.when(blocker, F.col("code") == "reflow")), F.lit(False)).alias("only_moved"))
+    return checks.agg(F.coalesce(F.bool_or(blocker), F.lit(False)).alias("blocked"), F.coalesce(F.bool_and(F.when(blocker, F.col("code") == "reflow")), F.lit(True)).alias("only_moved"))
 
 
 def softened(checks: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import tempfile
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Once a table is written nothing reads the shuffles that made it; with this setting Spark deletes them then.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -85,17 +86,22 @@ class Temporary:
             removed(self.spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, any_row: Column | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: later steps don't begin anew, and a lost executor costs no
-    earlier work. The table stays until `forget`, or the end of the `Temporary` around it."""
+    earlier work. The table stays until `forget`, or the end of the `Temporary` around it. Its attribute `any` tells whether
+    a condition holds for any row, which is seen as rows are written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    seen, schema = Observation(), df.schema
+    if any_row is not None:
+        df = df.observe(seen, F.count_if(any_row).alias("n"))
     with Freeing(spark):
         df.write.option("compression", "zstd").parquet(path)
     if getattr(OPEN, "stack", []):
         OPEN.stack[-1].paths.append(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
     table.written_to = path
+    table.any = any_row is not None and seen.get.get("n", 0) > 0
     return table
 
 

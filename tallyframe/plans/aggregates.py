@@ -69,7 +69,9 @@ def grid_shares(spark, d):
 
 @query("value_shares", """SELECT event_id, round(value / sum(value) OVER (PARTITION BY user_id), 9) AS share FROM events WHERE value > 0""")
 def value_shares(spark, d):
-    return table(spark, d, "events").filter("value > 0").select("event_id", F.round(F.col("value") / F.sum("value").over(Window.partitionBy("user_id")), 9).alias("share"))
+    rows = table(spark, d, "events").filter("value > 0").select("event_id", "user_id", "value")
+    sums = rows.groupBy(F.col("user_id").alias("whose")).agg(F.sum("value").alias("total"))
+    return rows.join(sums, F.col("user_id").eqNullSafe(F.col("whose"))).select("event_id", F.round(F.col("value") / F.col("total"), 9).alias("share"))
 
 
 @query("indexed_quantiles", """SELECT l_suppkey, len(v) AS n, v[len(v) // 4 + 1] AS lower, v[len(v) // 2 + 1] AS median, v[3 * len(v) // 4 + 1] AS upper FROM (SELECT l_suppkey, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1)""")
@@ -321,9 +323,7 @@ def wide_gaps(spark, d):
         SELECT event_id, sum(CASE WHEN gap IS NULL OR gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY l, r)::BIGINT AS session FROM m JOIN t USING (user_id)""",
 )
 def gap_sessions(spark, d):
-    rows = intervals(spark, d)
-    limited = rows.join(islands.data_limits(rows, ["user_id"], "l", "r", "h"), "user_id")
-    return islands.gap_sessions(limited, ["user_id"], "l", "r", F.col("gap_limit")).select("event_id", "session")
+    return islands.own_sessions(intervals(spark, d), ["user_id"], "l", "r", "h").select("event_id", "session")
 
 
 @query(
@@ -355,8 +355,8 @@ def running_offsets(spark, d):
 
 @query("neighbour_gaps", """SELECT event_id, round(g, 6) AS gap FROM (SELECT event_id, lead(value) OVER (PARTITION BY user_id ORDER BY value, event_id) - value AS g FROM events) WHERE g > 0.05 AND g < 40""")
 def neighbour_gaps(spark, d):
-    w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    return table(spark, d, "events").select("event_id", (F.lead("value").over(w) - F.col("value")).alias("g")).filter("g > 0.05 AND g < 40").select("event_id", F.round("g", 6).alias("gap"))
+    gaps = islands.neighbour_gaps(table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id")
+    return gaps.filter("gap > 0.05 AND gap < 40").select("event_id", F.round("gap", 6).alias("gap"))
 
 
 @query("last_entries", """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1""")

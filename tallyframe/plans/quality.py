@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators import rules
+from tallyframe.operators import checks, rules
 from tallyframe.plans.registry import query, table
 
 W, H = 210.0, 297.0
@@ -46,15 +46,49 @@ def check_regions(spark, d):
     return as_number(all_regions(spark, d))
 
 
-@query(
-    "check_order",
-    f"""WITH {R}, c AS ({" UNION ALL ".join(S.values())}) SELECT severity, code, page, row_number() OVER (ORDER BY CASE severity WHEN 'blocker' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, page, code) AS place FROM c""",
-)
+#: Orders as jobs, their line numbers as pages: sizes before and now, what is new and what is gone, and profiles.
+JOBS = """n AS (SELECT l_orderkey AS job, max(l_linenumber) AS n FROM lineitem GROUP BY 1),
+  jobs AS (SELECT job, n, CASE WHEN job % 4 > 0 THEN 'p' || job % 4 END AS profile FROM n),
+  b AS (SELECT job, unnest(range(1, n + (job % 7 > 0)::INT)) AS page, 210.0::DOUBLE AS width, 297.0::DOUBLE AS height FROM jobs),
+  w AS (SELECT job, page, CASE WHEN (job + page) % 13 = 0 THEN 215.9 ELSE 210.2 END::DOUBLE AS width, 297.0::DOUBLE AS height FROM (SELECT job, unnest(range(1, n + (job % 11 > 0)::INT)) AS page FROM jobs)),
+  a AS (SELECT l_orderkey AS job, l_linenumber AS page, l_quantity * 4 AS x0, l_tax * 1000 AS y0, l_quantity * 4 + 12 AS x1, l_tax * 1000 + 150 AS y1, l_extendedprice / 8 AS ink FROM lineitem WHERE l_orderkey % 5 > 0),
+  g AS (SELECT l_orderkey AS job, l_linenumber AS page, l_tax * 1000 AS y0, l_discount * 25 AS ink FROM lineitem WHERE l_orderkey % 3 = 0 AND l_discount > 0),
+  near AS (SELECT job, page, min(least(x0, y0, width - x1, height - y1)) AS near FROM a JOIN b USING (job, page) GROUP BY 1, 2),
+  inked AS (SELECT job, page, sum(ink) / (210.0 * 297.0) AS share FROM a JOIN b USING (job, page) GROUP BY 1, 2),
+  gone AS (SELECT job, coalesce(s, 0) AS gone FROM jobs LEFT JOIN (SELECT job, sum(ink) AS s FROM g GROUP BY 1) USING (job) WHERE job NOT IN (SELECT job FROM a)),
+  every AS (
+    SELECT job, CASE WHEN e > o THEN 'warning' ELSE 'blocker' END AS severity, CASE WHEN e > o THEN 'pages_added' ELSE 'pages_removed' END AS code, 0 AS page, abs(e - o)::DOUBLE AS detail
+    FROM (SELECT job, (SELECT count(*) FROM b WHERE b.job = jobs.job) AS o, (SELECT count(*) FROM w WHERE w.job = jobs.job) AS e FROM jobs) WHERE e <> o
+    UNION ALL SELECT job, 'blocker', 'page_size_mismatch', page, abs(b.width - w.width) FROM b JOIN w USING (job, page) WHERE abs(b.width - w.width) > 0.5
+    UNION ALL SELECT job, 'blocker', 'reflow', page, min(y0) FROM g GROUP BY job, page HAVING sum(ink) >= 1.5
+    UNION ALL SELECT job, 'warning', 'margin', page, greatest(near, 0) FROM near WHERE near < 5
+    UNION ALL SELECT job, 'warning', 'large_delta', page, share FROM inked WHERE share >= 0.06
+    UNION ALL SELECT job, 'blocker', CASE WHEN gone > 0 THEN 'documents_reversed' ELSE 'empty_delta' END, 0, CASE WHEN gone > 0 THEN gone END FROM gone
+    UNION ALL SELECT job, 'note', CASE WHEN profile IS NULL THEN 'uncalibrated' ELSE 'calibrated' END, 0, NULL FROM jobs)"""
+
+
+def all_checks(spark, d):
+    """Every check of every job, and the jobs."""
+    lines = table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "job", "l_linenumber": "page"})
+    job, page = F.col("job"), F.col("page")
+    sizes = lines.groupBy("job").agg(F.max("page").alias("n"))
+    jobs = sizes.select("job", F.when(job % 4 > 0, F.concat(F.lit("p"), job % 4)).alias("profile"))
+    pages = lambda kept: sizes.select("job", F.explode(F.filter(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: i < F.col("n") + kept.cast("int"))).alias("page"))
+    before = pages(job % 7 > 0).select("job", "page", F.lit(W).alias("width"), F.lit(H).alias("height"))
+    now = pages(job % 11 > 0).select("job", "page", F.when((job + page) % 13 == 0, 215.9).otherwise(210.2).alias("width"), F.lit(H).alias("height"))
+    x, y = F.col("l_quantity") * 4, F.col("l_tax") * 1000
+    added = lines.filter(job % 5 > 0).select("job", "page", x.alias("x0"), y.alias("y0"), (x + 12).alias("x1"), (y + 150).alias("y1"), (F.col("l_extendedprice") / 8).alias("ink"))
+    removed = lines.filter((job % 3 == 0) & (F.col("l_discount") > 0)).select("job", "page", y.alias("y0"), (F.col("l_discount") * 25).alias("ink"))
+    return jobs, checks.everything(jobs, before, now, added, removed)
+
+
+def told(df):
+    return df.withColumn("detail", F.round("detail", 4))
+
+
+@query("check_order", f"WITH {JOBS} SELECT job, severity, code, page, round(detail, 4) AS detail, row_number() OVER (PARTITION BY job ORDER BY CASE severity WHEN 'blocker' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, page, code) AS place FROM every")
 def check_order(spark, d):
-    from tallyframe.operators.sequence import numbered
-
-    keyed = all_regions(spark, d).withColumn("s", rules.severity_order(F.col("severity")))
-    return numbered(keyed, "s", "page", "code").select("severity", "code", "page", F.col("number").alias("place"))
+    return told(checks.to_read(all_checks(spark, d)[1]))
 
 
 @query(
@@ -82,16 +116,19 @@ def check_empty(spark, d):
     return rules.emptiness(pages).drop("detail")
 
 
-@query("check_symptoms", f"WITH {R} SELECT 'blocker' AS severity, 'documents_reversed' AS code, 0::BIGINT AS page UNION ALL SELECT severity, code, page FROM (SELECT 'warning' AS severity, 'legibility' AS code, page FROM r GROUP BY page HAVING max(dark) >= 0.35)")
+@query("check_symptoms", f"WITH {JOBS} SELECT job, severity, code, page FROM every e WHERE NOT (code IN ('reflow', 'heavy_coverage') AND EXISTS (SELECT * FROM every s WHERE s.job = e.job AND s.code = 'documents_reversed'))")
 def check_symptoms(spark, d):
-    r = regions(spark, d)
-    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.lit(0.0).alias("added"), F.col("l_quantity").alias("removed"))
-    return rules.without_symptoms(rules.gathered([rules.emptiness(pages), rules.moved_content(r), rules.legibility(r)])).drop("detail")
+    return checks.without_symptoms(all_checks(spark, d)[1]).drop("detail")
 
 
-@query("check_verdict", """SELECT true AS blocked, true AS only_moved""")
+@query("check_verdict", f"WITH {JOBS} SELECT job, count(*) FILTER (severity = 'blocker') > 0 AS blocked, count(*) FILTER (severity = 'blocker' AND code <> 'reflow') = 0 AS only_moved FROM every GROUP BY job")
 def check_verdict(spark, d):
-    return rules.verdict(all_regions(spark, d))
+    return checks.verdicts(*all_checks(spark, d))
+
+
+@query("check_split", f"WITH {JOBS} SELECT job, severity, code, page, round(detail, 4) AS detail FROM every WHERE code <> 'reflow' UNION ALL SELECT job, 'warning', 'reflow_split', 0, count(*) FROM every WHERE code = 'reflow' GROUP BY job")
+def check_split(spark, d):
+    return told(checks.split(all_checks(spark, d)[1]))
 
 
 @query(

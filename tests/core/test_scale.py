@@ -1,5 +1,6 @@
 """Operators that no longer gather groups, against plain versions, with their bounds set low."""
 
+import itertools
 import os
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import components, extract, fits, greedy, marks, sets, spatial, tables
+from tallyframe.operators import components, extract, fits, greedy, islands, marks, scan, sets, spatial, tables
 from tallyframe.operators.store import NoSuchName, Store, run_job
 
 
@@ -207,3 +208,70 @@ def test_tables_go_when_their_run_ends(spark):
             assert kept.count() == 61 and len(held() - before) == 1
         sizes.append(held() - before)
     assert sizes == [set(), set(), set()]
+
+
+def hot(spark):
+    """A third of all rows in one group."""
+    rng = random.Random(11)
+    rows = [("hot" if i % 3 == 0 else rng.choice(["a", "b", None, *map(str, range(200))]), i, rng.random() < 0.6, rng.randrange(50), float(rng.randrange(5000))) for i in range(6_000)]
+    return rows, spark.createDataFrame(rows, "g string, i int, flag boolean, size int, v double").repartition(6)
+
+
+def test_scans_split_a_hot_group(spark):
+    rows, df = hot(spark)
+    dealt = scan.dealt(df, ["g"], ["i"])
+    parts = dealt.groupBy("__part").count().collect()
+    assert max(p["count"] for p in parts) < 2 * len(rows) / len(parts) and len(parts) == 4
+    assert dealt.filter("g = 'hot'").select("__part").distinct().count() > 1
+    got = scan.before(dealt, ["g"], total=("sum", F.col("size")), most=("max", F.col("v")), flagged=("last", F.when(F.col("flag"), F.col("i"))))
+    held = {}
+    for g, i, flag, size, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        held[i] = (held.get(("sum", g), 0), held.get(("max", g)), held.get(("last", g)))
+        held["sum", g] = held.get(("sum", g), 0) + size
+        held["max", g] = max(v, held.get(("max", g), v))
+        if flag:
+            held["last", g] = i
+    assert all((r["total"], r["most"], r["flagged"]) == held[r["i"]] for r in got.collect())
+
+
+def test_islands_of_a_hot_group(spark):
+    rows, df = hot(spark)
+    rows = [r for r in rows if r[0] is not None]
+    df = df.filter("g IS NOT NULL")
+    groups = {g: sorted(r[1:] for r in rows if r[0] == g) for g in {r[0] for r in rows}}
+    bands, offsets, at, numbers = set(), {}, {}, {}
+    for g, mine in groups.items():
+        runs = [[(f, [r for _, r in part]) for f, part in itertools.groupby(((r[1], r) for r in mine), key=lambda x: x[0])]]
+        bands |= {(g, f, part[0][0], part[-1][0], len(part)) for f, part in runs[0]}
+        total, counters = 1, [0, 0, 0]
+        for k, (i, _, size, v) in enumerate(mine):
+            offsets[i] = total
+            total += size
+            if g not in at and k + 1 < len(mine) and v > mine[k + 1][3]:
+                at[g] = i
+            level = size % 3 + 1
+            counters = [*counters[: level - 1], counters[level - 1] + 1, *[0] * (3 - level)]
+            numbers[i] = ".".join(map(str, counters[:level]))
+    assert {tuple(r) for r in islands.bands(df, ["g"], "i", "flag").select("g", "flag", "first", "last", "n").collect()} == bands
+    assert {r["i"]: r["starts"] for r in islands.offsets(df, ["g"], "i", "size").collect()} == offsets
+    assert {r["g"]: r["at"] for r in islands.inversions(df, ["g"], "i", F.col("v")).collect()} == at
+    levels = df.withColumn("lv", F.col("size") % 3 + 1)
+    assert {r["i"]: r["numbers"] for r in islands.hierarchical_numbers(levels, "g", "i", "lv", 3).collect()} == numbers
+    spans = df.select("g", "i", (F.col("v") * 10).alias("l"), (F.col("v") * 10 + F.col("size")).alias("r"), F.col("size").cast("double").alias("h"))
+    limit = {r["g"]: r["gap_limit"] for r in islands.data_limits(spans, ["g"], "l", "r", "h").collect()}
+    sessions = {r["i"]: r["session"] for r in islands.own_sessions(spans, ["g"], "l", "r", "h").collect()}
+    for g, mine in groups.items():
+        reached, n, gaps, starts = None, 0, [], []
+        for left, right, i in sorted((v * 10, v * 10 + size, i) for i, _, size, v in mine):
+            gaps += [] if reached is None else [left - reached]
+            starts.append((i, None if reached is None else left - reached, left, right))
+            reached = right if reached is None else max(reached, right)
+        heights = sorted(float(r[2]) for r in mine)
+        want = 0.3 if len(gaps) < 4 else max(2.2 * sorted(gaps)[len(gaps) // 2], 0.45 * heights[len(heights) // 4], 0.3)
+        assert abs(limit[g] - want) < 1e-9
+        seen: dict = {}
+        for i, gap, left, right in starts:
+            n += gap is None or gap > want
+            seen.setdefault((left, right), []).append((i, n))
+        for tied in seen.values():  # rows with the same ends are in any order
+            assert sorted(sessions[i] for i, _ in tied) == sorted(n for _, n in tied)
