@@ -29,30 +29,42 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Driver:
+    """What only the driver knows: how many tables are being written and what FREE_SHUFFLES was before, and each thread's
+    open `Temporary`s. Functions that are sent to executors take a new one along."""
+
+    def __init__(self) -> None:
+        self.lock, self.writing, self.held, self.thread = threading.Lock(), 0, "false", threading.local()
+
+    def __reduce__(self) -> tuple:
+        return Driver, ()
+
+    @property
+    def open(self) -> list[Temporary]:
+        return getattr(self.thread, "open", [])
+
+
+DRIVER = Driver()
+
+
 class Freeing:
     """Switches FREE_SHUFFLES on for a session while any table is being written, and back when the last one is."""
 
-    lock, active, held = threading.Lock(), 0, "false"
-
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self) -> None:
-        with Freeing.lock:
-            if not Freeing.active:
-                Freeing.held = self.spark.conf.get(FREE_SHUFFLES)
+        with DRIVER.lock:
+            if not DRIVER.writing:
+                DRIVER.held = self.spark.conf.get(FREE_SHUFFLES)
                 self.spark.conf.set(FREE_SHUFFLES, "true")
-            Freeing.active += 1
+            DRIVER.writing += 1
 
     def __exit__(self, *_: object) -> None:
-        with Freeing.lock:
-            Freeing.active -= 1
-            if not Freeing.active:
-                self.spark.conf.set(FREE_SHUFFLES, Freeing.held)
-
-
-#: Paths that `written` has made, for each `Temporary` that is open in this thread.
-OPEN = threading.local()
+        with DRIVER.lock:
+            DRIVER.writing -= 1
+            if not DRIVER.writing:
+                self.spark.conf.set(FREE_SHUFFLES, DRIVER.held)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -71,17 +83,17 @@ class Temporary:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Temporary:
-        OPEN.stack = [*getattr(OPEN, "stack", []), self]
+        DRIVER.thread.open = [*DRIVER.open, self]
         return self
 
     def keep(self, table: DataFrame) -> DataFrame:
         self.paths.remove(table.written_to)
-        if len(OPEN.stack) > 1:
-            OPEN.stack[-2].paths.append(table.written_to)
+        if len(DRIVER.open) > 1:
+            DRIVER.open[-2].paths.append(table.written_to)
         return table
 
     def __exit__(self, *_: object) -> None:
-        OPEN.stack = OPEN.stack[:-1]
+        DRIVER.thread.open = DRIVER.open[:-1]
         for path in self.paths:
             removed(self.spark, path)
 
@@ -97,8 +109,8 @@ def written(df: DataFrame, name: str, any_row: Column | None = None) -> DataFram
         df = df.observe(seen, F.count_if(any_row).alias("n"))
     with Freeing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    if getattr(OPEN, "stack", []):
-        OPEN.stack[-1].paths.append(path)
+    if DRIVER.open:
+        DRIVER.open[-1].paths.append(path)
     table = spark.read.schema(schema).parquet(path)
     table.written_to = path
     table.any = any_row is not None and seen.get.get("n", 0) > 0
@@ -109,5 +121,5 @@ def forget(*tables: DataFrame) -> None:
     """Remove tables of `written` that nothing reads any more, as those of a round once the next one is written."""
     for table in tables:
         removed(table.sparkSession, table.written_to)
-        if getattr(OPEN, "stack", []) and table.written_to in OPEN.stack[-1].paths:
-            OPEN.stack[-1].paths.remove(table.written_to)
+        if DRIVER.open and table.written_to in DRIVER.open[-1].paths:
+            DRIVER.open[-1].paths.remove(table.written_to)
