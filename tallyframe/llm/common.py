@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.tables import shared_folder, written  # noqa: F401  # used by the other modules from here
+from tallyframe.operators.tables import Temporary, forget, shared_folder, written  # noqa: F401  # used by the other modules from here
 
 #: A word: a run of anything but the six ASCII white-space characters. `bytes.split()` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +41,19 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of `df` begins with, in any case of letters."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns c0, c1, ..., which no name of ours is like, and what each column is called there."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def pieces(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together have about `most` bytes."""
     start = size = 0

@@ -86,7 +86,7 @@ def plan(sizes: DataFrame, seed: int, weights: tuple[float, ...] = WEIGHTS, most
     return targets.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "whole", "fraction", "low", "high", "some", "all")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, keep: list[str] | None = None, independent: bool = False) -> DataFrame:
     """Each document once, with `size`, `source_size`, `target`, `fraction` (all three of its source) and `copies`.
 
     copies is the whole part of target / source_size, and one more with the fraction's probability, by numbers drawn
@@ -107,15 +107,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mixed = inner.join(plans, F.col("source").eqNullSafe(F.col("of")), "left")
     at, low, high = step(seed, F.col("id")), F.col("low"), F.col("high")
     more = F.when(~F.coalesce("some", F.lit(False)), False).when(F.col("all"), True).when(low < high, (at >= low) & (at < high)).otherwise((at >= low) | (at < high))
+    if independent:
+        more = draw(seed, F.col("id")) < F.col("fraction")
     copies = F.col("whole") + more.cast("int")
     return mixed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "fraction", copies.cast("long").alias("copies"))
 
 
-def emit(docs: DataFrame, **names: str | int) -> DataFrame:
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: int | bool) -> DataFrame:
     """The mixture itself: the documents, each as often as `mix` says, with their own columns only."""
-    own = {"size", "source_size", "target", "fraction", "copies"}
-    safe = docs.select(*[F.col(f"`{c}`").alias(f"{c}__own" if c.lower() in own else c) for c in docs.columns])
-    mixed = mix(safe, **names)
+    safe, at = common.by_place(docs)
+    mixed = mix(safe, at[id_col], at[text_col], at[source_col], **how)
     # Whole copies are made by an array of that length; there are `MOST` of them at most.
-    out = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}__own`" if c.lower() in own else f"`{c}`").alias(c) for c in docs.columns])
+    out = mixed.filter("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(n).alias(c) for c, n in at.items()])

@@ -105,4 +105,5 @@ def judge(docs: DataFrame, model: tf.Linear, threshold: float = THRESHOLD, text_
 
 def keep_good(docs: DataFrame, model: tf.Linear, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with their own columns only."""
-    return judge(docs, model, threshold, prefix="__q_").filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = common.unused(docs, "quality_")
+    return judge(docs, model, threshold, prefix=prefix).filter(F.col(f"`{prefix}kept`")).select(*[F.col(f"`{c}`") for c in docs.columns])

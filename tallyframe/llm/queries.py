@@ -36,7 +36,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ctw.score(table(spark, sf_dir, "documents"), common.training_row(F.col("doc_id"), 5))
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,9 +204,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
     """One document of each component, the one with the smallest id (of rows with the same id, the same text or not,
     one), with its own columns only. Rows without an id are kept only where their component has no id at all."""
-    marked = with_fingerprint(docs, text_col, words, name="__fp")
-    marked = common.written(marked.withColumn("__row", F.monotonically_increasing_id()), "marked")
-    prints = marked.select(F.col("__fp").alias("fp"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row")).alias("id"))
+    safe, at = common.by_place(docs)
+    marked = with_fingerprint(safe, at[text_col], words, name="fp")
+    marked = common.written(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
+    id_ = F.col(at[id_col])
+    prints = marked.select("fp", F.struct(id_.isNull().alias("none"), id_.alias("id"), "row").alias("id"))
     # The survivor's row number goes with its component; whole texts are not shuffled.
-    kept = classes(prints, bits).select(F.col("component_id.row").alias("__row")).distinct()
-    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes(prints, bits).select(F.col("component_id.row").alias("row")).distinct()
+    return marked.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for c, n in at.items()])

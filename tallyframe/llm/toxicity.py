@@ -66,16 +66,17 @@ class Model(tf.Linear):
     swapped: int = 0
 
 
-def naming(groups: Groups) -> tuple[re.Pattern[bytes], dict[str, bytes]]:
-    """A pattern of the groups' names, longest first, with any white space between the words of a phrase; and what comes
-    next in the kind of each, that of the first language and kind that has it."""
-    following: dict[str, bytes] = {}
+def naming(groups: Groups) -> tuple[re.Pattern[str], dict[str, str]]:
+    """A pattern of the groups' names in any case of letters, longest first, with any white space between the words of a
+    phrase and no letter beside it; and what comes next in the kind of each, that of the first language and kind that has it."""
+    following: dict[str, str] = {}
     for kinds in groups.values():
         for kind in kinds:
             for i, name in enumerate(kind):
-                following.setdefault(name, kind[(i + 1) % len(kind)].encode())
-    each = [rb"\s+".join(re.escape(w.encode()) for w in name.split()) for name in sorted(following, key=len, reverse=True)]
-    return re.compile(rb"(?i)(?<![A-Za-z\x80-\xff])(" + (b"|".join(each) or b"(?!)") + rb")(?![A-Za-z\x80-\xff])"), following
+                following.setdefault(name.casefold(), kind[(i + 1) % len(kind)])
+    names = {name.casefold(): name for kinds in groups.values() for kind in kinds for name in kind}
+    each = [r"\s+".join(re.escape(w) for w in name.split()) for name in sorted(names.values(), key=len, reverse=True)]
+    return re.compile(r"(?i)(?<![^\W\d_])(" + ("|".join(each) or "(?!)") + r")(?![^\W\d_])"), following
 
 
 def wordings(groups: Groups = IDENTITY, most: int = WORDINGS) -> Callable[[bytes], list[bytes]]:
@@ -84,19 +85,21 @@ def wordings(groups: Groups = IDENTITY, most: int = WORDINGS) -> Callable[[bytes
 
     held: list = []
 
-    def named() -> tuple[re.Pattern[bytes], dict[str, bytes]]:
+    def named() -> tuple[re.Pattern[str], dict[str, str]]:
         if not held:  # once a task
             held.append(naming(groups))
         return held[0]
 
     def make(text: bytes) -> list[bytes]:
         pattern, following = named()
-        if not pattern.search(text):
+        said = text.decode("utf-8", "replace")
+        if not pattern.search(said):
             return []
         out = []
         for _ in range(most):
-            text = pattern.sub(lambda m: following[" ".join(m[0].decode().lower().split())], text)
-            out.append(text)
+            # Letters that only look alike without case, as a dotted capital I, leave a name as it is.
+            said = pattern.sub(lambda m: following.get(" ".join(m[0].casefold().split()), m[0]), said)
+            out.append(said.encode())
         return out
 
     return make
@@ -147,5 +150,5 @@ def score(docs: DataFrame, model: tf.Linear, text_col: str = "text", keep: list[
 
 def keep_clean(docs: DataFrame, model: tf.Linear, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, with their own columns only."""
-    name = "__toxicity"
-    return score(docs, model, name=name).filter(F.col(name) < threshold).drop(name)
+    name = common.unused(docs, "toxicity")
+    return score(docs, model, name=name).filter(F.col(f"`{name}`") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

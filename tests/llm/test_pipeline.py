@@ -66,5 +66,5 @@ def test_registered():
     import __spark_entry__
 
     names = {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in __spark_entry__.queries()
     assert quality.THRESHOLD == 0.5 and toxicity.MOST_ROWS and queries.vocabulary()
