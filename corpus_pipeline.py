@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again by the next."""
-    docs = queries.table(spark, sf_dir, "documents")
+    """All stages over `documents`, each written to the shared folder and read again by the next. What a stage has written
+    on its way, and what the stage before left, is removed; the last stage's table stays."""
+    docs, left = queries.table(spark, sf_dir, "documents"), []
     for n, (_, stage) in enumerate(STAGES, 1):
-        docs = common.written(stage(spark, docs, sf_dir), f"stage{n}")
+        with common.Temporary(spark) as inner:
+            docs = inner.keep(common.written(stage(spark, docs, sf_dir), f"stage{n}"))
+        common.forget(*left)
+        left = [docs]
     return docs
