@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,7 @@ class Options:
     dpi: float = 400.0
 
     def checked(self) -> Options:
-        bounds = {"threshold": (1, 255), "tolerance": (0, 25), "group": (0, 100), "least": (0, 1e6), "pad": (0, 100), "margin": (0, 500), "dpi": (36, 2400)}
-        for name, (low, high) in bounds.items():
+        for name, (low, high) in BOUNDS.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} is from {low} to {high}")
         return self
@@ -38,6 +37,31 @@ class Options:
         return replace(self, **{k: v for k, v in given.items() if v is not None}).checked()
 
 
+#: The bounds of each option.
+BOUNDS = {"threshold": (1, 255), "tolerance": (0, 25), "group": (0, 100), "least": (0, 1e6), "pad": (0, 100), "margin": (0, 500), "dpi": (36, 2400)}
+
+
+def laid_over(runs: DataFrame, layers: list[str]) -> DataFrame:
+    """Add each option by its name to rows that have some of them in columns with the layers' prefixes, the first layer on
+    top of the second and so on, the defaults below all; and `refused`, the first option that is out of its bounds."""
+    held = set(runs.columns)
+    values = {name: F.coalesce(*[F.col(f"`{layer}{name}`").cast("double") for layer in layers if f"{layer}{name}" in held], F.lit(float(getattr(Options(), name)))) for name in BOUNDS}
+    refused = F.coalesce(*[F.when(~values[name].between(low, high), name) for name, (low, high) in BOUNDS.items()])
+    return runs.select(*[F.col(f"`{c}`") for c in runs.columns], *[v.alias(name) for name, v in values.items()], refused.alias("refused"))
+
+
+def field_of(spec: Column) -> Column:
+    """(name, label, place, is_number) of `Name[=Label]` and any run of suffixes /below, /after, /number, of which the first
+    place counts; a field without a label is looked for by its name."""
+    suffixes = F.regexp_extract(spec, r"((?:\s*/(?:below|after|number))*)\s*$", 1)
+    plain = F.trim(F.left(F.rtrim(spec), F.char_length(F.rtrim(spec)) - F.char_length(suffixes)))
+    equals = F.instr(plain, "=")
+    name = F.trim(F.when(equals > 0, F.left(plain, equals - 1)).otherwise(plain))
+    label = F.trim(F.when(equals > 0, F.substr(plain, equals + 1)).otherwise(plain))
+    place = F.regexp_extract(suffixes, "/(below|after)", 1)
+    return F.struct(name.alias("name"), F.when(label == "", name).otherwise(label).alias("label"), F.when(place == "", "after").otherwise(place).alias("place"), F.contains(suffixes, F.lit("/number")).alias("is_number"))
+
+
 def attempted(column: Column, work: Callable[[str], list[float]]) -> Column:
     """(value, error) of a function of each text: what fails stays as a row that says why."""
 

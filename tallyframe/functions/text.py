@@ -104,15 +104,58 @@ def valid_name(text: Column) -> Column:
     return text.rlike(r"\A[A-Za-z0-9_-]{1,64}\z")
 
 
+#: Scripts by ranges of code points, in order; characters at home in any of them; what runs from right to left.
+SCRIPTS = {
+    "Latin": ((0x0041, 0x024F), (0x1E00, 0x1EFF), (0xA720, 0xA7FF)),
+    "Greek": ((0x0370, 0x03FF), (0x1F00, 0x1FFF)),
+    "Cyrillic": ((0x0400, 0x052F),),
+    "Hebrew": ((0x0590, 0x05FF), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "Devanagari": ((0x0900, 0x097F),),
+    "Thai": ((0x0E00, 0x0E7F),),
+    "Lao": ((0x0E80, 0x0EFF),),
+    "Han": ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF)),
+    "Kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF)),
+    "Hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
+}
+COMMON = ((0x21, 0x40), (0x5B, 0x60), (0x7B, 0x7E), (0x2000, 0x206F), (0x20A0, 0x20CF), (0x2190, 0x2BFF))
+RIGHT_TO_LEFT = ((0x0590, 0x08FF), (0xFB1D, 0xFDFF), (0xFE70, 0xFEFF), (0x10800, 0x10FFF), (0x1E800, 0x1EFFF))
+BLANK = ((0x00, 0x20), (0x7F, 0xA0), (0x2000, 0x200B), (0x3000, 0x3000))
+
+
+def points(*ranges: tuple[int, int]) -> str:
+    """The inside of a pattern's class."""
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+
+
+def how_many(text: Column, inside: str) -> Column:
+    """Characters of a class, by what is left without them."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{inside}]+", ""))
+
+
+def script_counts(text: Column) -> Column:
+    """(n, place, script) of each script that a whole text has letters of: those listed, and one for each 128 code points
+    elsewhere. What is at home anywhere, blanks and controls count for none."""
+    everywhere = points(*COMMON, *BLANK)
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{everywhere}]+", "")
+    listed = [F.struct(how_many(bare, points(*ranges)).cast("long").alias("n"), F.lit(-i).cast("long").alias("place"), F.lit(name).alias("script")) for i, (name, ranges) in enumerate(SCRIPTS.items())]
+    rest = F.regexp_replace(bare, f"[{points(*(r for ranges in SCRIPTS.values() for r in ranges))}]+", "")
+    piles = F.transform(F.regexp_extract_all(rest, F.lit("(?s)."), 0), lambda c: F.shiftright(F.ascii(c), 7))
+    elsewhere = F.transform(F.array_distinct(piles), lambda p: F.struct(F.size(F.filter(piles, lambda q: q == p)).cast("long").alias("n"), (-100 - p).cast("long").alias("place"), F.concat(F.lit("Elsewhere "), p.cast("string")).alias("script")))
+    return F.filter(F.concat(F.array(*listed), elsewhere), lambda s: s["n"] > 0)
+
+
 def script(text: Column) -> Column:
-    """The script of a text's first character, by ranges of code points."""
-    c = F.ascii(text)
-    inside = lambda *ranges: F.greatest(*[((c >= a) & (c <= b)).cast("int") for a, b in ranges], F.lit(0)) == 1
-    return (
-        F.when(inside((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)), "Latin")
-        .when(inside((0x370, 0x3FF)), "Greek").when(inside((0x400, 0x52F)), "Cyrillic").when(inside((0x590, 0x5FF)), "Hebrew")
-        .when(inside((0x600, 0x6FF)), "Arabic").when(inside((0x3040, 0x30FF), (0x4E00, 0x9FFF)), "Cjk").otherwise("Common")
-    )
+    """The script that most letters of a whole text are of; of equals the first listed; Common without letters."""
+    return F.coalesce(F.array_max(script_counts(text))["script"], F.lit("Common"))
+
+
+def as_read(line: Column) -> Column:
+    """A line that was found from left to right as it is read: where more letters run from right to left than do not, its
+    words, and the letters in them, are turned round."""
+    leftward = how_many(line, points(*RIGHT_TO_LEFT))
+    letters = how_many(F.regexp_replace(line, f"[{points(*RIGHT_TO_LEFT)}]+", ""), r"\p{IsAlphabetic}")
+    return F.when(leftward > letters, F.array_join(F.transform(F.reverse(F.split(line, " ")), F.reverse), " ")).otherwise(line)
 
 
 def common_run(a: Column, b: Column) -> Column:

@@ -221,10 +221,17 @@ def histogram_share(levels: DataFrame, part: int, of: int) -> DataFrame:
 
 
 def densest(df: DataFrame, by: list[str], x: str, width: float) -> DataFrame:
-    """Mean of the values in the window of a width that holds most, from each value up; the first of equals."""
-    frame = f"OVER (PARTITION BY {', '.join(by)} ORDER BY {x} RANGE BETWEEN CURRENT ROW AND {width!r}D FOLLOWING)"
-    found = df.select(*by, x, F.expr(f"count(*) {frame}").alias("held"), F.expr(f"avg({x}) {frame}").alias("mean"))
-    return found.groupBy(*by).agg(F.max_by("mean", F.struct("held", -F.col(x))).alias("mode"), F.max("held").alias("held"))
+    """Mean of the values in the window of a width that holds most, from each value up; the first of equals.
+
+    Values are counted first. Each stretch of the width is a task's own, with a copy of the next one, so a group is split
+    however many values it has."""
+    counted = df.groupBy(*by, F.col(x).alias("__x")).agg(F.count("*").alias("__n")).filter("__x IS NOT NULL")
+    cell = F.floor(F.col("__x") / width)
+    copies = F.explode(F.array(F.struct(cell.alias("c"), F.lit(True).alias("own")), F.struct((cell - 1).alias("c"), F.lit(False).alias("own"))))
+    each = counted.withColumn("__e", copies).select(*by, "__x", "__n", F.col("__e.c").alias("__c"), F.col("__e.own").alias("__own"))
+    frame = f"OVER (PARTITION BY {', '.join([*by, '__c'])} ORDER BY __x RANGE BETWEEN CURRENT ROW AND {width!r}D FOLLOWING)"
+    found = each.select(*by, "__x", "__own", F.expr(f"sum(__n) {frame}").alias("__held"), F.expr(f"sum(__n * __x) {frame}").alias("__sum")).filter("__own")
+    return found.groupBy(*by).agg(F.max_by(F.col("__sum") / F.col("__held"), F.struct("__held", -F.col("__x"))).alias("mode"), F.max("__held").alias("held"))
 
 
 def leaning(points: DataFrame, by: list[str], x: str, y: str, most: float, coarse: float = 0.25, fine: float = 0.02, least: int = 200) -> DataFrame:

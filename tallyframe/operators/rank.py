@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.measure import shares
+from tallyframe.operators import scan
+from tallyframe.operators.tables import forget, written
 
 #: The farthest that still is the same document, the lead a match must have, the least density of a page.
 SAME, LEAD, DENSITY = 0.30, 0.12, 0.0005
@@ -25,11 +27,6 @@ def ranked_candidates(sheets: DataFrame, candidates: DataFrame, keep: int) -> Da
     rows goes round as blocks of vectors, so a task holds one block and not a table. Ranks are cut in each block
     before they are merged.
     """
-
-
-
-
-
     size = len((candidates.select("v").first() or [[]])[0])
     n_blocks, n_chunks = (max(1, -(-df.count() // most)) for df, most in ((candidates, BLOCK), (sheets, CHUNK)))
     placed = candidates.select(F.col("id").cast("long").alias("candidate"), shares(F.col("v")).alias("v"))
@@ -65,9 +62,36 @@ def confident(ranked: DataFrame, by: str, distance: str, density: Column | None
     return g.withColumn("sure", sure if density is None else sure & (density > DENSITY))
 
 
+def near_ties(df: DataFrame, by: list[str], order: str, score: str, name: str, within: float = 0.02) -> DataFrame:
+    """(by, name): of each group's rows in order of preference, the name that stays when a later one must be better by over
+    the given share of the score held. Scores are over 0; rows without one don't count.
+
+    Only rows over all before them are ever held, and what a held one is left for is the least of those over its bound.
+    That is found for all at once by a scan downwards over scores and bounds; then pointers are followed twice as far in
+    each round, so rounds grow with the logarithm of the logarithm of the range of scores."""
+    group, s = F.struct(*by).alias("g"), F.col("s")
+    rows = df.select(group, F.col(order).alias("o"), F.col(score).cast("double").alias("s"), F.col(name).alias("name")).filter(s > 0)
+    held = scan.before(scan.dealt(rows, ["g"], ["o"], "ordered"), ["g"], most=("max", s))
+    records = written(held.filter(F.col("most").isNull() | (s > F.col("most"))).select("g", "s", "name"), "records")
+    both = records.select("g", (-s).alias("down"), F.lit(1).alias("kind"), "s").unionByName(records.select("g", (-s * (1 + within)).alias("down"), F.lit(0).alias("kind"), "s"))
+    seen = scan.before(scan.dealt(both, ["g"], ["down", "kind"], "bounds"), ["g"], to=("last", F.when(F.col("kind") == 1, s)))
+    step = written(seen.filter("kind = 0").select("g", "s", "to"), "steps")
+    while True:
+        ahead = step.select(F.col("g").alias("g_"), F.col("s").alias("s_"), F.col("to").alias("to_")).filter("to_ IS NOT NULL")
+        met = step.join(ahead, F.col("g").eqNullSafe(F.col("g_")) & (F.col("to") == F.col("s_")), "left")
+        moved = written(met.select("g", "s", F.coalesce("to_", "to").alias("to"), F.col("to_").isNotNull().alias("moved")), "steps", F.col("moved"))
+        forget(step)
+        step = moved.drop("moved")
+        step.written_to = moved.written_to
+        if not moved.any:
+            break
+    first = step.groupBy("g").agg(F.min_by(F.coalesce("to", "s"), "s").alias("last"))
+    end = first.select(F.col("g").alias("g_"), "last").join(records, F.col("g").eqNullSafe(F.col("g_")) & (F.col("last") == s))
+    return end.select(*[F.col(f"g.`{c}`").alias(c) for c in by], F.col("name").alias(name))
+
+
 def near_tie(ordered: Column, within: float = 0.02) -> Column:
-    """Of a list of (score, name) in order of preference, the name that stays: a later one must be better by over the
-    given share of the score held."""
+    """`near_ties` of a short list of (score, name), in one value."""
     start = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("name"))
 
     def step(held: Column, x: Column) -> Column:

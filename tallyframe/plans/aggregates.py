@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators import fits, islands, rank
+from tallyframe.functions import text
+from tallyframe.operators import fits, islands, rank, scan
 from tallyframe.plans.registry import query, table
 
 
@@ -412,19 +413,27 @@ def shortlists(spark, d):
        SELECT p_brand, arg_max(name, i) AS name FROM r GROUP BY 1""",
 )
 def near_ties(spark, d):
-    lists = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.col("p_retailprice").alias("score"), F.col("p_name").alias("name")))).alias("l"))
-    return lists.select("p_brand", rank.near_tie(F.col("l")).alias("name"))
+    got = rank.near_ties(table(spark, d, "part"), ["p_brand"], "p_partkey", "p_retailprice", "p_name")
+    return got.select("p_brand", F.col("p_name").alias("name"))
 
 
 @query("reading_order", """SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice / 100 * 10), p_size, p_partkey) AS place FROM part""")
 def reading_order(spark, d):
-    w = Window.partitionBy("p_brand").orderBy(F.round(F.col("p_retailprice") / 100 * 10), "p_size", "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    rows = table(spark, d, "part").select("p_brand", F.round(F.col("p_retailprice") / 100 * 10).alias("row"), "p_size", "p_partkey")
+    return scan.placed(rows, ["p_brand"], ["row", "p_size", "p_partkey"]).select("p_partkey", "place")
 
 
-@query("bidi_order", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') ELSE p_name END AS shown FROM part""")
+HEBREW = ("abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתאבגד")
+
+
+@query("bidi_order", f"""WITH l AS (SELECT p_partkey, p_type || ' ' || CASE WHEN p_size % 2 = 0 THEN translate(p_name, '{HEBREW[0]}', '{HEBREW[1]}') ELSE p_name END AS line FROM part),
+  n AS (SELECT *, list_transform(string_split(line, ''), lambda x: unicode(x)) AS codes FROM l),
+  d AS (SELECT *, len(list_filter(codes, lambda c: c BETWEEN 1424 AND 2303)) AS leftward, len(list_filter(codes, lambda c: c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122)) AS letters FROM n)
+  SELECT p_partkey, CASE WHEN leftward > letters THEN reverse(line) ELSE line END AS shown FROM d""")
 def bidi_order(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.array_join(F.reverse(F.split("p_name", " ")), " ")).otherwise(F.col("p_name")).alias("shown"))
+    """Lines of which some letters are Hebrew: these read from right to left where they are more than the others."""
+    name = F.when(F.col("p_size") % 2 == 0, F.translate("p_name", *HEBREW)).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", text.as_read(F.concat("p_type", F.lit(" "), name)).alias("shown"))
 
 
 @query("triple_order", """SELECT p_partkey, rank() OVER (ORDER BY p_brand, p_size::VARCHAR, p_name, p_partkey) AS place FROM part""")

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.options import Options, attempted, saved_document
-from tallyframe.functions.template import field_spec
+from tallyframe.functions import options
+from tallyframe.functions.options import attempted, saved_document
 from tallyframe.functions.text import escape_html
 from tallyframe.operators.sequence import SeriesCounters
 from tallyframe.operators.tables import shared_folder, written
@@ -146,13 +146,13 @@ def text_blocks(spark, d):
 
 @query(
     "control_stanzas",
-    """WITH s AS (SELECT *, 'b' || p_brand AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS stanza FROM part)
+    """WITH s AS (SELECT *, 'b' || p_brand || '/' || p_partkey // 2500 AS path, row_number() OVER (PARTITION BY p_brand, p_partkey // 2500 ORDER BY p_partkey) AS stanza FROM part)
        SELECT path, stanza::INT AS stanza, 'package' AS name, p_name AS value FROM s UNION ALL SELECT path, stanza, 'description', p_type || ': more' || chr(10) || ' of it' || chr(10) || ' .' FROM s UNION ALL SELECT path, stanza, 'size', p_size::VARCHAR FROM s WHERE p_size % 2 = 0""",
 )
 def control_stanzas(spark, d):
     own = F.concat(F.lit("Package:  "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "\r\n").otherwise("\n"), F.lit("Description: "), F.col("p_type"), F.lit(": more\n of it\n .\n"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("SIZE:"), F.col("p_size").cast("string"), F.lit("\n"))).otherwise("no field at all\n"), F.lit("\n \n"))
-    # A brand's parts, a hundred to a file, then the files of a brand as one list.
-    whole = table(spark, d, "part").groupBy(F.concat(F.lit("b"), F.col("p_brand")).alias("path")).agg(in_order(own, "p_partkey").alias("value"))
+    # A brand's parts among 2,500 keys, some hundred, to a file.
+    whole = table(spark, d, "part").groupBy(F.concat(F.lit("b"), "p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 2500)).alias("path")).agg(in_order(own, "p_partkey").alias("value"))
     return workbooks.stanzas(whole)
 
 
@@ -282,23 +282,32 @@ def signatures_or_errors(spark, d):
 
 @query(
     "tunables_laid_over",
-    """WITH o(name, value) AS (VALUES ('threshold', 200.0), ('tolerance', 0.5), ('group', 2.0), ('least', 0.05), ('pad', 0.0), ('margin', 5.0), ('dpi', 600.0)) SELECT name, value::DOUBLE AS value FROM o""",
+    """SELECT o_orderkey, 200.0::DOUBLE AS threshold, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 WHEN c_custkey % 4 = 0 THEN c_custkey % 20 / 10 ELSE 0.12 END::DOUBLE AS tolerance, 2.0::DOUBLE AS "group", 0.05::DOUBLE AS least,
+              CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 0.3 END::DOUBLE AS pad, 5.0::DOUBLE AS margin, CASE WHEN o_orderkey % 7 = 0 THEN 30 ELSE 400 END::DOUBLE AS dpi,
+              CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 50 > 25 THEN 'tolerance' WHEN o_orderkey % 7 = 0 THEN 'dpi' END AS refused
+       FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
 )
 def tunables_laid_over(spark, d):
-    """Defaults, a user's own over them, and what is given over those; nothing given leaves what is there."""
-    chosen = Options().over(tolerance=0.4, pad=0.0).over(tolerance=0.5, dpi=600.0, margin=None)
-    return spark.createDataFrame([(k, float(v)) for k, v in vars(chosen).items()], "name string, value double")
+    """For each run: what it was given, else its user's own default, else the library's; and the first out of bounds."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    users = table(spark, d, "customer").select(c, F.when(c % 4 == 0, c % 20 / 10).alias("own_tolerance"), F.when(c % 5 == 0, 0.0).alias("own_pad"))
+    runs = table(spark, d, "orders").select(o, "o_custkey", F.when(o % 3 == 0, o % 50).alias("given_tolerance"), F.when(o % 7 == 0, 30.0).alias("given_dpi"))
+    laid = options.laid_over(runs.join(users, F.col("o_custkey") == c, "left"), ["given_", "own_"])
+    return laid.select("o_orderkey", *options.BOUNDS, "refused")
 
 
 @query(
     "field_specs",
-    """WITH f(spec, name, label, place, is_number) AS (VALUES ('Name', 'Name', 'Name', 'after', false), ('Total=Amount due/number', 'Total', 'Amount due', 'after', true), ('Date/below', 'Date', 'Date', 'below', false),
-              ('N=a/b/below/number', 'N', 'a/b', 'below', true), (' Sum = To pay /after ', 'Sum', 'To pay', 'after', false), ('x/number/below', 'x', 'x', 'below', true)) SELECT * FROM f""",
+    """SELECT p_partkey, p_brand AS name, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_name ELSE p_name || '/' || p_type END AS label,
+              CASE WHEN p_partkey % 5 IN (1, 3, 4) THEN 'below' ELSE 'after' END AS place, p_partkey % 5 IN (2, 3) AS is_number FROM part""",
 )
 def field_specs(spark, d):
-    specs = ["Name", "Total=Amount due/number", "Date/below", "N=a/b/below/number", " Sum = To pay /after ", "x/number/below"]
-    rows = [(s, f["name"], f["label"], f["place"], f["number"]) for s in specs for f in [field_spec(s)]]
-    return spark.createDataFrame(rows, "spec string, name string, label string, place string, is_number boolean")
+    """Specs made of parts: a name, a label that may have a stroke in it, and suffixes in any order."""
+    k = F.col("p_partkey")
+    label = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit(" = "), "p_name")).otherwise(F.concat(F.lit("="), "p_name", F.lit("/"), "p_type"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("", "/below", " /number", "/below/number", "/below/after ")]), (k % 5 + 1).cast("int"))
+    f = options.field_of(F.concat("p_brand", label, suffix))
+    return table(spark, d, "part").select("p_partkey", *[f[c].alias(c) for c in ("name", "label", "place", "is_number")])
 
 
 @query("series_counters", """SELECT r_name AS name, 1 + count(n_nationkey) AS next FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")

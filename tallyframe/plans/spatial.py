@@ -129,11 +129,11 @@ def row_rectangles(spark, d):
 
 @query(
     "best_owners",
-    """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS row, (s_suppkey * 53 % 500)::DOUBLE AS cx FROM supplier), b AS (SELECT p_partkey AS id, p_partkey % 5 AS row, (p_partkey * 37 % 500)::DOUBLE AS cx FROM part WHERE p_partkey % 20 = 0 OR p_partkey % 20 = 7)
+    """WITH s AS (SELECT s_suppkey AS id, s_suppkey // 10 AS row, (s_suppkey * 53 % 500)::DOUBLE AS cx FROM supplier), b AS (SELECT p_partkey AS id, p_partkey // 200 AS row, (p_partkey * 37 % 500)::DOUBLE AS cx FROM part)
        SELECT s.id AS small, b.id AS base FROM s JOIN b ON s.row = b.row AND abs(s.cx - b.cx) <= 20 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY abs(s.cx - b.cx), b.id) = 1""",
 )
 def best_owners(spark, d):
     k, p = F.col("s_suppkey"), F.col("p_partkey")
-    small = table(spark, d, "supplier").select(k.alias("id"), (k % 5).alias("row"), (k * 53 % 500).cast("double").alias("cx"))
-    base = table(spark, d, "part").filter((p % 20 == 0) | (p % 20 == 7)).select(p.alias("id"), (p % 5).alias("row"), (p * 37 % 500).cast("double").alias("cx"))
+    small = table(spark, d, "supplier").select(k.alias("id"), F.floor(k / 10).alias("row"), (k * 53 % 500).cast("double").alias("cx"))
+    base = table(spark, d, "part").select(p.alias("id"), F.floor(p / 200).alias("row"), (p * 37 % 500).cast("double").alias("cx"))
     return spatial.owners(small, base, "row", 20.0)

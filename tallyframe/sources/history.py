@@ -13,7 +13,7 @@ SCHEMA = "at long, source string, delta string, pages long, additions long, fing
 
 def append(entries: DataFrame, path: str) -> None:
     """Add entries to the log's folder."""
-    entries.coalesce(1).write.mode("append").json(path)
+    entries.write.mode("append").json(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +29,7 @@ def recent(spark: SparkSession, path: str, most: int = KEPT) -> DataFrame:
 def compact(spark: SparkSession, path: str, to: str, most: int = KEPT) -> DataFrame:
     """A log with the newest entries only, in another folder; the caller puts it in the old one's place."""
     kept = recent(spark, path, most)
-    kept.coalesce(1).write.mode("errorifexists").json(to)
+    kept.write.mode("errorifexists").json(to)
     return read(spark, to)
 
 

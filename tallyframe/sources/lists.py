@@ -21,6 +21,12 @@ def counted(spark: SparkSession, n: int, most: int = 50_000) -> DataFrame:
     return spark.range(1, n + 1).withColumnRenamed("id", "number")
 
 
+def counted_for(df: DataFrame, n: str, most: int = 50_000) -> DataFrame:
+    """Each row as often as it asks for, with `number` from 1; none for rows that ask for none or for over `most`."""
+    fits = F.when(F.col(n).between(1, most), F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))
+    return df.withColumn("number", F.explode(fits))
+
+
 def records(files: DataFrame) -> DataFrame:
     """(path, content as text) -> (path, at, cells): the records of each file, in order, `at` from 0.
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tallyframe.operators import scan
 from tallyframe.operators.tables import written
 
 LOOK = ["path", "size", "modified"]
@@ -88,17 +89,17 @@ class Folder:
         before = self.read("looks", f"{schema}, turn int").filter(F.col("turn") == turn - 1)
         ledger = self.read("ledger", f"{schema}, outcome string, at int, turn int").filter(F.col("turn") != turn)
         # The listing changes while we work: one look is written and everything follows from it.
-        self.listing().coalesce(1).write.mode("overwrite").parquet(f"{self.state}/looks/turn={turn}")
+        self.listing().write.mode("overwrite").parquet(f"{self.state}/looks/turn={turn}")
         now = self.spark.read.schema(schema).parquet(f"{self.state}/looks/turn={turn}")
         verdicts = decided(before, now, ledger, again=again)
         todo = verdicts.filter("verdict = 'do'").drop("verdict")
         done = todo.join(handle(todo), "path").select(*LOOK, "outcome", F.lit(turn).alias("at"))
-        done.coalesce(1).write.mode("overwrite").parquet(f"{self.state}/ledger/turn={turn}")
+        done.write.mode("overwrite").parquet(f"{self.state}/ledger/turn={turn}")
         return verdicts
 
     def look(self, turn: int) -> None:
         """Write a look at the folder for `follow`, as a file of its own."""
-        self.listing().withColumn("turn", F.lit(turn)).coalesce(1).write.mode("append").parquet(f"{self.state}/stream/looks")
+        self.listing().withColumn("turn", F.lit(turn)).write.mode("append").parquet(f"{self.state}/stream/looks")
 
     def follow(self, handle: Callable[[DataFrame], DataFrame], every: str | None = None):
         """A streaming query over the looks that are written, with keyed state of the last one: each batch hands what has
@@ -130,8 +131,8 @@ class Folder:
 
 def repeats(log: DataFrame, key: str, order: str) -> DataFrame:
     """Add `seen_at`: the order of the latest earlier entry with the same fingerprint; entries are kept, not dropped."""
-
-    return log.withColumn("seen_at", F.lag(order).over(Window.partitionBy(key).orderBy(order)))
+    rows = scan.before(scan.dealt(log, [key], [order], "log"), [key], seen_at=("last", F.col(order)))
+    return rows.select(*[F.col(f"`{c}`") for c in log.columns], "seen_at")
 
 
 def compacted(ledger: DataFrame, present: DataFrame, most: int = 2000) -> DataFrame:
