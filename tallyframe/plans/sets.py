@@ -79,16 +79,6 @@ def classify_changes(spark, d):
     return sets.classify_changes(before(spark, d), now(spark, d), "o_orderkey", ["words"], ["place"], ["style"])
 
 
-@query(
-    "paired_sheets",
-    """SELECT l_orderkey, l_linenumber, CASE WHEN o.n = 1 THEN 1 ELSE l_linenumber END AS page FROM lineitem JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1) o USING (l_orderkey)""",
-)
-def paired_sheets(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    pages = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"))
-    return lines.join(pages, "l_orderkey").select("l_orderkey", "l_linenumber", F.when(F.col("n") == 1, 1).otherwise(F.col("l_linenumber")).alias("page"))
-
-
 @query(
     "latest_match",
     """WITH l AS (SELECT user_id, max(event_id) AS last_event_id, arg_max(event_type, event_id) AS last_event_type FROM events WHERE event_type <> 'view' GROUP BY 1)

@@ -194,14 +194,6 @@ def measurable_words(spark, d):
     return words.filter(F.col("w").rlike("^[A-Za-z0-9]{2,}$")).groupBy("conv_id", "turn").agg(F.count("*").alias("words"))
 
 
-@query("scale_passes", """SELECT l_suppkey, round(m2, 6) AS scale FROM (SELECT l_suppkey, v[len(v) // 2 + 1] AS m2 FROM (SELECT l_suppkey, list_sort(list(l_quantity / (10 + l_linenumber))) AS v FROM lineitem WHERE l_discount >= 0.02 GROUP BY 1) WHERE len(v) >= 3)""")
-def scale_passes(spark, d):
-    from tallyframe.operators.fits import elements, part_of
-
-    sure = table(spark, d, "lineitem").filter("l_discount >= 0.02").select("l_suppkey", (F.col("l_quantity") / (10 + F.col("l_linenumber"))).alias("s"))
-    return elements(sure, ["l_suppkey"], "s", {"median": part_of(1, 2)}).filter("n >= 3").select("l_suppkey", F.round("median", 6).alias("scale"))
-
-
 def leaning(around: str, out: str, step: float, reach: int) -> str:
     """SQL of the angle, within so many steps of each page's (page, d0), at which its points fall into the fewest rows."""
     return f"""{out} AS (SELECT page, arg_max(degrees, s * 1e6 - degrees) AS d0 FROM (
