@@ -14,6 +14,11 @@ EXTRA = {code: bytes([code]).decode("cp1252") for code in range(0x80, 0xA0) if b
 WRITABLE = r"\x20-\x7E\xA0-\xFF" + "".join(EXTRA.values())
 
 
+def measurable(word: Column) -> Column:
+    """Whether a word's width says something: two characters or more, letters and figures only, and all in the faces."""
+    return word.rlike(r"^[\p{IsAlphabetic}\p{N}]{2,}$") & ~word.rlike(f"[^{WRITABLE}]")
+
+
 def shown(text: Column) -> Column:
     """Tabs as spaces, without ends of lines."""
     return F.translate(text, "\t\r\n", " ")

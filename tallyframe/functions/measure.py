@@ -65,6 +65,22 @@ def sheets_needed(n: Column, skip: int, per_sheet: int) -> Column:
     return F.ceil((n + skip) / per_sheet)
 
 
+def sheet_and_back(page: Column) -> tuple[Column, Column]:
+    """(sheet, whether it is the back) of a page, all from 1; what is below 1 counts as 1."""
+    page = F.greatest(page, F.lit(1))
+    return F.ceil(page / 2), page % 2 == 0
+
+
+def sheets_for(pages: Column) -> Column:
+    """Sheets that so many pages take, printed on both sides."""
+    return F.ceil(pages / 2)
+
+
+def turned(x: Column, y: Column, rotation: Column, width: Column, height: Column, around: Column) -> Column:
+    """(x, y, rotation) of a placement on a page that comes out `around`, upside down, or as it was put in."""
+    return F.struct(F.when(around, width - x).otherwise(x).alias("x"), F.when(around, height - y).otherwise(y).alias("y"), F.when(around, rotation + 180).otherwise(rotation).alias("rotation"))
+
+
 def page_of(sheet: Column, back: Column) -> Column:
     """The page on the front or the back of a sheet, all from 1."""
     return 2 * sheet - 1 + back.cast("int")

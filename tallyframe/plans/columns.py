@@ -359,9 +359,19 @@ def label_slot(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sheet.alias("sheet"), row.alias("row"), col.alias("col"), measure.sheets_needed(F.col("o_orderkey"), 5, 24).alias("sheets"))
 
 
-@query("sheet_side", """SELECT l_orderkey, l_linenumber, 2 * l_orderkey - 1 + (l_linenumber % 2 = 0)::INT AS page FROM lineitem""")
+@query("sheet_side", """SELECT l_orderkey, l_linenumber, 2 * l_orderkey - 1 + (l_linenumber % 2 = 0)::INT AS page, (greatest(l_orderkey - l_linenumber, 1) + 1) // 2 AS sheet, greatest(l_orderkey - l_linenumber, 1) % 2 = 0 AS back, (l_orderkey + 1) // 2 AS sheets FROM lineitem""")
 def sheet_side(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", measure.page_of(F.col("l_orderkey"), F.col("l_linenumber") % 2 == 0).alias("page"))
+    k = F.col("l_orderkey")
+    sheet, back = measure.sheet_and_back(k - F.col("l_linenumber"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", measure.page_of(k, F.col("l_linenumber") % 2 == 0).alias("page"), sheet.alias("sheet"), back.alias("back"), measure.sheets_for(k).alias("sheets"))
+
+
+@query("turned_backs", """SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN b THEN 210 - x ELSE x END, 6)::DOUBLE AS x, round(CASE WHEN b THEN 297 - y ELSE y END, 6)::DOUBLE AS y, (l_suppkey % 4 * 90 + CASE WHEN b THEN 180 ELSE 0 END)::DOUBLE AS rotation FROM (SELECT *, l_quantity * 4 AS x, l_tax * 1000 AS y, l_orderkey % 3 = 0 AND l_linenumber % 2 = 0 AS b FROM lineitem)""")
+def turned_backs(spark, d):
+    """Placements on backs, of which a third of all printers turn the sheet around."""
+    around = (F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") % 2 == 0)
+    t = measure.turned(F.col("l_quantity") * 4, F.col("l_tax") * 1000, (F.col("l_suppkey") % 4 * 90).cast("double"), F.lit(210.0), F.lit(297.0), around)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(t["x"], 6).alias("x"), F.round(t["y"], 6).alias("y"), t["rotation"].alias("rotation"))
 
 
 @query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import measure
+from tallyframe.functions import drawings, measure
+from tallyframe.functions.faces import EXTRA, measurable
 from tallyframe.functions.symbols import code128
 from tallyframe.operators import greedy, sequence
 from tallyframe.plans.registry import query, table
@@ -99,12 +100,25 @@ def feed_answers(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(word == "SAME", "same").when(word == "TURNED", "turned").alias("feed"))
 
 
-@query("shape_bounds", """SELECT l_orderkey, l_linenumber, l_partkey, least(l_quantity, l_tax * 100) AS x0, greatest(l_quantity, l_tax * 100) AS x1 FROM lineitem""")
+DRAWINGS = """d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['line', 'rect', 'ellipse', 'path'][l_partkey % 4 + 1] AS kind, l_quantity::DOUBLE AS a, l_tax * 100::DOUBLE AS b, l_discount * 200 - 10::DOUBLE AS c, l_quantity / 2 - 8::DOUBLE AS d, l_suppkey % 3 / 2::DOUBLE AS w,
+       list_transform(range(0, l_suppkey % 4), lambda i: {'x': l_quantity * (i + 1) % 37, 'y': l_tax * 100 + i * i}) AS pts FROM lineitem),
+  e AS (SELECT *, CASE kind WHEN 'line' THEN least(a, c) WHEN 'rect' THEN least(a, a + c) WHEN 'ellipse' THEN a - abs(c) ELSE coalesce(list_min([p.x for p in pts]), 0) END - w / 2 AS x0, CASE kind WHEN 'line' THEN least(b, d) WHEN 'rect' THEN least(b, b + d) WHEN 'ellipse' THEN b - abs(d) ELSE coalesce(list_min([p.y for p in pts]), 0) END - w / 2 AS y0,
+       CASE kind WHEN 'line' THEN greatest(a, c) WHEN 'rect' THEN greatest(a, a + c) WHEN 'ellipse' THEN a + abs(c) ELSE coalesce(list_max([p.x for p in pts]), 0) END + w / 2 AS x1, CASE kind WHEN 'line' THEN greatest(b, d) WHEN 'rect' THEN greatest(b, b + d) WHEN 'ellipse' THEN b + abs(d) ELSE coalesce(list_max([p.y for p in pts]), 0) END + w / 2 AS y1 FROM d)"""
+
+
+def drawn(spark, d):
+    """Drawings of four kinds, some of them paths of too few points, on the pages of a document."""
+    q, t, s = F.col("l_quantity").cast("double"), F.col("l_tax") * 100, F.col("l_suppkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("line", "rect", "ellipse", "path")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    steps = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < s % 4)
+    points = F.transform(steps, lambda i: F.struct((q * (i + 1) % 37).alias("x"), (t + i * i).alias("y")))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", s, kind.alias("kind"), q.alias("a"), t.alias("b"), (F.col("l_discount") * 200 - 10).alias("c"), (q / 2 - 8).alias("d"), (s % 3 / 2).alias("w"), points.alias("pts"))
+    return rows.withColumn("box", drawings.bounds(*[F.col(c) for c in ("kind", "a", "b", "c", "d", "pts", "w")]))
+
+
+@query("shape_bounds", f"WITH {DRAWINGS} SELECT l_orderkey, l_linenumber, l_partkey, kind, " + ", ".join(f"round({c}, 6)::DOUBLE AS {c}" for c in ("x0", "y0", "x1", "y1")) + " FROM e")
 def shape_bounds(spark, d):
-    x, y = F.col("l_quantity"), F.col("l_tax") * 100
-    path = F.array(x, y, (x + y) / 2)
-    box = F.when(F.col("l_linenumber") % 2 == 0, F.struct(F.least(x, y).alias("x0"), F.greatest(x, y).alias("x1"))).otherwise(F.struct(F.array_min(path).alias("x0"), F.array_max(path).alias("x1")))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", box["x0"].alias("x0"), box["x1"].alias("x1"))
+    return drawn(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "kind", *[F.round(f"box.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @query("image_specs", """SELECT p_partkey, 'a:b/' || p_name AS file, p_size::DOUBLE AS x, 7.5::DOUBLE AS y, p_size * 2.0::DOUBLE AS w, CASE WHEN p_partkey % 2 = 0 THEN 30.0 ELSE p_size * 1.5 END::DOUBLE AS h FROM part""")
@@ -170,10 +184,23 @@ def repeat_plan(spark, d):
     return sheets.select("c_custkey", "sheet", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (F.col("sheet") - 1) * 3 + i)).alias("item"))
 
 
-@query("document_faults", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax * 1000 > 75 THEN 'size' WHEN l_linenumber > 6 THEN 'page' WHEN l_quantity < 3 THEN 'place' END AS fault FROM lineitem WHERE l_tax * 1000 > 75 OR l_linenumber > 6 OR l_quantity < 3""")
+@query(
+    "document_faults",
+    f"""WITH {DRAWINGS}, f AS (
+         SELECT l_orderkey, l_linenumber, l_partkey, 'text' AS what, CASE WHEN l_suppkey % 17 = 0 THEN 'position' WHEN l_tax * 60000 - 100 <= 0 OR l_tax * 60000 - 100 > 4000 THEN 'size' WHEN l_linenumber > 5 THEN 'page' END AS fault FROM lineitem
+         UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, kind, CASE WHEN l_linenumber > 5 THEN 'page' WHEN w - 0.25 < 0 AND l_suppkey % 7 = 0 THEN 'width' WHEN l_suppkey % 5 = 0 THEN 'nothing to see' WHEN l_suppkey % 5 = 1 AND l_partkey % 3 = 0 THEN 'colour' WHEN kind = 'path' AND len(pts) < 2 THEN 'points' END FROM e)
+       SELECT * FROM f WHERE fault IS NOT NULL""",
+)
 def document_faults(spark, d):
-    fault = F.when(F.col("l_tax") * 1000 > 75, "size").when(F.col("l_linenumber") > 6, "page").when(F.col("l_quantity") < 3, "place")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fault.alias("fault")).filter("fault IS NOT NULL")
+    """Placed texts and drawings of documents of five pages that can't be printed as they are, and why."""
+    pages, s = F.lit(5), F.col("l_suppkey")
+    x = F.when(s % 17 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity").cast("double"))
+    texts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("text").alias("what"), drawings.text_fault(x, F.col("l_tax"), F.col("l_tax") * 60_000 - 100, F.col("l_linenumber"), pages).alias("fault"))
+    stroke = F.when(s % 5 == 0, None).when((s % 5 == 1) & (F.col("l_partkey") % 3 == 0), "#12x").when(s % 5 < 4, "#a0b1c2")
+    fill = F.when(s % 5 == 4, "#fff")
+    width = F.when(s % 7 == 0, F.col("w") - 0.25).otherwise(F.col("w"))
+    fault = drawings.drawing_fault(F.col("kind"), F.col("box"), F.col("pts"), width, stroke, fill, F.col("l_linenumber"), pages)
+    return texts.unionByName(drawn(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", F.col("kind").alias("what"), fault.alias("fault"))).filter("fault IS NOT NULL")
 
 
 @query("monotone_ids", """SELECT s_suppkey, (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_suppkey) AS id FROM supplier""")
@@ -188,10 +215,11 @@ def steps_back(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.least(F.count("*") - 1, F.lit(10)).alias("back"))
 
 
-@query("measurable_words", """SELECT conv_id, turn, count(*) AS words FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE regexp_full_match(w, '[A-Za-z0-9]{2,}') GROUP BY 1, 2""")
+@query("measurable_words", r"""SELECT doc_id, count(*) AS words, sum(length(w))::BIGINT AS letters FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n\t\r]+')) AS w FROM documents) WHERE regexp_full_match(w, '[\p{L}\p{N}]{2,}') AND regexp_full_match(w, '[\x20-\x7E\xA0-\xFF""" + "".join(EXTRA.values()) + r"""]*') GROUP BY 1""")
 def measurable_words(spark, d):
-    words = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w"))
-    return words.filter(F.col("w").rlike("^[A-Za-z0-9]{2,}$")).groupBy("conv_id", "turn").agg(F.count("*").alias("words"))
+    """Words of letters and figures only, two or more, that the faces can write."""
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), 0)).alias("w"))
+    return words.filter(measurable(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("words"), F.sum(F.char_length("w")).alias("letters"))
 
 
 def leaning(around: str, out: str, step: float, reach: int) -> str:

@@ -65,11 +65,22 @@ def arriving(looks: DataFrame) -> DataFrame:
     return looks.groupBy("path").applyInPandasWithState(step, "path string, size long, modified long, turn int", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Listings that may fail in a row before a watch gives up, and the seconds between looks.
+GIVE_UP_AFTER, SHORTEST, LONGEST, USUAL = 10, 1, 3600, 2
+
+
+def every(seconds: int = USUAL) -> str:
+    """The time between two looks, for a trigger."""
+    if not SHORTEST <= seconds <= LONGEST:
+        raise ValueError(f"looks are {SHORTEST} to {LONGEST} seconds apart")
+    return f"{seconds} seconds"
+
+
 class Folder:
     """Sweeps over a folder; the ledger and the last look are Parquet tables beside a stream's checkpoint."""
 
     def __init__(self, spark: SparkSession, folder: str, state: str):
-        self.spark, self.folder, self.state = spark, folder, state
+        self.spark, self.folder, self.state, self.failed = spark, folder, state, 0
 
     def listing(self) -> DataFrame:
         from tallyframe.sources.files import listing
@@ -86,7 +97,9 @@ class Folder:
         """One look; `handle` gets what is to be done and returns (path, outcome). The look and the outcomes are written
         under the turn's number: a turn that is run again writes over its own."""
         schema = "path string, size long, modified long"
-        before = self.read("looks", f"{schema}, turn int").filter(F.col("turn") == turn - 1)
+        # The last look there is: turns whose listing failed have left none.
+        looks = self.read("looks", f"{schema}, turn int").filter(F.col("turn") < turn)
+        before = looks.filter(F.col("turn") == (looks.agg(F.max("turn").alias("t")).first()["t"] or 0))
         ledger = self.read("ledger", f"{schema}, outcome string, at int, turn int").filter(F.col("turn") != turn)
         # The listing changes while we work: one look is written and everything follows from it.
         self.listing().write.mode("overwrite").parquet(f"{self.state}/looks/turn={turn}")
@@ -119,6 +132,19 @@ class Folder:
         """The ledger of `follow`."""
         return self.read("stream/ledger", "path string, size long, modified long, outcome string, at int, batch int")
 
+    def tolerant(self, turn: int, handle: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+        """A sweep of a folder that may go away for a while: nothing where it can't be listed, an error the tenth time in a
+        row. What goes wrong after the listing is an error at once."""
+        try:
+            self.listing().isEmpty()
+        except Exception:  # noqa: BLE001  # whatever the file system raises
+            self.failed += 1
+            if self.failed >= GIVE_UP_AFTER:
+                raise
+            return None
+        self.failed = 0
+        return self.sweep(turn, handle)
+
     def watch(self, handle: Callable[[DataFrame], DataFrame], every: str | None = None, checkpoint: str | None = None):
         """Sweeps as a streaming query: each tick of a rate source is a turn; without `every`, two turns and an end."""
         if every is None:
@@ -126,7 +152,7 @@ class Folder:
                 out = self.sweep(turn, handle)
             return out
         ticks = self.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-        return ticks.writeStream.foreachBatch(lambda _, turn: self.sweep(turn + 1, handle)).trigger(processingTime=every).option("checkpointLocation", checkpoint or f"{self.state}/checkpoint").start()
+        return ticks.writeStream.foreachBatch(lambda _, turn: self.tolerant(turn + 1, handle)).trigger(processingTime=every).option("checkpointLocation", checkpoint or f"{self.state}/checkpoint").start()
 
 
 def repeats(log: DataFrame, key: str, order: str) -> DataFrame:
