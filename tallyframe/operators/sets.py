@@ -117,9 +117,9 @@ def by_name(asked: DataFrame, wanted: str, names: DataFrame, name: str, order: s
 def for_every(df: DataFrame, kind: str, every: str) -> DataFrame:
     """Rows by `target`, each kind that occurs: a kind's own rows, and the rows of kind `every` for each other one too."""
     own = df.withColumn("target", F.col(kind))
-    # The kinds are one row, a list of distinct names, whatever the number of rows.
+    # The kinds are one row, a list of distinct names, whatever the number of rows; Spark sends it along if it is small.
     kinds = df.filter(F.col(kind) != every).agg(F.collect_set(kind).alias("__kinds"))
-    shared = df.filter(F.col(kind) == every).crossJoin(F.broadcast(kinds)).withColumn("target", F.explode("__kinds")).drop("__kinds")
+    shared = df.filter(F.col(kind) == every).crossJoin(kinds).withColumn("target", F.explode("__kinds")).drop("__kinds")
     return own.unionByName(shared)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import trimmed
@@ -36,15 +36,25 @@ def records(files: DataFrame) -> DataFrame:
 
     Cut at quotes, every second piece is quoted; an empty piece between two quoted ones is a doubled quote.
     """
-    # Separators of units and of records; a list that has them itself keeps them, as characters that are no text meanwhile.
-    between, after, own, other = "\u001f", "\u001e", "\u001f\u001e", "\ufdd0\ufdd1"
-    whole = F.translate(F.regexp_replace(F.col("content"), "^\ufeff", ""), own, other)
+    # Separators of units and of records; where a list has them itself they are spelled with an escape meanwhile, and so is
+    # the escape.
+    between, after, escape = "\u001f", "\u001e", "\ufdd0"
+    spelled = {escape: f"{escape}a", between: f"{escape}b", after: f"{escape}c"}
+    whole = F.regexp_replace(F.col("content"), "^\ufeff", "")
+    for mark, said in spelled.items():
+        whole = F.replace(whole, F.lit(mark), F.lit(said))
+
+    def read(cell: Column) -> Column:
+        for mark, said in reversed(spelled.items()):
+            cell = F.replace(cell, F.lit(said), F.lit(mark))
+        return cell
+
     pieces = F.split(whole, '"')
     last = F.size(pieces) - 1
     plain = lambda t: F.translate(F.regexp_replace(t, "\r\n?", "\n"), ",\n", between + after)
     kept = F.transform(pieces, lambda t, i: F.when(i % 2 == 1, t).when((i > 0) & (i < last) & (t == ""), '"').otherwise(plain(t)))
     lines = files.select("path", F.posexplode(F.split(F.array_join(kept, ""), after)).alias("at", "line"))
-    return lines.select("path", "at", F.transform(F.split("line", between), lambda c: F.translate(c, other, own)).alias("cells"))
+    return lines.select("path", "at", F.transform(F.split("line", between), read).alias("cells"))
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

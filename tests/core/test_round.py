@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import options, text
 from tallyframe.functions.template import field_spec
 from tallyframe.operators import checks, fits, rank
+from tallyframe.sources import lists
 from tallyframe.streaming import arrivals
 
 
@@ -118,3 +119,10 @@ def test_all_checks_of_jobs(spark):
     assert {(r["job"], r["code"], r["detail"]) for r in checks.split(found).collect() if r["code"].startswith("reflow")} == {(2, "reflow_split", 1.0), (3, "reflow_split", 1.0)}
     assert checks.margins(added, before, 0.0).count() == 0
     assert checks.everything(*[t.limit(0) for t in (jobs, before, now, added, removed)]).count() == 0
+
+
+def test_lists_keep_separators_and_escapes_of_their_own(spark):
+    cells = ["a\u001fb", "\u001e", "﷐", "﷐a", "﷐b﷑", "﷑c", "x﷐\u001f﷐"]
+    content = ",".join(f'"{c}"' for c in cells) + "\n" + ",".join(cells) + "\n"
+    got = lists.records(spark.createDataFrame([("p", content)], "path string, content string")).orderBy("at").collect()
+    assert [r["cells"] for r in got][:2] == [cells, cells]
