@@ -275,3 +275,12 @@ def test_islands_of_a_hot_group(spark):
             seen.setdefault((left, right), []).append((i, n))
         for tied in seen.values():  # rows with the same ends are in any order
             assert sorted(sessions[i] for i, _ in tied) == sorted(n for _, n in tied)
+
+
+def test_nothing_gives_nothing_and_ends(spark):
+    none = spark.createDataFrame([], "g string, x double, y double, o int, n string")
+    one = spark.createDataFrame([("a", 1.0, 2.0, 1, "n")], none.schema)
+    for empty in (none, one.limit(0), one.filter("1 = 0")):
+        assert fits.indexed_quantiles(empty, ["g"], "x").count() == 0 and fits.robust_line(empty, ["g"], "x", "y").count() == 0
+        assert islands.own_sessions(empty, ["g"], "x", "y", "x").count() == 0 and islands.bands(empty.withColumn("f", F.lit(True)), ["g"], "o", "f").count() == 0
+    assert [tables.written(spark.range(n), "x", F.col("id") > 3).any for n in (5, 4, 0)] == [True, False, False]
