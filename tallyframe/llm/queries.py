@@ -268,5 +268,53 @@ FROM linked l JOIN sums s ON s.key = l.key AND s.d = l.d LEFT JOIN children k ON
 """
 
 
+#: The cheapest edits by going forward through each conversation, with the best edits so far for each state.
+OP12_SQL = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said FROM conversations),
+crc(said, i, reg) AS (
+  SELECT said, 0, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT said, i + 1, CASE WHEN i % 9 = 0 THEN xor(reg, ord(said[i // 9 + 1])::BIGINT) WHEN reg % 2 = 1 THEN xor(reg // 2, 3988292384::BIGINT) ELSE reg // 2 END
+  FROM crc WHERE i < 9 * length(said)),
+kinds AS (SELECT said, xor(reg, 4294967295::BIGINT) % 20 AS kind FROM crc WHERE i = 9 * length(said)),
+damaged AS (
+  SELECT conv_id AS c, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(nullif(role, ''), ' ') END AS role, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM conversations JOIN kinds ON said = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text), copy) AS place, role[1] AS initial FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY place) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY c ORDER BY place) AS last
+  FROM ordered),
+counts AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (place > 1 AND last || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY c),
+due(s, t, role) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+inserted(s, t, cost, said, lines) AS (
+  SELECT s, s, 0, '', '' FROM due UNION ALL SELECT s, t, 5, 'I', role || ':' || chr(10) FROM due
+  UNION ALL SELECT a.s, b.t, 10, 'II', a.role || ':' || chr(10) || b.role || ':' || chr(10) FROM due a JOIN due b ON b.s = a.t),
+edits(edit) AS (VALUES ('D'), ('K'), ('R')),
+best(c, i, s, cost, audit, body) AS (
+  SELECT c, 0::BIGINT, '', 0::BIGINT, '', '' FROM counts
+  UNION ALL
+  SELECT c, i, s, cost, audit, body FROM (
+    SELECT b.c, r.place AS i, CASE edit WHEN 'D' THEN x.t WHEN 'K' THEN r.initial ELSE d.t END AS s,
+           b.cost + x.cost + CASE edit WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN edit <> 'D' AND r.fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+           b.audit || x.said || edit AS audit, b.body || x.lines || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || r.text || chr(10) ELSE d.role || ':' || r.text || chr(10) END AS body
+    FROM best b JOIN judged r ON r.c IS NOT DISTINCT FROM b.c AND r.place = b.i + 1 JOIN inserted x ON x.s = b.s JOIN due d ON d.s = x.t, edits
+    WHERE edit = 'D' OR (r.fault NOT IN ('blank', 'duplicate') AND (edit = 'R' OR r.initial = d.t OR (r.initial = 's' AND x.t = ''))))
+  QUALIFY row_number() OVER (PARTITION BY c, s ORDER BY cost, audit) = 1),
+ended AS (
+  SELECT b.c, b.cost + x.cost AS cost, b.audit || x.said AS audit, b.body || x.lines AS body
+  FROM best b JOIN counts n ON n.c IS NOT DISTINCT FROM b.c AND b.i = n.n JOIN inserted x ON x.s = b.s WHERE x.t IN ('', 'a')
+  QUALIFY row_number() OVER (PARTITION BY b.c ORDER BY b.cost + x.cost, b.audit || x.said) = 1)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN counts n ON n.c IS NOT DISTINCT FROM v.conv_id LEFT JOIN ended e ON e.c IS NOT DISTINCT FROM v.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_prefix_trie": OP11_SQL, "op10_licenses": op10_sql(), "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL}
+    return {"op12_repair": OP12_SQL, "op11_prefix_trie": OP11_SQL, "op10_licenses": op10_sql(), "op2_mixing": OP2_SQL, "op6_url_filter": OP6_SQL}
