@@ -34,11 +34,13 @@ def records(files: DataFrame) -> DataFrame:
     them inside quotes are one, and a quote that is never closed takes in all that follows. A file is one row until it
     is cut, so files of a list are read side by side; a byte order mark is dropped.
 
-    Cut at quotes, every second piece is quoted; an empty piece between two quoted ones is a doubled quote.
+    Cut at quotes, every second piece is quoted; an empty piece between two quoted ones is a doubled quote. A mark at the
+    end, taken off again, keeps the last piece from being empty, so a piece is judged by itself.
     """
     # Separators of units and of records; where a list has them itself they are spelled with an escape meanwhile, and so is
     # the escape.
     between, after, escape = "\u001f", "\u001e", "\ufdd0"
+    end = f"{escape}z"
     spelled = {escape: f"{escape}a", between: f"{escape}b", after: f"{escape}c"}
     whole = F.regexp_replace(F.col("content"), "^\ufeff", "")
     for mark, said in spelled.items():
@@ -49,11 +51,10 @@ def records(files: DataFrame) -> DataFrame:
             cell = F.replace(cell, F.lit(said), F.lit(mark))
         return cell
 
-    pieces = F.split(whole, '"')
-    last = F.size(pieces) - 1
+    pieces = F.split(F.concat(whole, F.lit(end)), '"')
     plain = lambda t: F.translate(F.regexp_replace(t, "\r\n?", "\n"), ",\n", between + after)
-    kept = F.transform(pieces, lambda t, i: F.when(i % 2 == 1, t).when((i > 0) & (i < last) & (t == ""), '"').otherwise(plain(t)))
-    lines = files.select("path", F.posexplode(F.split(F.array_join(kept, ""), after)).alias("at", "line"))
+    kept = F.transform(pieces, lambda t, i: F.when(i % 2 == 1, t).when((i > 0) & (t == ""), '"').otherwise(plain(t)))
+    lines = files.select("path", F.posexplode(F.split(F.replace(F.array_join(kept, ""), F.lit(end)), after)).alias("at", "line"))
     return lines.select("path", "at", F.transform(F.split("line", between), read).alias("cells"))
 
 
@@ -88,9 +89,14 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return numbered(body, "path", "at").select("number", *[F.col("cells")[i].alias(n) for n, i in named.items()])
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A report as CSV with a header, quotes only where a cell needs them, LF line ends, empty texts empty."""
-    df.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(path)
+#: Rows of a report's file at most; what reads a list holds a file at a time.
+ROWS = 100_000
+
+
+def write_report(df: DataFrame, path: str, rows: int = ROWS) -> None:
+    """A report as CSV with a header, quotes only where a cell needs them, LF line ends, empty texts empty; in files of so
+    many rows at most, whose names are in order."""
+    df.write.mode("errorifexists").option("header", True).option("maxRecordsPerFile", rows).option("quote", '"').option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
