@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 from tallyframe.operators.components import components
 from tallyframe.operators.tables import written
 
+#: Parts that the rows of one bin are dealt into.
+DEALT = 8
+
+
+def dealt(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables that are to meet by keys, each key's left rows dealt into DEALT parts by a column and its right rows copied
+    to each, laid out alike by keys and `__deal` in several tasks for each core. Tables of few bytes can make very many
+    pairs, so that neither the files nor the shuffled bytes say how many tasks are needed."""
+    spark = left.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    left = left.withColumn("__deal", F.pmod(F.xxhash64(by), F.lit(DEALT)))
+    right = right.withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+    return left.repartition(n, *left_keys, "__deal").hint("shuffle_merge"), right.repartition(n, *right_keys, "__to")
+
 
 def spans(low: Column, high: Column, width: float) -> Column:
     """The bins of a width that an interval touches."""
@@ -30,33 +44,48 @@ def overlapping(a: DataFrame, b: DataFrame, by: str, width: float, a_id: str = "
         rows = rows.withColumn("bx", F.explode(spans(F.col(name + "x0"), F.col(name + "x1"), width)))
         return rows.withColumn("by_", F.explode(spans(F.col(name + "y0"), F.col(name + "y1"), width)))
 
-    l_, r = binned(a, a_id, "a"), binned(b, b_id, "b").withColumnRenamed("bx", "rx").withColumnRenamed("by_", "ry")
-    hit = l_.join(r, (F.col("aby") == F.col("bby")) & (F.col("bx") == F.col("rx")) & (F.col("by_") == F.col("ry")))
+    l_, r = dealt(binned(a, a_id, "a"), binned(b, b_id, "b").withColumnsRenamed({"bx": "rx", "by_": "ry"}), ["aby", "bx", "by_"], ["bby", "rx", "ry"], "a")
+    hit = l_.join(r, (F.col("aby") == F.col("bby")) & (F.col("bx") == F.col("rx")) & (F.col("by_") == F.col("ry")) & (F.col("__deal") == F.col("__to")))
     hit = hit.filter("ax0 < bx1 AND bx0 < ax1 AND ay0 < by1 AND by0 < ay1")
     first = (F.floor(F.greatest("ax0", "bx0") / width) == F.col("bx")) & (F.floor(F.greatest("ay0", "by0") / width) == F.col("by_"))
     return hit.filter(first).select(F.col("aby").alias(by), "a", "b")
 
 
+#: The corners of a box.
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def told_to_all(boxes: DataFrame, by: str, found: DataFrame, otherwise: float) -> DataFrame:
+    """(id, clear) of all boxes from what was found for different ones."""
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (by, *CORNERS)]
+    return boxes.alias("b").join(found.alias("f"), same, "left").select("b.id", F.coalesce("f.clear", F.lit(otherwise)).alias("clear"))
+
+
 def clear_above(boxes: DataFrame, ink: DataFrame, by: str, cap: float) -> DataFrame:
     """(id, clear): room from each box up to the next cell of ink in its columns, `cap` at most.
 
-    Only cells in the strip above a box matter; they meet it in bins as high as the cap.
+    Only cells in the strip above a box matter; they meet it in bins as high as the cap and eight times as wide. Boxes that
+    are alike are looked at once.
     """
-    b = boxes.withColumn("bin", F.explode(spans(F.col("y0") - cap, F.col("y0"), cap)))
-    i = ink.select(F.col(by).alias("ink_by"), "x", "y", F.floor(F.col("y") / cap).alias("ink_bin"))
-    near = b.join(i, (b[by] == i["ink_by"]) & (F.col("bin") == F.col("ink_bin")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") < F.col("y0")) & (F.col("y0") - F.col("y") <= cap))
-    found = near.groupBy("id").agg(F.min(F.col("y0") - F.col("y")).alias("clear"))
-    return boxes.select("id").join(found, "id", "left").select("id", F.coalesce("clear", F.lit(cap)).alias("clear"))
+    wide = 8 * cap
+    b = boxes.select(by, *CORNERS).distinct().filter("x1 > x0").withColumn("bin", F.explode(spans(F.col("y0") - cap, F.col("y0"), cap))).withColumn("bx", F.explode(spans(F.col("x0"), F.col("x1"), wide)))
+    i = ink.select(F.col(by).alias("ink_by"), "x", "y").distinct().withColumn("ink_bin", F.floor(F.col("y") / cap)).withColumn("ix", F.floor(F.col("x") / wide))
+    b, i = dealt(b, i, [by, "bin", "bx"], ["ink_by", "ink_bin", "ix"], "y0")
+    met = (b[by] == i["ink_by"]) & (F.col("bin") == F.col("ink_bin")) & (F.col("bx") == F.col("ix")) & (F.col("__deal") == F.col("__to"))
+    near = b.join(i, met & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") < F.col("y0")) & (F.col("y0") - F.col("y") <= cap))
+    return told_to_all(boxes, by, near.groupBy(by, *CORNERS).agg(F.min(F.col("y0") - F.col("y")).alias("clear")), cap)
 
 
 def nearest_ink(boxes: DataFrame, ink: DataFrame, by: str, cap: int) -> DataFrame:
-    """(id, clear): whole steps from each box to the nearest cell, in the greater of both directions, `cap` at most."""
-    b = boxes.withColumn("bx", F.explode(spans(F.col("x0") - cap, F.col("x1") + cap, cap))).withColumn("by_", F.explode(spans(F.col("y0") - cap, F.col("y1") + cap, cap)))
-    i = ink.select(F.col(by).alias("ink_by"), "x", "y", F.floor(F.col("x") / cap).alias("ix"), F.floor(F.col("y") / cap).alias("iy"))
+    """(id, clear): whole steps from each box to the nearest cell, in the greater of both directions, `cap` at most. Boxes
+    that are alike are looked at once, and so are cells."""
+    b = boxes.select(by, *CORNERS).distinct().withColumn("bx", F.explode(spans(F.col("x0") - cap, F.col("x1") + cap, cap))).withColumn("by_", F.explode(spans(F.col("y0") - cap, F.col("y1") + cap, cap)))
+    i = ink.select(F.col(by).alias("ink_by"), "x", "y").distinct().withColumn("ix", F.floor(F.col("x") / cap)).withColumn("iy", F.floor(F.col("y") / cap))
+    b, i = dealt(b, i, [by, "bx", "by_"], ["ink_by", "ix", "iy"], "x1")
     away = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0))
-    near = b.join(i, (b[by] == i["ink_by"]) & (F.col("bx") == F.col("ix")) & (F.col("by_") == F.col("iy")))
-    found = near.groupBy("id").agg(F.least(F.min(away), F.lit(cap)).alias("clear"))
-    return boxes.select("id").join(found, "id", "left").select("id", F.coalesce("clear", F.lit(cap)).cast("long").alias("clear"))
+    near = b.join(i, (b[by] == i["ink_by"]) & (F.col("bx") == F.col("ix")) & (F.col("by_") == F.col("iy")) & (F.col("__deal") == F.col("__to")))
+    found = near.groupBy(by, *CORNERS).agg(F.least(F.min(away), F.lit(cap)).alias("clear"))
+    return told_to_all(boxes, by, found, cap).select("id", F.col("clear").cast("long").alias("clear"))
 
 
 #: A square and its eight neighbours, as steps.

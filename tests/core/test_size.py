@@ -3,6 +3,9 @@
 import glob
 import time
 
+from pyspark.sql import functions as F
+
+from tallyframe.operators import spatial
 from tallyframe.sources import lists
 
 
@@ -21,3 +24,29 @@ def test_reports_are_parted_into_files_of_bounded_rows(spark, tmp_path):
     assert len(glob.glob(f"{tmp_path}/out/*.csv")) == 3
     got = lists.read_list(spark, f"{tmp_path}/out/*.csv").orderBy("number").collect()
     assert [tuple(r) for r in got] == [(i + 1, str(i), f'a "{i}"\nb') for i in range(25)]
+
+
+def boxes_of_one_place(spark, n):
+    return spark.range(n).coalesce(1).selectExpr("id", "id % 1 AS page", "cast(id % 7 AS double) AS x0", "20.0D AS y0", "cast(id % 7 + 3 AS double) AS x1", "30.0D AS y1")
+
+
+def test_pairs_of_one_place_are_made_by_several_tasks(spark):
+    boxes = boxes_of_one_place(spark, 300)
+    pairs = spatial.overlapping(boxes, boxes, "page", 64.0)
+    want = boxes.alias("a").join(boxes.alias("b"), F.expr("a.x0 < b.x1 AND b.x0 < a.x1")).select("a.page", "a.id", "b.id")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect()))
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_boxes_that_are_alike_are_looked_at_once(spark):
+    """Seven different boxes among 100,000, and as many cells that come again: pairs of all would be ten milliards."""
+    n = 100_000
+    boxes, ink = boxes_of_one_place(spark, n), spark.range(n).selectExpr("id % 1 AS page", "id % 3 AS x", "13 + id % 3 AS y")
+    cells = {(i, 13 + i) for i in range(3)}
+    start = time.time()
+    for found, want in (
+        (spatial.clear_above(boxes, ink, "page", 8.0), lambda x: min([20.0 - b for a, b in cells if x <= a < x + 3 and 20 - b <= 8], default=8.0)),
+        (spatial.nearest_ink(boxes, ink, "page", 25), lambda x: min([max(x - a, a - x - 3, 20 - b, b - 30, 0) for a, b in cells])),
+    ):
+        assert {tuple(r) for r in found.collect()} == {(i, want(i % 7)) for i in range(n)}
+    assert time.time() - start < 60
