@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,16 +135,33 @@ def how_many(text: Column, inside: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{inside}]+", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def script_counts(text: Column) -> Column:
     """(n, place, script) of each script that a whole text has letters of: those listed, and one for each 128 code points
-    elsewhere. What is at home anywhere, blanks and controls count for none."""
-    everywhere = points(*COMMON, *BLANK)
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{everywhere}]+", "")
-    listed = [F.struct(how_many(bare, points(*ranges)).cast("long").alias("n"), F.lit(-i).cast("long").alias("place"), F.lit(name).alias("script")) for i, (name, ranges) in enumerate(SCRIPTS.items())]
-    rest = F.regexp_replace(bare, f"[{points(*(r for ranges in SCRIPTS.values() for r in ranges))}]+", "")
-    piles = F.transform(F.regexp_extract_all(rest, F.lit("(?s)."), 0), lambda c: F.shiftright(F.ascii(c), 7))
-    elsewhere = F.transform(F.array_distinct(piles), lambda p: F.struct(F.size(F.filter(piles, lambda q: q == p)).cast("long").alias("n"), (-100 - p).cast("long").alias("place"), F.concat(F.lit("Elsewhere "), p.cast("string")).alias("script")))
-    return F.filter(F.concat(F.array(*listed), elsewhere), lambda s: s["n"] > 0)
+    elsewhere. What is at home anywhere, blanks and controls count for none. A script's letters are taken out before the
+    next one's are looked for, so most letters are read once or twice."""
+
+    def elsewhere(piles: Column) -> Column:
+        return F.transform(F.array_distinct(piles), lambda p: F.struct(F.size(F.filter(piles, lambda q: q == p)).cast("long").alias("n"), (-100 - p).cast("long").alias("place"), F.concat(F.lit("Elsewhere "), p.cast("string")).alias("script")))
+
+    def counted(left: Column, found: list[Column], scripts: list) -> Column:
+        if not scripts:
+            piles = F.transform(F.regexp_extract_all(left, F.lit("(?s)."), 0), lambda c: F.shiftright(F.ascii(c), 7))
+            return let(piles, lambda p: F.filter(F.concat(F.array(*found), elsewhere(p)), lambda s: s["n"] > 0))
+        (i, (name, ranges)), *others = scripts
+
+        def taken(less: Column) -> Column:
+            own = F.struct((F.char_length(left) - F.char_length(less)).cast("long").alias("n"), F.lit(-i).cast("long").alias("place"), F.lit(name).alias("script"))
+            return counted(less, [*found, own], others)
+
+        return let(F.regexp_replace(left, f"[{points(*ranges)}]+", ""), taken)
+
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{points(*COMMON, *BLANK)}]+", "")
+    return let(bare, lambda b: counted(b, [], list(enumerate(SCRIPTS.items()))))
 
 
 def script(text: Column) -> Column:

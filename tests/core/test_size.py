@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions import faces, text
 from tallyframe.operators import spatial
 from tallyframe.sources import lists
 
@@ -50,3 +51,12 @@ def test_boxes_that_are_alike_are_looked_at_once(spark):
     ):
         assert {tuple(r) for r in found.collect()} == {(i, want(i % 7)) for i in range(n)}
     assert time.time() - start < 60
+
+
+def test_scripts_of_a_text_of_many_blocks(spark):
+    """1,500 blocks of code points, twenty letters of each, and words of three scripts that are listed."""
+    body = "".join(chr(0x40000 + 128 * p + i) for i in range(20) for p in range(1_500)) + "abc абв? α"
+    start = time.time()
+    got = {r["s"]["script"]: r["s"]["n"] for r in spark.createDataFrame([(body,)], "t string").select(F.explode(text.script_counts(F.col("t"))).alias("s")).collect()}
+    assert got == {"Latin": 3, "Cyrillic": 3, "Greek": 1} | {f"Elsewhere {(0x40000 >> 7) + p}": 20 for p in range(1_500)}
+    assert time.time() - start < 30
