@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import let
+
 #: Characters that the faces' encoding has at 0x80 to 0x9F, by that code.
 EXTRA = {code: bytes([code]).decode("cp1252") for code in range(0x80, 0xA0) if bytes([code]).decode("cp1252", "ignore")}
 
@@ -21,21 +23,36 @@ def measurable(word: Column) -> Column:
 
 def shown(text: Column) -> Column:
     """Tabs as spaces, without ends of lines."""
-    return F.translate(text, "\t\r\n", " ")
+    for mark, instead in (("\t", " "), ("\r", ""), ("\n", "")):
+        text = F.replace(text, F.lit(mark), F.lit(instead))
+    return text
+
+
+def unusual(plain: Column) -> Column:
+    """What is left of a text without the characters of most texts, which two ranges hold."""
+    return F.regexp_replace(plain, r"[\x20-\x7E\xA0-\xFF]+", "")
 
 
 def missing(text: Column) -> Column:
     """The distinct characters that the faces haven't got, in the order of the text."""
-    return F.array_distinct(F.regexp_extract_all(shown(text), F.lit(f"[^{WRITABLE}]"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(unusual(shown(text)), F.lit(f"[^{WRITABLE}]"), F.lit(0)))
 
 
 def encoded(text: Column) -> tuple[Column, Column]:
     """(status, bytes): Control if the text has a control character, Missing if it has one without a glyph, else
     Encoded; bytes only then. A null text has a null status."""
-    plain = shown(text)
-    status = F.when(plain.rlike(r"[\x00-\x1F\x7F]"), "Control").when(plain.rlike(f"[^{WRITABLE}]"), "Missing").when(text.isNotNull(), "Encoded")
-    as_codes = F.translate(plain, "".join(EXTRA.values()), "".join(map(chr, EXTRA)))
-    return status, F.when(status == "Encoded", F.encode(F.when(status == "Encoded", as_codes), "ISO-8859-1"))
+    extra = "".join(EXTRA.values())
+
+    def codes(plain: Column, rest: Column, status: Column) -> Column:
+        as_codes = F.when(rest.rlike(f"[{extra}]"), F.translate(plain, extra, "".join(map(chr, EXTRA)))).otherwise(plain)
+        return F.struct(status.alias("status"), F.when(status == "Encoded", F.encode(as_codes, "ISO-8859-1")).alias("codes"))
+
+    def told(plain: Column, rest: Column) -> Column:
+        bad = F.when(rest.rlike(r"[\x00-\x1F\x7F]"), "Control").when(rest.rlike(f"[^{WRITABLE}]"), "Missing")
+        return let(bad.when(plain.isNotNull(), "Encoded"), lambda status: codes(plain, rest, status))
+
+    both = let(shown(text), lambda plain: let(unusual(plain), lambda rest: told(plain, rest)))
+    return both["status"], both["codes"]
 
 
 def by_width(widths: Mapping[str, int]) -> dict[int, str]:
