@@ -37,8 +37,11 @@ def ranked_candidates(sheets: DataFrame, candidates: DataFrame, keep: int) -> Da
     def compare(batches):
         for batch in batches:
             out: dict[str, list] = {"sheet": [], "candidate": [], "distance": []}
-            for sheets_, q, ids, m in zip(*(batch.column(c).to_pylist() for c in ("sheets", "q", "candidates", "m")), strict=True):
-                a, b, ids = np.array(q).reshape(len(sheets_), -1), np.array(m).reshape(len(ids), -1), np.array(ids)
+            for i in range(len(batch)):
+                # Views of the batch, one pair of blocks at a time, not lists of Python numbers.
+                sheets_, ids = batch.column("sheets")[i].as_py(), np.array(batch.column("candidates")[i].as_py())
+                q, m = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("q", "m"))
+                a, b = q.reshape(len(sheets_), -1), m.reshape(len(ids), -1)
                 for s, row in zip(sheets_, a, strict=True):
                     d = np.abs(b - row).sum(axis=1) / 2
                     d = np.where(np.isnan(d), np.inf, d)
