@@ -1,12 +1,13 @@
 """Steps whose work must follow their input."""
 
 import glob
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from tallyframe.functions import faces, text
-from tallyframe.operators import spatial
+from tallyframe.operators import marks, spatial
 from tallyframe.sources import lists
 
 
@@ -60,3 +61,24 @@ def test_scripts_of_a_text_of_many_blocks(spark):
     got = {r["s"]["script"]: r["s"]["n"] for r in spark.createDataFrame([(body,)], "t string").select(F.explode(text.script_counts(F.col("t"))).alias("s")).collect()}
     assert got == {"Latin": 3, "Cyrillic": 3, "Greek": 1} | {f"Elsewhere {(0x40000 >> 7) + p}": 20 for p in range(1_500)}
     assert time.time() - start < 30
+
+
+def test_marks_of_one_page_meet_the_bases_about_them_only(spark):
+    """100,000 marks on a page, among which every mark may belong to some hundred bases."""
+    df = spark.range(100_000).coalesce(1).selectExpr("id", "0 AS page", "cast(id * 37 % 500 AS double) AS x", "cast(id * 91 % 300 AS double) AS y", "2 + cast(id * 7 % 13 AS double) AS w", "1 + cast(id * 11 % 29 AS double) * cast(id * 5 % 7 AS double) / 4 AS h")
+    start = time.time()
+    assert marks.owned(df, "page", 32.0).filter("owner IS NOT NULL").count() > 20_000
+    assert time.time() - start < 100
+
+
+def test_marks_get_the_base_that_a_comparison_with_all_gives(spark):
+    rng = random.Random(6)
+    rows = [(i % 2, i, rng.choice([rng.uniform(0, 60), float(rng.randrange(60))]), float(rng.randrange(40)), rng.choice([0.0, 2.0, rng.uniform(1, 30)]), rng.choice([0.0, 1.0, 2.0, 20.0, rng.uniform(1, 200)])) for i in range(400)] + [(0, 900, None, 1.0, 1.0, 1.0), (None, 901, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows + [(*r[:1], r[1] + 1000, *r[2:]) for r in rows[:50]], "page int, id int, x double, y double, w double, h double").repartition(3)
+    placed = df.dropna()  # a mark without a place belongs to none and owns none
+    pairs = placed.select(*[F.col(c).alias(f"b{c}") for c in df.columns]).join(placed.select(*[F.col(c).alias(f"m{c}") for c in df.columns]), F.expr("bpage = mpage AND bid <> mid")).filter(marks.belongs("b", "m"))
+    want = {r["mid"]: r["best"][2] for r in pairs.groupBy("mid").agg(F.expr("min(struct(abs(bx + bw / 2 - mx - mw / 2) AS a, -bh AS h, bid)) AS best")).collect()}
+    for width in (0.3, 32.0):
+        got = df.join(marks.nearest_bases(df, "page", width), ["page", "x", "y", "w", "h"]).filter("owner IS NOT NULL")
+        assert {r["id"]: r["owner"] for r in got.collect()} == want and len(want) > 50
+    assert marks.owned(df.limit(0), "page", 32.0).count() == 0
