@@ -66,9 +66,13 @@ def elements(df: DataFrame, by: list[str], x: str, at: dict[str, Column]) -> Dat
         if last is not counts:
             forget(last)
         last = bounds
-    tally = between(bounds.drop("__held")).groupBy(*by, "__no", "__i", "__below", "__x").agg(F.count("*").alias("__held"))
-    ranked = tally.withColumn("__up_to", below + F.sum("__held").over(Window.partitionBy(*by, "__no").orderBy("__x")))
-    found = ranked.filter("__up_to > __i").groupBy(*by).agg(*[F.min(F.when(no == k, x_)).alias(f"__found{k}") for k in range(len(names))])
+    # Elements that lie between the same bounds are looked for together: each row is read once for all of them.
+    ends = [*by, "__low", "__high", "__below"]
+    sought = [f"__i{k}" for k in range(len(names))]
+    together = bounds.groupBy(*ends).agg(*[F.max(F.when(no == k, i)).alias(c) for k, c in enumerate(sought)])
+    tally = between(together).groupBy(*ends, *sought, "__x").agg(F.count("*").alias("__held"))
+    ranked = tally.withColumn("__up_to", below + F.sum("__held").over(Window.partitionBy(*ends).orderBy("__x")))
+    found = ranked.groupBy(*by).agg(*[F.min(F.when(F.col("__up_to") > F.col(c), x_)).alias(f"__found{k}") for k, c in enumerate(sought)])
     out = counts.withColumnRenamed("__held", "__finite").join(found, by, "left")
     value = lambda k, at_: F.col(f"__found{k}") if exact else F.when((at_ < 0) | (at_ >= F.col("n")), None).when(at_ < F.col("__first"), minus).when(at_ < F.col("__first") + F.col("__finite"), F.col(f"__found{k}")).when(at_ < F.col("__first") + F.col("__finite") + F.col("__last"), inf).otherwise(float("nan"))
     return out.select(*by, "n", *[value(k, at[c].cast("long")).cast(kind).alias(c) for k, c in enumerate(names)])

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from tallyframe.functions import faces, text
-from tallyframe.operators import marks, spatial
+from tallyframe.operators import fits, marks, spatial
 from tallyframe.sources import lists
 
 
@@ -82,3 +82,25 @@ def test_marks_get_the_base_that_a_comparison_with_all_gives(spark):
         got = df.join(marks.nearest_bases(df, "page", width), ["page", "x", "y", "w", "h"]).filter("owner IS NOT NULL")
         assert {r["id"]: r["owner"] for r in got.collect()} == want and len(want) > 50
     assert marks.owned(df.limit(0), "page", 32.0).count() == 0
+
+
+def test_elements_of_one_group_are_looked_for_together(spark):
+    """Rows are read once for all elements that lie between the same bounds, not once for each."""
+    df = spark.range(40_000).selectExpr("id % 100 AS g", "cast(hash(id) AS double) AS x")
+    got = fits.indexed_quantiles(df, ["g"], "x")
+    wants = {r["g"]: r["v"] for r in df.groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("v")).collect()}
+    assert {r["g"]: (r["lower"], r["median"], r["upper"]) for r in got.collect()} == {g: (v[len(v) // 4], v[len(v) // 2], v[3 * len(v) // 4]) for g, v in wants.items()}
+    met: list = []
+
+    def joined(frame, *args, **kwargs):
+        out = real(frame, *args, **kwargs)
+        met.append(out.count() if "__x" in out.columns else 0)
+        return out
+
+    real, kind = type(df).join, type(df)
+    kind.join = joined
+    try:
+        fits.indexed_quantiles(df, ["g"], "x")
+    finally:
+        kind.join = real
+    assert max(met) == 40_000
