@@ -21,18 +21,20 @@ def placed_words(df: DataFrame, sheet: str, text: str, line_height: float = 5.0,
     return words.select("sheet", "line", "word_no", "text", x.alias("x"), (F.col("line") * line_height).alias("y"), (F.length("text") * letter).alias("w"), F.lit(line_height * 0.7).alias("h")).filter("text <> ''")
 
 
-def keyed(words: DataFrame, reach: int) -> DataFrame:
+def keyed(words: DataFrame, reach: int, parts_of: str | None = None) -> DataFrame:
     """The words that have letters or figures, with what follows them in their line up to `reach` characters on: `ahead`,
     from the word itself on, as (word_no, right, key). Words of marks only have no key and stand in no one's way.
 
     A run that begins at a word can't come to a key once the words before its last one are longer than the key, so the
-    frame is bounded by the key and not by a number of words.
+    frame is bounded by the key and not by a number of words. With `parts_of`, only words that stand in that key are kept;
+    what was left out between them shows in `at`, the characters that stand before a word.
     """
     rows = words.select("sheet", "line", "word_no", "x", "y", "w", squash(F.col("text")).alias("key")).filter("key <> ''")
     line = Window.partitionBy("sheet", "line").orderBy("word_no")
     rows = rows.withColumn("at", F.sum(F.length("key")).over(line) - F.length("key"))
+    rows = rows if parts_of is None else rows.filter(F.contains(F.lit(parts_of), F.col("key")))
     frame = Window.partitionBy("sheet", "line").orderBy("at").rangeBetween(0, reach)
-    return rows.withColumn("ahead", F.collect_list(F.struct("word_no", (F.col("x") + F.col("w")).alias("right"), "key")).over(frame))
+    return rows.withColumn("ahead", F.collect_list(F.struct("word_no", (F.col("x") + F.col("w")).alias("right"), "key", "at")).over(frame))
 
 
 def joined_keys(ahead: Column, k: Column) -> Column:
@@ -44,9 +46,15 @@ def phrase_hits(words: DataFrame, phrase: str, errors: int) -> DataFrame:
     shortest for each start, however many words that is. Keys are letters and figures only, so runs grow over
     punctuation, and a phrase is found that is spelled out letter by letter."""
     key = "".join(c for c in phrase if c.isalnum()).lower()
-    rows = keyed(words, len(key) + errors)
     numbers = F.sequence(F.lit(1), F.size("ahead"))
-    good = lambda k: F.length(joined_keys(F.col("ahead"), k)).between(len(key) - errors, len(key) + errors) & F.coalesce(within(joined_keys(F.col("ahead"), k), F.lit(key), errors), F.lit(False))
+    if errors:
+        rows = keyed(words, len(key) + errors)
+        good = lambda k: F.length(joined_keys(F.col("ahead"), k)).between(len(key) - errors, len(key) + errors) & F.coalesce(within(joined_keys(F.col("ahead"), k), F.lit(key), errors), F.lit(False))
+    else:
+        # Every word of such a run stands in the phrase, the first at its beginning, and none is left out between.
+        rows = keyed(words, len(key), key).filter(F.startswith(F.lit(key), F.col("key")))
+        end = lambda k: F.element_at("ahead", k)
+        good = lambda k: (end(k)["at"] + F.length(end(k)["key"]) - F.col("at") == len(key)) & (joined_keys(F.col("ahead"), k) == key)
     rows = rows.withColumn("k", F.array_min(F.filter(numbers, good))).filter("k IS NOT NULL").withColumn("end", F.element_at("ahead", F.col("k")))
     return rows.select("sheet", "line", F.col("word_no").alias("first"), F.col("end.word_no").alias("last"), "x", F.col("end.right").alias("right"), "y")
 

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from tallyframe.functions import faces, text
-from tallyframe.operators import fits, marks, spatial
+from tallyframe.operators import extract, fits, marks, spatial
 from tallyframe.sources import lists
 
 
@@ -104,3 +104,12 @@ def test_elements_of_one_group_are_looked_for_together(spark):
     finally:
         kind.join = real
     assert max(met) == 40_000
+
+
+def test_only_words_of_a_phrase_are_laid_beside_each_other(spark):
+    """Words that stand nowhere in a phrase get no frame; still none of them is passed over."""
+    lines = ["it was the best", "it was not the best", "it - was, the BEST", "i t w a s t h e b e s t", "it was it was the best it was the best", "it wasthe best", "xit was the best", "it was the bests", ("other words " * 500) + "it was the best"]
+    words = extract.placed_words(spark.createDataFrame(list(enumerate(lines)), "sheet int, t string"), "sheet", "t")
+    got = sorted((r["sheet"], r["first"], r["last"]) for r in extract.phrase_hits(words, "It was the best", 0).collect())
+    assert got == [(0, 0, 3), (2, 0, 4), (3, 0, 11), (4, 2, 5), (4, 6, 9), (5, 0, 2), (8, 1000, 1003)]
+    assert extract.keyed(words.filter("sheet = 8"), 12, "itwasthebest").count() == 4
