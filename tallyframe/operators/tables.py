@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Once a table is written nothing reads the shuffles that made it; with this setting Spark deletes them then.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows that one task sorts or groups, where steps are dealt out by `parts_for`.
+ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints. Where none is named: with a local master, as in tests, one of
@@ -117,6 +120,13 @@ def written(df: DataFrame, name: str, any_row: Column | None = None) -> DataFram
     return table
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """How many tasks a step over so many rows is dealt out to, as `repartition` takes it: ROWS rows each, and no fewer tasks
+    than a shuffle has. Shuffles alone have a fixed number of tasks, and are put together by their bytes, of which rows of
+    small numbers have next to none."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables of `written` that nothing reads any more, as those of a round once the next one is written."""
     for table in tables:

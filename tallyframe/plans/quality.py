@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import checks, rules
+from tallyframe.operators.tables import written
 from tallyframe.plans.registry import query, table
 
 W, H = 210.0, 297.0
@@ -71,7 +72,7 @@ def all_checks(spark, d):
     """Every check of every job, and the jobs."""
     lines = table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "job", "l_linenumber": "page"})
     job, page = F.col("job"), F.col("page")
-    sizes = lines.groupBy("job").agg(F.max("page").alias("n"))
+    sizes = checks.by_job(written(checks.by_job(lines.select("job", "page")).groupBy("job").agg(F.max("page").alias("n")), "sizes"))
     jobs = sizes.select("job", F.when(job % 4 > 0, F.concat(F.lit("p"), job % 4)).alias("profile"))
     pages = lambda kept: sizes.select("job", F.explode(F.filter(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: i < F.col("n") + kept.cast("int"))).alias("page"))
     before = pages(job % 7 > 0).select("job", "page", F.lit(W).alias("width"), F.lit(H).alias("height"))

@@ -7,7 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 from tallyframe.functions import faces, text
-from tallyframe.operators import extract, fits, marks, spatial
+from tallyframe.operators import checks, extract, fits, marks, pages, scan, spatial, tables
+from tallyframe.operators import faces as lines
 from tallyframe.sources import lists
 
 
@@ -113,3 +114,21 @@ def test_only_words_of_a_phrase_are_laid_beside_each_other(spark):
     got = sorted((r["sheet"], r["first"], r["last"]) for r in extract.phrase_hits(words, "It was the best", 0).collect())
     assert got == [(0, 0, 3), (2, 0, 4), (3, 0, 11), (4, 2, 5), (4, 6, 9), (5, 0, 2), (8, 1000, 1003)]
     assert extract.keyed(words.filter("sheet = 8"), 12, "itwasthebest").count() == 4
+
+
+def dealt_out(df):
+    return df.rdd.getNumPartitions() >= 10
+
+
+def jobs_of_one_page(spark):
+    """1,000 jobs, each with ink gone from its one page; of every second one nothing is new."""
+    jobs = spark.range(1000).selectExpr("id AS job", "if(id % 3 = 0, 'p', null) AS profile")
+    page = jobs.selectExpr("job", "1L AS page", "210.0D AS width", "297.0D AS height")
+    return jobs, page, page, jobs.filter("job % 2 = 0").selectExpr("job", "1L AS page", "50.0D AS x0", "50.0D AS y0", "60.0D AS x1", "60.0D AS y1", "3.0D AS ink"), jobs.selectExpr("job", "1L AS page", "20.0D AS y0", "2.0D AS ink")
+
+
+def test_verdicts_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 100, raising=False)
+    jobs, *rest = jobs_of_one_page(spark)
+    got = checks.verdicts(jobs, checks.everything(jobs, *rest))
+    assert {tuple(r) for r in got.collect()} == {(j, True, j % 2 == 0) for j in range(1000)} and dealt_out(got)
