@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators import spatial
+from tallyframe.operators.tables import parts_for
+
 #: Fixed value: pages whose sides differ by no more than a point are the same paper.
 SAME_PAPER = 1.0
 
@@ -21,20 +24,29 @@ def merged(files: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, Da
       a page of another size than the first file's that has it, the first such page and file. Refused jobs have no pages;
     * (job, file, n_pages, is_short, same_as) of each file of the others: short of the longest, and the first earlier
       file with the same digest.
+
+    Every step is dealt out to tasks of bounded rows.
     """
-    sizes = pages.groupBy("job", "page").agg(F.min_by(F.struct("pos", "width", "height"), "pos").alias("one"))
-    laid = pages.join(sizes, ["job", "page"])
+    spark = files.sparkSession
+    n_files, n_rows = parts_for(spark, files.count()), parts_for(spark, pages.count())
+    each = pages.repartition(n_rows, "job", "page")
+    sizes = each.groupBy("job", "page").agg(F.min_by(F.struct("pos", "width", "height"), "pos").alias("one"))
+    laid = each.join(sizes.hint("shuffle_merge"), ["job", "page"])
     other = (F.abs(F.col("width") - F.col("one.width")) > SAME_PAPER) | (F.abs(F.col("height") - F.col("one.height")) > SAME_PAPER)
-    lengths = pages.groupBy("job", "pos").agg(F.count("*").alias("n_pages"))
-    counted = files.join(lengths, ["job", "pos"], "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
-    jobs = counted.groupBy("job").agg(F.count("*").alias("n"), F.min(F.when(F.col("n_pages") == 0, F.col("pos"))).alias("blank"), F.max("n_pages").alias("deepest"))
+    lengths = pages.select("job", "pos").repartition(n_files, "job", "pos").groupBy("job", "pos").agg(F.count("*").alias("n_pages"))
+    counted = files.repartition(n_files, "job", "pos").join(lengths.hint("shuffle_merge"), ["job", "pos"], "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
+    jobs = counted.select("job", "pos", "n_pages").repartition(n_files, "job").groupBy("job").agg(F.count("*").alias("n"), F.min(F.when(F.col("n_pages") == 0, F.col("pos"))).alias("blank"), F.max("n_pages").alias("deepest"))
     nothing = F.lit(None).cast(files.schema["pos"].dataType)
     why = F.struct(F.lit(0).alias("order"), F.lit(0).cast("long").alias("page"), F.coalesce("blank", nothing).alias("pos"), nothing.alias("first"), F.when(F.col("n") < 2, "too few").otherwise("blank").alias("why"))
     faults = jobs.filter("n < 2 OR blank IS NOT NULL").select("job", why.alias("w")).unionByName(laid.filter(other).select("job", F.struct(F.lit(1).alias("order"), F.col("page").cast("long").alias("page"), "pos", F.col("one.pos").alias("first"), F.lit("different paper").alias("why")).alias("w")))
-    refused = faults.groupBy("job").agg(F.min("w").alias("w")).select("job", "w.why", F.when(F.col("w.page") > 0, F.col("w.page")).alias("page"), F.col("w.first").alias("first"), F.when(F.col("w.why") != "too few", F.col("w.pos")).alias("other"))
-    put = laid.join(refused.select("job"), "job", "left_anti").select("job", "page", "pos", "content", "one.width", "one.height")
-    earliest = files.groupBy("job", "digest").agg(F.min_by("file", "pos").alias("same_as"), F.min("pos").alias("at"))
-    told = counted.join(jobs.select("job", "deepest"), "job").join(earliest, ["job", "digest"], "left").join(refused.select("job"), "job", "left_anti")
+    refused = faults.repartition(n_files, "job").groupBy("job").agg(F.min("w").alias("w")).select("job", "w.why", F.when(F.col("w.page") > 0, F.col("w.page")).alias("page"), F.col("w.first").alias("first"), F.when(F.col("w.why") != "too few", F.col("w.pos")).alias("other"))
+    # A job may have most of the rows: they are dealt out, and what is known of the job goes along with each share.
+    shares, out = spatial.dealt(laid, refused.select(F.col("job").alias("__job")), ["job"], ["__job"], "pos", n_rows)
+    put = shares.join(out, (F.col("job") == F.col("__job")) & (F.col("__deal") == F.col("__to")), "left_anti").select("job", "page", "pos", "content", "one.width", "one.height")
+    earliest = files.repartition(n_files, "job", "digest").groupBy("job", "digest").agg(F.min_by("file", "pos").alias("same_as"), F.min("pos").alias("at"))
+    accepted = jobs.join(refused.select("job").hint("shuffle_merge"), "job", "left_anti").select(F.col("job").alias("__job"), "deepest")
+    shares, known = spatial.dealt(counted, accepted, ["job"], ["__job"], "pos", n_files)
+    told = shares.join(known, (F.col("job") == F.col("__job")) & (F.col("__deal") == F.col("__to"))).repartition(n_files, "job", "digest").join(earliest.hint("shuffle_merge"), ["job", "digest"], "left")
     return put, refused, told.select("job", "file", "n_pages", (F.col("n_pages") < F.col("deepest")).alias("is_short"), F.when(F.col("at") < F.col("pos"), F.col("same_as")).alias("same_as"))
 
 

@@ -16,12 +16,12 @@ from tallyframe.operators.tables import written
 DEALT = 8
 
 
-def dealt(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+def dealt(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], by: str, parts: int = 0) -> tuple[DataFrame, DataFrame]:
     """Two tables that are to meet by keys, each key's left rows dealt into DEALT parts by a column and its right rows copied
     to each, laid out alike by keys and `__deal` in several tasks for each core. Tables of few bytes can make very many
-    pairs, so that neither the files nor the shuffled bytes say how many tasks are needed."""
+    pairs, so that neither the files nor the shuffled bytes say how many tasks are needed; or in `parts` tasks."""
     spark = left.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     left = left.withColumn("__deal", F.pmod(F.xxhash64(by), F.lit(DEALT)))
     right = right.withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
     return left.repartition(n, *left_keys, "__deal").hint("shuffle_merge"), right.repartition(n, *right_keys, "__to")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import faces, pages
+from tallyframe.operators.tables import parts_for, written
 from tallyframe.plans.registry import query, table
 
 FILES = """f AS (SELECT l_orderkey AS job, l_linenumber * 100000 + l_partkey AS pos, 'f' || (l_linenumber * 100000 + l_partkey) AS file, min(l_partkey % 40) AS digest, CASE WHEN min(l_partkey) % 40 = 0 THEN 0 ELSE 1 + min(l_partkey) % 3 END AS n,
@@ -20,8 +21,10 @@ def merge_jobs(spark, d):
     pos = F.col("l_linenumber") * 100_000 + F.col("l_partkey")
     width = F.when(F.col("l_suppkey") % 20 == 0, 612.0).otherwise(595 + F.col("l_quantity") % 2 * 0.9)
     part = F.min("l_partkey")
-    f = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job"), pos.alias("pos")).agg((part % 40).alias("digest"), F.when(part % 40 == 0, 0).otherwise(1 + part % 3).alias("n"), F.max(width).alias("width"), F.min("l_quantity").alias("content"))
-    f = f.withColumn("file", F.concat(F.lit("f"), F.col("pos").cast("string")))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), pos.alias("pos"), "l_partkey", width.alias("width"), "l_quantity")
+    f = lines.repartition(parts_for(spark, lines.count()), "job", "pos").groupBy("job", "pos").agg((part % 40).alias("digest"), F.when(part % 40 == 0, 0).otherwise(1 + part % 3).alias("n"), F.max("width").alias("width"), F.min("l_quantity").alias("content"))
+    f = written(f, "files")
+    f = f.repartition(parts_for(spark, f.count()), "job", "pos").withColumn("file", F.concat(F.lit("f"), F.col("pos").cast("string")))
     laid = f.filter("n > 0").select("job", "pos", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("page"), "width", F.lit(842.0).alias("height"), "content")
     return pages.merged(f.select("job", "pos", "file", "digest"), laid)
 

@@ -132,3 +132,16 @@ def test_verdicts_are_dealt_out_by_rows(spark, monkeypatch):
     jobs, *rest = jobs_of_one_page(spark)
     got = checks.verdicts(jobs, checks.everything(jobs, *rest))
     assert {tuple(r) for r in got.collect()} == {(j, True, j % 2 == 0) for j in range(1000)} and dealt_out(got)
+
+
+def test_merged_pages_are_dealt_out_by_rows(spark, monkeypatch):
+    """One job of 600 files, of which two are alike, and 200 jobs of two files, every fourth of them on different paper."""
+    monkeypatch.setattr(tables, "ROWS", 20, raising=False)
+    files = spark.range(1000).selectExpr("if(id < 600, -1L, id div 2) AS job", "id AS pos", "concat('f', id) AS file", "if(id = 7, 3L, id) AS digest")
+    sides = files.selectExpr("job", "pos", "1 AS page", "if(job % 4 = 0 AND pos % 2 = 1, 300.0D, 210.0D) AS width", "297.0D AS height", "pos AS content")
+    put, refused, told = pages.merged(files, sides)
+    bad = set(range(300, 500, 4))
+    assert {(r["job"], r["why"]) for r in refused.collect()} == {(j, "different paper") for j in bad}
+    assert {r["pos"] for r in put.collect()} == {i for i in range(1000) if i < 600 or i // 2 not in bad}
+    assert {r["file"]: r["same_as"] for r in told.collect()} == {f"f{i}": "f3" if i == 7 else None for i in range(1000) if i < 600 or i // 2 not in bad}
+    assert all(map(dealt_out, (put, refused, told)))
