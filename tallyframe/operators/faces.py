@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.faces import WRITABLE, width_mm
 from tallyframe.operators import fits
-from tallyframe.operators.tables import written
+from tallyframe.operators.tables import forget, written
 
 
 def typefaces(words: DataFrame, by: str, faces: Mapping[str, Mapping[str, int]], smallest: float = 4.0, largest: float = 200.0) -> DataFrame:
@@ -71,8 +71,10 @@ def scaled_lines(marks: DataFrame, by: str, height: str, form: str, shapes: list
     for _ in range(passes - 1):
         if not sizes.any:
             break
-        said = matched().filter((F.col("__open")) & (F.col("__sure") >= SURE) & (F.col("__m.tall") > LOWEST)).select(by, (F.col(height) / F.col("__m.tall")).alias("__says"))
+        # As a table: what reads it again and again would match every mark anew for each column that it takes.
+        said = written(matched().filter((F.col("__open")) & (F.col("__sure") >= SURE) & (F.col("__m.tall") > LOWEST)).select(by, (F.col(height) / F.col("__m.tall")).alias("__says")), "said")
         median = fits.elements(said, [by], "__says", {"__found": fits.part_of(1, 2)}).filter(F.col("n") >= LEAST).select(by, "__found")
         moved = F.coalesce(F.abs(F.col("__found") - F.col("__capital")) / F.col("__capital") >= WORTH, F.lit(False))
         sizes = written(sizes.join(median, by, "left").select(by, F.when(moved, F.col("__found")).otherwise(F.col("__capital")).alias("__capital"), moved.alias("__open")), "sizes", F.col("__open"))
+        forget(said)
     return matched().select(*[F.col(f"`{c}`") for c in marks.columns], F.col("__m.glyph").alias("glyph"), F.col("__sure").alias("confidence"), F.col("__capital").alias("capital"))

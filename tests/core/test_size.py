@@ -145,3 +145,12 @@ def test_merged_pages_are_dealt_out_by_rows(spark, monkeypatch):
     assert {r["pos"] for r in put.collect()} == {i for i in range(1000) if i < 600 or i // 2 not in bad}
     assert {r["file"]: r["same_as"] for r in told.collect()} == {f"f{i}": "f3" if i == 7 else None for i in range(1000) if i < 600 or i // 2 not in bad}
     assert all(map(dealt_out, (put, refused, told)))
+
+
+def test_marks_are_matched_once_in_a_pass(spark, monkeypatch):
+    """What sure marks say is a table before anything is counted."""
+    marks_of = spark.range(700).selectExpr("id", "id % 7 AS line", "2.0D + id % 5 AS h", "0.5D AS form")
+    seen, real = [], fits.elements
+    monkeypatch.setattr(fits, "elements", lambda df, *args: seen.append(df) or real(df, *args))
+    assert lines.scaled_lines(marks_of, "line", "h", "form", [("x", 0.7, 0.5), ("T", 1.0, 0.5)], 1.05).count() == 700
+    assert len(seen) == 2 and hasattr(seen[1], "written_to")
