@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.tables import written
+from tallyframe.operators.tables import parts_for, written
 
 #: The columns that `dealt` adds: the place of a row, and its part.
 AT, PART = "__at", "__part"
@@ -23,10 +23,10 @@ FOLDS = {
 }
 
 
-def dealt(df: DataFrame, by: list[str], order: list[str], name: str = "dealt") -> DataFrame:
+def dealt(df: DataFrame, by: list[str], order: list[str], name: str = "dealt", parts: int = 0) -> DataFrame:
     """`df` written in ranges of (by, order), with `__at`, which rises in that order, and `__part`. Rows that tie in all of
-    these keep the place that they got."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    these keep the place that they got. There are `parts` ranges, or as many as a shuffle has tasks."""
+    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [*by, *order]
     placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(AT, F.monotonically_increasing_id())
     return written(placed, name).withColumn(PART, F.shiftright(AT, 33))
@@ -52,5 +52,6 @@ def before(rows: DataFrame, by: list[str], **folds: tuple[str, Column]) -> DataF
 
 def placed(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
     """Add the number of each row in its group, from 1, and drop nothing else."""
-    rows = before(dealt(df, by, order), by, **{"__n": ("sum", F.lit(1))})
+    n = parts_for(df.sparkSession, df.count())
+    rows = before(dealt(df, by, order, parts=n).repartition(n, PART, *by), by, **{"__n": ("sum", F.lit(1))})
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__n") + 1).cast("long").alias(name))

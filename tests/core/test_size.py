@@ -154,3 +154,22 @@ def test_marks_are_matched_once_in_a_pass(spark, monkeypatch):
     monkeypatch.setattr(fits, "elements", lambda df, *args: seen.append(df) or real(df, *args))
     assert lines.scaled_lines(marks_of, "line", "h", "form", [("x", 0.7, 0.5), ("T", 1.0, 0.5)], 1.05).count() == 700
     assert len(seen) == 2 and hasattr(seen[1], "written_to")
+
+
+def test_places_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 100, raising=False)
+    got = scan.placed(spark.range(1000).selectExpr("id % 3 AS g", "id AS o"), ["g"], ["o"])
+    assert {(r["o"], r["place"]) for r in got.collect()} == {(i, i // 3 + 1) for i in range(1000)} and dealt_out(got)
+
+
+def test_moved_pages_of_jobs_are_counted_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 100, raising=False)
+    found = checks.everything(*jobs_of_one_page(spark)).filter("code = 'reflow'")
+    got = checks.split(found)
+    assert {(r["job"], r["code"], r["detail"]) for r in got.collect()} == {(j, "reflow_split", 1.0) for j in range(1000)} and dealt_out(got.filter("code = 'reflow_split'"))
+
+
+def test_symptoms_are_left_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 100, raising=False)
+    got = checks.without_symptoms(checks.everything(*jobs_of_one_page(spark))).filter("code = 'reflow'")
+    assert {r["job"] for r in got.collect()} == set(range(0, 1000, 2)) and dealt_out(got)
