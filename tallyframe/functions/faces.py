@@ -64,6 +64,13 @@ def by_width(widths: Mapping[str, int]) -> dict[int, str]:
 
 
 def width_mm(text: Column, widths: Mapping[str, int], size_pt: float) -> Column:
-    """Width of a text in a face whose characters are so many thousandths of the size wide; others count nothing."""
-    counts = [F.regexp_count(shown(text), F.lit(f"[{chars}]")) * width for width, chars in sorted(by_width(widths).items())]
+    """Width of a text in a face whose characters are so many thousandths of the size wide; others count nothing. Each
+    character is turned into the one whose code is its width, in one pass; widths that are no such code are counted."""
+    coded = {char: width for char, width in widths.items() if 0 < width < 0xD800}
+    plain = shown(text)
+    counts = [F.regexp_count(plain, F.lit(f"[{chars}]")) * width for width, chars in sorted(by_width({c: w for c, w in widths.items() if c not in coded}).items())]
+    if coded:
+        known = F.regexp_replace(plain, f"[^{''.join(by_width(coded).values())}]", "")
+        codes = F.split(F.translate(known, "".join(coded), "".join(map(chr, coded.values()))), "")
+        counts.append(F.aggregate(codes, F.lit(0), lambda total, c: total + F.ascii(c)))
     return sum(counts, F.lit(0)) / 1000.0 * size_pt * 25.4 / 72.0

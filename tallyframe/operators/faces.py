@@ -12,6 +12,12 @@ from tallyframe.operators import fits
 from tallyframe.operators.tables import forget, written
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in several tasks for each core, where few bytes make much work."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def typefaces(words: DataFrame, by: str, faces: Mapping[str, Mapping[str, int]], smallest: float = 4.0, largest: float = 200.0) -> DataFrame:
     """(by, face, size_pt, confidence, words) of each page (by, text, width in mm).
 
@@ -23,7 +29,7 @@ def typefaces(words: DataFrame, by: str, faces: Mapping[str, Mapping[str, int]],
     names = list(faces)
     plain = words.filter(F.col("text").rlike(r"^[\p{IsAlphabetic}\p{N}]{2,}$") & ~F.col("text").rlike(f"[^{WRITABLE}]") & (F.col("width") > 0))
     set_in = F.array(*[width_mm(F.col("text"), faces[n], 1.0) for n in names])
-    page = written(plain.select(by, "width", set_in.alias("set_in")), "words")
+    page = spread(written(plain.select(by, "width", set_in.alias("set_in")), "words"))
     each = page.select(by, "width", F.posexplode("set_in").alias("no", "predicted"))
     kept = written(fits.robust_points(each, [by, "no"], "predicted", "width"), "kept")
     line = fits.line(kept, [by, "no"], "predicted", "width").filter("slope IS NOT NULL")

@@ -88,7 +88,7 @@ def text_widths(spark, d):
 @query("typefaces")
 def typefaces(spark, d):
     """Each page is the names of a brand's parts, set in one of three faces at 10 to 12 pt, with some measuring error."""
-    words = table(spark, d, "part").select("p_brand", "p_partkey", F.explode(F.split("p_name", " ")).alias("text"))
+    words = pages.spread(table(spark, d, "part").select("p_brand", "p_partkey", F.explode(F.split("p_name", " ")).alias("text")))
     no = F.pmod(F.xxhash64("p_brand"), F.lit(3)).cast("int")
     set_in = F.array(*[faces.width_mm(F.col("text"), FACES[n], 1.0) for n in FACES])[no]
     words = words.select("p_brand", "text", (set_in * (no + 10) + F.col("p_partkey") % 7 / 500).alias("width"))

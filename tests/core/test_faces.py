@@ -64,3 +64,12 @@ def test_a_correction_needs_one_place(spark):
     assert got[1]["over"] is None and abs(got[1]["cover_w"] - 11.2) < 1e-9 and got[2]["x"] is None
     near = {r["sheet"]: (r["status"], r["n"]) for r in extract.corrections(words, "Invoice number", "Bill no. that is much longer").collect()}
     assert near[4] == ("Planned", 1) and near[5] == ("Planned", 1)  # an exact reading goes before a near one
+
+
+def test_width_looks_at_a_text_once_for_all_characters(spark):
+    texts = ["Wimbly Ünï €„“ [x]^-\\ ", "a\tb\r\n→λ", "\U0001f600i", "", None]
+    for table in FACES.values():
+        width = faces.width_mm(F.col("t"), table, 1.0)
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(width).collect()]
+        assert got[-1] is None and all(abs(w - sum(table.get(c, 0) for c in t.replace("\t", " ")) / 1000 * 25.4 / 72) < 1e-12 for t, w in zip(texts[:-1], got[:-1], strict=True))
+        assert "regexp_count" not in str(width).lower()
