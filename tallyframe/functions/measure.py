@@ -97,7 +97,8 @@ def half_l1(a: Column, b: Column) -> Column:
 def shares(v: Column) -> Column:
     """A vector over its sum; null where that isn't above 0."""
     total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(v, lambda x: x / total))
+    once = F.transform(F.array(total), lambda t: F.transform(v, lambda x: x / t))[0]  # not added up again for each element
+    return F.when(total > 0, once)
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:

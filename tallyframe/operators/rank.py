@@ -15,48 +15,88 @@ from tallyframe.operators.tables import forget, written
 #: The farthest that still is the same document, the lead a match must have, the least density of a page.
 SAME, LEAD, DENSITY = 0.30, 0.12, 0.0005
 
-#: Vectors that are compared at a time, about: candidates, and sheets.
-BLOCK, CHUNK = 2048, 64
+#: Vectors that are compared at a time, about: candidates, and sheets. Blocks of candidates that one task goes through, and
+#: the tasks that share the candidates at least.
+BLOCK, CHUNK = 2048, 512
+BLOCKS, SPLIT = 64, 4
 
 
 def ranked_candidates(sheets: DataFrame, candidates: DataFrame, keep: int) -> DataFrame:
     """(sheet, candidate, distance, rank): the `keep` candidates nearest to each sheet by half the sum of differences
     of shares; vectors that can't be compared come last.
 
-    Both tables are (id, v). Every sheet is compared with every candidate, as the result asks; the side with fewer
-    rows goes round as blocks of vectors, so a task holds one block and not a table. Ranks are cut in each block
-    before they are merged.
+    Both tables are (id, v). Every sheet is compared with every candidate, as the result asks, which is quadratic where both
+    are one table; vectors travel as blocks, so a task holds a pair of blocks and not a table. A task goes through many
+    blocks of candidates and keeps the nearest ones of a sheet only, so what is merged grows with the sheets.
     """
     size = len((candidates.select("v").first() or [[]])[0])
     n_blocks, n_chunks = (max(1, -(-df.count() // most)) for df, most in ((candidates, BLOCK), (sheets, CHUNK)))
-    placed = candidates.select(F.col("id").cast("long").alias("candidate"), shares(F.col("v")).alias("v"))
-    blocks = placed.groupBy(F.pmod(F.xxhash64("candidate"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("candidate").alias("candidates"), F.flatten(F.collect_list(F.coalesce("v", F.array_repeat(F.lit(float("nan")), size)))).alias("m"))
-    asked = sheets.select(F.col("id").cast("long").alias("sheet"), shares(F.col("v")).alias("v"))
-    chunks = asked.withColumn("chunk", F.pmod(F.xxhash64("sheet"), F.lit(n_chunks))).groupBy("chunk").agg(F.collect_list("sheet").alias("sheets"), F.flatten(F.collect_list(F.coalesce("v", F.array_repeat(F.lit(float("nan")), size)))).alias("q"))
+    missing = F.array_repeat(F.lit(float("nan")), size)
+
+    def stacked(df: DataFrame, n: int, parts: int, number: str, ids: str, matrix: str) -> DataFrame:
+        """Vectors in `n` rows, by a hash of their ids, dealt out evenly."""
+        placed = df.select(F.col("id").cast("long").alias("id"), F.coalesce(shares(F.col("v")), missing).alias("v"))
+        rows = placed.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(number)).agg(F.collect_list("id").alias(ids), F.flatten(F.collect_list("v")).alias(matrix))
+        return rows.repartition(parts)
+
+    blocks = stacked(candidates, n_blocks, min(n_blocks, max(SPLIT, -(-n_blocks // BLOCKS))), "block", "candidates", "m")
+    chunks = stacked(sheets, n_chunks, n_chunks, "chunk", "sheets", "q")
 
     def compare(batches):
+        held: dict[int, tuple] = {}
         for batch in batches:
-            out: dict[str, list] = {"sheet": [], "candidate": [], "distance": []}
             for i in range(len(batch)):
                 # Views of the batch, one pair of blocks at a time, not lists of Python numbers.
-                sheets_, ids = batch.column("sheets")[i].as_py(), np.array(batch.column("candidates")[i].as_py())
+                asked, ids = (batch.column(c)[i].values.to_numpy() for c in ("sheets", "candidates"))
                 q, m = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("q", "m"))
-                a, b = q.reshape(len(sheets_), -1), m.reshape(len(ids), -1)
-                for s, row in zip(sheets_, a, strict=True):
-                    d = np.abs(b - row).sum(axis=1) / 2
-                    d = np.where(np.isnan(d), np.inf, d)
-                    best = np.lexsort((ids, d))[:keep]
-                    out["sheet"] += [s] * len(best)
-                    out["candidate"] += ids[best].tolist()
-                    out["distance"] += d[best].tolist()
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sheet", pa.int64()), ("candidate", pa.int64()), ("distance", pa.float64())]))
+                found = nearest(q.reshape(len(asked), -1), m.reshape(len(ids), -1), ids, keep)
+                chunk = batch.column("chunk")[i].as_py()
+                if chunk in held:
+                    was = held[chunk][1:]
+                    found = first_of(*(np.concatenate(both) for both in zip(was, found, strict=True)), keep)
+                held[chunk] = (np.array(asked), *found)
+        for asked, s, c, d in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[s]), pa.array(c), pa.array(d)], names=["sheet", "candidate", "distance"])
 
     schema = T.StructType([T.StructField("sheet", T.LongType()), T.StructField("candidate", T.LongType()), T.StructField("distance", T.DoubleType())])
-    pairs = chunks.crossJoin(blocks).mapInArrow(compare, schema)  # a stated query set against all rows, in blocks
+    pairs = chunks.crossJoin(blocks).mapInArrow(compare, schema)  # all against all, in blocks
     w = Window.partitionBy("sheet").orderBy("distance", "candidate")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
 
+def first_of(s: np.ndarray, c: np.ndarray, d: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first `keep` candidates `c` of each sheet `s` by distance `d`, then by id."""
+    order = np.lexsort((c, d, s))
+    s, c, d = s[order], c[order], d[order]
+    place = np.arange(len(s)) - np.searchsorted(s, s)
+    return s[place < keep], c[place < keep], d[place < keep]
+
+
+def nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the sheet, id of the candidate, distance): for each row of `a`, the `keep` rows of `b` nearest to it.
+
+    Half the differences of shares are 1 less what both have in common. That is added up in single precision for all
+    pairs, and only pairs that its error leaves among the nearest are told apart by their differences in doubles."""
+    n = b.shape[1]
+    largest = max(1.0, *(np.nan_to_num(np.abs(x).sum(axis=1)).max() for x in (a, b)))  # over 1 where elements are negative
+    slack = 4 * (n + 4) * np.finfo(np.float32).eps * largest
+    a_, b_, ones = a.astype(np.float32), b.astype(np.float32), np.ones(n, np.float32)
+    least, common = np.empty_like(b_), np.empty((CHUNK // 16, len(b)), np.float32)
+    parts = []
+    for start in range(0, len(a), len(common)):
+        rows = a_[start : start + len(common)]
+        got = common[: len(rows)]
+        for row, out in zip(rows, got, strict=True):
+            np.minimum(b_, row, out=least)
+            np.dot(least, ones, out=out)
+        got[np.isnan(got)] = -np.inf
+        edge = np.partition(got, len(b) - keep, axis=1)[:, len(b) - keep] if keep < len(b) else np.full(len(rows), -np.inf)
+        s, c = np.nonzero(got >= (edge - slack)[:, None])
+        d = np.abs(b[c] - a[start + s]).sum(axis=1) / 2
+        parts.append(first_of(start + s, ids[c], np.where(np.isnan(d), np.inf, d), keep))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def confident(ranked: DataFrame, by: str, distance: str, density: Column | None = None) -> DataFrame:
     """(by, candidate, best, second, sure): whether the nearest is near enough and far enough ahead of the next; a
     single candidate needs no lead; nearly blank sheets are never sure."""

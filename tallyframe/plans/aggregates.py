@@ -377,11 +377,11 @@ VECTORS = "SELECT vec_id AS id, list_transform(embedding, lambda x: abs(x)::DOUB
 
 def ranked(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("v"))
-    return rank.ranked_candidates(v.filter("id % 50 = 0"), v, 3)
+    return rank.ranked_candidates(v, v, 3)
 
 
 RANKED = f"""WITH e AS (SELECT id, list_transform(v, lambda x: x / list_sum(v)) AS v FROM ({VECTORS})),
-  p AS (SELECT a.id AS sheet, b.id AS candidate, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / 2 AS d FROM e a, e b WHERE a.id % 50 = 0),
+  p AS (SELECT a.id AS sheet, b.id AS candidate, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / 2 AS d FROM e a, e b),
   r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY d, candidate) AS rank FROM p)"""
 
 
