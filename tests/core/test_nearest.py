@@ -50,3 +50,16 @@ def test_blocks_of_any_size_give_the_nearest(spark, monkeypatch, keep):
     # Of equal distances the least id comes first, where these are equal as doubles.
     exact = {r["sheet"]: r["candidate"] for r in got if r["rank"] == 1}
     assert all(exact[s] == c for s, c, d, k in want if k == 1)
+
+
+def test_every_row_is_judged(spark, tmp_path):
+    v = np.random.default_rng(2).random((120, 8)).astype(np.float32)
+    v[3] = v[100]
+    v[5] = 0.0
+    got = {r["sheet"]: r for r in aggregates.confident_matches(spark, table_of(spark, v, tmp_path)).collect()}
+    by_rank = {(s, k): (c, d) for s, c, d, k in nearest(v.astype(float), 2)}
+    assert set(got) == set(range(120))
+    for s, r in got.items():
+        (c, best), (_, second) = by_rank[s, 1], by_rank[s, 2]
+        assert (r["candidate"], r["best"], r["second"]) == (c, best, second)
+        assert r["sure"] == (best <= 0.3 and (second - best >= 0.12 if best < np.inf else False)), s
