@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.tables import parts_for
+
 #: Order of severities; ink that counts as moved (mm2), share of dark under words, least slack (mm),
 #: share of a page that is much.
 SEVERITIES = ("blocker", "warning", "note")
@@ -30,9 +32,20 @@ def document_shape(before: DataFrame, now: DataFrame, tolerance: float = 0.5) ->
     return found(both, F.col("page").isNull(), "warning", "pages_added", F.col("p")).unionAll(found(both, F.col("page1").isNull(), "blocker", "pages_removed", F.col("p"))).unionAll(found(both, other, "blocker", "size_mismatch", F.col("p")))
 
 
-def moved_content(regions: DataFrame) -> DataFrame:
-    """(page, top, removed): pages from which much ink is gone, with the topmost place."""
-    per = regions.groupBy("page").agg(F.sum("removed").alias("removed"), F.min(F.when(F.col("removed") > 0, F.col("top"))).alias("top"))
+def moved_content(regions: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """(page, top, removed): pages from which much ink is gone, with the topmost place.
+
+    A sum of doubles depends on the order in which they are added, so a page at the very limit may fall on either side by
+    how rows came to lie in tasks. With `order`, columns that no two rows of a page share, a page's rows are added one
+    after the other in that order: they stream through one task, with as many tasks as the rows ask for."""
+    gone, top = F.sum("removed"), F.min(F.when(F.col("removed") > 0, F.col("top")))
+    if order:
+        w = Window.partitionBy("page").orderBy(*order)
+        up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        dealt = regions.repartition(parts_for(regions.sparkSession, regions.count()), "page")
+        per = dealt.select("page", gone.over(up_to).alias("removed"), top.over(up_to).alias("top"), F.lead(F.lit(True)).over(w).isNull().alias("last")).filter("last")
+    else:
+        per = regions.groupBy("page").agg(gone.alias("removed"), top.alias("top"))
     return found(per, F.col("removed") >= MOVED, "blocker", "reflow", F.col("page"), F.round("top", 3))
 
 

@@ -16,9 +16,14 @@ def regions(spark, d):
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("page"), (F.col("l_quantity") * 4).alias("x0"), (F.col("l_tax") * 1000).alias("y0"), (F.col("l_quantity") * 4 + 12).alias("x1"), (F.col("l_tax") * 1000 + 150).alias("y1"),
         (F.col("l_discount") * 10).alias("removed"), (F.col("l_tax") * 1000).alias("top"), (F.col("l_discount") * 5).alias("dark"), (F.col("l_quantity") / 5).alias("clearance"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
 
 
+#: Where a row lies in the table.
+PLACE = ["file", "row"]
+
+
 R = """r AS (SELECT l_orderkey AS page, l_quantity * 4 AS x0, l_tax * 1000 AS y0, l_quantity * 4 + 12 AS x1, l_tax * 1000 + 150 AS y1, l_discount * 10 AS removed, l_tax * 1000 AS top, l_discount * 5 AS dark, l_quantity / 5 AS clearance FROM lineitem)"""
 S = {
     "moved": "SELECT 'blocker' AS severity, 'reflow' AS code, page, round(min(top) FILTER (removed > 0), 3)::DOUBLE AS detail FROM r GROUP BY page HAVING sum(removed) >= 1.5",
@@ -39,7 +44,7 @@ def all_regions(spark, d):
 
 @query("check_moved", f"WITH {R} {S['moved']}")
 def check_moved(spark, d):
-    return as_number(rules.moved_content(regions(spark, d)))
+    return as_number(rules.moved_content(regions(spark, d), PLACE))
 
 
 @query("check_regions", f"WITH {R} " + " UNION ALL ".join(S.values()))
