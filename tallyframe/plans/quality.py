@@ -39,7 +39,7 @@ def as_number(df):
 
 def all_regions(spark, d):
     r = regions(spark, d)
-    return rules.gathered([rules.moved_content(r), rules.margins(r, 5.0, W, H), rules.legibility(r), rules.slack(r)])
+    return rules.gathered([rules.moved_content(r, PLACE), rules.margins(r, 5.0, W, H), rules.legibility(r), rules.slack(r)])
 
 
 @query("check_moved", f"WITH {R} {S['moved']}")
