@@ -143,7 +143,7 @@ def check_split(spark, d):
 )
 def check_softened(spark, d):
     r = regions(spark, d)
-    return as_number(rules.softened(rules.gathered([rules.moved_content(r), rules.slack(r)])))
+    return as_number(rules.softened(rules.gathered([rules.moved_content(r, PLACE), rules.slack(r)])))
 
 
 @query(

@@ -47,6 +47,12 @@ def test_regions_at_the_limit(spark, limit):
     assert sorted(str(tuple(r)) for r in catalogue.QUERIES["check_regions"](spark, folder).collect()) == want
 
 
+def test_moved_pages_at_the_limit_are_counted(spark, limit):
+    folder, by_sql = limit
+    want = sorted(map(str, by_sql("check_softened")))
+    assert sorted(str(tuple(r)) for r in catalogue.QUERIES["check_softened"](spark, folder).collect()) == want
+
+
 def test_ink_is_added_in_the_order_asked(spark):
     parts, page = [0.1, 0.5, 0.7, 0.2], [(1, i) for i in range(4)]
     up, down = reduce(add, parts), reduce(add, reversed(parts))  # not sum(), which evens out
